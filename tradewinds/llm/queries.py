@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, simhash
+from . import hashing, html_text, mixing, neardup, packing, pii, quality, simhash, spans, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +29,41 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(_table(spark, sf_dir, "documents"))
+
+
+def op10_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
+    "op2_pii": op2_pii,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_html": op6_html,
     "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_spans": op9_spans,
+    "op10_hashing": op10_hashing,
 }
 
 _OP1 = """
