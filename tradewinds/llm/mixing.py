@@ -111,10 +111,11 @@ def resample(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: flo
     """``docs`` as the mix takes them: a document taken twice is there twice, one not taken is gone."""
     rows = materialize(sized(docs).select("source", "h", "size"), "mix-sizes")
     cuts = small(plan(rows, weights, share, most).select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("upto").alias("_upto")))
-    again = F.col("_passes") + (id_hash(F.col("doc_id")) <= F.col("_upto")).cast("long")
+    again = F.col("_passes") + (id_hash(F.col("_row.doc_id")) <= F.col("_upto")).cast("long")
     return (
-        docs.join(cuts, F.col("source").eqNullSafe(F.col("_s")))
+        docs.select(F.struct(*docs.columns).alias("_row"))  # so that no column of docs clashes with the cuts
+        .join(cuts, F.col("_row.source").eqNullSafe(F.col("_s")))
         .where(again > 0)
         .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), again)))
-        .select(*docs.columns)
+        .select("_row.*")
     )
