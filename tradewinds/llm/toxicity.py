@@ -25,7 +25,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 SAMPLE = 6000
 #: Features a model has at most, and the labelled toxic documents that a feature must be in.
 FEATURES, SEEN = 4096, 3
-PREFIXES = (4, 5, 6)
+PREFIXES = (3, 4, 5, 6)
 GRADES = 3
 #: Distinct words whose weights a task remembers at most.
 CACHE = 300_000
@@ -54,7 +54,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - scores[:, None], -60, 60)))
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 300, l2: float = 1e-5):
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, weight: np.ndarray, n_features: int, steps: int = 300, l2: float = 1e-3):
     """(weights, ordered thresholds) by Adam on the weighted log likelihood of a cumulative-link model."""
     n, k = len(grade), GRADES
     w, t = np.zeros(n_features), np.concatenate([[1.0], np.zeros(k - 1)])  # the first threshold, logs of the gaps above
