@@ -1,0 +1,344 @@
+"""The corpus operators against brute force, round trips and held-out accuracy, and their edge cases."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tests.oracle import differences
+from tradewinds.llm import hashing, html_text, mixing, neardup, packing, pii, quality, queries, simhash, spans, toxicity
+
+SF, SF2, SF1 = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, name, sf=SF):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def components(ids, links):
+    low = {i: i for i in ids}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            m = min(low[a], low[b])
+            if low[a] != m or low[b] != m:
+                low[a] = low[b] = m
+                changed = True
+    return low
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, and columns named as the operators' own."""
+    long = "word " * 60_000
+    rows = [
+        (1, "a b c d e f", "en", "s1", 11), (1, "a b c d e f", "en", "s1", 11), (None, "null id", None, None, None), (2, None, None, "s1", None), (3, "", "de", None, 0), (4, long, "en", "s2", len(long)),
+        (5, " \t\n ", "en", "s2", 4), (6, "a b c d e f", "en", "s3", 11), (7, "é ü 漢字 \x00 ok", "xx", "", 10), (8, long, "en", "s2", len(long)),
+    ]
+    df = spark.createDataFrame(rows, DOCS)
+    clash = "h fp id rank size key p q b w m x uid label y target taken salt piece marks _s _n _done _r prefix rest passes upto".split()
+    return df.withColumns({c: F.lit(1) for c in clash})
+
+
+def labels(spark, rows=()):
+    return spark.createDataFrame(list(rows), "doc_id long, quality int, toxic int")
+
+
+OPERATORS = {
+    "pii": lambda d, lab: pii.find(d), "pii_mask": lambda d, lab: pii.mask(d), "simhash": lambda d, lab: simhash.dedup(d), "keep_one": lambda d, lab: simhash.keep_one(d),
+    "quality": lambda d, lab: quality.score(d, lab), "mix": lambda d, lab: mixing.mix(d), "resample": lambda d, lab: mixing.resample(d), "pack": lambda d, lab: packing.pack(d),
+    "toxicity": lambda d, lab: toxicity.grade(d, lab), "reject": lambda d, lab: toxicity.reject(d, lab), "spans": lambda d, lab: spans.dedup(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_rows_and_empty_tables(spark, odd, name):
+    none = labels(spark)
+    got = OPERATORS[name](odd, none).collect()
+    assert OPERATORS[name](odd.limit(0), none).count() == 0
+    if name in ("pii", "pii_mask", "quality", "mix", "toxicity", "reject", "spans", "simhash"):
+        assert len(got) == 10
+
+
+def test_near_duplicates_agree_with_sql(spark):
+    assert differences(spark, SF2, "op1", queries.op1_neardup, queries.ORACLE_SQL["op1_neardup"]) == []
+
+
+def test_near_duplicates_edge_cases_and_blocks(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((6, 8))
+    rows = [(k, [float(x) for x in base[k % 6] + 0.1 * rng.standard_normal(8)], k % 2) for k in range(120)]
+    rows += [(200, None, 1), (201, [0.0] * 8, 1), (202, [float("nan")] * 8, 1), (203, [1.0, None], 1), (204, rows[0][1], None), (205, rows[0][1], 0), (206, [2.0 * x for x in rows[0][1]], 0), (207, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("id", F.lit(1)).withColumn("n", F.lit(2))
+    ok = [(i, np.array(v), lab) for i, v, lab in rows if v and None not in v and lab is not None and np.all(np.isfinite(v)) and np.any(np.array(v) != 0)]
+    links = [(i, j) for i, v, a in ok for j, w, b in ok if i < j and a == b and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93]
+    low, n = components([r[0] for r in rows], links), defaultdict(int)
+    for a, b in links:
+        n[a] += 1
+        n[b] += 1
+    for block in (2048, 16):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df, block=block).collect()}
+        assert got == {i: (n[i], low[i], low[i] == i) for i, _, _ in rows}
+    assert neardup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_int8_bounds_never_miss():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((200, 16)) * rng.exponential(1, (200, 1))
+    t = neardup.Tile(x)
+    bound = neardup.int8_products(t.codes, t.codes) * t.scale[:, None] * t.scale + t.error[:, None] * t.length + t.error + neardup.SLACK
+    assert np.all(bound >= t.x @ t.x.T)
+
+
+def _feistel(left, right, wide, high, tweak, back=False):
+    for i in reversed(range(pii.ROUNDS)) if back else range(pii.ROUNDS):
+        f = int(hashlib.sha256(f"{pii.KEY}|{tweak}|{i}|{right if i % 2 == 0 else left}".encode()).hexdigest()[:15], 16)
+        f = -f if back else f
+        left, right = ((left + f) % wide, right) if i % 2 == 0 else (left, (right + f) % high)
+    return left, right
+
+
+def _digits(d, kind, back=False):
+    a = len(d) // 2
+    left, right = _feistel(int(d[:a]), int(d[a:]), 10**a, 10 ** (len(d) - a), f"{kind}{len(d)}", back)
+    return f"{left:0{a}d}{right:0{len(d) - a}d}"
+
+
+def _luhn(d):
+    return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(map(int, reversed(d)))) % 10
+
+
+def _mask(spark, text):
+    return pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+
+
+def test_pii_permutes_within_formats_and_back(spark):
+    card, phone = "4111 1111 1111 1111", "+1 (217) 555-7713"
+    got = _mask(spark, f"{card}; {phone}; 10.20.30.40; 123-45-6789 and 4111111111111111").text.replace(" and", ";").split("; ")
+    new = re.sub(r"\D", "", got[0])
+    assert re.fullmatch(r"(\d{4} ){3}\d{4}", got[0]) and _luhn(new) == 0 and got[4] == new and new[:15] == _digits("411111111111111", "card")
+    assert _digits(new[:15], "card", True) == "411111111111111"
+    assert re.sub(r"\D", "", got[1]) == "1" + _digits("2175557713", "phone") and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1])
+    a, b = _feistel(10 * 256 + 20, 30 * 256 + 40, 65536, 65536, "ip")
+    assert got[2] == f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}" and re.sub(r"\D", "", got[3]) == _digits("123456789", "ssn")
+
+
+def test_pii_finds_all_kinds_and_leaves_the_rest(spark):
+    r = _mask(spark, 'x.y@mail.example.com DE89 3704 0044 0532 0130 00 1980-02-29 31.12.1999 token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" +44 20 7946 0958')
+    assert r.n_found == 6 and "3704" not in r.text and "b44e15" not in r.text and "mail.example" not in r.text and "1980-02-29" not in r.text
+    iban = re.search(r"DE\d\d(?: \d{4}){4} \d\d", r.text)[0].replace(" ", "")
+    assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1
+    for clean in ("4111111111111112", "300.1.2.3", "1981-02-29", "version 1.2.3", "CC BY-NC 4.0.", "chapter 12 of 2020", "", "no digits at all", "1.2.3.4.5", "9" * 30):
+        assert tuple(_mask(spark, clean)) == (1, clean, 0)
+    dates = " ".join(f"19{y:02d}-03-{d:02d}" for y in range(0, 99, 7) for d in range(1, 28, 9))
+    new = _mask(spark, dates).text.split()
+    assert len(set(new)) == len(new) == len(dates.split()) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", d) for d in new)
+
+
+def test_pii_mask_keeps_columns_and_counts(spark):
+    df = spark.createDataFrame([(1, "a@b.example.com!", "en", "s", 16)], DOCS)
+    r = pii.mask(df).first()
+    assert r.n_chars == len(r.text) and r.lang == "en" and r.text.endswith("@example.invalid!")
+
+
+def _simhash(text):
+    words = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    grams = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))]
+    hs = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_simhash_against_brute_force(spark):
+    docs = table(spark, "documents")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fps = {i: _simhash(t) for i, t in texts.items()}
+    low = components(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 4])
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.dedup(docs).collect()}
+    assert got == {i: (f"{f:016x}", low[i]) for i, f in fps.items()}
+    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert kept == {i for i in fps if low[i] == i}
+
+
+def test_simhash_small_blocks_find_every_link(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 62, 40)
+    fps = {k: int(centres[k % 40]) ^ int(sum(1 << int(b) for b in rng.choice(62, rng.integers(0, 4), False))) for k in range(600)}
+    first = {}
+    for k, f in fps.items():
+        first.setdefault(f, k)
+    df = spark.createDataFrame([(f, k) for f, k in first.items()], "fp long, id long")
+    edges = [(r.a, r.b) for r in simhash.links(df, 4, 8).collect()]
+    want = components(first.values(), [(i, j) for f, i in first.items() for g, j in first.items() if i < j and (f ^ g).bit_count() <= 4])
+    assert components(first.values(), edges) == want
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, lab = table(spark, "documents", SF2), table(spark, "labels", SF2)
+    got = {r.doc_id: r for r in quality.score(docs, lab).collect()}
+    assert len(got) == docs.count() and all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for i, r in got.items())
+    held = [(got[r.doc_id].predicted, r.quality) for r in lab.collect() if got[r.doc_id].held_out]
+    assert len(held) > 50 and np.mean([p == q for p, q in held]) >= 0.95
+    again = {r.doc_id: r.score for r in quality.score(docs.repartition(5), lab.repartition(3)).collect()}
+    assert again == {i: r.score for i, r in got.items()}
+
+
+def test_mixing_agrees_with_sql(spark):
+    assert differences(spark, SF2, "op5", queries.op5_mixing, queries.ORACLE_SQL["op5_mixing"]) == []
+
+
+def test_resample_takes_what_mix_says(spark):
+    docs = table(spark, "documents")
+    n = {r.doc_id: r.n for r in mixing.resample(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    for r in mixing.mix(docs).collect():
+        assert r["size"] == 0 or n.get(r.doc_id, 0) * r["size"] == r.taken
+
+
+PAGE = """<!doctype html><html><head><title>T</title><script>var a="</p>";</script><style>p{}</style></head><body><nav><a href=x>Home</a></nav><!-- c --><div class="ad">Buy now.</div>
+<article><h1>Head &amp; line</h1><p>First   paragraph, with <b>bold</b> text.<p>Second one;<br>it goes&nbsp;on. It is long enough to count, surely.</p><div class="share">Share</div></article>
+<div class="comments"><p>Nice post, very good, thanks.</p></div><aside><p>More</p></aside><footer>(c) 2020.</footer></body></html>"""
+
+
+def test_html(spark):
+    df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "v", ""), (4, "w", "<p>Just a text.</p>"), (5, "x", "<nav>only</nav>"), (6, "y", "<div><p>" + "long text, " * 50_000)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r.page_id: r for r in html_text.extract_pages(df).collect()}
+    assert got[1].text == "Head & line\nFirst paragraph, with bold text.\nSecond one; it goes on. It is long enough to count, surely."
+    assert [got[k].text for k in (2, 3, 4, 5)] == ["", "", "Just a text.", ""] and got[6].n_chars == len(got[6].text) > 500_000
+    assert html_text.extract_pages(df.limit(0)).count() == 0
+
+
+def test_packing_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    docs = table(spark, "documents")
+    encoder = Tokenizer.from_file(packing.tokenizer_path())
+    ids = {r.doc_id: [*encoder.encode(r.text or "", add_special_tokens=False).ids, 0] for r in docs.collect()}
+    got = packing.pack(docs).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append(r)
+        by_sequence[r.sequence_id].append(r)
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
+    for i, rs in by_doc.items():
+        rs.sort(key=lambda r: r.piece)
+        assert [r.piece for r in rs] == list(range(len(rs))) and sum(r.length for r in rs) == len(ids[i]) and all(r.length == 2048 for r in rs[:-1])
+    assert by_doc.keys() == ids.keys()
+    for rs in by_sequence.values():
+        at = 0
+        for r in sorted(rs, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 2048
+    least = math.ceil(sum(map(len, ids.values())) / 2048)
+    assert len(by_sequence) <= 1.03 * least + 2
+
+
+def test_packing_plan_places_every_rank_once():
+    rng = np.random.default_rng(4)
+    counts = {int(s): int(n) for s, n in zip(rng.permutation(np.arange(1, 2049))[:300], rng.integers(1, 40, 300))}
+    runs = packing.plan(counts, 2048)
+    seen, used = defaultdict(set), defaultdict(list)
+    for size, rank, many, first, offset in runs.tolist():
+        for k in range(many):
+            assert rank + k not in seen[size]
+            seen[size].add(rank + k)
+            used[first + k].append((offset, size))
+    assert {s: len(r) for s, r in seen.items()} == counts
+    assert all(sum(s for _, s in x) <= 2048 for x in used.values())
+
+
+def test_toxicity_on_rows_that_were_not_learned_from(spark):
+    docs, lab = table(spark, "documents", SF1), table(spark, "labels", SF1)  # the smaller ones have too few toxic rows to learn from half of
+    learned = lab.where("doc_id % 2 = 0")
+    got = {r.doc_id: r for r in toxicity.grade(docs, learned).collect()}
+    held = [(got[r.doc_id].toxic, r.toxic == 1) for r in lab.where("doc_id % 2 = 1").collect()]
+    assert np.mean([t for t, y in held if y]) >= 0.8 and np.mean([t for t, y in held if not y]) <= 0.03
+    assert all(0 <= r.severity <= 3 and 0 <= r.grade <= 3 for r in got.values())
+    kept = {r.doc_id for r in toxicity.reject(docs, learned).collect()}
+    assert kept == {i for i, r in got.items() if not r.toxic}
+
+
+def test_ordinal_thresholds_are_ordered():
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 5, 400).astype(float)
+    grade = np.clip((x + rng.normal(0, 0.5, 400)).astype(int), 0, 3)
+    w, t = toxicity.fit_ordinal(np.arange(400), np.zeros(400, int), x, grade, np.ones(400), 1)
+    assert w[0] > 0 and t[0] < t[1] < t[2]
+
+
+def test_spans_against_brute_force(spark):
+    docs = table(spark, "documents")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    where = defaultdict(list)
+    for i in sorted(texts):
+        ranges, counts, _, _ = spans.sentences(texts[i])
+        words = [re.findall(r"\S+", texts[i][a:b].lower()) for a, b in ranges]
+        for k in range(len(words)):
+            end = k
+            while end < len(words) and (end - k < spans.LEAST or sum(map(len, words[k:end])) < spans.WORDS):
+                end += 1
+            n = sum(map(len, words[k:end]))
+            if n >= spans.WORDS and (end - k >= spans.LEAST or k == 0):
+                where[tuple(w for s in words[k:end] for w in s)].append((i, k, end))
+    gone = defaultdict(set)
+    for places in where.values():
+        for i, a, b in sorted(places)[1:]:
+            gone[i] |= set(range(a, b))
+    got = {r.doc_id: r for r in spans.dedup(docs).collect()}
+    for i, text in texts.items():
+        ranges = spans.sentences(text)[0]
+        assert (got[i].text or "") == "".join(text[a:b] for k, (a, b) in enumerate(ranges) if k not in gone[i]) or not ranges
+        assert got[i].n_removed == len(gone[i])
+
+
+def test_spans_keep_the_first_passage_and_what_surrounds_it(spark):
+    passage = " ".join(f"Sentence {k} of it says word{k} and word{k + 1} twice." for k in range(9))
+    df = spark.createDataFrame([(2, f"Before two. {passage} After two."), (1, f"One begins. {passage}"), (3, "A clean text. It has nothing. Of that kind.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in spans.dedup(df).collect()}
+    assert passage in got[1] and got[2].split() == "Before two. After two.".split() and got[3].startswith("A clean")
+
+
+def test_hashing_recall_order_and_edges(spark):
+    e = table(spark, "embeddings", SF2)
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in e.collect()]
+    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
+    odd = spark.createDataFrame([(100_000, None), (100_100, [0.0] * 64), (100_200, [float("inf")] * 64), (None, [1.0] * 64), (100_300, [1.0] * 5), (7, [1.0, None])], "vec_id long, embedding array<float>")
+    for block, n in ((hashing.BLOCK, hashing.QUERIES), (100, 2)):
+        got = hashing.neighbours(e.select("vec_id", "embedding").union(odd), block=block, queries=n).collect()
+        found = defaultdict(dict)
+        for r in got:
+            found[r.query_id][r.rank] = (r.score, r.vec_id)
+        asked = ids[ids % 100 == 0]
+        assert set(found) == set(asked.tolist())
+        hits = 0
+        for q in asked.tolist():
+            d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+            d[ids == q] = np.inf
+            want = ids[np.lexsort((ids, d))[:10]]
+            mine = [found[q][k] for k in range(1, 11)]
+            assert mine == sorted(mine) and all(s == pytest.approx(d[ids == i][0]) for s, i in mine)
+            hits += len(set(want.tolist()) & {i for _, i in mine})
+        assert hits >= 0.9 * 10 * len(asked)
+    assert hashing.neighbours(e.limit(0)).count() == 0
+
+
+def test_hashing_probes_every_code_within_a_radius():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((500, 32))
+    index = hashing.Index(np.arange(500), x, hashing.Codes(x))
+    for q in range(0, 500, 97):
+        code = index.whole[q]
+        apart = np.bitwise_count(index.whole ^ code).sum(1)
+        for level in range(4):
+            found = set(np.concatenate([index.within(index.parts[q], k) for k in range(level + 1)]).tolist())
+            assert set(np.flatnonzero(apart < 8 * (level + 1)).tolist()) <= found
