@@ -99,6 +99,16 @@ class WordEncoder:
             yield np.frombuffer(b"".join(map(self.chunks.__getitem__, words)), "<u2")
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python process, so that the tasks that it runs one after the other share what is remembered."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -115,7 +125,7 @@ def pieces(docs: DataFrame, capacity: int, path: str | None = None, end_id: int
     """(doc_id, piece, start, length, ids_crc32): the ids of each document, then ``end_id``, cut every ``capacity``."""
 
     def run(batches):
-        encoder = WordEncoder(path or tokenizer_path())
+        encoder = shared_encoder(path or tokenizer_path())
         for batch in batches:
             out: list[list[int]] = [[], [], [], [], []]
             for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.batch(batch["text"].to_pylist())):
