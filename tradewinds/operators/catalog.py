@@ -150,3 +150,29 @@ def parse(messages: DataFrame, id_column: str = "message_id", text_column: str =
         c("meta.inscribable").alias("is_inscribable"), c("price.amount").alias("price_amount"), c("price.currency").alias("price_currency"), c("price.basis").alias("price_basis"), c("price.quantity").alias("quantity"),
         c("price.unit_ecto").alias("unit_price"), c("segment").alias("raw_segment"),
     )
+
+
+def alias_repeats(aliases: DataFrame) -> DataFrame:
+    """(item_key, alias, kept, n): spellings of an alias that read alike, of each item the least one, and how many there are."""
+    rows = aliases.select("item_key", "alias", plain(c("alias")).alias("_a")).where("_a <> ''")
+    return rows.groupBy("item_key", c("_a").alias("alias")).agg(F.min("alias").alias("kept"), F.count("*").alias("n"))
+
+
+def expand_groups(requests: DataFrame, groups: DataFrame, items: DataFrame) -> DataFrame:
+    """(id, group, item_key, name): the items of each group (alias, group, item_key) that a request (id, alias) names.
+
+    A request in which the alias means several groups gets the items of all of them, each once; keys without an item go.
+    """
+    wanted = requests.select("id", plain(c("alias")).alias("_a"))
+    known = groups.select(plain(c("alias")).alias("_a"), "group", "item_key").distinct()
+    return wanted.join(known, "_a").join(items.select("item_key", "name"), "item_key").select("id", "group", "item_key", "name").distinct()
+
+
+def encyclopedia(items: DataFrame, offers: DataFrame, names: str = "raw_segment") -> DataFrame:
+    """Every catalog item with its offers, active offers, traders and last offer; unlisted items have zeros."""
+    found = offers.groupBy(F.lower(F.trim(names)).alias("_name")).agg(
+        F.count("*").alias("_n"), F.count_if(c("lifecycle_status") == "active").alias("_active"), F.count_distinct("player").alias("_traders"), F.max("posted_at").alias("last_posted")
+    )
+    rows = items.join(found, F.lower(F.trim("name")) == c("_name"), "left")
+    zero = lambda x: F.coalesce(c(x), F.lit(0))
+    return rows.select("item_key", "name", "category", zero("_n").alias("offers"), zero("_active").alias("active"), zero("_traders").alias("traders"), "last_posted")

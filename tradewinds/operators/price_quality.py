@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import CURRENCIES, UNSURE_BASES
@@ -37,10 +36,10 @@ def outliers(offers: DataFrame, least_prices: int = 5, least_traders: int = 3) -
     the median or 0.4 of it; groups with few prices or traders have none.
     """
     rows = semantic_status(offers).where("status = 'trusted'").withColumn("market", F.coalesce(exprs.blank_to_null(c("normalized_market_key")), c("item_key")))
-    group = W.partitionBy("market")
-    traders = rows.groupBy("market").agg(F.count_distinct(F.lower("player")).alias("_traders"))
-    rows = rows.withColumn("baseline", F.median("unit_price").over(group)).withColumn("_n", F.count("*").over(group)).withColumn("_dev", F.abs(c("unit_price") - c("baseline")))
-    rows = rows.withColumn("_mad", F.median("_dev").over(group)).join(traders, "market")
+    # medians are grouped and joined back: as windows they would put all of a large market's offers into one task
+    traders = rows.groupBy("market", F.lower("player").alias("_p")).agg(F.lit(1).alias("_1")).groupBy("market").agg(F.count("_p").alias("_traders"))
+    rows = rows.join(rows.groupBy("market").agg(F.median("unit_price").alias("baseline"), F.count("*").alias("_n")), "market").withColumn("_dev", F.abs(c("unit_price") - c("baseline")))
+    rows = rows.join(rows.groupBy("market").agg(F.median("_dev").alias("_mad")), "market").join(traders, "market")
     ratio, z = c("unit_price") / c("baseline"), c("_dev") / (1.4826 * c("_mad"))
     far = (ratio >= 4) | (ratio <= 0.25) | ((c("_mad") > 1e-6) & (z >= 8) & ((ratio >= 2.5) | (ratio <= 0.4)))
     enough = (c("_n") >= least_prices) & (c("_traders") >= least_traders) & (c("baseline") > 0)

@@ -42,10 +42,26 @@ def seed_reviews(offers: DataFrame, reviews: DataFrame) -> DataFrame:
     return offers.where(wanted).join(reviews.select("offer_id"), "offer_id", "left_anti").select("offer_id", F.lit("pending").alias("review_status"))
 
 
+def with_market(offers: DataFrame, *aggregates: Column) -> DataFrame:
+    """``offers`` with aggregates of their market, joined back so that a market of many offers isn't one task's window."""
+    rows = offers.withColumn("_market", exprs.market())
+    of = rows.groupBy(c("_market").alias("_of")).agg(*aggregates)
+    return rows.join(of, c("_market").eqNullSafe(c("_of"))).drop("_market", "_of")
+
+
+def sync_queue(queue: DataFrame, risks: DataFrame) -> DataFrame:
+    """The validation queue (offer_id, status, risk) after a sync: new risks everywhere, final statuses kept, others queued
+    or, if they aren't risky, skipped; rows of offers that are gone stay as they are."""
+    old = queue.select("offer_id", c("status").alias("_status"), c("risk").alias("_risk"))
+    final = c("_status").isin("validated", "disagreed", "review")
+    status = F.when(final | c("risky").isNull(), c("_status")).when(c("risky"), "queued").otherwise("skipped")
+    return risks.select("offer_id", "risk", "risky").join(old, "offer_id", "full").select("offer_id", status.alias("status"), F.coalesce("risk", "_risk").alias("risk"))
+
+
 def risk(offers: DataFrame) -> DataFrame:
-    """A risk score of 0 to 100 and its reasons; 20 and more is risky. The context is the market's mean price."""
-    market = W.partitionBy(exprs.market())
-    rows = offers.withColumn("siblings", F.count("*").over(W.partitionBy("message_id"))).withColumn("_n", F.count("unit_price").over(market)).withColumn("_m", F.median("unit_price").over(market))
+    """A risk score of 0 to 100 and its reasons; 20 and more is risky. The context is the market's median price."""
+    rows = offers.withColumn("siblings", F.count("*").over(W.partitionBy("message_id")))
+    rows = with_market(rows, F.count("unit_price").alias("_n"), F.median("unit_price").alias("_m"))
     ratio = F.when(c("_n") >= 3, c("unit_price") / c("_m"))
     checks = {
         "not_accepted": (F.coalesce(c("quality_status"), F.lit("review")) != "accepted", 45), "low_confidence": (c("confidence") < 0.90, 25), "medium_confidence": (c("confidence").between(0.90, 0.9499999), 10),
@@ -59,12 +75,10 @@ def risk(offers: DataFrame) -> DataFrame:
 
 def market_context(offers: DataFrame) -> DataFrame:
     """For every offer: how many other prices its market has, and their mean in whole ecto."""
-    market = W.partitionBy(exprs.market())
     cents = F.round(c("unit_price") * 100).cast("long")
-    n, total = F.count("unit_price").over(market), F.sum(cents).over(market)
-    own = c("unit_price").isNotNull()
-    others = n - own.cast("long")
-    return offers.select("offer_id", others.alias("others"), F.when(others > 0, F.round((total - F.coalesce(cents, F.lit(0))) / others / 100)).alias("mean_price"))
+    rows = with_market(offers, F.count("unit_price").alias("_n"), F.sum(cents).alias("_total"))
+    others = c("_n") - c("unit_price").isNotNull().cast("long")
+    return rows.select("offer_id", others.alias("others"), F.when(others > 0, F.round((c("_total") - F.coalesce(cents, F.lit(0))) / others / 100)).alias("mean_price"))
 
 
 def watchlist(watched: DataFrame, markets: DataFrame) -> DataFrame:

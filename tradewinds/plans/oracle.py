@@ -244,4 +244,13 @@ ORACLE_SQL: dict[str, str] = {
     "cached_names": "SELECT p_brand AS name FROM part UNION SELECT n_name FROM nation UNION SELECT r_name FROM region",
     "platform_trends": _q("SELECT strftime(posted_at, '%Y-%m') AS month, count(*) AS offers, count(DISTINCT player) AS traders, max(posted_at) AS last_posted FROM offers GROUP BY 1"),
     "page_text": "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<a href='))::INT AS links FROM pages",
+    "validation_queue": f"""SELECT offer_id, CASE WHEN message_id % 5 = 0 AND message_id % 3 = 0 THEN 'validated' WHEN risky THEN 'queued' ELSE 'skipped' END AS status, risk
+      FROM ({_RISK}) JOIN ({_q("SELECT offer_id, message_id FROM offers")}) USING (offer_id)""",
+    "alias_repeats": f"""SELECT p_type AS item_key, {_TIDY("alias")} AS alias, min(alias) AS kept, count(*) AS n
+      FROM (SELECT p_type, CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE replace(p_brand, '#', ' ') END AS alias FROM part) GROUP BY 1, 2""",
+    "group_items": f"""WITH {_ITEMS} SELECT DISTINCT s_suppkey AS id, p_brand AS "group", item_key, name
+      FROM supplier JOIN part ON {_TIDY("p_brand")} = 'brand ' || (s_suppkey % 60)::VARCHAR JOIN items ON p_name = name""",
+    "item_encyclopedia": f"""WITH {_OFFERS}, {_ITEMS}, f AS (SELECT lower(trim(raw_segment)) AS k, count(*) AS n, count(*) FILTER (lifecycle_status = 'active') AS a, count(DISTINCT player) AS t, max(posted_at) AS last_posted FROM offers GROUP BY 1)
+      SELECT item_key, name, category, coalesce(n, 0) AS offers, coalesce(a, 0) AS active, coalesce(t, 0) AS traders, last_posted FROM items LEFT JOIN f ON lower(trim(name)) = k""",
+    "sane_times": "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('second', ts)::TIMESTAMP END AS at FROM events",
 }

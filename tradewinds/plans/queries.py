@@ -273,3 +273,41 @@ def parser_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = o.select(c("offer_id").alias("message_id"), F.lit(0).alias("k"), "trade_type", c("raw_segment").alias("item"), F.concat(F.lit("q"), c("requirement").cast("string")).alias("requirement"), F.lit(None).cast("string").alias("attribute"))
     actual = catalog.parse(chat(spark, sf_dir), "offer_id").select("message_id", c("segment_no").alias("k"), "trade_type", "item", "requirement", "attribute")
     return review.best_matching(expected, actual).groupBy("score").agg(F.count("*").alias("n"))
+
+
+@query
+def validation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A queue that holds the offers of every fifth message, synced with all offers' risks."""
+    o = offers(spark, sf_dir)
+    queue = o.where("message_id % 5 = 0").select("offer_id", F.expr("CASE message_id % 3 WHEN 0 THEN 'validated' WHEN 1 THEN 'queued' ELSE 'failed' END").alias("status"), F.lit(0).alias("risk"))
+    return review.sync_queue(queue, review.risk(o))
+
+
+@query
+def alias_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as aliases of parts' types, in two spellings."""
+    p = table(spark, sf_dir, "part").select(c("p_type").alias("item_key"), F.expr("CASE WHEN p_size % 2 = 0 THEN upper(p_brand) ELSE replace(p_brand, '#', ' ') END").alias("alias"))
+    return catalog.alias_repeats(p)
+
+
+@query
+def group_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the brands that suppliers ask for."""
+    requests = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"), F.concat(F.lit("BRAND "), (c("s_suppkey") % 60).cast("string")).alias("alias"))
+    groups = _aliases(spark, sf_dir).select("alias", c("alias").alias("group"), "item_key")
+    return catalog.expand_groups(requests, groups, _items(spark, sf_dir))
+
+
+@query
+def item_encyclopedia(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.encyclopedia(_items(spark, sf_dir), offers(spark, sf_dir))
+
+
+@query
+def sane_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event times written as seconds, milliseconds, microseconds, ISO times or junk, read back."""
+    at = F.date_trunc("second", c("ts").cast("timestamp"))
+    n = F.unix_seconds(at)
+    raw = F.when(c("event_id") % 5 == 0, n.cast("string")).when(c("event_id") % 5 == 1, (n * 1000).cast("string")).when(c("event_id") % 5 == 2, (n * 1000000).cast("string"))
+    raw = raw.when(c("event_id") % 5 == 3, F.date_format(at, "yyyy-MM-dd HH:mm:ss")).otherwise(F.lit("58567-01-01"))
+    return table(spark, sf_dir, "events").select("event_id", payload.sane_timestamp(raw, F.lit("2024-02-01").cast("timestamp")).cast("timestamp_ntz").alias("at"))
