@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tradewinds.operators import lifecycle, price_quality, search
+from tradewinds.operators import lifecycle, price_quality, review, search
 from tradewinds.schemas import with_defaults
 from tradewinds.sources import payload
 from tradewinds.sources.market import AS_OF, events, offers, table
@@ -77,3 +77,16 @@ def test_stream_alerts_fire_on_edges(spark):
     values = [r.value for r in df.collect()]
     edges = sum(v <= 5 and (k == 0 or values[k - 1] > 5) for k, v in enumerate(values))
     assert 0 < spark.table("edges").count() and (spark.table("edges").count() == edges)
+
+
+def test_queue_keeps_final_statuses_and_orphans(spark):
+    queue = spark.createDataFrame([("a", "validated", 1), ("b", "queued", 1), ("gone", "queued", 7)], "offer_id string, status string, risk int")
+    risks = spark.createDataFrame([("a", 50, True), ("b", 5, False), ("c", 90, True)], "offer_id string, risk int, risky boolean")
+    got = sorted(map(tuple, review.sync_queue(queue, risks).collect()))
+    assert got == [("a", "validated", 50), ("b", "skipped", 5), ("c", "queued", 90), ("gone", "queued", 7)]
+
+
+def test_market_aggregates_keep_offers_without_market(spark):
+    rows = spark.createDataFrame([(1, "m", None, 2.0), (2, None, None, 4.0), (3, None, "", 8.0)], "k int, market_key string, normalized_market_key string, unit_price double")
+    got = review.with_market(rows, F.max("unit_price").alias("top")).select("k", "top")
+    assert sorted(map(tuple, got.collect())) == [(1, 2.0), (2, 8.0), (3, 8.0)]
