@@ -308,6 +308,31 @@ def test_spans_keep_the_first_passage_and_what_surrounds_it(spark):
     assert passage in got[1] and got[2].split() == "Before two. After two.".split() and got[3].startswith("A clean")
 
 
+@pytest.mark.parametrize("words, ends", [(50, 0), (60, 1), (60, 2), (100, 0)])
+def test_spans_find_every_repeated_run_of_fifty_words(spark, words, ends):
+    rng = np.random.default_rng(7)
+    text = lambda n: [f"w{k}" for k in rng.integers(0, 2000, n)]
+    docs, passages = [], []
+    for k in range(100):
+        passage = text(words)
+        for e in range(ends):
+            passage[(e + 1) * words // (ends + 1)] += "."
+        passages.append(passage)
+        for copy in range(2):
+            docs.append((2 * k + copy, " ".join([*text(int(rng.integers(0, 40))), *passage, *text(int(rng.integers(0, 40)))])))
+    got = {r.doc_id: r for r in spans.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seen = set()
+    for k, passage in enumerate(passages):
+        assert got[2 * k].text == docs[2 * k][1]
+        left = len(docs[2 * k + 1][1].split()) - len(got[2 * k + 1].text.split())
+        assert 25 <= left <= words
+    for i in sorted(got):
+        own = got[i].text.split()
+        runs = {tuple(own[k : k + 50]) for k in range(len(own) - 49)}
+        assert not runs & seen
+        seen |= runs
+
+
 def test_hashing_recall_order_and_edges(spark):
     e = table(spark, "embeddings", SF2)
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in e.collect()]

@@ -1,71 +1,139 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences; a long one is cut further at words that a hash of the word and the one before it picks, so
-that cuts depend on nothing but the words around them. From every sentence a span runs over the next ones until it has
-``least`` sentences and ``words`` words. Equal spans meet in one global join by hash; the first in order of id and position
-stays, and every sentence that another occurrence covers is removed from its text.
+A text is cut into sentences; one of ``WINDOW`` words or more is cut further, after the word whose pair with the word before
+it has the least hash in any window of so many words, so that cuts depend on nothing but the words around them and no segment
+is longer than a window. From every segment a span runs over the next ones until it has ``least`` segments and ``words``
+words. Equal spans meet in one global join by hash; the first in order of id and position stays, and every segment that
+another occurrence covers is removed from its text.
+
+Every passage of 50 words that occurs twice holds a common span, wherever it begins in a sentence: its first whole window
+gives both a cut, so a span begins at its tenth word or before; it ends 25 to 32 words later, by the 41st, and the cuts up to
+there are seen by no window that reaches out of the passage.
 """
 
 from __future__ import annotations
 
-import re
-import zlib
-
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Sentences and words that a span has at least.
+#: Segments and words that a span has at least.
 LEAST, WORDS = 3, 25
-#: One in so many pairs of words is a cut within a sentence.
-CUT = 16
-_WORD = re.compile(r"\S+")
-_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
+#: Words of a window; each within a sentence gives one cut. Three windows and ``WORDS`` are at most 50 words.
+WINDOW = 8
+#: Characters (as code points) that are worked on at once; a longer text is taken alone.
+CHUNK = 1 << 20
+#: For each code point, the last for all beyond: 1 for white space, 2 for what ends a sentence, 4 for what may follow that.
+_KIND = np.zeros(1 << 16, np.uint8)
+_KIND[[k for k in range(1 << 16) if chr(k).isspace()]] = 1
+_KIND[[ord(x) for x in ".!?…。！？"]] = 2
+_KIND[[ord(x) for x in "\"'”’»)]"]] = 4
+_BASE = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse, modulo 2 ** 64."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        _POWERS[:] = [np.cumprod(np.append(np.ones(1, np.uint64), np.full(size - 1, x, np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hashes(symbols: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of symbols, from ``first`` to before ``end``; the same wherever the run lies."""
+    power, inverse = _powers(len(symbols) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * power[: len(symbols)], dtype=np.uint64)])
+    return _mix((total[end] - total[first]) * inverse[first])
+
 
+def _lower(text: str) -> str:
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x.lower()) > 1 else x.lower() for x in text)
 
-def sentences(text: str) -> tuple[list[tuple[int, int]], list[int], bytes, list[int]]:
-    """(character ranges, words of each, words in lower case joined by spaces, where in these each sentence begins).
+
+def _segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the texts one after the other: (hash of each word, first word of each segment and the number of words,
+    where in its text each segment's first word begins, first segment of each text and the number of segments, where each text begins).
+    """
+    sizes = np.array([len(t) for t in texts], np.int64) + 1
+    begin = np.cumsum(sizes) - sizes
+    code = np.frombuffer("\n".join([*map(_lower, texts), ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _KIND[np.minimum(code, len(_KIND) - 1)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], kind == 1]).astype(np.int8)))
+    start, end = edges[::2], edges[1::2]
+    n = len(start)
+    words = _hashes(code.astype(np.uint64) + np.uint64(1), start, end)
+    at = end - 1
+    for _ in range(3):
+        at = at - ((kind[at] == 4) & (at > start))
+    cuts = kind[at] == 2
+    owner = np.searchsorted(begin, start, "right") - 1
+    head = np.diff(owner, prepend=-1) != 0
+    cuts |= np.append(head, True)[1:]
+    # the last place of the least hash in each window that ends no sentence before its last word
+    pairs = _mix(words + np.where(head, np.uint64(0), np.roll(words, 1)) * np.uint64(3))
+    if n >= WINDOW:
+        views = np.lib.stride_tricks.sliding_window_view(pairs[::-1], WINDOW)[::-1]
+        sentence = np.cumsum(cuts) - cuts
+        whole = np.flatnonzero(sentence[WINDOW - 1 :] == sentence[: n - WINDOW + 1])
+        for k in range(0, len(whole), 1 << 16):
+            part = whole[k : k + (1 << 16)]
+            cuts[part + WINDOW - 1 - views[part].argmin(1)] = True
+    firsts = np.concatenate([np.zeros(min(n, 1), np.int64), np.flatnonzero(cuts)[:-1] + 1])
+    of = owner[firsts]
+    return words, np.append(firsts, n), start[firsts] - begin[of], np.searchsorted(of, np.arange(len(texts) + 1)), begin
+
+
+def sentences(text: str) -> tuple[list[tuple[int, int]], list[int], np.ndarray, np.ndarray]:
+    """(character ranges, words of each, hashes of the words, first word of each).
 
     Ranges follow each other without gaps and cover the text.
     """
-    starts, counts, offsets = [], [], []
-    joined, size, n, before = [], 0, 0, b""
-    for found in _WORD.finditer(text):
-        raw = found.group()
-        word = raw.lower().encode("utf-8", "surrogatepass")
-        if n == 0:
-            starts.append(found.start())
-            offsets.append(size)
-            counts.append(0)
-        counts[-1] += 1
-        n += 1
-        joined.append(word)
-        size += len(word) + 1
-        if _END.search(raw[-4:]) or zlib.crc32(before + b" " + word) % CUT == 0:
-            n = 0
-        before = word
-    ranges = [(a, b) for a, b in zip([0, *starts[1:]], [*starts[1:], len(text)])] if starts else []
-    return ranges, counts, b" ".join(joined), offsets
+    words, firsts, starts, _, _ = _segments([text])
+    starts = starts.tolist()
+    ranges = list(zip([0, *starts[1:]], [*starts[1:], len(text)])) if starts else []
+    return ranges, np.diff(firsts).tolist(), words, firsts[:-1]
+
+
+def _spans(texts: list[str], least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first segment, segments, hash) of every span; a text with fewer segments but enough words is one span."""
+    hashes, firsts, _, of, _ = _segments(texts)
+    k = np.arange(len(firsts) - 1)
+    text = np.searchsorted(of, k, "right") - 1
+    last = of[text + 1]
+    end = np.maximum(np.searchsorted(firsts, firsts[:-1] + words), k + least)
+    short = (end > last) & (k == of[text]) & (firsts[last] - firsts[:-1] >= words)
+    end = np.where(short, last, end)
+    k = np.flatnonzero(end <= last)
+    end, text = end[k], text[k]
+    return text, k - of[text], end - k, _hashes(hashes, firsts[k], firsts[end]).view(np.int64)
 
 
 def spans(text: str, least: int = LEAST, words: int = WORDS) -> list[tuple[int, int, int]]:
-    """(first sentence, sentences, hash) of every span; a text with fewer sentences but enough words is one span."""
-    ranges, counts, joined, offsets = sentences(text)
-    out, end, total = [], 0, 0
-    offsets = [*offsets, len(joined) + 1]
-    for start in range(len(counts)):
-        while end < len(counts) and (end - start < least or total < words):
-            total += counts[end]
-            end += 1
-        if total < words or (end - start < least and start):
-            break
-        hashed = xxhash.xxh64_intdigest(joined[offsets[start] : offsets[end] - 1], 42)
-        out.append((start, end - start, hashed - (1 << 64) if hashed >> 63 else hashed))
-        total -= counts[start]
-    return out
+    """(first segment, segments, hash) of every span of one text."""
+    return list(zip(*(x.tolist() for x in _spans([text], least, words)[1:])))
+
+
+def _chunks(texts: list[str]):
+    """(from, to) of stretches of texts of about ``CHUNK`` characters."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > CHUNK:
+            yield first, k
+            first, size = k, 0
+        size += len(t) + 1
+    if texts:
+        yield first, len(texts)
 
 
 def cut(text: str, marks: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -78,26 +146,20 @@ def cut(text: str, marks: list[tuple[int, int]]) -> tuple[str, int, int]:
 
 
 def find(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
-    """(doc_id, uid, pos, n, h): every span; ``uid`` tells rows with equal ids but different texts apart."""
+    """(doc_id, uid, at, h): every span; ``uid`` tells rows with equal ids but different texts apart.
+
+    ``at`` is the first segment, times 2 ** 32, and the number of segments.
+    """
 
     def run(batches):
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for doc, uid, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "uid", "text"))):
-                for pos, n, h in spans(text or "", least, words):
-                    for column, v in zip(out, (doc, uid, pos, n, h)):
-                        column.append(v)
-                if len(out[0]) >= 50_000:
-                    yield _batch(out)
-                    out = [[], [], [], [], []]
-            yield _batch(out)
-
-    return docs.mapInArrow(run, "doc_id long, uid long, pos int, n int, h long")
-
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for a, b in _chunks(texts):
+                text, pos, n, h = _spans(texts[a:b], least, words)
+                row = pa.array(text + a)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), batch["uid"].take(row), pa.array(pos << 32 | n), pa.array(h)], names=["doc_id", "uid", "at", "h"])
 
-def _batch(out: list[list[int]]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "uid", "pos", "n", "h"])
+    return docs.mapInArrow(run, "doc_id long, uid long, at long, h long")
 
 
 def dedup(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
@@ -109,19 +171,22 @@ def dedup(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("uid"))
     found = materialize(find(rows, least, words), "spans")
-    place = F.struct("doc_id", "uid", "pos")
+    # only the hashes are shuffled to tell which occur again, and then once all spans to find those
+    twice = found.groupBy("h").count().where("count > 1").select("h")
+    found = materialize(found.join(twice, "h"), "spans-again")
+    place = F.struct("doc_id", "uid", "at")
     first = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") != F.col("last")).select("h", "first")
     again = found.join(first, "h").where(~place.eqNullSafe(F.col("first")))
-    marks = again.groupBy("uid").agg(F.collect_set(F.struct("pos", "n")).alias("marks"))
+    marks = again.groupBy("uid").agg(F.collect_set("at").alias("marks"))
 
     def run(batches):
         for batch in batches:
-            texts, totals, gone = [], [], []
-            for text, marked in zip(batch["text"].to_pylist(), batch["marks"].to_pylist()):
-                new, n, k = (text, len(sentences(text or "")[1]), 0) if not marked else cut(text, [(m["pos"], m["n"]) for m in marked])
-                texts.append(new)
-                totals.append(n)
-                gone.append(k)
+            texts, marks, totals, gone = [t or "" for t in batch["text"].to_pylist()], batch["marks"].to_pylist(), [], []
+            for a, b in _chunks(texts):
+                totals += np.diff(_segments(texts[a:b])[3]).tolist()
+            for k, (old, marked) in enumerate(zip(batch["text"].to_pylist(), marks)):
+                texts[k], _, n = (old, 0, 0) if not marked else cut(old, [(m >> 32, m & 0xFFFFFFFF) for m in marked])
+                gone.append(n)
             columns = [batch["doc_id"], pa.array(texts, pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_sentences", "n_removed"])
 
