@@ -216,6 +216,23 @@ def test_html(spark):
     assert html_text.extract_pages(df.limit(0)).count() == 0
 
 
+LONG = "A long paragraph, with a comma here and there, that tells of the matter at hand. " * 4
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<article class="post hentry category-social comments-open"><h1>Head</h1><p>{}</p></article>', '<div class="content has-sidebar"><h1>Head</h1><p>{}</p></div>', '<div id="page" class="no-sidebar"><h1>Head</h1><p>{}</p></div>',
+        '<article><section id="related-work"><h1>Head</h1><p>{}</p></section></article>', '<article><section class="discussion"><h1 id="search-methods">Head</h1><p>{}</p></section></article>',
+        '<form id="aspnet"><div class="widget"><article class="widget"><h1>Head</h1><p>{}</p></article></div></form>', '<div class="modal"><main><h1>Head</h1><p>{}</p></main></div>',
+    ],
+)
+def test_html_keeps_articles_with_ambiguous_names(page):
+    rest = '<div class="comments"><article><p>Nice post.</p></article></div><div class="ad big">Buy now.</div><div id="sidebar">More</div>' if "<article" in page and "<form" not in page else '<div class="ad big">Buy now.</div>'
+    assert html_text.extract(f"<html><body>{page.format(LONG)}{rest}</body></html>") == f"Head\n{LONG.strip()}"
+    assert html_text.extract("<div>" * 3000 + LONG) == LONG.strip()
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

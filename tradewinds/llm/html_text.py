@@ -23,7 +23,6 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+|[^>]*)>", re.S
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，]")
 
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
@@ -40,15 +39,16 @@ ENDS_P = frozenset(
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements whose text is never the article's.
 OUTSIDE = frozenset("head nav footer aside form button select dialog menu svg math canvas object audio video applet fieldset".split())
-#: Words of a class or id that mark such elements.
-OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus feedback "
-    "footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related "
-    "replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar tracking widget widgets".split()
+#: Whole classes or ids that mark such elements. Words that articles use too (related, search, discussion, social, notice and
+#: the like) are not among them: the scores of the tag paths decide there.
+OUTSIDE_TOKENS = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment-form comment-list comments comments-area commentlist cookie-banner cookie-consent "
+    "cookie-notice disqus_thread footer login masthead menu modal nav navbar navigation newsletter overlay pager pagination popup promo promoted recommended related-articles related-posts "
+    "respond search-form share share-buttons sharing sidebar side-bar signup site-footer site-header skip-link social-links social-share sponsor sponsored subscribe subscription teaser toolbar tracking widget widgets".split()
 )
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Only outside an article: within one they hold its headline.
-HEADER_WORDS = frozenset(("header", "topbar", "top"))
+HEADER_TOKENS = frozenset(("header", "page-header", "topbar", "top-bar"))
 #: Paths whose score reaches this share of the page's spread (standard deviation) are content.
 SPREAD = 0.5
 #: The article is the deepest element with this share of the content's text.
@@ -56,48 +56,78 @@ SHARE = 0.8
 
 
 class _Element:
-    __slots__ = ("name", "outside", "parent", "path", "weight", "article")
+    __slots__ = ("name", "mark", "parent", "path", "weight", "article", "_outside")
 
-    def __init__(self, name: str, parent: "_Element | None", outside: bool):
-        self.name, self.parent, self.outside, self.weight = name, parent, outside, 0
+    def __init__(self, name: str, parent: "_Element | None", mark: int):
+        self.name, self.parent, self.mark, self.weight, self._outside = name, parent, mark, 0, None
         self.path = "" if parent is None else parent.path if name in INLINE else f"{parent.path}/{name}"
         self.article = name in ("article", "main") or (parent is not None and parent.article)
 
+    def outside(self) -> bool:
+        """Whether it or what holds it is set aside; asked when the whole page is read."""
+        x, line = self, []
+        while x is not None and x._outside is None:
+            line.append(x)
+            x = x.parent
+        out = x is not None and x._outside
+        for y in reversed(line):
+            y._outside = out = out or y.mark > 0
+        return self._outside
+
 
-def _marked(name: str, attrs: str, in_article: bool) -> bool:
-    if name in OUTSIDE or (name == "header" and not in_article):
-        return True
+def _marked(name: str, attrs: str, in_article: bool) -> int:
+    """2 for what is set aside, 1 if only unless it holds the page's article, else 0."""
+    if name in OUTSIDE and name != "form":
+        return 2
+    soft = int(name == "form" or (name == "header" and not in_article))
     if not attrs or name in ("html", "body"):
-        return False
+        return soft
+    named = name not in ("article", "main")
     for key, *values in _ATTR.findall(attrs):
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if words & OUTSIDE_WORDS or ("side" in words and "bar" in words) or (words & HEADER_WORDS and not in_article):
-                return True
+            tokens = set(value.lower().split())
+            if named and (tokens & OUTSIDE_TOKENS or (tokens & HEADER_TOKENS and not in_article)):
+                soft = 1
         elif key == "role":
-            if value.lower() in OUTSIDE_ROLES:
-                return True
+            if named and value.lower() in OUTSIDE_ROLES:
+                soft = 1
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return True
+            return 2
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return 2
+    return soft
+
+
+def _release(articles: list[_Element]) -> None:
+    """Lift the soft marks above every main element and, where no main or article is free of marks, above every article."""
+
+    def above(x: _Element):
+        while x is not None:
+            yield x
+            x = x.parent
+
+    for x in articles:
+        if x.name == "main":
+            for y in above(x):
+                y.mark &= 2
+    if not any(all(y.mark == 0 for y in above(x)) for x in articles):
+        for x in articles:
+            for y in above(x):
+                y.mark &= 2
 
 
 def blocks(page: str) -> list[tuple[_Element, str]]:
     """The page's blocks of text in order, each with the element that holds it; what is set aside is left out."""
-    root = _Element("", None, False)
-    here, out, text, at, end, lower = root, [], [], 0, len(page), None
+    root = _Element("", None, 0)
+    here, found_in, articles, text, at, end, lower = root, [], [], [], 0, len(page), None
 
     def flush() -> None:
         if text:
-            joined = " ".join(html.unescape("".join(text)).split())
-            if joined:
-                holder = here
-                while holder.name in INLINE:
-                    holder = holder.parent
-                out.append((holder, joined))
+            holder = here
+            while holder.name in INLINE:
+                holder = holder.parent
+            found_in.append((holder, text.copy()))
             text.clear()
 
     def close(name: str, boundary: frozenset | set = frozenset()) -> None:
@@ -111,11 +141,10 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
     while at < end:
         found = _TOKEN.search(page, at)
         if found is None:
-            if not here.outside:
-                text.append(page[at:])
+            text.append((here, page[at:]))
             break
-        if found.start() > at and not here.outside:
-            text.append(page[at : found.start()])
+        if found.start() > at and here.mark < 2:
+            text.append((here, page[at : found.start()]))
         at = found.end()
         name = found["name"]
         if name is None:
@@ -124,13 +153,12 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
         if found["close"]:
             if name not in INLINE:
                 flush()
-            elif name == "br" and not here.outside:
-                text.append(" ")
+            elif name == "br":
+                text.append((here, " "))
             close(name, {"article", "body", "table", "td"} - {name} if name in INLINE or name == "p" else frozenset())
             continue
         if name == "br":
-            if not here.outside:
-                text.append(" ")
+            text.append((here, " "))
             continue
         if name not in INLINE:
             flush()
@@ -149,8 +177,16 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
                 close(other, ENDS[name][1])
         if name in VOID:
             continue
-        here = _Element(name, here, here.outside or _marked(name, found["attrs"], here.article))
+        here = _Element(name, here, _marked(name, found["attrs"], here.article))
+        if name in ("article", "main"):
+            articles.append(here)
     flush()
+    _release(articles)
+    out = []
+    for holder, pieces in found_in:
+        joined = " ".join(html.unescape("".join(t for x, t in pieces if not x.outside())).split())
+        if joined:
+            out.append((holder, joined))
     return out
 
 
