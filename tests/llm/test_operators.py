@@ -233,6 +233,14 @@ def test_html_keeps_articles_with_ambiguous_names(page):
     assert html_text.extract("<div>" * 3000 + LONG) == LONG.strip()
 
 
+@pytest.mark.parametrize("tag, start", [("article", "<h1>Head</h1><p>Lead.</p>"), ("main", "<h1>Head</h1><p>Lead.</p>"), ("div", "<section><h2>Head</h2><p>Lead. {}</p></section>")])
+def test_html_keeps_all_containers_of_an_article(tag, start):
+    page = f'<body><div class="top"><a href=x>Home</a></div><{tag}>{start.format(LONG)}<div class="body">{"<p>{0}</p>" * 8}</div><section><p>The end. {{0}}</p></section></{tag}></body>'.format(LONG)
+    got = html_text.extract(page).split("\n")
+    lines = [k for k in got if k != "Home"]
+    assert lines[0] == "Head" and lines[1].startswith("Lead.") and lines[2:10] == [LONG.strip()] * 8 and lines[10].startswith("The end.") and len(lines) == 11
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -3,8 +3,8 @@
 A page is read into blocks of text, each with the path of block tags above it. Blocks within what is never article text
 (scripts, menus, forms, adverts, comments and the like) are set aside. For each path the mean text length and the mean
 punctuation of its blocks are taken, fused by their geometric mean, smoothed along the page, and paths above a share of the
-page's spread are content. The element that holds most of the content is the article; all its blocks are returned, so short
-paragraphs and headings stay.
+page's spread are content. The article or main element that holds most of the content, else the lowest element that holds all
+of it, is the article; all its blocks are returned, so short paragraphs and headings stay.
 """
 
 from __future__ import annotations
@@ -51,8 +51,11 @@ OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search fo
 HEADER_TOKENS = frozenset(("header", "page-header", "topbar", "top-bar"))
 #: Paths whose score reaches this share of the page's spread (standard deviation) are content.
 SPREAD = 0.5
-#: The article is the deepest element with this share of the content's text.
+#: The article or main element above the deepest one with this share of the content's text is the article; without such an
+#: element it is the deepest one with all of the content.
 SHARE = 0.8
+#: What is never all of an article.
+WITHIN = frozenset("p li ul ol h1 h2 h3 h4 h5 h6 blockquote pre td tr tbody".split())
 
 
 class _Element:
@@ -224,8 +227,13 @@ def extract(page: str | None) -> str:
             x = x.parent
     depth = lambda x: x.path.count("/")
     article = max((x for x in elements if x.weight >= SHARE * total), key=depth)
-    while article.name in ("p", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "tr", "tbody") and article.parent is not None:
-        article = article.parent  # one long paragraph isn't all of an article
+    named = article
+    while named is not None and named.name not in ("article", "main"):
+        named = named.parent
+    # one long part isn't all of an article
+    article = named or max((x for x in elements if x.weight == total), key=depth)
+    while article.name in WITHIN and article.parent is not None:
+        article = article.parent
 
     def inside(x: _Element) -> bool:
         while x is not None:
