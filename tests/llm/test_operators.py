@@ -182,6 +182,18 @@ def test_simhash_small_blocks_find_every_link(spark):
     assert components(first.values(), edges) == want
 
 
+def test_keep_one_keeps_rows_without_ids_and_texts_of_equal_ids(spark, odd):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [(None, text(1), "b"), (None, text(1), "a"), (None, text(2), "a"), (7, text(3), "a"), (7, text(4), "a"), (8, text(4), "a"), (None, text(3), "a"), (9, None, "a"), (9, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((r.doc_id or 0, r.text or "") for r in simhash.keep_one(df).collect())
+    assert got == sorted([(0, text(1)), (0, text(2)), (7, text(3)), (7, text(4)), (9, "")])
+    assert sorted(map(str, simhash.keep_one(df).collect())) == sorted(map(str, simhash.keep_one(df.repartition(5)).collect()))
+    # "a b c d e f", null id, no words (null, empty, blank), the long text, and the one with a NUL
+    assert sorted((r.doc_id is None, r.doc_id) for r in simhash.keep_one(odd).where("doc_id IS NOT NULL").collect()) == [(False, k) for k in (1, 2, 4, 7)]
+    assert simhash.keep_one(odd).where("doc_id IS NULL").count() == 1
+
+
 def test_quality_on_held_out_rows(spark):
     docs, lab = table(spark, "documents", SF2), table(spark, "labels", SF2)
     got = {r.doc_id: r for r in quality.score(docs, lab).collect()}

@@ -44,15 +44,15 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long) of the whole texts."""
+def fingerprints(docs: DataFrame, width: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) of the whole texts, then the columns ``keep`` (longs)."""
 
     def run(batches):
         for batch in batches:
             found = np.array([fingerprint(t.as_py(), width) for t in batch["text"]], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found), *[batch[c] for c in keep]], names=["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
 def _blocks(ways: dict[tuple[int, int], int], radius: int) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
@@ -135,7 +135,17 @@ def dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` without those that are not their group's least id; of rows with equal ids one stays."""
-    found = dedup(docs, width, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One row of each group of near copies: that with the least id (nulls last), among equal ids in the order of a hash of the text.
+
+    Rows are grouped by their own fingerprints, whatever their ids: rows without ids stay like any other, and of rows with
+    equal ids all whose texts are no near copies. Where the other columns of equal ids and texts differ, a hash of all decides.
+    """
+    # a null adds nothing to a hash, so which values are null is hashed too
+    values = [f(F.col(f"`{c}`")) for c in docs.columns for f in (lambda x: x, F.isnull)]
+    hashed = docs.withColumns({"_text": F.xxhash64("text", F.isnull("text")), "_row": F.xxhash64(*values)})
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_text", "_row")
+    classes = materialize(fingerprints(hashed, width, ("_text", "_row")).groupBy("fp").agg(F.min(order).alias("least")), "simhash-least")
+    roots = components(links(classes.select("fp", F.col("fp").alias("id")), radius))
+    groups = classes.join(roots, F.col("fp") == F.col("id"), "left").groupBy(F.coalesce("component_id", "fp")).agg(F.min("least").alias("least"))
+    kept = groups.select("least._text", "least._row")
+    return hashed.join(kept, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"]).select(*docs.columns)
