@@ -143,6 +143,19 @@ def test_pii_finds_all_kinds_and_leaves_the_rest(spark):
     assert len(set(new)) == len(new) == len(dates.split()) and all(re.fullmatch(r"(19|20)\d\d-\d\d-\d\d", d) for d in new)
 
 
+def test_pii_finds_cards_after_numbers_and_unseparated_phones(spark):
+    one = _mask(spark, "4111 1111 1111 1111").text
+    cases = {f"{a} 4111 1111 1111 1111{b}": f"{a} {one}{b}" for a in ("item 2", "2024", "exp 12", "1 2 3", "9" * 30) for b in ("", ", 5")}
+    cases |= {"exp 12 4111111111111111": "exp 12 " + one.replace(" ", ""), "4111 1111 1111 1111 4111111111111111": f"{one} {one.replace(' ', '')}"}
+    phones = ["+4915112345678", "+44 7911 123456", "+49 30 12345678", "+1 5", "+123456"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*cases, *phones, "4111 1111 1111 1111 1980-02-29"])], "doc_id long, text string")
+    got = [r for r in sorted(pii.find(df).collect())]
+    assert [r.text for r in got[: len(cases)]] == list(cases.values()) and [r.n_found for r in got[: len(cases)]] == [1] * (len(cases) - 1) + [2]
+    for r, t in zip(got[len(cases) :], phones):
+        assert (r.text != t) == (r.n_found == 1) == (len(re.sub(r"\D", "", t)) >= 8) and re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", t) and r.text[:3] == t[:3]
+    assert got[-1].n_found == 2 and got[-1].text.startswith(one)
+
+
 def test_pii_mask_keeps_columns_and_counts(spark):
     df = spark.createDataFrame([(1, "a@b.example.com!", "en", "s", 16)], DOCS)
     r = pii.mask(df).first()

@@ -20,11 +20,16 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.
 SECRET = r"(?i)(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,128}[\"'](?-i)"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<=[ .-])\d{3}[ .-]|(?<![\p{L}\p{N}.-])\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
-WORLD_PHONE = r"(?<![\p{L}\p{N}+])\+[1-9]\d{0,2}(?:[ .-]\(?\d{1,5}\)?){2,5}(?![\p{L}\p{N}])"
-CARD = r"(?<![\p{L}\p{N}])(?<!\d[.-])\d(?:[ -]?\d){12,18}(?![\p{L}\p{N}])(?![.-]\d)"
+WORLD_PHONE = r"(?<![\p{L}\p{N}+])\+[1-9](?:\d{7,14}|\d{0,2}(?:[ .-]\(?\d{1,10}\)?){1,5})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}])(?!\.\d)"
 DATE = r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\p{L}\p{N}])(?![./-]\d)"
+#: Groups of digits in which cards are looked for, up to where another kind of number begins; a card has 13 to 19 digits. A
+#: run is ended after 200 digits, as Java's matcher recurs for each.
+CARD = (
+    r"(?<![\p{L}\p{N}])(?<!\d[.-])\d(?:\d|[ -](?!(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}|\d{3}-\d{2}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{1,3}(?:\.\d{1,3}){3})(?![\p{L}\p{N}]))\d){12,200}"
+    r"(?![\p{L}\p{N}])(?![.-]\d)"
+)
 #: In this order: at one place the first that fits is taken.
 KINDS = {"email": EMAIL, "secret": SECRET, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "iban": IBAN, "world_phone": WORLD_PHONE}
 _NUMBERS = [v for k, v in KINDS.items() if k not in ("email", "secret", "iban")]
@@ -102,12 +107,39 @@ def _digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 
 
+def _cards(run: Column) -> Column:
+    """The cards in a run of groups of digits, as structs (from, n: which digits of the run; d: these), none overlapping.
+
+    All stretches of whole groups with 13 to 19 digits are tried; the longest that meet the check go first, among these
+    those that begin like a card (3 to 6), then the first.
+    """
+
+    def tried(d: Column, ends: Column) -> Column:
+        starts = F.concat(F.array(F.lit(0)), ends)
+        some = lambda a: F.transform(
+            F.filter(ends, lambda b: (b - a).between(13, 19)), lambda b: F.struct((a - b).alias("less"), (~F.substring(d, a + 1, F.lit(1)).between("3", "6")).alias("other"), a.alias("from"), F.substring(d, a + 1, b - a).alias("d"))
+        )
+        return F.array_sort(F.filter(F.flatten(F.transform(starts, some)), lambda x: (luhn(x["d"]) == 0) & x["d"].rlike("[1-9]")))
+
+    def take(s: Column, x: Column) -> Column:
+        free = ~F.exists(s, lambda y: (x["from"] < y["from"] - y["less"]) & (y["from"] < x["from"] - x["less"]))
+        return F.when(free, F.array_append(s, x)).otherwise(s)
+
+    sizes = F.transform(F.regexp_extract_all(run, F.lit(r"(\d+)"), 1), F.length)
+    none = F.array().cast("array<struct<less:int,other:boolean,from:int,d:string>>")
+    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda s, n: F.array_append(s, F.coalesce(F.element_at(s, F.when(F.size(s) > 0, -1)), F.lit(0)) + n))
+    return _let(ends, lambda e: F.aggregate(tried(_digits(run), e), none, take))
+
+
 def _card(m: Column, key: str) -> Column:
     def new(d: Column) -> Column:
         body = permute_digits(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
         return F.concat(body, ((10 - luhn(F.concat(body, F.lit("0")))) % 10).cast("string"))
 
-    return _let(_digits(m), lambda d: F.when((luhn(d) == 0) & d.rlike("[1-9]"), refill(m, new(d))))
+    def all_new(cards: Column) -> Column:
+        return F.aggregate(cards, _digits(m), lambda s, x: F.overlay(s, new(x["d"]), x["from"] + 1))
+
+    return _let(_cards(m), lambda cards: F.when(F.size(cards) > 0, refill(m, all_new(cards))))
 
 
 def _let(value: Column, f) -> Column:
@@ -153,7 +185,8 @@ def _world_phone(m: Column, key: str) -> Column:
     def new(d: Column, code: Column) -> Column:
         return F.concat(F.substring(d, F.lit(1), code), permute_digits(F.substring(d, code + 1, F.length(d)), key, "phone"))
 
-    code = F.length(F.regexp_extract(m, r"^\+(\d+)", 1))
+    # without separators the code's length isn't known; one digit for 1 and 7, else two
+    code = F.length(F.regexp_extract(m, r"^\+(\d{1,3}(?!\d)|[17]|\d{2})", 1))
     return _let(_digits(m), lambda d: F.when(F.length(d).between(8, 15), refill(m, new(d, code))))
 
 
@@ -246,11 +279,11 @@ def _after_set(pattern: str, at: int) -> int:
 def pseudonymise(text: Column, key: str = KEY) -> Column:
     """(text, found): the text with pseudonyms, and how many values were replaced. Null stays null."""
     def made(values: Column) -> Column:
-        return F.transform(values, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p")))
+        return F.transform(values, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p"), F.when(m.rlike(f"^(?:{_bare(CARD)})$"), F.greatest(F.size(_cards(m)), F.lit(1))).otherwise(1).alias("n")))
 
     def join(x: Column) -> Column:
         whole = F.zip_with(F.split(text, ANY), x, lambda g, v: F.concat(g, F.coalesce(v["p"], v["m"], F.lit(""))))
-        return F.struct(F.array_join(whole, "").alias("text"), F.size(F.filter(x, lambda v: v["p"].isNotNull())).cast("long").alias("found"))
+        return F.struct(F.array_join(whole, "").alias("text"), F.aggregate(x, F.lit(0), lambda s, v: s + F.when(v["p"].isNotNull(), v["n"]).otherwise(0)).cast("long").alias("found"))
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("found"))
     changed = _let(F.regexp_extract_all(text, F.lit(ANY), 0), lambda values: F.when(F.size(values) > 0, _let(made(values), join)).otherwise(same))
