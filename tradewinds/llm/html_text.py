@@ -1,18 +1,20 @@
 """HTML extraction by tag-path ratios.
 
-A page is read into blocks of text, each with the path of block tags above it. Blocks within what is never article text
-(scripts, menus, forms, adverts, comments and the like) are set aside. For each path the mean text length and the mean
-punctuation of its blocks are taken, fused by their geometric mean, smoothed along the page, and paths above a share of the
-page's spread are content. The article or main element that holds most of the content, else the lowest element that holds all
-of it, is the article; all its blocks are returned, so short paragraphs and headings stay.
+A page is read into blocks of text. Each belongs to a root-to-leaf path of block tags; tags that hold parts of a page carry
+their classes too, so that parts of different make have different paths. Per path, text length outside links and
+punctuation are summed and divided by its blocks (the ratios), fused by their geometric mean and smoothed along the page.
+A path then takes the greater of its own score and that of the part that it lies in, so that headings and short paragraphs
+follow the text around them. Paths whose score reaches a share of the page's spread are content, and their blocks the result.
+
+Names of classes, ids, roles and tags are a prior: they multiply a path's score. A part that holds most of the page's text is
+not marked down by its name. Only what no reader sees as text (scripts, styles, hidden elements) and page furniture by its
+own tag (menus, asides, footers, controls) is left out beforehand. Time and memory are linear in the page.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"<>]*\"|'[^'<>]*')*+|[^>]*)>", re.S
 )
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，]")
+_WORDS = re.compile(r"[a-z]+")
 
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,135 +40,129 @@ ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
 #: A start tag of the first kind ends an open one of the second, up to the named boundary.
-ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements whose text is never the article's.
-OUTSIDE = frozenset("head nav footer aside form button select dialog menu svg math canvas object audio video applet fieldset".split())
-#: Whole classes or ids that mark such elements. Words that articles use too (related, search, discussion, social, notice and
-#: the like) are not among them: the scores of the tag paths decide there.
-OUTSIDE_TOKENS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment-form comment-list comments comments-area commentlist cookie-banner cookie-consent "
-    "cookie-notice disqus_thread footer login masthead menu modal nav navbar navigation newsletter overlay pager pagination popup promo promoted recommended related-articles related-posts "
-    "respond search-form share share-buttons sharing sidebar side-bar signup site-footer site-header skip-link social-links social-share sponsor sponsored subscribe subscription teaser toolbar tracking widget widgets".split()
+ENDS = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
+_IN_P = ("article", "body", "table", "td", "button")
+_IN_LINE = ("article", "body", "table", "td")
+#: Tags whose text is never the article's.
+OUTSIDE = frozenset("head nav footer aside button select dialog menu svg math canvas object audio video applet".split())
+#: Tags that hold parts of a page; a path carries their classes.
+PARTS = frozenset("body div section article main header form fieldset td center".split())
+#: Tags whose part is an article by its own word.
+ARTICLES = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Whole classes or ids, and roles, that speak against a part.
+FURNITURE = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs cookie-banner cookie-consent cookie-notice footer login masthead menu modal nav navbar "
+    "navigation newsletter overlay pager pagination popup promo promoted recommended related-articles related-posts search-form share share-buttons sharing sidebar side-bar signup site-footer "
+    "site-header skip-link social-links social-share sponsor sponsored subscribe subscription teaser toolbar tracking widget widgets".split()
 )
-OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 #: Only outside an article: within one they hold its headline.
-HEADER_TOKENS = frozenset(("header", "page-header", "topbar", "top-bar"))
-#: Paths whose score reaches this share of the page's spread (standard deviation) are content.
-SPREAD = 0.5
-#: The article or main element above the deepest one with this share of the content's text is the article; without such an
-#: element it is the deepest one with all of the content.
-SHARE = 0.8
-#: What is never all of an article.
-WITHIN = frozenset("p li ul ol h1 h2 h3 h4 h5 h6 blockquote pre td tr tbody".split())
-
-
-class _Element:
-    __slots__ = ("name", "mark", "parent", "path", "weight", "article", "_outside")
-
-    def __init__(self, name: str, parent: "_Element | None", mark: int):
-        self.name, self.parent, self.mark, self.weight, self._outside = name, parent, mark, 0, None
-        self.path = "" if parent is None else parent.path if name in INLINE else f"{parent.path}/{name}"
-        self.article = name in ("article", "main") or (parent is not None and parent.article)
-
-    def outside(self) -> bool:
-        """Whether it or what holds it is set aside; asked when the whole page is read."""
-        x, line = self, []
-        while x is not None and x._outside is None:
-            line.append(x)
-            x = x.parent
-        out = x is not None and x._outside
-        for y in reversed(line):
-            y._outside = out = out or y.mark > 0
-        return self._outside
-
-
-def _marked(name: str, attrs: str, in_article: bool) -> int:
-    """2 for what is set aside, 1 if only unless it holds the page's article, else 0."""
-    if name in OUTSIDE and name != "form":
-        return 2
-    soft = int(name == "form" or (name == "header" and not in_article))
-    if not attrs or name in ("html", "body"):
-        return soft
-    named = name not in ("article", "main")
-    for key, *values in _ATTR.findall(attrs):
+HEADER = frozenset(("header", "page-header", "topbar", "top-bar"))
+#: Words of a class or id that speak of readers' comments, unless with one that tells a state ("comments-open").
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond responses thread threads disqus guestbook".split())
+STATE_WORDS = frozenset("no has open closed off with without enabled disabled count link status".split())
+
+#: What a name multiplies a score by.
+PRIOR = 0.1
+#: Marks are lifted from a part that holds this share of the text outside links, by a class or id only where no article stands
+#: free of marks; from comments if this share or less lies elsewhere.
+MOST, LITTLE = 0.5, 0.1
+#: What is left of a part's score for a part within it, and for a heading of its own.
+DECAY, HEADING = 0.5, 2.0
+#: A part with more of the page's text than this is the page itself and lends its score to no part within it.
+WHOLE = 0.95
+#: Paths whose score reaches this share of the page's spread (root mean square over its blocks) are content.
+SPREAD = 0.3
+
+
+class Paths:
+    """The paths of a page, each by its parent's number and its own key: tag, classes if it holds a part, and mark."""
+
+    def __init__(self):
+        self.known: dict[tuple[int, str], int] = {}
+        self.parent, self.name, self.mark = [-1], [""], [""]
+
+    def of(self, parent: int, name: str, classes: str, mark: str) -> int:
+        key = (parent, f"{name} {classes} {mark}")
+        at = self.known.get(key)
+        if at is None:
+            at = self.known[key] = len(self.parent)
+            self.parent.append(parent)
+            self.name.append(name)
+            self.mark.append(mark)
+        return at
+
+
+def _read_attributes(name: str, attrs: str, in_article: bool) -> tuple[str, str, bool]:
+    """(classes without digits, mark: '', 'wrapper', 'furniture' or 'comments', whether unseen) of a start tag."""
+    classes, mark, unseen = "", "wrapper" if name in ("form", "fieldset") or (name == "header" and not in_article) else "", False
+    for key, *values in _ATTR.findall(attrs) if attrs else ():
         key, value = key.lower(), next((v for v in values if v), "")
         if key in ("class", "id"):
-            tokens = set(value.lower().split())
-            if named and (tokens & OUTSIDE_TOKENS or (tokens & HEADER_TOKENS and not in_article)):
-                soft = 1
+            tokens = value.lower().split()
+            if key == "class":
+                classes = " ".join(sorted({re.sub(r"\d+", "", t) for t in tokens}))
+            if name not in ("html", "body", *ARTICLES):
+                if FURNITURE.intersection(tokens) or (not in_article and HEADER.intersection(tokens)):
+                    mark = "furniture"
+                for t in tokens:
+                    found = set(_WORDS.findall(t))
+                    if found & COMMENT_WORDS and not found & STATE_WORDS:
+                        mark = "comments"
         elif key == "role":
-            if named and value.lower() in OUTSIDE_ROLES:
-                soft = 1
+            if name not in ("html", "body", *ARTICLES) and value.lower() in ROLES:
+                mark = mark or "wrapper"
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return 2
-        elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return 2
-    return soft
-
-
-def _release(articles: list[_Element]) -> None:
-    """Lift the soft marks above every main element and, where no main or article is free of marks, above every article."""
-
-    def above(x: _Element):
-        while x is not None:
-            yield x
-            x = x.parent
-
-    for x in articles:
-        if x.name == "main":
-            for y in above(x):
-                y.mark &= 2
-    if not any(all(y.mark == 0 for y in above(x)) for x in articles):
-        for x in articles:
-            for y in above(x):
-                y.mark &= 2
-
-
-def blocks(page: str) -> list[tuple[_Element, str]]:
-    """The page's blocks of text in order, each with the element that holds it; what is set aside is left out."""
-    root = _Element("", None, 0)
-    here, found_in, articles, text, at, end, lower = root, [], [], [], 0, len(page), None
+            unseen = True
+        elif key == "style" and _UNSEEN.search(value):
+            unseen = True
+    return classes, mark, unseen
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, str, int]]]:
+    """The page's paths, and its blocks of text in order: (path, text, characters outside links)."""
+    paths = Paths()
+    # open elements: tag, path, whether unseen, in a link, in an article; and for each tag where it is open
+    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    opened: dict[str, list[int]] = {}
+    found: list[tuple[int, str, int]] = []
+    text: list[tuple[str, bool]] = []
+    at, end, lower = 0, len(page), None
 
     def flush() -> None:
         if text:
-            holder = here
-            while holder.name in INLINE:
-                holder = holder.parent
-            found_in.append((holder, text.copy()))
+            whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
+            if whole:
+                linked = sum(len(" ".join(html.unescape(t).split())) for t, link in text if link)
+                found.append((stack[-1][1], whole, max(0, len(whole) - linked)))
             text.clear()
 
-    def close(name: str, boundary: frozenset | set = frozenset()) -> None:
-        nonlocal here
-        x = here
-        while x is not root and x.name != name and x.name not in boundary:
-            x = x.parent
-        if x is not root and x.name == name:
-            here = x.parent
+    def close(names: tuple[str, ...], boundary: tuple[str, ...] = ()) -> None:
+        deepest = max((opened[n][-1] for n in names if opened.get(n)), default=0)
+        if deepest > max((opened[b][-1] for b in boundary if opened.get(b)), default=0):
+            while len(stack) > deepest:
+                opened[stack.pop()[0]].pop()
 
     while at < end:
-        found = _TOKEN.search(page, at)
-        if found is None:
-            text.append((here, page[at:]))
+        token = _TOKEN.search(page, at)
+        stop = end if token is None else token.start()
+        if stop > at and not stack[-1][2]:
+            text.append((page[at:stop], stack[-1][3]))
+        if token is None:
             break
-        if found.start() > at and here.mark < 2:
-            text.append((here, page[at : found.start()]))
-        at = found.end()
-        name = found["name"]
+        at, name = token.end(), token["name"]
         if name is None:
             continue
         name = name.lower()
-        if found["close"]:
-            if name not in INLINE:
-                flush()
-            elif name == "br":
-                text.append((here, " "))
-            close(name, {"article", "body", "table", "td"} - {name} if name in INLINE or name == "p" else frozenset())
-            continue
         if name == "br":
-            text.append((here, " "))
+            text.append((" ", False))
             continue
         if name not in INLINE:
             flush()
+        if token["close"]:
+            close((name,), tuple(b for b in _IN_LINE if b != name) if name in INLINE or name == "p" else ())
+            continue
         if name in RAW:
             if lower is None:
                 lower = page.lower()
@@ -174,75 +172,79 @@ def blocks(page: str) -> list[tuple[_Element, str]]:
             at = end if stop < 0 else stop
             continue
         if name in ENDS_P:
-            close("p", {"article", "body", "table", "td", "button"})
+            close(("p",), _IN_P)
         if name in ENDS:
-            for other in ENDS[name][0]:
-                close(other, ENDS[name][1])
+            close(tuple(ENDS[name][0].split()), ENDS[name][1])
         if name in VOID:
             continue
-        here = _Element(name, here, _marked(name, found["attrs"], here.article))
-        if name in ("article", "main"):
-            articles.append(here)
+        _, path, unseen, link, in_article = stack[-1]
+        classes, mark, hidden = _read_attributes(name, token["attrs"], in_article)
+        if name not in INLINE:
+            path = paths.of(path, name, classes if name in PARTS else "", mark)
+        stack.append((name, path, unseen or hidden or name in OUTSIDE, link or name == "a", in_article or name in ARTICLES))
+        opened.setdefault(name, []).append(len(stack) - 1)
     flush()
-    _release(articles)
-    out = []
-    for holder, pieces in found_in:
-        joined = " ".join(html.unescape("".join(t for x, t in pieces if not x.outside())).split())
-        if joined:
-            out.append((holder, joined))
-    return out
-
-
-def path_scores(found: list[tuple[_Element, str]]) -> dict[str, float]:
-    """For each path: the mean, over its blocks, of the smoothed fusion of its text ratio and its punctuation ratio."""
-    length, marks, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for x, text in found:
-        length[x.path] += len(text)
-        marks[x.path] += len(_PUNCTUATION.findall(text))
-        nodes[x.path] += 1
-    fused = {p: math.sqrt(length[p] / n * (1 + marks[p] / n)) for p, n in nodes.items()}
-    line = np.array([fused[x.path] for x, _ in found])
+    return paths, found
+
+
+def path_scores(paths: Paths, found: list[tuple[int, str, int]]) -> np.ndarray:
+    """The score of every path."""
+    n = len(paths.parent)
+    path = np.array([p for p, _, _ in found])
+    size = np.array([len(t) for _, t, _ in found], float)
+    free = np.array([f for _, _, f in found], float)
+    points = np.array([len(_PUNCTUATION.findall(t)) for _, t, _ in found], float)
+    many, plain, chars = (np.bincount(path, w, n) for w in (None, free, size))
+    per = np.maximum(many, 1)
+    ratio = np.sqrt(plain / per * (1 + np.bincount(path, points, n) / per))
     kernel = np.exp(-0.5 * np.arange(-2, 3) ** 2)
-    smooth = np.convolve(np.pad(line, 2, mode="edge"), kernel / kernel.sum(), "valid")
-    total = defaultdict(float)
-    for (x, _), s in zip(found, smooth):
-        total[x.path] += s
-    return {p: (total[p] / n + fused[p]) / 2 for p, n in nodes.items()}
+    smooth = np.convolve(np.pad(ratio[path], 2, mode="edge"), kernel / kernel.sum(), "valid")
+    own = (ratio + np.bincount(path, smooth, n) / per) / 2
+
+    # sums over all that lies below a path
+    below, text = plain.copy(), chars.copy()
+    strength, weight = own * plain, plain.copy()
+    for p in range(n - 1, 0, -1):
+        for sums in (below, text):
+            sums[paths.parent[p]] += sums[p]
+    marked, free_article = [False] * n, False
+    for p in range(1, n):
+        marked[p] = marked[paths.parent[p]] or paths.mark[p] != ""
+        free_article |= paths.name[p] in ARTICLES and not marked[p] and below[p] > 0
+    prior = np.ones(n)
+    for p in range(1, n):
+        share = below[p] / below[0] if below[0] else 1.0
+        lifted = {"wrapper": share >= MOST, "furniture": share >= MOST and not free_article, "comments": share >= 1 - LITTLE}
+        prior[p] = prior[paths.parent[p]] * (1.0 if lifted.get(paths.mark[p], True) else PRIOR)
+    strength, weight = strength * (prior == 1), weight * (prior == 1)  # what is marked lends nothing
+    for p in range(n - 1, 0, -1):
+        for sums in (strength, weight):
+            sums[paths.parent[p]] += sums[p]
+    mean = strength / np.maximum(weight, 1)
+
+    lent, article, score = np.zeros(n), np.zeros(n), np.zeros(n)
+    for p in range(1, n):
+        up, name = paths.parent[p], paths.name[p]
+        lent[p], article[p] = lent[up], article[up]
+        if name in PARTS:
+            lent[p] = max(mean[p], DECAY * lent[up] if up and text[up] <= WHOLE * text[0] else 0.0)
+        if name in ARTICLES:
+            article[p] = mean[p]
+        outside_links = plain[p] / max(1.0, chars[p])
+        mine = own[p] * (HEADING if name in HEADINGS else 1.0)
+        score[p] = prior[p] * max(mine, lent[p] * outside_links, article[p] * max(DECAY, outside_links))
+    score[0] = own[0]
+    return score
 
 
 def extract(page: str | None) -> str:
     """The article's text: its blocks in page order, white space inside one turned into one space, joined by line feeds."""
-    found = blocks(page or "")
+    paths, found = blocks(page or "")
     if not found:
         return ""
-    scores = path_scores(found)
-    least = SPREAD * float(np.std([scores[x.path] for x, _ in found]))
-    content = [(x, len(t)) for x, t in found if scores[x.path] >= least]
-    total, elements = sum(n for _, n in content), []
-    for x, n in content:
-        while x is not None:
-            if not x.weight:
-                elements.append(x)
-            x.weight += n
-            x = x.parent
-    depth = lambda x: x.path.count("/")
-    article = max((x for x in elements if x.weight >= SHARE * total), key=depth)
-    named = article
-    while named is not None and named.name not in ("article", "main"):
-        named = named.parent
-    # one long part isn't all of an article
-    article = named or max((x for x in elements if x.weight == total), key=depth)
-    while article.name in WITHIN and article.parent is not None:
-        article = article.parent
-
-    def inside(x: _Element) -> bool:
-        while x is not None:
-            if x is article:
-                return True
-            x = x.parent
-        return False
-
-    return "\n".join(t for x, t in found if inside(x))
+    score = path_scores(paths, found)
+    least = SPREAD * float(np.sqrt(np.mean(score[[p for p, _, _ in found]] ** 2)))
+    return "\n".join(t for p, t, _ in found if score[p] > 0 and score[p] >= least)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
