@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -266,6 +267,77 @@ def test_html_keeps_all_containers_of_an_article(tag, start):
     assert lines[0] == "Head" and lines[1].startswith("Lead.") and lines[2:10] == [LONG.strip()] * 8 and lines[10].startswith("The end.") and len(lines) == 11
 
 
+@pytest.mark.parametrize("name", ["main no-sidebar", "layout has-sidebar", "top-story", "social-science", "comments-open", "widget", "reader-thread", "post header"])
+def test_html_names_blank_no_page(name):
+    body = f'<h1>Head</h1><p>{LONG}</p><p>Short.</p>'
+    for page in (f'<div class="{name}">{body}</div>', f'<form id="aspnet"><div id="{name}">{body}</div></form>', f'<section class="{name}"><div>{body}</div></section>'):
+        assert html_text.extract(f'<body><nav><a href=x>Home</a></nav>{page}<div class="ad">Buy now.</div></body>') == f"Head\n{LONG.strip()}\nShort."
+
+
+def test_html_leaves_out_comments_within_the_story():
+    page = f'<div class="story"><h1>Head</h1><p>{LONG}</p><p>{LONG}</p><div class="reader-thread"><p>Nice one, thanks.</p><p>I do agree, and so on; it is good.</p></div></div>'
+    assert html_text.extract(page) == f"Head\n{LONG.strip()}\n{LONG.strip()}"
+
+
+def test_html_is_linear_in_depth():
+    for page in ("<div>" * 50_000 + LONG, "<div><span>" * 20_000 + LONG + "</p></b></span>" * 20_000, "<p><table>" + "<div>" * 30_000 + LONG, "<ul>" + "<li>x" * 30_000 + LONG):
+        began = time.process_time()
+        assert LONG.strip() in html_text.extract(page)
+        assert time.process_time() - began < 5
+
+
+def _path_ratios(blocks):
+    """Selected texts of blocks ([(tag, class), ...] down from the body, text) by the definition, each path a tuple."""
+    heads, parts, n = html_text.HEADINGS, html_text.PARTS, len(blocks)
+    size = {p: [t for q, t in blocks if q == p] for p, _ in blocks}
+    ratio = {p: math.sqrt(sum(map(len, ts)) / len(ts) * (1 + sum(c in ".,;:!?" for t in ts for c in t) / len(ts))) for p, ts in size.items()}
+    line = [ratio[blocks[min(max(k, 0), n - 1)][0]] for k in range(-2, n + 2)]
+    kernel = [math.exp(-0.5 * d * d) for d in range(-2, 3)]
+    smooth = [sum(w * line[k + d] for d, w in enumerate(kernel)) / sum(kernel) for k in range(n)]
+    own = {p: (ratio[p] + sum(x for x, (q, _) in zip(smooth, blocks) if q == p) / len(ts)) / 2 for p, ts in size.items()}
+    under = lambda a: [(p, sum(map(len, ts))) for p, ts in size.items() if p[: len(a)] == a]
+    mean = lambda a: sum(own[p] * c for p, c in under(a)) / max(1, sum(c for _, c in under(a)))
+    total = sum(len(t) for _, t in blocks)
+    score = {}
+    for p in size:
+        lent = article = 0.0
+        for d in range(1, len(p) + 1):
+            a, up = p[:d], sum(c for _, c in under(p[: d - 1])) if d > 1 else total
+            if a[-1][0] in parts:
+                lent = max(mean(a), html_text.DECAY * lent if d > 1 and up <= html_text.WHOLE * total else 0.0)
+            if a[-1][0] in ("article", "main"):
+                article = mean(a)
+        score[p] = max(own[p] * (2 if p[-1][0] in heads else 1), lent, article)
+    least = html_text.SPREAD * math.sqrt(sum(score[p] ** 2 for p, _ in blocks) / n)
+    return [t for p, t in blocks if score[p] >= least]
+
+
+def test_html_against_path_ratios_by_definition():
+    rng = np.random.default_rng(9)
+    some = lambda n: (" ".join(["word", "and", "others,", "more."][k] for k in rng.integers(0, 4, max(1, n)))).capitalize()
+    left_out = 0
+    for _ in range(60):
+        blocks = []
+
+        def part(path, depth):
+            out = ""
+            for _ in range(int(rng.integers(1, 5))):
+                if depth < 3 and rng.random() < 0.35:
+                    step = (str(rng.choice(["div", "section", "article"])), str(rng.choice(["a", "b", "c"])))
+                    out += f'<{step[0]} class="{step[1]}">{part([*path, step], depth + 1)}</{step[0]}>'
+                else:
+                    tag, text = str(rng.choice(["p", "p", "h2", "pre"])), some(int(rng.choice([2, 5, 40, 90])))
+                    blocks.append((tuple([*path, (tag, "")]), text))
+                    out += f"<{tag}>{text}</{tag}>"
+            return out
+
+        page = f"<body>{part([('body', '')], 0)}</body>"
+        want = _path_ratios(blocks)
+        left_out += len(blocks) - len(want)
+        assert html_text.extract(page) == "\n".join(want)
+    assert left_out > 10
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
@@ -326,13 +398,43 @@ def test_ordinal_thresholds_are_ordered():
     assert w[0] > 0 and t[0] < t[1] < t[2]
 
 
+_M = (1 << 64) - 1
+
+
+def _mix64(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _M
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _M
+    return x ^ x >> 31
+
+
+def _pieces(text):
+    """Segments as (first character, end, words, number of what is removed whole), by the rule and not by the operator's code."""
+    found = [(m.start(), m[0].lower()) for m in re.finditer(r"\S+", text)]
+    hashes = [_mix64(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(w)) & _M) for _, w in found]
+    pairs = [_mix64(h + 3 * (hashes[k - 1] if k else 0) & _M) for k, h in enumerate(hashes)]
+    ends = [k for k, (_, w) in enumerate(found) if re.search(r"[.!?…。！？][\"'”’»)\]]{0,3}$", w) or k == len(found) - 1]
+    out, begin, number = [], 0, -1
+    for end in ends:
+        cuts = {end}
+        for k in range(begin, end - 6):
+            cuts.add(max(range(k, k + 8), key=lambda j: (-pairs[j], j)))
+        long, first = end - begin + 1 > 16, begin
+        for c in sorted(cuts):
+            number += long or first == begin
+            after = found[c + 1][0] if c + 1 < len(found) else len(text)
+            out.append((found[first][0] if out else 0, after, tuple(w for _, w in found[first : c + 1]), number))
+            first = c + 1
+        begin = end + 1
+    return out
+
+
 def test_spans_against_brute_force(spark):
     docs = table(spark, "documents")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    cuts = {i: _pieces(t) for i, t in texts.items()}
     where = defaultdict(list)
     for i in sorted(texts):
-        ranges, counts, _, _ = spans.sentences(texts[i])
-        words = [re.findall(r"\S+", texts[i][a:b].lower()) for a, b in ranges]
+        words = [p[2] for p in cuts[i]]
         for k in range(len(words)):
             end = k
             while end < len(words) and (end - k < spans.LEAST or sum(map(len, words[k:end])) < spans.WORDS):
@@ -340,15 +442,37 @@ def test_spans_against_brute_force(spark):
             n = sum(map(len, words[k:end]))
             if n >= spans.WORDS and (end - k >= spans.LEAST or k == 0):
                 where[tuple(w for s in words[k:end] for w in s)].append((i, k, end))
-    gone = defaultdict(set)
+    covered = defaultdict(set)
     for places in where.values():
         for i, a, b in sorted(places)[1:]:
-            gone[i] |= set(range(a, b))
+            covered[i] |= set(range(a, b))
     got = {r.doc_id: r for r in spans.dedup(docs).collect()}
+    assert sum(r.n_removed > 0 for r in got.values()) > 20
     for i, text in texts.items():
-        ranges = spans.sentences(text)[0]
-        assert (got[i].text or "") == "".join(text[a:b] for k, (a, b) in enumerate(ranges) if k not in gone[i]) or not ranges
-        assert got[i].n_removed == len(gone[i])
+        stays = {p[3] for k, p in enumerate(cuts[i]) if k not in covered[i]}
+        assert (got[i].text or "") == "".join(text[a:b] for a, b, _, n in cuts[i] if n in stays) or not cuts[i]
+        total = len({p[3] for p in cuts[i]})
+        assert (got[i].n_sentences, got[i].n_removed) == (total, total - len(stays))
+
+
+def test_spans_remove_short_sentences_whole_or_not_at_all(spark):
+    rng = np.random.default_rng(8)
+    sentence = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 3000, n)) + "."
+    shared = [sentence(12) for _ in range(6)]
+    a, b = sentence(3)[:-1], sentence(4)[:-1]  # the first sentence of each text is a longer one that ends alike
+    docs = [(1, " ".join([a, *shared])), (2, " ".join([b, *shared])), (None, f"Other words. {shared[0]}"), (3, None), (3, None)]
+    got = spans.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    of = {r.doc_id: r for r in got}
+    assert of[1].text == docs[0][1] and (of[2].text.strip(), of[2].n_sentences, of[2].n_removed) == (f"{b} {shared[0]}", 6, 5)
+    assert of[None].text == docs[2][1] and [r.text for r in got if r.doc_id == 3] == [None, None] and len(got) == 5
+
+
+def test_spans_of_a_hot_passage(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 10)
+    passage = " ".join(f"Sentence {k} of it says word{k} and word{k + 1} twice." for k in range(9))
+    df = spark.createDataFrame([(k, f"Number {k} begins here. {passage}") for k in range(60)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.text.strip(), r.n_removed) for r in spans.dedup(df).collect())
+    assert got[0] == (0, f"Number 0 begins here. {passage}", 0) and got[1:] == [(k, f"Number {k} begins here.", 9) for k in range(1, 60)]
 
 
 def test_spans_keep_the_first_passage_and_what_surrounds_it(spark):
