@@ -1,29 +1,61 @@
 """Personal data to format-preserving pseudonyms, in Column expressions only.
 
-Validated numbers (payment cards, IBANs, social security numbers, telephone numbers, IPv4 addresses) and dates are permuted
-within their format by a keyed Feistel network, so a value has the same pseudonym in every document and keeps its length,
-separators and check digits. E-mail addresses and secrets become keyed hashes of the same kind of characters. A number that
-fails its check (a card's last digit, an octet over 255, a 31st of June) is left alone.
+Validated numbers (payment cards, IBANs, social security numbers, telephone numbers, IP addresses) and dates are permuted
+within their format by a keyed Feistel network, so a value has the same pseudonym in every document and keeps its separators
+and check digits; a date or social security number stays a possible one. E-mail addresses and secrets become keyed hashes of
+the same kind of characters. A number that fails its check (a card's last digit, an octet over 255, a 31st of June) is left
+alone. The key is the caller's; nothing here has a default one.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "tradewinds"
 ROUNDS = 8
 #: The dates that are permuted among themselves: 1900 to 2099.
 FIRST_DAY, DAYS = "1900-01-01", 73049
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@(?:[\p{L}\p{N}-]{1,63}\.){1,8}\p{L}{2,24}(?![\p{L}\p{N}])"
-SECRET = r"(?i)(?<![\p{L}\p{N}])(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,128}[\"'](?-i)"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![\p{L}\p{N}])"
+# The length of an IBAN by country, and the months.
+IBAN_LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27, GB=22, GE=22,
+    GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27, MD=24, ME=22, MK=19, MR=27,
+    MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23, TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
+MONTHS = "January February March April May June July August September October November December".split()
+
+
+def _iban_form() -> str:
+    by_length = defaultdict(list)
+    for country, n in IBAN_LENGTHS.items():
+        by_length[n].append(country)
+    # each country's own length, so that what follows is not taken in; letters of either case
+    known = "|".join(rf"(?:{'|'.join(of)})\d{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}" for n, of in sorted(by_length.items()))
+    return rf"(?<![\p{{L}}\p{{N}}])(?i:{known})(?![\p{{L}}\p{{N}}])"
+
+
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,64}\p{L}{2,}(?![\p{L}\p{N}])"
+#: A named secret: in quotes, or a run of eight characters with a digit or of sixteen; web tokens and cloud keys by their form.
+SECRET = (
+    r"(?<![\p{L}\p{N}])(?i:token|secret|password|passwd|passphrase|bearer|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)\s{0,3}[=:]\s{0,3}"
+    r"(?:\"[^\"\s]{8,}+\"|'[^'\s]{8,}+'|(?=[A-Za-z0-9_./+=~-]{16}|[A-Za-z_./+=~-]{0,15}[0-9])[A-Za-z0-9_./+=~-]{7,}[A-Za-z0-9_/+=~-])"
+    r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)(?![\p{L}\p{N}])"
+)
+IBAN = _iban_form()
 PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<=[ .-])\d{3}[ .-]|(?<![\p{L}\p{N}.-])\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
 WORLD_PHONE = r"(?<![\p{L}\p{N}+])\+[1-9](?:\d{7,14}|\d{0,2}(?:[ .-]\(?\d{1,10}\)?){1,5})(?![\p{L}\p{N}])"
 SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
 IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}])(?!\.\d)"
-DATE = r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\p{L}\p{N}])(?![./-]\d)"
+#: Either all eight groups or a double colon, at least two groups, one of them with a digit.
+IP6 = r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5})[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])(?!\.\d)"
+_MONTH = "(?i:" + "|".join(f"{m}|{m[:3]}" if len(m) > 3 else m for m in MONTHS) + r")\b"
+_NAMED_DATE = rf"(?<![\p{{L}}\p{{N}}]){_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}(?![\p{{L}}\p{{N}}])"
+DATE = (
+    r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}(?:st|nd|rd|th)?\.? " + _MONTH
+    + r"\.?,? \d{4})(?![\p{L}\p{N}])(?![./-]\d)"
+)
 #: Groups of digits in which cards are looked for, up to where another kind of number begins; a card has 13 to 19 digits. A
 #: run is ended after 200 digits, as Java's matcher recurs for each.
 CARD = (
@@ -31,11 +63,16 @@ CARD = (
     r"(?![\p{L}\p{N}])(?![.-]\d)"
 )
 #: In this order: at one place the first that fits is taken.
-KINDS = {"email": EMAIL, "secret": SECRET, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD, "iban": IBAN, "world_phone": WORLD_PHONE}
-_NUMBERS = [v for k, v in KINDS.items() if k not in ("email", "secret", "iban")]
-ANY = f"{EMAIL}|(?=[0-9+(])(?:{'|'.join(_NUMBERS)})|(?=[TtSsPpAa])(?:{SECRET})|(?=[A-Z]{{2}}[0-9])(?:{IBAN})"
+KINDS = {
+    "email": EMAIL, "secret": SECRET, "ip6": IP6, "ip": IP, "date": f"{DATE}|{_NAMED_DATE}", "ssn": SSN, "phone": PHONE, "card": CARD, "iban": IBAN, "world_phone": WORLD_PHONE
+}
+_NUMBERS = [IP, DATE, SSN, PHONE, CARD, WORLD_PHONE]
+ANY = (
+    f"{EMAIL}|(?=[TtSsPpAaBbe])(?:{SECRET})|(?=[0-9A-Fa-f]{{1,4}}:)(?:{IP6})|(?=[0-9+(])(?:{'|'.join(_NUMBERS)})"
+    f"|(?=[A-Za-z]{{2}}[0-9])(?:{IBAN})|(?=[JFMASONDjfmasond])(?:{_NAMED_DATE})"
+)
 #: A text without any of these has nothing to look for.
-HINT = r"[0-9@]|[=:]\s{0,3}[\"']"
+HINT = "[0-9@=:]"
 
 
 def digest(key: str, *parts: Column) -> Column:
@@ -74,11 +111,11 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     return F.concat(F.lpad(pair["l"].cast("string"), a, "0"), F.lpad(pair["r"].cast("string"), n - a, "0"))
 
 
-def refill(form: Column, digits: Column) -> Column:
-    """``form`` with its digits replaced, in order, by those of ``digits``."""
+def refill(form: Column, digits: Column, of: str = "[0-9]") -> Column:
+    """``form`` with its digits (characters ``of``) replaced, in order, by those of ``digits``."""
 
     def put(s: Column, c: Column) -> Column:
-        isdigit = c.between("0", "9")
+        isdigit = c.rlike(of)
         return F.struct(
             F.concat(s["t"], F.when(isdigit, F.substring(digits, s["k"], F.lit(1))).otherwise(c)).alias("t"), (s["k"] + isdigit.cast("int")).alias("k")
         )
@@ -159,19 +196,24 @@ def _iban(m: Column, key: str) -> Column:
 
         return _let(other, checked)
 
-    def spaced(x: Column) -> Column:  # the pseudonym in m's spacing
-        def put(s: Column, c: Column) -> Column:
-            blank = c == " "
-            return F.struct(F.concat(s["t"], F.when(blank, c).otherwise(F.substring(x, s["k"], F.lit(1)))).alias("t"), (s["k"] + (~blank).cast("int")).alias("k"))
+    # letters stay as they are, so in m's spacing and case only digits are new
+    plain = F.upper(F.translate(m, " -", ""))
+    return _let(plain, lambda x: F.when(mod97(x) == 1, refill(m, _digits(new(x)))))
 
-        return F.aggregate(F.split(m, ""), F.struct(F.lit("").alias("t"), F.lit(1).alias("k")), put)["t"]
 
-    return _let(F.replace(m, F.lit(" "), F.lit("")), lambda x: F.when((mod97(x) == 1) & (F.length(x).between(15, 34)), spaced(new(x))))
+def _ssn(m: Column, key: str) -> Column:
+    """Areas 001 to 899 without 666, groups from 01, serials from 0001: numbered without gaps and permuted."""
+    part = lambda a, n: F.substring(m, a, n).cast("int")
+    area, group, serial = part(1, 3), part(5, 2), part(8, 4)
+    fits = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
+    left = (area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1
 
+    def written(p: Column) -> Column:
+        a = F.floor(p["l"] / 99).cast("int")
+        a = a + F.when(a >= 665, 2).otherwise(1)
+        return F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((a, 3), (p["l"] % 99 + 1, 2), (p["r"] + 1, 4))))
 
-def _ssn(m: Column, key: str) -> Column:
-    fits = ~m.rlike(r"^(?:000|666|9)") & ~m.rlike(r"-00-|-0000$")
-    return F.when(fits, refill(m, permute_digits(_digits(m), key, "ssn")))
+    return F.when(fits, _let(feistel(left, serial - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("ssn")), written))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -199,31 +241,64 @@ def _ip(m: Column, key: str) -> Column:
     return _let(F.transform(F.split(m, r"\."), lambda x: x.cast("int")), lambda o: F.when(F.forall(o, lambda x: x <= 255), new(o)))
 
 
+def _ip6(m: Column, key: str) -> Column:
+    """The hex digits permuted in their places (but for the first two of 31 or 32); notations of one address aren't linked."""
+    hexes = F.replace(F.lower(m), F.lit(":"), F.lit(""))
+
+    def new(d: Column) -> Column:
+        fixed = F.greatest(F.length(d) - 30, F.lit(0))
+        own = F.substring(d, fixed + 1, F.length(d))
+        n = F.length(d) - fixed
+        a = F.floor(n / 2).cast("int")
+        number = lambda x: F.conv(x, 16, 10).cast("long")
+        pair = feistel(number(F.substring(own, F.lit(1), a)), number(F.substring(own, a + 1, n - a)), F.pow(F.lit(16.0), a).cast("long"), F.pow(F.lit(16.0), n - a).cast("long"), key, F.concat(F.lit("ip6"), n.cast("string")))
+        text = lambda x, k: F.lpad(F.lower(F.hex(x)), k, "0")
+        return _let(pair, lambda p: F.concat(F.substring(d, F.lit(1), fixed), text(p["l"], a), text(p["r"], n - a)))
+
+    return _let(hexes, lambda d: F.when(F.length(d) >= 2, refill(m, new(d), "[0-9A-Fa-f]")))
+
+
 def _date(m: Column, key: str) -> Column:
-    sep = F.substring(m, 3, 1)
+    """A date in any of the forms, in the same form; one without leading zeros gets none. 31/12 is day first, 12/31 month
+    first; where both fit, day first."""
     iso = m.rlike("^[0-9]{4}-")
-    first, second, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
-    # 31/12 is day first, 12/31 can only be month first; where both fit, day first
-    flip = ~iso & (second.cast("int") > 12)
-    plain = F.when(iso, m).when(flip, F.concat_ws("-", year, first, second)).otherwise(F.concat_ws("-", year, second, first))
+    numbers = F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), 0), lambda x: x.cast("int"))
+    name = F.regexp_extract(m, "([A-Za-z]{3,})", 1)
+    named = name != ""
+    month = F.array_position(F.array(*[F.lit(x[:3].lower()) for x in MONTHS]), F.lower(F.substring(name, 1, 3))).cast("int")
     wide, high = 270, 271
 
-    def walk(s: Column, _: Column) -> Column:  # again while the result is no date; two in a thousand steps are not
+    def step(s: Column) -> Column:
         pair = feistel(F.floor(s / high), s % high, F.lit(wide), F.lit(high), key, F.lit("date"))
-        return F.when(s >= DAYS, _let(pair, lambda p: p["l"] * high + p["r"])).otherwise(s)
+        return _let(pair, lambda p: p["l"] * high + p["r"])
 
-    def new(n: Column) -> Column:
-        pair = feistel(F.floor(n / high), n % high, F.lit(wide), F.lit(high), key, F.lit("date"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), _let(pair, lambda p: p["l"] * high + p["r"]), walk)
+    def new(n: Column) -> Column:  # again while the result is no date; two in a thousand steps are not
+        return F.aggregate(F.sequence(F.lit(1), F.lit(8)), step(n), lambda s, _: F.when(s >= DAYS, step(s)).otherwise(s))
 
-    def written(day: Column) -> Column:
-        d = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
-        f = lambda s: F.date_format(d, s)
-        a, b = F.when(flip, f("MM")).otherwise(f("dd")), F.when(flip, f("dd")).otherwise(f("MM"))
-        return F.when(iso, f("yyyy-MM-dd")).otherwise(F.concat(a, sep, b, sep, f("yyyy")))
+    def parts(n: Column) -> Column:
+        flip = ~iso & ~named & (n[1] > 12)
+        day = F.when(iso, n[2]).when(named | ~flip, n[0]).otherwise(n[1])
+        mon = F.when(iso | (~named & ~flip), n[1]).when(named, month).otherwise(n[0])
+        year = F.when(iso, n[0]).when(named, n[1]).otherwise(n[2])
+        text = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(mon.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0"))
+        return F.struct(F.datediff(text.try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long").alias("n"), flip.alias("flip"))
 
-    number = F.datediff(plain.try_cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    return _let(number, lambda n: F.when(n.between(0, DAYS - 1), _let(new(n), written)))
+    def written(day: Column, flip: Column) -> Column:
+        d = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
+        padded = ~m.rlike(r"(?<![0-9])[1-9](?![0-9])")
+        digits = lambda x: F.when(padded, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+        dd, mm, yyyy = digits(F.dayofmonth(d)), digits(F.month(d)), F.year(d).cast("string")
+        sep = F.regexp_extract(m, "([./-])", 1)
+        full = F.element_at(F.array(*map(F.lit, MONTHS)), F.month(d))
+        spelt = F.when((F.length(name) > 3) | (F.lower(name) == "may"), full).otherwise(F.substring(full, 1, 3))
+        spelt = F.when(name == F.upper(name), F.upper(spelt)).when(name == F.lower(name), F.lower(spelt)).otherwise(spelt)
+        # the day and the year in m's place, then the month: the replacement holds no digit that would be met again
+        in_words = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]{4}$", F.lit("\u0001")), r"[0-9]{1,2}(?:st|nd|rd|th)?", F.lit("\u0002")), "[A-Za-z]{3,}", F.lit("\u0003"))
+        in_words = F.replace(F.replace(F.replace(in_words, F.lit("\u0001"), yyyy), F.lit("\u0002"), dd), F.lit("\u0003"), spelt)
+        plain = F.when(flip, F.concat(mm, sep, dd, sep, yyyy)).otherwise(F.concat(dd, sep, mm, sep, yyyy))
+        return F.when(named, in_words).when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(plain)
+
+    return _let(_let(numbers, parts), lambda x: F.when(x["n"].between(0, DAYS - 1), _let(new(x["n"]), lambda day: written(day, x["flip"]))))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -231,13 +306,20 @@ def _email(m: Column, key: str) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    form = r"(?i)^(.*?[=:]\s*[\"'])([^\"'\s]+)([\"'])$"
-    value = F.regexp_extract(m, form, 2)
-    hashed = F.concat(*[digest(key, F.lit(f"secret{k}"), value) for k in (0, 1)])
-    return F.concat(F.regexp_extract(m, form, 1), F.substring(hashed, F.lit(1), F.length(value)), F.regexp_extract(m, form, 3))
+    """What follows the name and its quotation mark as a hash of the same length; a token without a name is hashed whole."""
+    form = r"(?s)^([^=:]*[=:]\s*[\"']?)(.*?)([\"']?)$"
+    bare = m.rlike(r"^(?:AKIA[0-9A-Z]{16}|eyJ)")
+    value = F.when(bare, m).otherwise(F.regexp_extract(m, form, 2))
+
+    def hashed(v: Column) -> Column:
+        long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(v) / 64).cast("int")), lambda k: digest(key, F.lit("secret"), k, v)), "")
+        return F.substring(long, F.lit(1), F.length(v))
+
+    around = lambda k: F.when(bare, F.lit("")).otherwise(F.regexp_extract(m, form, k))
+    return F.concat(around(1), _let(value, hashed), around(3))
 
 
-_MAKE = {"email": _email, "secret": _secret, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban, "world_phone": _world_phone}
+_MAKE = {"email": _email, "secret": _secret, "ip6": _ip6, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban, "world_phone": _world_phone}
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -276,7 +358,7 @@ def _after_set(pattern: str, at: int) -> int:
     return at + 1
 
 
-def pseudonymise(text: Column, key: str = KEY) -> Column:
+def pseudonymise(text: Column, key: str) -> Column:
     """(text, found): the text with pseudonyms, and how many values were replaced. Null stays null."""
     def made(values: Column) -> Column:
         return F.transform(values, lambda m: F.struct(m.alias("m"), pseudonym(m, key).alias("p"), F.when(m.rlike(f"^(?:{_bare(CARD)})$"), F.greatest(F.size(_cards(m)), F.lit(1))).otherwise(1).alias("n")))
@@ -290,7 +372,7 @@ def pseudonymise(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike(HINT), changed).otherwise(same)
 
 
-def mask(docs: DataFrame, key: str = KEY) -> DataFrame:
+def mask(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with pseudonyms in ``text``; ``n_chars``, if there, is counted anew. Other columns stay as they are.
 
     A null or empty text stays so; repeated rows give repeated results; an empty table gives none.
@@ -301,7 +383,7 @@ def mask(docs: DataFrame, key: str = KEY) -> DataFrame:
     return out.select(*docs.columns)
 
 
-def find(docs: DataFrame, key: str = KEY) -> DataFrame:
+def find(docs: DataFrame, key: str) -> DataFrame:
     """Return doc_id, text (with pseudonyms), n_found for every row of ``docs``; other columns are ignored."""
     done = docs.select("doc_id", pseudonymise(F.col("text"), key).alias("_done"))
     return done.select("doc_id", F.col("_done.text").alias("text"), F.coalesce("_done.found", F.lit(0)).cast("long").alias("n_found"))
