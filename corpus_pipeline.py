@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewinds.llm import mixing, packing, pii, simhash, toxicity
+from tradewinds.llm import mixing, packing, pii, queries, simhash, toxicity
 from tradewinds.llm.common import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with pseudonyms for personal data."""
-    return pii.mask(docs)
+    """All documents, with pseudonyms for personal data by the session's key; without one, by that of the query."""
+    return pii.mask(docs, spark.conf.get("spark.tradewinds.pii.key", queries.PII_KEY))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
