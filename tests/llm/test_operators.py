@@ -1,5 +1,6 @@
 """The corpus operators against brute force, round trips and held-out accuracy, and their edge cases."""
 
+import bisect
 import datetime
 import hashlib
 import math
@@ -546,6 +547,35 @@ def test_toxicity_on_rows_that_were_not_learned_from(spark):
     assert all(0 <= r.severity <= 3 and 0 <= r.grade <= 3 for r in got.values())
     kept = {r.doc_id for r in toxicity.reject(docs, learned).collect()}
     assert kept == {i for i, r in got.items() if not r.toxic}
+    texts, run = {r.doc_id: r.text for r in docs.collect()}, toxicity.scorer(toxicity.train(docs, learned))
+    toxic = [texts[r.doc_id] for r in lab.where("doc_id % 2 = 1 AND toxic = 1").orderBy("doc_id").collect() if got[r.doc_id].toxic][:40]
+    around = " ".join(texts[r.doc_id] or "" for r in lab.where("doc_id % 2 = 1 AND toxic = 0").orderBy("doc_id").collect() if not got[r.doc_id].toxic).split()[:20_000]
+    assert np.mean(run([" ".join([*around[:10_000], t, *around[10_000:]]) for t in toxic])[1] >= 0.5) >= 0.9 and run([" ".join(around)])[1][0] < 0.5
+
+
+def test_toxicity_and_quality_scores_by_definition(spark, odd):
+    docs, lab = table(spark, "documents", SF2), table(spark, "labels", SF2)
+    both = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
+    model, gam = toxicity.train(both, lab), quality.train(both, lab)
+    weight = dict(zip(model.index, model.weights[list(model.index.values())]))
+    wanted = {}
+    for r in both.collect():
+        ws = re.findall(r"[^\W\d_]+", (r.text or "").lower())
+        sums = [sum(weight.get(f, 0.0) for w in set(ws[k : k + 32]) for f in [w, *(f"{w[:n]}*" for n in (3, 4, 5, 6) if len(w) > n)]) for k in range(0, len(ws), 32)]
+        s = max([a + b for a, b in zip(sums, sums[1:])] or sums or [0.0])
+        x = quality.describe(r.text)
+        logit = gam.base + sum(t[bisect.bisect_left(e, v)] for e, t, v in zip(gam.edges, gam.tables, x))
+        logit += sum(t[bisect.bisect_left(gam.pair_edges[i], x[i])][bisect.bisect_left(gam.pair_edges[j], x[j])] for (i, j), t in zip(gam.pairs, gam.pair_tables))
+        wanted.setdefault((r.doc_id, r.text), (sum(1 / (1 + math.exp(t - s)) for t in model.thresholds), 1 / (1 + math.exp(-logit))))
+    toxic = toxicity.score(both, model).collect()
+    scored = {r.doc_id: r.score for r in quality.score(both, lab).collect() if r.doc_id is not None}
+    assert len(toxic) == both.count() == docs.count() + 10
+    for r, t in zip(toxic, both.collect()):
+        assert r.doc_id == t.doc_id and r.severity == pytest.approx(wanted[t.doc_id, t.text][0], abs=1e-9) and r.toxic == (r.p_toxic >= 0.5)
+    assert toxicity.reject(both, lab).count() == sum(not r.toxic for r in toxic)
+    own = {i: v for (i, _), v in wanted.items()}
+    for r in docs.select("doc_id").where("doc_id > 10").collect():
+        assert scored[r.doc_id] == pytest.approx(own[r.doc_id][1], abs=1e-6)
 
 
 def test_ordinal_thresholds_are_ordered():

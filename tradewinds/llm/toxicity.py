@@ -1,9 +1,11 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
-Severity has four grades: 0 for documents labelled clean, and 1 to 3 for labelled toxic ones, cut at the terciles of how
-many of their words carry toxic evidence. P(grade <= k) = sigmoid(t_k - w.x) with one weight vector for all thresholds
-t_0 < t_1 < t_2. Features count a document's distinct words by word and by leading letters (inflected forms share them).
-The model is fitted on a bounded sample of labelled rows; every document is scored by summing its words' weights.
+A document is as toxic as its strongest passage: two neighbouring stretches of HALF words, whichever pair has the highest
+score, so that a long text around it hides nothing. Features count a stretch's distinct words by word and by leading letters
+(inflected forms share them). Severity has four grades: 0 for documents labelled clean, and 1 to 3 for labelled toxic ones, cut
+at the terciles of the share of telling words in that passage. P(grade <= k) = sigmoid(t_k - w.x) with one weight vector for
+all thresholds t_0 < t_1 < t_2. The model is fitted on a bounded sample of labelled rows: passages are chosen by the log odds
+of their words, then again by the weights fitted on these. Fitting and scoring use the same function of a text.
 """
 
 from __future__ import annotations
@@ -23,16 +25,31 @@ from .common import materialize
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each label that a model is fitted on, about; they are chosen by a hash of the id.
 SAMPLE = 6000
-#: Features a model has at most, and the labelled toxic documents that a feature must be in.
+#: Features a model has at most (the best rated of all), and the labelled toxic documents that a feature must be in.
 FEATURES, SEEN = 4096, 3
+#: Words in a stretch.
+HALF = 32
 PREFIXES = (3, 4, 5, 6)
 GRADES = 3
 #: Distinct words whose weights a task remembers at most.
 CACHE = 300_000
 
 
-def words(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+def words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def stretches(ws: list[str]) -> list[set[str]]:
+    """The distinct words of each HALF words."""
+    return [set(ws[k : k + HALF]) for k in range(0, len(ws), HALF)]
+
+
+def strongest(parts: list[set[str]], weight) -> tuple[float, int]:
+    """(score, first stretch) of the strongest passage by the weights of words; sums are exact, so in any order the same."""
+    sums = [math.fsum(map(weight, x)) for x in parts]
+    pairs = [math.fsum(x) for x in zip(sums, sums[1:])] or sums or [0.0]
+    at = max(range(len(pairs)), key=pairs.__getitem__)
+    return pairs[at], at
 
 
 def features(word: str) -> list[str]:
@@ -95,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
 
     def read(batches):
         for batch in batches:
-            found = [sorted(words(t.as_py())) for t in batch["text"]]
+            found = [words(t.as_py()) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["y"], pa.array(found, pa.list_(pa.string()))], names=["y", "words"])
 
     # the sample has a documented bound of about 2 x sample rows of two numbers
@@ -105,66 +122,76 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     if set(n) != {0, 1}:
         return None
 
-    def count(wanted: frozenset | None):
-        def run(batches):
-            seen: tuple[Counter, Counter] = (Counter(), Counter())
-            for batch in batches:
-                for y, ws in zip(batch["y"].to_pylist(), batch["words"].to_pylist()):
-                    of = {f for w in ws for f in features(w)}
-                    seen[y].update(of if wanted is None else of & wanted)
-            names = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), *(pa.array([seen[y][f] for f in names], pa.int64()) for y in (0, 1))], names=["f", "n0", "n1"]
-            )
-
-        return run
+    def count(batches):
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for y, ws in zip(batch["y"].to_pylist(), batch["words"].to_pylist()):
+                seen[y].update({f for w in set(ws) for f in features(w)})
+        names = list(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][f] for f in names], pa.int64()) for y in (0, 1))], names=["f", "n0", "n1"])
 
-    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
-    toxic = known.where("y = 1").mapInArrow(count(None), "f string, n0 long, n1 long").groupBy("f").agg(*sums).where(F.col("n1") >= SEEN)
-    candidates = frozenset(r.f for r in toxic.orderBy(F.desc("n1"), "f").limit(16 * FEATURES).collect())
-    rated = known.mapInArrow(count(candidates), "f string, n0 long, n1 long").groupBy("f").agg(*sums)
+    # every feature is rated, and only then the best are kept
+    rated = known.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n1") >= SEEN)
     odds = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
     best = rated.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("n0") + F.col("n1"))), "f").limit(FEATURES).collect()
     if not best:
         return None
     index = {r.f: i for i, r in enumerate(best)}
     telling = frozenset(r.f for r in best if r.odds > 2)
+    model = Model(index, np.array([r.odds for r in best]), np.zeros(GRADES))
+    for steps in (100, 300):
+        model = Model(index, *fit_ordinal(*_design(known, model, telling), len(index), steps))
+    return model
 
-    def design(batches):
+
+def _design(known: DataFrame, model: "Model", telling: frozenset) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, counts; grade, weight of each row) of the strongest passages of the labelled texts."""
+    index = model.index
+
+    def run(batches):
+        weight = Remembered(model).__getitem__
         for batch in batches:
             found, evidence = [], []
             for ws in batch["words"].to_pylist():
-                c = Counter(index[f] for w in ws for f in features(w) if f in index)
+                parts = stretches(ws)
+                at = strongest(parts, weight)[1]
+                inside = [w for part in parts[at : at + 2] for w in sorted(part)]
+                c = Counter(index[f] for w in inside for f in features(w) if f in index)
                 found.append([x for pair in sorted(c.items()) for x in pair])
-                evidence.append(sum(any(f in telling for f in features(w)) for w in ws))
-            yield pa.RecordBatch.from_arrays([batch["y"], pa.array(evidence, pa.int32()), pa.array(found, pa.list_(pa.int32()))], names=["y", "evidence", "found"])
+                evidence.append(sum(any(f in telling for f in features(w)) for w in inside) / max(1, len(inside)))
+            yield pa.RecordBatch.from_arrays([batch["y"], pa.array(evidence, pa.float64()), pa.array(found, pa.list_(pa.int32()))], names=["y", "evidence", "found"])
 
-    table = known.mapInArrow(design, "y int, evidence int, found array<int>").toArrow()  # at most about 2 x sample rows
+    table = known.mapInArrow(run, "y int, evidence double, found array<int>").toArrow()  # at most about 2 x sample rows
     y, evidence = table["y"].to_numpy(), table["evidence"].to_numpy()
-    flat, sizes = table["found"].combine_chunks(), np.diff(table["found"].combine_chunks().offsets.to_numpy()) // 2
-    pairs = flat.flatten().to_numpy().reshape(-1, 2)
+    flat = table["found"].combine_chunks()
+    sizes, pairs = np.diff(flat.offsets.to_numpy()) // 2, flat.flatten().to_numpy().reshape(-1, 2)
     cuts = np.quantile(evidence[y == 1], [1 / 3, 2 / 3])
     grade = np.where(y == 1, 1 + (evidence > cuts[0]).astype(int) + (evidence > cuts[1]), 0)
-    weight = np.ones(len(y))
-    w, t = fit_ordinal(np.repeat(np.arange(len(y)), sizes), pairs[:, 0], np.minimum(pairs[:, 1], 5).astype(float), grade, weight, len(index))
-    return Model(index, w, t)
+    return np.repeat(np.arange(len(y)), sizes), pairs[:, 0], pairs[:, 1].astype(float), grade, np.ones(len(y))
+
+
+class Remembered(dict):
+    """Weights of words, computed once; beyond CACHE words all are forgotten."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = weight = self.model.word_weight(word)
+        return weight
 
 
 def scorer(model: Model | None):
-    """A function over batches with a text column: (severity, p_toxic, grade) of their rows as arrays."""
-    known: dict[str, float] = {}
+    """A function over texts: (severity, p_toxic, grade) of each as arrays."""
+    weight = Remembered(model).__getitem__
 
     def run(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s = np.zeros(len(texts))
         for k, text in enumerate(texts if model is not None else ()):
-            ws = words(text)
-            new = ws.difference(known)
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = ws
-            for w in new:
-                known[w] = model.word_weight(w)
-            s[k] = math.fsum(map(known.__getitem__, ws))  # exact, so in any order: reruns agree to the last bit
+            s[k] = strongest(stretches(words(text)), weight)[0]
         above = np.zeros((len(s), GRADES)) if model is None else model.grades(s)
         p = -np.diff(np.concatenate([np.ones((len(s), 1)), above, np.zeros((len(s), 1))], 1), axis=1)
         return above.sum(1), above[:, 0], p.argmax(1).astype(np.int32)
