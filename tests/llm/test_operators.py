@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import differences
-from tradewinds.llm import hashing, html_text, mixing, neardup, packing, pii, quality, queries, simhash, spans, toxicity
+from tradewinds.llm import common, hashing, html_text, mixing, neardup, packing, pii, quality, queries, simhash, spans, toxicity
 
 SF, SF2, SF1 = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 KEY = "a key"
@@ -656,7 +656,7 @@ def test_spans_remove_short_sentences_whole_or_not_at_all(spark):
 
 
 def test_spans_of_a_hot_passage(spark, monkeypatch):
-    monkeypatch.setattr(spans, "HOT", 10)
+    monkeypatch.setattr(common, "FREQUENT", 10)
     passage = " ".join(f"Sentence {k} of it says word{k} and word{k + 1} twice." for k in range(9))
     df = spark.createDataFrame([(k, f"Number {k} begins here. {passage}") for k in range(60)], "doc_id long, text string")
     got = sorted((r.doc_id, r.text.strip(), r.n_removed) for r in spans.dedup(df).collect())

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def merge(parent: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -43,7 +43,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy(F.col("big").alias("node")).agg(F.min("low").alias("least"))
         turned = large.join(least, large.big == least.node).where(F.col("low") != F.col("least"))
         small = turned.select(F.col("low").alias("big"), F.col("least").alias("low")).union(least.select("node", "least"))
-        edges = materialize(small.distinct(), "cc-edges")
+        before, edges = edges, materialize(small.distinct(), "cc-edges")
+        discard(edges.sparkSession, before._written_at)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("big", "low").cast("decimal(20,0)"))).first()
         if now == state:
             break

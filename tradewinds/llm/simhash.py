@@ -2,9 +2,10 @@
 
 Equal fingerprints are one row (their documents form one class, represented by the least id). A tile holds fingerprints
 whose two 32-bit halves have the same population counts; two fingerprints within the radius have counts that differ by no
-more than the radius in sum, so other pairs of tiles are skipped. Large tiles are cut into blocks. Two blocks are compared
-by exclusive or and bit counts, after a further cut by the population count of a quarter. A pair of blocks returns at most
-one edge per fingerprint (to the least one it reaches within the two blocks), never its pairs.
+more than the radius in sum, so other pairs of tiles are skipped. Large tiles are cut into blocks. Pairs of blocks are found
+by a join of the tiles' counts. Two blocks are compared by exclusive or and bit counts, after a further cut by the population
+count of a quarter. A pair of blocks returns at most one edge per fingerprint (to the least one it reaches within the two
+blocks), never its pairs.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, partitions
+from .common import join_uneven, materialize, partitions
 from .components import components, merge
 
 #: Fingerprints in a block of a tile, about.
-BLOCK = 8192
+BLOCK = 65_536
 _ROWS = 256
 
 
@@ -55,15 +56,6 @@ def fingerprints(docs: DataFrame, width: int = 4, keep: tuple[str, ...] = ()) ->
     return docs.select(F.col("doc_id").cast("long"), "text", *keep).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *keep)))
 
 
-def _blocks(ways: dict[tuple[int, int], int], radius: int) -> dict[tuple[int, int], list[tuple[int, int, int]]]:
-    """For each tile: the blocks (tile's two counts, block) within the radius that it is the first of two to."""
-    out = {}
-    for tile in ways:
-        near = [t for t in ways if t >= tile and abs(t[0] - tile[0]) + abs(t[1] - tile[1]) <= radius]
-        out[tile] = [(*t, b) for t in sorted(near) for b in range(ways[t])]
-    return out
-
-
 def link_blocks(fp_a: np.ndarray, id_a: np.ndarray, fp_b: np.ndarray, id_b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (id, least id reached) that connect what links between, not within, two blocks of fingerprints."""
     quarter_a, quarter_b = (np.bitwise_count(x & np.uint64(0xFFFF)).astype(np.int16) for x in (fp_a, fp_b))
@@ -87,51 +79,54 @@ def links(distinct: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect the distinct fingerprints (fp, id) of every component."""
     half = [F.bit_count(F.col("fp").bitwiseAND(0xFFFFFFFF)).cast("int"), F.bit_count(F.shiftrightunsigned("fp", 32)).cast("int")]
     rows = distinct.select("fp", "id", half[0].alias("p"), half[1].alias("q"))
-    # at most 33 x 33 tiles
+    # at most 33 x 33 tiles of some blocks each
     ways = {(r.p, r.q): -(-r.n // block) for r in rows.groupBy("p", "q").agg(F.count("*").alias("n")).collect()}
-    to = _blocks(ways, radius)
 
     def gather(key, table):
         order = np.argsort(table["id"].to_numpy())
         p, q, b = (k.as_py() for k in key)
-        near = [x for x in to[(p, q)] if x >= (p, q, b)]
-        own = pa.table({"p": [p], "q": [q], "b": [b], "fps": [table["fp"].to_numpy()[order].tobytes()], "ids": [table["id"].to_numpy()[order].tobytes()], "near": [[list(x) for x in near]]})
-        return own.cast(schema)
+        return pa.table({"p": [p], "q": [q], "b": [b], "fps": [table["fp"].to_numpy()[order].tobytes()], "ids": [table["id"].to_numpy()[order].tobytes()]}).cast(schema)
 
-    schema = pa.schema([("p", pa.int32()), ("q", pa.int32()), ("b", pa.int32()), ("fps", pa.binary()), ("ids", pa.binary()), ("near", pa.list_(pa.list_(pa.int32())))])
+    schema = pa.schema([("p", pa.int32()), ("q", pa.int32()), ("b", pa.int32()), ("fps", pa.binary()), ("ids", pa.binary())])
     count = F.create_map(*[F.lit(x) for (p, q), n in ways.items() for x in (p * 64 + q, n)]) if ways else F.create_map(F.lit(0), F.lit(1))
     blocks = materialize(
-        rows.withColumn("b", F.pmod(F.xxhash64("fp"), count[F.col("p") * 64 + F.col("q")]).cast("int"))
-        .groupBy("p", "q", "b")
-        .applyInArrow(gather, "p int, q int, b int, fps binary, ids binary, near array<array<int>>"),
+        rows.withColumn("b", F.pmod(F.xxhash64("fp"), count[F.col("p") * 64 + F.col("q")]).cast("int")).groupBy("p", "q", "b").applyInArrow(gather, "p int, q int, b int, fps binary, ids binary"),
         "simhash-blocks",
     )
-    first = blocks.select(F.explode("near").alias("to"), F.col("fps").alias("fps_a"), F.col("ids").alias("ids_a"))
-    first = first.select(F.col("to")[0].alias("p"), F.col("to")[1].alias("q"), F.col("to")[2].alias("b"), "fps_a", "ids_a")
-    pairs = first.join(blocks.drop("near"), ["p", "q", "b"]).repartition(4 * partitions(distinct.sparkSession))
+    # each block's number with those of the blocks within the radius, itself included; then the blocks come to these pairs
+    here, there = (blocks.select(F.col("p").alias(f"p{k}"), F.col("q").alias(f"q{k}"), F.col("b").alias(f"b{k}")) for k in (1, 2))
+    near = F.array(*[F.struct(F.lit(x).alias("p"), F.lit(y).alias("q")) for x in range(-radius, radius + 1) for y in range(abs(x) - radius, radius - abs(x) + 1)])
+    around = here.withColumn("d", F.explode(near)).select("p1", "q1", "b1", (F.col("p1") + F.col("d.p")).alias("p2"), (F.col("q1") + F.col("d.q")).alias("q2"))
+    number = lambda k: F.struct(f"p{k}", f"q{k}", f"b{k}")
+    pairs = around.join(there, ["p2", "q2"]).where(number(1) <= number(2))
+    of = lambda k: blocks.select(F.col("p").alias(f"p{k}"), F.col("q").alias(f"q{k}"), F.col("b").alias(f"b{k}"), F.col("fps").alias(f"fps{k}"), F.col("ids").alias(f"ids{k}"))
+    pairs = pairs.join(of(1), ["p1", "q1", "b1"]).join(of(2), ["p2", "q2", "b2"]).repartition(4 * partitions(distinct.sparkSession))
 
     def compare(batches):
         for batch in batches:
-            for fa, ia, fb, ib in zip(*(batch[c] for c in ("fps_a", "ids_a", "fps", "ids"))):
+            for fa, ia, fb, ib in zip(*(batch[c] for c in ("fps1", "ids1", "fps2", "ids2"))):
                 x = [np.frombuffer(v.as_py(), t) for v, t in ((fa, np.uint64), (ia, np.int64), (fb, np.uint64), (ib, np.int64))]
                 a, b = link_blocks(*x, radius)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return pairs.select("fps_a", "ids_a", "fps", "ids").mapInArrow(compare, "a long, b long")
+    return pairs.select("fps1", "ids1", "fps2", "ids2").mapInArrow(compare, "a long, b long")
 
 
 def dedup(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """Return doc_id, fingerprint (16 hex digits), component_id: the least id reachable over links, itself included.
 
     Documents link if their fingerprints differ in at most ``radius`` bits. Null and empty texts have fingerprint zero and
-    link like any other. A null id is kept with a null component unless its fingerprint's other documents give one; repeated
-    rows give repeated results. Other columns are ignored; an empty table gives none.
+    link like any other. A null id has the least other id of its component, or null if there is none; rows that share an id have
+    each the component of its own text, and repeated rows give repeated results. Other columns are ignored; an empty table gives none.
     """
     found = materialize(fingerprints(docs, width), "simhash")
-    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-classes")
-    roots = components(links(classes.where(F.col("id").isNotNull()), radius))
-    classes = classes.join(roots, "id", "left").select("fp", F.coalesce("component_id", "id").alias("component_id"))
-    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # an id can stand for several fingerprints if rows share it, so links go between fingerprints
+    classes = materialize(found.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "simhash-classes")
+    roots = components(links(classes.select("fp", F.col("fp").alias("id")), radius))
+    classes = materialize(classes.join(roots, F.col("fp") == roots["id"], "left").select("fp", classes["id"], "n", F.coalesce("component_id", "fp").alias("root")), "simhash-roots")
+    least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
+    classes = classes.join(least, "root").select("fp", "n", "component_id")
+    return join_uneven(found, classes, "fp", "n", found.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:

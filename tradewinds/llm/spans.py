@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import join_uneven, materialize
 
 #: Segments and words that a span has at least.
 LEAST, WORDS = 3, 25
@@ -27,8 +27,6 @@ LEAST, WORDS = 3, 25
 WINDOW = 8
 #: Words up to which a sentence is only removed whole.
 LONG = 16
-#: A hash is hot if it has more than this part of all spans; so there are at most this many, which are broadcast.
-HOT = 20_000
 #: Characters (as code points) that are worked on at once; a longer text is taken alone.
 CHUNK = 1 << 20
 #: For each code point, the last for all beyond: 1 for white space, 2 for what ends a sentence, 4 for what may follow that.
@@ -186,29 +184,21 @@ def dedup(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     told apart. Texts shorter than a span lose nothing. A sentence of more than LONG words counts as its segments. Other
     columns are ignored; an empty table gives none.
 
-    Spans are equal if both their hashes are (96 bits). A hash with more than one of HOT of all spans is joined by broadcast,
-    so that no task gathers the places of a passage that many documents share; the others have few rows each.
+    Spans are equal if both their hashes are (96 bits). Joins on hashes are those for uneven keys: no task gathers the places
+    of a passage that many documents share.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("uid"))
     found = materialize(find(rows, least, words), "spans")
     spans = found.where("h IS NOT NULL")
     # only the hashes are shuffled to tell which occur again, and then the spans that may be of these
     twice = materialize(spans.groupBy("h").count().where("count > 1"), "spans-twice")
-    often = found.count() / HOT
-    hot = F.broadcast(twice.where(F.col("count") > often).select("h"))
-    rare = spans.join(hot, "h", "left_anti").join(twice.where(F.col("count") <= often).select("h"), "h")
-    found_again = materialize(
-        rare.withColumn("hot", F.lit(False)).unionByName(spans.join(hot, "h").withColumn("hot", F.lit(True))), "spans-again"
-    )
+    found_again = materialize(join_uneven(spans, twice, "h", "count", found.count()).select("doc_id", "uid", "at", F.struct("h", "g").alias("k")), "spans-again")
     place = F.struct("doc_id", "uid", "at")
-    first = found_again.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("hot").alias("hot")).where(F.col("first") != F.col("last")).select("h", "g", "first", "hot")
-    first = materialize(first, "spans-first")
-    later = [
-        found_again.where(is_hot).drop("hot").join(of.drop("hot"), ["h", "g"]).where(~place.eqNullSafe(F.col("first")))
-        for is_hot, of in ((~F.col("hot"), first.where("NOT hot")), (F.col("hot"), small(first.where("hot"))))
-    ]
+    first = found_again.groupBy("k").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where(F.col("first") != F.col("last"))
+    first = materialize(first.drop("last"), "spans-first")
+    later = join_uneven(found_again, first, "k", "n", found.count()).where(~place.eqNullSafe(F.col("first")))
     sizes = found.where("h IS NULL").select("doc_id", "uid", F.lit(None).cast("long").alias("at"), F.col("at").alias("n"))
-    marked = sizes.unionByName(later[0].unionByName(later[1]).select("doc_id", "uid", "at", F.lit(None).cast("long").alias("n")))
+    marked = sizes.unionByName(later.select("doc_id", "uid", "at", F.lit(None).cast("long").alias("n")))
     marks = marked.groupBy(F.col("doc_id").alias("_doc"), F.col("uid").alias("_uid")).agg(F.collect_set("at").alias("marks"), F.max("n").alias("n"))
 
     def run(batches):
