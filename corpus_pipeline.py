@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewinds.llm import mixing, packing, pii, queries, simhash, toxicity
-from tradewinds.llm.common import materialize
+from tradewinds.llm.common import discard, materialize, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -51,7 +51,12 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages one after the other, each stage's rows written as Parquet and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark) as written:  # a stage's own tables, and those of the stage before, aren't needed any more
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            written.remove(docs._written_at)
+        if before is not None:
+            discard(spark, before)
+        before = docs._written_at
     return docs
