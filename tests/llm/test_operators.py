@@ -95,6 +95,16 @@ def test_near_duplicates_edge_cases_and_blocks(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", [False, True])
+def test_near_duplicates_of_null_and_repeated_ids_and_text_labels(spark, text):
+    a, b, c = [1.0, 0.0, 0.0], [0.99, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(None, a), (3, a), (4, a), (3, b), (5, c), (5, [0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.01]), (None, [0.5, -0.5, -0.5]), (9, c), (9, None), (None, None)]
+    df = spark.createDataFrame([(i, v, "x" if text else 1) for i, v in rows], f"vec_id long, embedding array<float>, label {'string' if text else 'int'}")
+    got = sorted(map(tuple, neardup.near_duplicates(df).collect()), key=repr)
+    want = [(None, 3, 3, False), (3, 3, 3, True), (4, 3, 3, False), (3, 3, 3, True), (5, 1, 5, True), (5, 1, 5, True), (None, 1, 5, False), (None, 0, None, False), (9, 1, 5, False), (9, 0, 9, True), (None, 0, None, False)]
+    assert got == sorted(want, key=repr)
+
+
 def test_int8_bounds_never_miss():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((200, 16)) * rng.exponential(1, (200, 1))
@@ -381,6 +391,35 @@ def test_mixing_agrees_with_sql(spark):
     assert differences(spark, SF2, "op5", queries.op5_mixing, queries.ORACLE_SQL["op5_mixing"]) == []
 
 
+def test_mixing_of_rows_without_ids_comes_near_the_targets(spark):
+    rng = np.random.default_rng(11)
+    rows = [(None if k % 2 else 5, " ".join(f"w{j}" for j in rng.integers(0, 999, 50)), s) for s, n in (("a", 40), ("b", 400), (None, 400)) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = defaultdict(int)
+    for r in mixing.mix(df).collect():
+        taken[r.target] += r.taken
+        assert r.taken <= 2 * r["size"]
+    assert len(taken) == 3 and all(abs(t - n) <= 50 for t, n in taken.items())
+
+
+@pytest.mark.parametrize("n", [1, 7, 200])
+def test_targets_fill_up_by_weight(spark, n):
+    rng = np.random.default_rng(n)
+    sizes = {f"s{k:03d}": int(v) for k, v in enumerate(rng.integers(0, 5000, n))}
+    weights = {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(sorted(sizes))}
+    budget, full = 1.5 * sum(sizes.values()), set()
+    while True:
+        left = budget - sum(2.0 * sizes[s] for s in full)
+        share = {s: left * weights[s] / sum(weights[t] for t in sizes if t not in full) for s in sizes if s not in full}
+        over = {s for s, v in share.items() if v >= 2.0 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r.source: r.target for r in mixing.targets(df, (5, 2, 1), 1.5, 2.0).collect()}
+    assert got == pytest.approx({s: 2.0 * sizes[s] if s in full else share[s] for s in sizes})
+
+
 def test_resample_takes_what_mix_says(spark):
     docs = table(spark, "documents")
     n = {r.doc_id: r.n for r in mixing.resample(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
@@ -524,6 +563,27 @@ def test_packing_round_trip(spark):
     assert len(by_sequence) <= 1.03 * least + 2
 
 
+def test_packing_of_odd_and_repeated_rows(spark, odd):
+    got = packing.pack(odd, 64).collect()
+    per_doc = defaultdict(int)
+    for r in got:
+        per_doc[r.doc_id] += 1
+    assert per_doc[1] == 2 and per_doc[2] == per_doc[3] == per_doc[5] == per_doc[None] == 1 and per_doc[4] == per_doc[8] > 900
+    places = defaultdict(list)
+    for r in got:
+        places[r.sequence_id].append((r.offset, r.length))
+    for x in places.values():
+        assert sum(n for _, n in x) <= 64 and all(a + n == b for (a, n), (b, _) in zip(sorted(x), sorted(x)[1:]))
+
+
+def test_packing_of_more_chunks_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 400)
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    texts = [" ".join(f"{a}{b}{c}x{k}." for a in "abcdefghij" for b in "klmnopqrst" for c in "uvwxy") for k in ("", 7)] + ["abx abx. one two"]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.batch(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_plan_places_every_rank_once():
     rng = np.random.default_rng(4)
     counts = {int(s): int(n) for s, n in zip(rng.permutation(np.arange(1, 2049))[:300], rng.integers(1, 40, 300))}
@@ -719,6 +779,30 @@ def test_hashing_recall_order_and_edges(spark):
     assert hashing.neighbours(e.limit(0)).count() == 0
 
 
+def test_hashing_of_repeated_ids_ties_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 2.0]), (0, [1.0, 0.0]), (7, [1.0, 0.0]), (5, [1.0, 0.0]), (8, [0.0, 2.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(1) for c in "id row dim v b g q n rank score blocks groups".split()})
+    got = sorted(map(tuple, hashing.neighbours(df, k=3).select("query_id", "score", "vec_id", "rank").collect()))
+    same = [(0, 0.0, 0, 1), (0, 0.0, 5, 2), (0, 0.0, 7, 3)]
+    assert got == sorted([*same, *same, (0, 0.5, 8, 1), (0, math.sqrt(5), 0, 2), (0, math.sqrt(5), 0, 3)])
+
+
+def test_hashing_recall_on_more_queries(spark):
+    e = table(spark, "embeddings", SF1).select("vec_id", "embedding")
+    rows = e.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    found = defaultdict(set)
+    for r in hashing.neighbours(e, every=20, block=1500, queries=100).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = total = 0
+    for q in ids[ids % 20 == 0].tolist():
+        d = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
+        d[ids == q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]].tolist()) & found[q])
+        total += 10
+    assert total >= 1000 and hits >= 0.95 * total
+
+
 def test_hashing_probes_every_code_within_a_radius():
     rng = np.random.default_rng(6)
     x = rng.standard_normal((500, 32))

@@ -5,7 +5,7 @@ least) and the signs after them. A code is split into 16-bit substrings, and eve
 table of its own. If two codes differ in at most r bits, then one of their m substrings differs in at most r // m: probing
 those buckets finds every code within r, and the codes found are checked in full. The original vectors of those within r are
 compared in double precision. A query's radius grows until its tenth neighbour so far is nearer than codes at that radius
-can be expected to be.
+can be expected to be. Where the tenth neighbour is far (60 of 128 bits), that is a good part of all buckets.
 """
 
 from __future__ import annotations
@@ -15,14 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, partitions, small
 
-#: Vectors of each length that a rotation is learned on at most, about; they are chosen by a hash of the id.
+#: Vectors that rotations are learned on at most, about, chosen by a hash of the row; a length with few gets a random one.
 SAMPLE = 16_384
 BITS, PART = 128, 16
-#: Rows and queries in a block, about.
-BLOCK, QUERIES = 32_768, 1_024
+#: Rows in a block of the index and queries in a block, at most, about: every block of queries meets every block of rows, so
+#: a row is shipped once for each block of queries, and a query once for each block of rows.
+BLOCK, QUERIES = 131_072, 16_384
+#: Queries that a block has at least, about, where there are fewer blocks than partitions.
+FEW = 64
 #: Standard deviations of a code's distance by which a radius exceeds what the tenth neighbour's angle leads to expect.
 MARGIN = 2.0
 
@@ -61,8 +65,8 @@ class Codes:
 class Index:
     """A block of rows: codes, a table of buckets for each substring, vectors."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes):
-        self.ids, self.x, self.codes = ids, vectors, codes
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, codes: Codes, rows: np.ndarray | None = None):
+        self.ids, self.x, self.codes, self.rows = ids, vectors, codes, ids if rows is None else rows
         self.parts = codes(vectors)
         self.whole = np.ascontiguousarray(self.parts).view(np.uint64)
         self.tables = []
@@ -85,7 +89,7 @@ class Index:
         return np.concatenate(found) if found else np.zeros(0, np.int32)
 
     def search(self, own: int | None, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the ``k`` nearest found, ties to the smaller id."""
+        """(ids, distances) of the ``k`` nearest found but the row ``own``, ties to the smaller id."""
         part = self.codes(vector[None])[0]
         code, m = part.view(np.uint64), len(part)
         direction = vector - self.codes.mean
@@ -106,7 +110,7 @@ class Index:
                 apart = np.concatenate([apart, np.bitwise_count(self.whole[rows] ^ code).sum(1, dtype=np.int64)])
             now = apart <= radius
             rows, beyond, apart = beyond[now], beyond[~now], apart[~now]
-            rows = rows[self.ids[rows] != own] if own is not None else rows
+            rows = rows[self.rows[rows] != own] if own is not None else rows
             ids = np.concatenate([ids, self.ids[rows]])
             distance = np.concatenate([distance, np.sqrt(((self.x[rows] - vector) ** 2).sum(1))])
             best = np.lexsort((ids, distance))[:k]
@@ -130,19 +134,16 @@ def _usable(e):
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE) -> dict[int, Codes]:
-    """Rotations by vector length, each from about ``sample`` of the vectors of that length at most."""
-    sizes = {r.dim: r.n for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each length
-    if not sizes:
-        return {}
-    cuts = F.create_map(*[F.lit(x) for dim, n in sizes.items() for x in (dim, int(min(1.0, sample / n) * 2**62))])
-    h = F.shiftrightunsigned(F.xxhash64("id", F.lit("rotation")), 2)
-    table = rows.where(h < cuts[F.col("dim")]).select("dim", "id", "v").toArrow()
+    """Rotations by vector length, from about ``sample`` vectors in all at most."""
+    total = rows.count()
+    h = F.shiftrightunsigned(F.xxhash64("row", F.lit("rotation")), 2)
+    table = rows.where(h < F.lit(int(min(1.0, sample / max(1, total)) * 2**62))).select("dim", "row", "v").toArrow()
     dims = table["dim"].to_numpy()
     out = {}
-    for dim in sizes:
+    for dim in np.unique(dims).tolist():
         part = table.take(pa.array(np.flatnonzero(dims == dim)))
-        x = part["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-        out[dim] = Codes(x[np.lexsort((*x.T[:1], part["id"].to_numpy()))])
+        x = part["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+        out[dim] = Codes(x[np.lexsort((part["row"].to_numpy(), *x.T[:1]))])
     return out
 
 
@@ -151,37 +152,38 @@ def neighbours(vectors: DataFrame, every: int = 100, k: int = 10, block: int = B
 
     Every other row of (vec_id, embedding) of the same length is a candidate; score is the Euclidean distance in double
     precision, ties go to the smaller id. A vector that is null, empty, zero or holds a null or non-finite component takes no
-    part, nor does a row with a null id. Rows with equal ids are one (the one with the smallest vector). Other columns are
-    ignored; an empty table gives none.
+    part, nor does a row with a null id. Rows that share an id are rows of their own, as queries too: each is ranked for
+    itself and is a candidate for the others. Other columns are ignored; an empty table gives none.
     """
-    e = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType.elementType
+    e = F.col("embedding") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.when(_usable(e), e).alias("v")).where("v IS NOT NULL")
-    rows = materialize(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "ann-rows")
-    codes = learn(rows)
-    counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).collect()
-    if not counts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ways = {r.dim: (max(1, -(-r.n // block)), max(1, -(-r.q // queries))) for r in counts}
-    of = lambda i: F.create_map(*[F.lit(x) for dim, w in ways.items() for x in (dim, w[i])])[F.col("dim")]
+    rows = materialize(rows.withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "ann-rows")
+    codes, parts = learn(rows), partitions(vectors.sparkSession)
     is_query = F.col("id") % every == 0
-    # a row is indexed in its own block, once for every block of queries; a query goes to every block of rows
-    own = F.pmod(F.xxhash64("id", F.lit(1)), of(0)).cast("int")
-    group = F.pmod(F.xxhash64("id", F.lit(2)), of(1)).cast("int")
-    held = rows.select("dim", own.alias("b"), F.explode(F.sequence(F.lit(0), of(1) - 1)).alias("g"), "id", "v")
-    asked = rows.where(is_query).select("dim", F.explode(F.sequence(F.lit(0), of(0) - 1)).alias("b"), group.alias("g"), "id", "v")
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).where("q > 0")
+    sizes = sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    enough = F.least(F.ceil(F.lit(parts) / F.col("blocks")), F.ceil(F.col("q") / FEW))  # so that all partitions have work
+    sizes = small(materialize(sizes.select("dim", "blocks", F.greatest(F.ceil(F.col("q") / queries), enough).cast("int").alias("groups")), "ann-sizes"))
+    rows = rows.join(sizes, "dim")
+    own = F.pmod(F.xxhash64("row", F.lit(1)), F.col("blocks")).cast("int")
+    group = F.pmod(F.xxhash64("row", F.lit(2)), F.col("groups")).cast("int")
+    held = rows.select("dim", own.alias("b"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), "id", "row", "v")
+    asked = rows.where(is_query).select(F.col("dim").alias("dim"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), group.alias("g"), *(F.col(c).alias(c) for c in ("id", "row", "v")))
 
     def run(key, left, right):
         dim = key[0].as_py()
-        read = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        read = lambda t: t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim).astype(np.float64)
         if not left.num_rows or not right.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        index = Index(left["id"].to_numpy(), read(left), codes[dim])
-        found = [(q, *index.search(q, v, k)) for q, v in zip(right["id"].to_pylist(), read(right))]
+            return pa.table({c: pa.array([], t) for c, t in (("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()))})
+        index = Index(left["id"].to_numpy(), read(left), codes.get(dim) or Codes(np.zeros((0, dim))), left["row"].to_numpy())
+        found = [index.search(q, v, k) for q, v in zip(right["row"].to_pylist(), read(right))]
+        many = [len(i) for i, _ in found]
         return pa.table({
-            "query_id": np.repeat([q for q, _, _ in found], [len(i) for _, i, _ in found]).astype(np.int64),
-            "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([d for _, _, d in found]),
+            "query_id": np.repeat(right["id"].to_numpy(), many), "query": np.repeat(right["row"].to_numpy(), many),
+            "vec_id": np.concatenate([i for i, _ in found]), "score": np.concatenate([d for _, d in found]),
         })
 
-    found = held.groupBy("dim", "b", "g").cogroup(asked.groupBy("dim", "b", "g")).applyInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = held.groupBy("dim", "b", "g").cogroup(asked.groupBy("dim", "b", "g")).applyInArrow(run, "query_id long, query long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Every document has a fixed 60-bit hash of its id. A source's budget is met by the documents whose hash lies below a
+Every document has a fixed 60-bit hash of its id and text. A source's budget is met by the documents whose hash lies below a
 threshold. The threshold is found without sorting documents: sum sizes by source and the leading hash bits, locate the
 bucket in which the running sum crosses the budget, and refine only that bucket with the next bits, until the full hash
 is known. Only one row per source and bucket is ever gathered.
@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, running, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
 LEVEL_BITS = 15
 
 
-def id_hash(id_col: Column) -> Column:
-    """60 bits of the MD5 of the id's text (null: of the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(id_col.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def row_hash(id_col: Column, text: Column) -> Column:
+    """60 bits of the MD5 of the id's text, a bar and the text (nulls: empty)."""
+    whole = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
@@ -29,25 +30,22 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
     Sources in code-point order (null last) get ``weights`` in turn, repeating. They share ``share`` times all sizes by
     weight; a source stops at ``most`` times its own size and what is left over is shared among the others by weight.
-    The table has one row per source, so the two orderings below sort sources, never documents.
+    Sources are dealt out by ranges, so that there can be any number of them.
     """
     ws = F.array(*[F.lit(float(w)) for w in weights])
-    ranked = sizes.withColumn("rank", F.row_number().over(W.orderBy(F.asc_nulls_last("source")))).withColumn(
-        "w", F.element_at(ws, ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
+    ranked = running(sizes, [F.asc_nulls_last("source")], {"rank": F.lit(1).cast("long")}).withColumn("w", F.element_at(ws, ((F.col("rank") - 1) % len(weights) + 1).cast("int")))
+    ranked = materialize(
+        ranked.withColumn("limit", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("w")), "mix-ranked"
     )
-    ranked = ranked.withColumn("limit", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("w"))
-    order = W.orderBy("ratio", "rank")
-    before, onward = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(0, W.unboundedFollowing)
-    everything = W.partitionBy()
-    ranked = (
-        ranked.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(everything))
-        .withColumn("level", (F.col("budget") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("w").over(onward))
-        .withColumn("full", F.col("ratio") <= F.col("level"))
-        .withColumn("used", F.coalesce(F.sum(F.when(F.col("full"), F.col("limit"))).over(everything), F.lit(0.0)))
-        .withColumn("free", F.sum(F.when(~F.col("full"), F.col("w"))).over(everything))
-    )
-    target = F.when(F.col("full"), F.col("limit")).otherwise((F.col("budget") - F.col("used")) * F.col("w") / F.col("free"))
-    return ranked.select("source", "source_size", target.alias("target"))
+    total = ranked.agg(F.sum("source_size").cast("double").alias("size"), F.sum("w").alias("w")).first()
+    budget = float(share) * (total["size"] or 0.0)
+    # the level to which the sources from this one on could be filled if those before it are full
+    ordered = running(ranked, [F.col("ratio").asc(), F.col("rank").asc()], {"limits": F.col("limit"), "ws": F.col("w")})
+    level = (F.lit(budget) - (F.col("limits") - F.col("limit"))) / (F.lit(total["w"] or 0.0) - F.col("ws") + F.col("w"))
+    filled = materialize(ordered.withColumn("full", F.col("ratio") <= level), "mix-filled")
+    left = filled.agg(F.sum(F.when(F.col("full"), F.col("limit"))).alias("used"), F.sum(F.when(~F.col("full"), F.col("w"))).alias("free")).first()
+    target = F.when(F.col("full"), F.col("limit")).otherwise(F.lit(budget - (left["used"] or 0.0)) * F.col("w") / F.lit(left["free"] or 1.0))
+    return filled.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
@@ -81,7 +79,7 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 def sized(docs: DataFrame) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), id_hash(F.col("doc_id")).alias("h"))
+    return docs.select("doc_id", "source", size.alias("size"), row_hash(F.col("doc_id"), F.col("text")).alias("h"))
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -97,8 +95,9 @@ def copies() -> Column:
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Return doc_id, size, source_size, target, taken: the words that the mix takes from each document.
 
-    Size: words of the text (null or empty: 0). Rows with equal ids are taken together, so repeated rows and reruns
-    agree. Other columns of ``docs`` are ignored; an empty table gives none.
+    Size: words of the text (null or empty: 0). Rows with equal ids and texts are taken together, so repeated rows and
+    reruns agree; rows that only share an id, or have none, are told apart by their texts. Other columns of ``docs`` are
+    ignored; an empty table gives none.
     """
     rows = materialize(sized(docs), "mix-sizes")
     cuts = small(plan(rows, weights, share, most).withColumnRenamed("source", "s"))
@@ -108,10 +107,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def resample(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs`` as the mix takes them: a document taken twice is there twice, one not taken is gone."""
+    """``docs`` as the mix takes them: a document taken twice is there twice, one not taken is gone. One without words is
+    taken like any other, but never more than ``most`` times."""
     rows = materialize(sized(docs).select("source", "h", "size"), "mix-sizes")
     cuts = small(plan(rows, weights, share, most).select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("upto").alias("_upto")))
-    again = F.col("_passes") + (id_hash(F.col("_row.doc_id")) <= F.col("_upto")).cast("long")
+    again = F.least(F.lit(int(most)).cast("long"), F.col("_passes") + (row_hash(F.col("_row.doc_id"), F.col("_row.text")) <= F.col("_upto")).cast("long"))
     return (
         docs.select(F.struct(*docs.columns).alias("_row"))  # so that no column of docs clashes with the cuts
         .join(cuts, F.col("_row.source").eqNullSafe(F.col("_s")))

@@ -1,8 +1,9 @@
 """Embedding near-dedup: int8 tile products with rigorous error bounds, full precision only where they leave doubt.
 
 A unit vector x is kept as scale * q + e with int8 q. For two vectors, |x.y - (sx qx).(sy qy)| <= |ex| |sy qy| + |x| |ey|, and
-each factor is known per vector, so a tile product of int8 codes gives an upper bound of every cosine. Only pairs whose bound
-reaches the threshold are computed again in double precision from the original vectors.
+each factor is known per vector, so a tile product of int8 codes bounds every cosine from both sides. Pairs whose upper bound
+misses the threshold are no links, those whose lower bound reaches it are; only the others are computed again in double
+precision from the original vectors, each pair always in the same way.
 
 Equal vectors of a label are one row with a weight. A large label is cut into blocks by hash and every two blocks of it are
 compared in a task of their own; small labels share tasks. A tile returns, per vector, how much weight it links to and one
@@ -15,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import join_uneven, materialize, small
 from .components import components, merge
 
-#: Vectors in a block, about.
-BLOCK = 2048
+#: Numbers in a block, about, and the least vectors: a label of n blocks ships each of its vectors n times.
+BLOCK_VALUES, LEAST_BLOCK = 1 << 20, 2048
 #: Shares that a label's rows are dealt out to where its size is looked up.
 SALTS = 64
 #: Above the rounding errors of the bounds, which are computed in double precision.
@@ -59,15 +61,15 @@ def tile_links(a: Tile, b: Tile, threshold: float):
     """Yield (i, j): all pairs of ``a`` and ``b`` with a cosine of at least ``threshold``, a part of the rows at a time."""
     for k in range(0, len(a.x), _ROWS):
         rows = slice(k, k + _ROWS)
-        bound = int8_products(a.codes[rows], b.codes) * a.scale[rows, None] * b.scale
-        bound += a.error[rows, None] * b.length + b.error + SLACK
-        i, j = np.nonzero(bound >= threshold)
-        if len(i) > 0.1 * bound.size:
-            exact = (a.x[rows] @ b.x.T)[i, j]
-        else:
-            exact = np.concatenate([np.einsum("ij,ij->i", a.x[rows][i[m : m + 65536]], b.x[j[m : m + 65536]]) for m in range(0, len(i), 65536)] or [np.zeros(0)])
-        found = exact >= threshold
-        yield i[found] + k, j[found]
+        product = int8_products(a.codes[rows], b.codes) * a.scale[rows, None] * b.scale
+        error = a.error[rows, None] * b.length + b.error + SLACK
+        links = product - error >= threshold
+        i, j = np.nonzero((product + error >= threshold) & ~links)
+        for m in range(0, len(i), 65536):
+            x, y = i[m : m + 65536], j[m : m + 65536]
+            links[x, y] = np.einsum("ij,ij->i", a.x[rows][x], b.x[y]) >= threshold
+        i, j = np.nonzero(links)
+        yield i + k, j
 
 
 def compare(ids: np.ndarray, weight: np.ndarray, block: np.ndarray, vectors: np.ndarray, threshold: float):
@@ -89,32 +91,37 @@ def compare(ids: np.ndarray, weight: np.ndarray, block: np.ndarray, vectors: np.
     return ids, linked, np.sort(ids)[parent[rank]]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int | None = None) -> DataFrame:
     """Return vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label).
 
-    Rows link if their labels are equal and not null and their cosine is at least ``threshold``. A vector that is null,
-    empty, zero or holds a null or non-finite component, or a row with a null label, links with nothing; so do vectors of
-    different lengths. Repeated rows are rows of their own that link with each other. Other columns are ignored; an empty
-    table gives none.
+    Rows link if their labels (of any type) are equal and not null and their cosine is at least ``threshold``. A vector that is
+    null, empty, zero or holds a null or non-finite component, or a row with a null label, links with nothing; so do vectors of
+    different lengths. Repeated rows, and rows that share an id, are rows of their own that link like any others; kept is true
+    for each whose id is its component's. A row without an id is linked and counted too; its component is the least id that it
+    reaches, or null, and it isn't kept. Other columns are ignored; an empty table gives none.
     """
-    e = F.col("embedding").cast("array<double>")
+    kind = vectors.schema["embedding"].dataType.elementType
+    e = F.col("embedding") if isinstance(kind, (T.FloatType, T.DoubleType)) else F.col("embedding").cast("array<double>")
     usable = F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = materialize(vectors.select(F.col("vec_id").cast("long"), "label", F.when(usable, e).alias("v")), "neardup-rows")
-    key = F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("label", "v")), 256))
+    rows = vectors.select(F.col("vec_id").cast("long"), "label", F.when(usable, e).alias("v"))
+    rows = materialize(rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("label", "v")), 256))), "neardup-rows")
+    good = rows.where("key IS NOT NULL")
     classes = materialize(
-        rows.where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-        .groupBy(key.alias("key"))
-        .agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v"))
-        .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")),
-        "neardup-classes",
+        good.groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("dim", F.size("v")),
+        "neardup-vectors",
     )
-    sizes = classes.groupBy("label", F.size("v").alias("dim")).agg(F.count("*").alias("n"))
-    spread = F.when(F.col("n") > block, F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    large = sizes.withColumn("salt", F.explode(spread)).select("label", "dim", "salt", F.ceil(F.col("n") / block).cast("int").alias("ways"))
-    placed = classes.withColumn("dim", F.size("v")).join(large, ["label", "dim", "salt"], "left")
+    # a class is named by its least id; where it has none, or another class has the same, by a hash of its vector
+    shared = small(classes.where("least IS NOT NULL").groupBy("least").count().where("count > 1").select("least", F.lit(True).alias("shared")))
+    named = F.when(F.col("least").isNull() | F.col("shared"), F.xxhash64("key")).otherwise(F.col("least"))
+    classes = classes.join(shared, "least", "left").withColumn("id", named).drop("shared").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    classes = materialize(classes, "neardup-classes")
+    of_block = F.lit(block) if block else F.greatest(F.lit(LEAST_BLOCK), F.floor(F.lit(BLOCK_VALUES) / F.col("dim")).cast("int"))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n")).withColumn("ways", F.ceil(F.col("n") / of_block).cast("int"))
+    large = sizes.where("ways > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("label", "dim", "salt", "ways")
+    placed = classes.join(large, ["label", "dim", "salt"], "left")
     ways, own = F.coalesce("ways", F.lit(1)), F.pmod(F.xxhash64("id", F.lit(1)), F.coalesce("ways", F.lit(1))).cast("int")
     # a small label goes to one of as many groups as there are blocks of rows; a large one to a group for every two blocks
-    total = max(1, classes.count() // block)
+    total = max(1, classes.count() // (block or LEAST_BLOCK))
     pairs = F.transform(F.sequence(F.lit(0), ways - 1), lambda k: F.struct(F.least(k, F.col("b")).alias("i"), F.greatest(k, F.col("b")).alias("j")))
     tiles = placed.withColumn("b", own).withColumn("pair", F.explode(pairs)).select(
         F.when(F.col("ways").isNull(), F.pmod(F.xxhash64("label", "dim"), F.lit(total))).otherwise(F.lit(-1)).alias("bin"),
@@ -124,11 +131,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
     )
 
     def run(table):
-        label, dim = (table[c].to_numpy() for c in ("label", "dim"))
-        out = []
-        groups, at = np.unique(np.stack([label.astype(np.int64), dim.astype(np.int64)]), axis=1, return_inverse=True)
-        for g in range(groups.shape[1]):
-            part = np.flatnonzero(at.ravel() == g)
+        label, out = table["label"].combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64), []
+        groups, at = np.unique(np.stack([label, table["dim"].to_numpy().astype(np.int64)]), axis=1, return_inverse=True)
+        order = np.argsort(at.ravel(), kind="stable")
+        for part in np.split(order, np.cumsum(np.bincount(at.ravel(), minlength=groups.shape[1]))[:-1]):
             own = table.take(pa.array(part))
             v = own["v"].combine_chunks().flatten().to_numpy().reshape(len(part), -1)
             out.append(compare(*(own[c].to_numpy() for c in ("id", "weight", "b")), v, threshold))
@@ -137,14 +143,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, block: int = BL
         return pa.table({"id": ids[busy], "linked": linked[busy], "low": low[busy]})
 
     found = materialize(tiles.groupBy("bin", "hot", "hot_dim", "i", "j").applyInArrow(run, "id long, linked long, low long"), "neardup-links")
-    roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))).withColumnRenamed("component_id", "root")
     summed = found.groupBy("id").agg(F.sum("linked").alias("linked"))
-    classes = classes.drop("v", "label", "salt").join(summed, "id", "left").join(roots, "id", "left").select(
-        "key", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
-    )
-    return (
-        rows.select("vec_id", key.alias("key"))
-        .join(classes, "key", "left")
-        .select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
-    )
+    linked = classes.select("key", "least", "id", "weight").join(summed, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    linked = materialize(linked, "neardup-linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = linked.join(least, "root").select("key", "weight", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"), "component_id")
+    alone = rows.where("key IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    both = join_uneven(good.select("vec_id", "key"), known, "key", "weight", rows.count()).select("vec_id", "n_links", "component_id").unionByName(alone)
+    return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

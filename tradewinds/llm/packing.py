@@ -21,17 +21,16 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks of text whose ids a task keeps at most; beyond, it forgets all and starts anew.
 CACHE = 600_000
-#: Ranks are counted within this many shares of each length, so that no length lands in one task.
-SALTS = 64
 
 
 class WordEncoder:
@@ -91,12 +90,20 @@ class WordEncoder:
         """The ids of each text, as an array."""
         for text in texts:
             words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-            new = set(words).difference(self.chunks)
-            if new:
-                self.learn(new)
-                if "" not in self.chunks or not self.chunks.keys() >= set(words):  # the cache has just been emptied
-                    self.learn(set(words).difference(self.chunks))
-            yield np.frombuffer(b"".join(map(self.chunks.__getitem__, words)), "<u2")
+            if len(words) > CACHE // 4:  # a quarter of what is remembered at a time
+                yield np.concatenate([self.some(words[k : k + CACHE // 4]) for k in range(0, len(words), CACHE // 4)])
+            else:
+                yield self.some(words)
+
+    def some(self, words: list[str]) -> np.ndarray:
+        """The ids of so few chunks that they can be remembered together."""
+        new = set(words).difference(self.chunks)
+        if new:
+            self.learn(new)
+            forgotten = set(words).difference(self.chunks)  # if all had to be forgotten for the new ones
+            if forgotten:
+                self.learn(forgotten)
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, words)), "<u2")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -116,27 +123,34 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 _PIECE = pa.schema(
-    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("nth", pa.int64())]
 )
 _PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, capacity: int, path: str | None = None, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the ids of each document, then ``end_id``, cut every ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32, task, nth): the ids of each document, then ``end_id``, cut every ``capacity``.
+
+    ``nth`` counts the pieces of that length in the task that made them, from 0. The rows must be written before they are
+    used, as a task that runs again may number others. Tokenizers with ids above 16 bits are refused.
+    """
 
     def run(batches):
         encoder = shared_encoder(path or tokenizer_path())
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist()
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
+            out: list[list[int]] = [[] for _ in _PIECE]
             for doc, ids in zip(batch["doc_id"].to_pylist(), encoder.batch(batch["text"].to_pylist())):
                 ids = np.append(ids, end_id).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
-                    for column, x in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes()))):
+                    n = len(part)
+                    for column, x in zip(out, (doc, k, start, n, zlib.crc32(part.tobytes()), task, seen[n])):
                         column.append(x)
+                    seen[n] += 1
             yield pa.record_batch([pa.array(x, t.type) for x, t in zip(out, _PIECE)], schema=_PIECE)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECE_SQL)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{_PIECE_SQL}, task int, nth long")
 
 
 class _Sequences:
@@ -310,16 +324,10 @@ def plan(counts: dict[int, int], capacity: int, groups: int = 192, small_part: i
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """``found`` with ``rank``: its place (from 0) among the rows of its length. A length is dealt out to SALTS shares."""
-    key = ["doc_id", "piece", "ids_crc32"]
-    found = found.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int"))
-    shares = found.groupBy("length", "salt").count()
-    before = W.partitionBy("length").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    base = shares.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    within = W.partitionBy("length", "salt").orderBy(*key)
-    numbered = found.withColumn("rank", F.row_number().over(within) - 1)
-    # at most capacity x SALTS rows of three numbers
-    return numbered.join(F.broadcast(base), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("base")).drop("salt", "base")
+    """``found`` with ``rank``: its place (from 0) among the rows of its length, by task and then by place in the task."""
+    before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)  # one row for each task
+    base = found.groupBy("length", "task").count().select("length", "task", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    return found.join(small(base), ["length", "task"]).withColumn("rank", F.col("nth") + F.col("base")).drop("task", "nth", "base")
 
 
 def pack(docs: DataFrame, capacity: int = 2048, path: str | None = None) -> DataFrame:

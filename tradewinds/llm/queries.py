@@ -87,12 +87,12 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, c.component_id, v.vec_id =
 FROM v JOIN c ON c.a = v.vec_id LEFT JOIN d ON d.a = v.vec_id
 """
 
-#: The hash is the first 15 hex digits of the id's MD5; a document is taken once more while the running sum of sizes in
+#: The hash is the first 15 hex digits of the MD5 of id and text; a document is taken once more while the running sum of sizes in
 #: hash order stays within what whole passes leave over (the hash that crosses it only if that is nearer).
 _OP5 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
