@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from tradewinds.operators import lifecycle, price_quality, review, search
+from tradewinds.operators import catalog, lifecycle, price_quality, ranking, review, search
 from tradewinds.schemas import with_defaults
 from tradewinds.sources import payload
 from tradewinds.sources.market import AS_OF, events, offers, table
@@ -90,3 +90,46 @@ def test_market_aggregates_keep_offers_without_market(spark):
     rows = spark.createDataFrame([(1, "m", None, 2.0), (2, None, None, 4.0), (3, None, "", 8.0)], "k int, market_key string, normalized_market_key string, unit_price double")
     got = review.with_market(rows, F.max("unit_price").alias("top")).select("k", "top")
     assert sorted(map(tuple, got.collect())) == [(1, 2.0), (2, 8.0), (3, 8.0)]
+
+
+def test_places_in_large_groups(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 == 0, None).otherwise("a").alias("g"), (F.col("id") * 7919 % 4999).alias("x"), "id")
+    got = ranking.place(df, ["g"], [F.asc("x"), F.asc("id")]).collect()
+    for g in (None, "a"):
+        own = sorted((r.x, r.id, r.place) for r in got if r.g == g)
+        assert [p for _, _, p in own] == list(range(1, len(own) + 1))
+    assert ranking.place(df.limit(0), ["g"], [F.asc("x")]).count() == 0
+
+
+def test_either_key_keeps_repeated_rows(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, "B"), (None, None)], "k int, n string")
+    right = spark.createDataFrame([(1, "A"), (5, "b"), (None, None)], "rk int, rn string")
+    assert sorted(map(tuple, search.either_key(left, right, ("k", "rk"), ("n", "rn")).collect())) == [(1, "a", 1, "A"), (1, "a", 1, "A"), (2, "B", 5, "b")]
+
+
+def test_catalog_files_and_sinks(spark):
+    folder = tempfile.mkdtemp(prefix="tradewinds-test-")
+    with open(f"{folder}/items.json", "w") as f:
+        f.write('{"items": [{"type": "bow",\n "items": [{"name": "Flatbow", "aliases": ["fb"]}, {"name": "Longbow"}]}]}')
+    got = payload.flat_catalog(payload.read_documents(spark, folder), "body").collect()
+    assert sorted((r.type, r.name, list(r.aliases)) for r in got) == [("bow", "Flatbow", ["fb"]), ("bow", "Longbow", [])]
+    o = spark.createDataFrame([(1, "sell", "bow", "q9", 5.0, "e")], "message_id long, trade_type string, item string, requirement string, price_amount double, price_currency string")
+    payload.write_training_set(spark.createDataFrame([(1, "WTS bow"), (2, "hi")], "id long, message string"), o, f"{folder}/set")
+    assert sorted((r.id, r.offers and len(r.offers)) for r in spark.read.json(f"{folder}/set").collect()) == [(1, 1), (2, None)]
+    summary = spark.createDataFrame([("m", 1.0)], "market string, best double")
+    for _ in range(2):  # a rerun of a capture replaces it
+        payload.append_snapshot(summary, "2024-01-02 03:00:00", f"{folder}/snap")
+        payload.append_snapshot(summary, "2024-01-02 04:00:00", f"{folder}/snap")
+    assert spark.read.parquet(f"{folder}/snap").count() == 2
+    payload.replace_table(summary, f"{folder}/table")
+    payload.replace_table(spark.read.parquet(f"{folder}/table").withColumn("best", F.lit(2.0)), f"{folder}/table")
+    assert [r.best for r in spark.read.parquet(f"{folder}/table").collect()] == [2.0]
+
+
+def test_lists_all_or_nothing_and_first_strategies(spark):
+    parts = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (2, 0, "a"), (2, 1, "zz"), (3, 0, None)], "offer_id long, pos int, part string")
+    known = spark.createDataFrame([("a", "A"), ("b", "B")], "alias string, item_key string")
+    assert sorted((r.offer_id, r.item_key) for r in catalog.all_or_nothing(parts, known).collect()) == [(1, "A"), (1, "B")]
+    first = spark.createDataFrame([(1, "x")], "offer_id long, item_key string")
+    second = spark.createDataFrame([(1, "y"), (2, "z")], "offer_id long, item_key string")
+    assert sorted(map(tuple, catalog.first_strategy(first, second).collect())) == [(1, "x", 0), (2, "z", 1)]

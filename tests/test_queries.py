@@ -3,8 +3,9 @@
 import pytest
 
 from tests.oracle import differences
-from tradewinds.plans.oracle import ORACLE_SQL
-from tradewinds.plans.queries import QUERIES
+from tradewinds.plans import oracle, queries, upkeep
+
+ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | upkeep.ORACLE_SQL, queries.QUERIES | upkeep.QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,5 +1,6 @@
 """Goldens of the text operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,10 +73,53 @@ def test_tokens(spark):
     assert [(t.value, t.start, t.length) for t in value(spark, text.tokens, "q9 bow, q9")] == [("q9", 1, 2), ("bow", 4, 3), ("q9", 9, 2)]
 
 
+def parsed(spark, *messages):
+    df = spark.createDataFrame(list(enumerate(messages)), "message_id long, message string")
+    return sorted(catalog.parse(df).collect(), key=lambda r: (r.message_id, r.block, r.segment_no, r.part))
+
+
 def test_parse_inherits_requirement_and_drops_repeats(spark):
-    df = spark.createDataFrame([(1, "WTB Q9 Staves | Zodiac staff | Zodiac staff 5e"), (2, "Hello")], "message_id long, message string")
-    got = sorted((r.item, r.requirement) for r in catalog.parse(df).collect())
-    assert got == [("Staves", "q9"), ("Zodiac staff", "q9")]
+    got = parsed(spark, "WTB Q9 Staves | Zodiac staff | Zodiac staff 5e", "Hello", "", None)
+    assert sorted((r.item, r.requirement) for r in got) == [("Staves", "q9"), ("Zodiac staff", "q9")]
+
+
+def test_parse_lists_exchanges_and_headings(spark):
+    got = parsed(
+        spark, "Elite Tomes: Monk (12) Ele (6) Mes (10) 2e/ea", "WTS BDS | Air Q9/11 | Blood Q9/10", "WTT Tengu flare 2:1 Ghastly", "WTS 2 Armbrace 54e, Zkeys 5=2e", "WTS A sword, B axe, C bow 4k each",
+        "WTB PLATINUM WAND REQ CHANNELING", "WTS Rez 4e/stk", "WTS Q9 Volta | WTB unded Gpriest",
+    )
+    of = lambda k: [r for r in got if r.message_id == k]
+    assert [(r.item, r.price_amount, r.price_basis) for r in of(0)] == [("12 Elite Tomes Monk", 2, "each"), ("6 Elite Tomes Ele", 2, "each"), ("10 Elite Tomes Mes", 2, "each")]
+    assert [(r.item, r.attribute, r.requirement) for r in of(1)] == [("BDS", "air magic", "q9"), ("BDS", "air magic", "q11"), ("BDS", "blood magic", "q9"), ("BDS", "blood magic", "q10")]
+    assert [(r.item, r.quantity, r.receive, r.receive_quantity, r.price_basis, r.price_amount) for r in of(2)] == [("Tengu flare", 2, "Ghastly", 1, "barter", None)]
+    assert [(r.price_amount, r.quantity, r.price_basis, r.unit_price) for r in of(3)] == [(54, 2, "total", 27), (2, 5, "exchange", 0.4)]
+    assert [(r.price_amount, r.price_currency, r.price_basis) for r in of(4)] == [(4, "k", "each")] * 3
+    assert [(r.attribute, r.requirement) for r in of(5)] == [("channeling magic", "any")]
+    assert [(r.item, r.price_basis, r.quantity) for r in of(6)] == [("Rez", "stack", 250)] and [(r.trade_type, r.requirement) for r in of(7)] == [("sell", "q9"), ("buy", None)]
+
+
+def test_sets_have_the_size_of_their_item(spark):
+    df = spark.createDataFrame([(1, "WTS Rin Relics set 5a"), (2, "WTS Rin Relics 5a"), (3, "WTS Odd set 5a")], "message_id long, message string")
+    sizes = spark.createDataFrame([("Rin Relic", 25), (None, 3)], "item string, n int")
+    got = {r.message_id: (r.price_basis, r.quantity, r.unit_price) for r in catalog.with_sets(catalog.parse(df), sizes).collect()}
+    assert got == {1: ("set", 25, pytest.approx(5.4)), 2: ("unqualified", None, 135), 3: ("unqualified", None, 135)}
+
+
+@pytest.mark.parametrize("segment, amount, basis", [("5e or 27e/ea", 27, "each"), ("1750e = 64a 2e/stk", 1750, "currency_conversion"), ("Air 12 e", 12, "unqualified"), ("q9 20/20 15^50 3e", 3, "unqualified"), ("x250 4e", 4, "total")])
+def test_the_surest_price_wins(spark, segment, amount, basis):
+    p = value(spark, text.price, segment)
+    assert (p.amount, p.basis) == (amount, basis)
+
+
+def test_attribute_is_the_longest_and_not_negated(spark):
+    assert [value(spark, text.attribute_of, s) for s in ("soul reaping sr", "no domination, air", "death and dom", "dagger", None)] == ["soul reaping", "air magic", "death magic", None, None]
+
+
+def test_negatives_modifiers_family_score(spark):
+    assert value(spark, text.strip_negatives, "bow (no q9) axe") == "bow  axe" and value(spark, text.modifiers, "q9 air os") == {"requirement": "q9", "attribute": "air magic", "oldschool": "OS"}
+    assert value(spark, text.family, "Zodiac Staves") == "staff"
+    row = spark.range(1).select(text.parse_score(F.lit(0.9), F.lit(True), F.lit(None).cast("string"), F.lit(5.0), F.lit("each"), F.lit(False), F.lit(False), F.lit(False)).alias("s")).first().s
+    assert (row.confidence, row.status) == (0.9, "accepted")
 
 
 def test_dictionary_takes_the_longest_leftmost(spark):
@@ -88,3 +132,63 @@ def test_fuzzy_needs_a_clear_winner(spark):
     names = spark.createDataFrame([("voltaic spaer",), ("zzz",)], "name string")
     aliases = spark.createDataFrame([("voltaic spear", "v"), ("silver bow", "s")], "alias string, item_key string")
     assert [(r.name, r.item_key) for r in catalog.fuzzy_join(names, aliases, 0.8).collect()] == [("voltaic spaer", "v")]
+
+
+def test_dictionary_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    some = lambda n: " ".join(rng.choice(list("abcde"), n))
+    names = sorted({some(int(n)) for n in rng.integers(1, 9, 60)})
+    texts = [(k, some(int(n)) if n else None) for k, n in enumerate(rng.integers(0, 40, 80))] + [(80, "")]
+    want = set()
+    for k, t in texts:
+        ws, at = (t or "").split(), 0
+        while at < len(ws):
+            fits = [n for n in range(1, 10) if at + n <= len(ws) and " ".join(ws[at : at + n]) in names]
+            if fits:
+                want.add((k, " ".join(ws[at : at + max(fits)]), at, max(fits)))
+            at += max(fits, default=1)
+    aliases = spark.createDataFrame([(n, f"k{n}") for n in names], "alias string, item_key string")
+    got = catalog.dictionary_join(spark.createDataFrame(texts, "id long, m string"), aliases, "m", "id").collect()
+    assert {(r.id, r.alias, r.start, r.words) for r in got} == want and len(got) == len(want) and max(r.words for r in got) >= 6
+
+
+def _similar(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+@pytest.mark.parametrize("least", [0.88, 0.75])
+def test_fuzzy_against_brute_force(spark, least):
+    rng = np.random.default_rng(2)
+    letters = list("abcdefg")
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(3, 10))))
+    items = sorted({" ".join(word() for _ in range(int(rng.integers(1, 4)))) for _ in range(40)})
+    names = []
+    for n in items:
+        at = int(rng.integers(0, len(n)))
+        names += [n[:at] + n[at + 1 :], n[:at] + "z" + n[at + 1 :], n]
+    best = lambda xs, ys: sum(max(_similar(x, y) for y in ys) for x in xs) / len(xs)
+
+    def score(a, b):
+        p, q = best(a.split(" "), b.split(" ")), best(b.split(" "), a.split(" "))
+        return 0.72 * 2 * p * q / max(1e-9, p + q) + 0.28 * _similar(a, b)
+
+    want = {}
+    for n in set(names):
+        plain = " ".join(n.split())
+        scored = sorted(((-score(plain, i), i) for i in items))
+        if -scored[0][0] >= least and scored[1][0] - scored[0][0] >= 0.08:
+            want[n] = (scored[0][1], -scored[0][0])
+    aliases = spark.createDataFrame([(i, i) for i in items], "alias string, item_key string")
+    got = {r.name: (r.item_key, r.score) for r in catalog.fuzzy_join(spark.createDataFrame([(n,) for n in [*names, "", None]], "name string"), aliases, least).collect()}
+    assert got.keys() == want.keys() and all(got[n][0] == i and got[n][1] == pytest.approx(s) for n, (i, s) in want.items()) and len(got) > 30
+
+
+def test_token_evidence_needs_a_single_best(spark):
+    texts = spark.createDataFrame([(1, "wts storm daggers of the old"), (2, "storm"), (3, "stormy axes"), (4, None), (5, "silver silverwing")], "id long, text string")
+    items = spark.createDataFrame([("sd", "Storm Daggers"), ("sb", "Storm Bow"), ("sw", "Silverwing Bow"), ("ax", "Storm Axe")], "item_key string, name string")
+    assert {r.id: (r.item_key, r.score) for r in catalog.token_evidence(texts, items).collect()} == {1: ("sd", 6)}

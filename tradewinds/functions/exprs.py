@@ -103,7 +103,7 @@ def deal(price: Column, median: Column, side: Column) -> Column:
 def price_text(ecto: Column, armbrace: float = 26.0) -> Column:
     """'12,5e', or armbraces from 500 ecto on; decimal comma, no trailing zeros."""
     value, unit = F.when(ecto >= 500, ecto / armbrace).otherwise(ecto), F.when(ecto >= 500, "a").otherwise("e")
-    plain = F.regexp_replace(F.regexp_replace(F.replace(F.format_number(value, 2), F.lit(","), F.lit("")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.replace(F.format_number(F.round(value, 2), 2), F.lit(","), F.lit("")), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     return F.concat(F.replace(plain, F.lit("."), F.lit(",")), unit)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import STACK
+from . import values
 from .exprs import once, to_ecto
 
 # The words by which traders say what they want.
@@ -26,32 +28,53 @@ def normalise(message: Column) -> Column:
     return F.trim(reduce(lambda x, s: F.regexp_replace(x, s[0], s[1]), steps, message))
 
 
+def words(message: Column) -> Column:
+    """The words of a message with a blank before and after each: letters, digits and apostrophes, colons, question marks."""
+    return F.concat(F.lit(" "), F.array_join(F.regexp_extract_all(F.lower(message), F.lit("[a-z0-9']+|[:?]"), 0), " "), F.lit(" "))
+
+
+def says(w: Column, phrases: list[str]) -> Column:
+    """Whether :func:`words` hold one of the phrases; ``^`` and ``$`` tie it to the ends."""
+    found = F.lit(False)
+    for p in phrases:
+        plain = f" {p.strip('^$')} "
+        found = found | (w == plain if p[0] == "^" and p[-1] == "$" else F.startswith(w, F.lit(plain)) if p[0] == "^" else F.contains(w, F.lit(plain)))
+    return found
+
+
+def _verdict(kind: str, reason: str) -> Column:
+    return F.struct(F.lit(kind == "market").alias("accepted"), F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
+
+
 def gate(message: Column) -> Column:
-    """(accepted, kind, reason): whether a message can hold offers at all; the first rule that applies decides."""
-    return once(F.trim(F.regexp_replace(message, r"\s+", " ")), _gate)
-
-
-def _gate(text: Column) -> Column:
-    intent = text.rlike(rf"(?i)\b(?:{_MARK})\b")
-    say = lambda kind, reason: F.struct(F.lit(kind == "market").alias("accepted"), F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))
-    # Fixed values: (kind, reason, pattern, holds even with a stated intent).
-    rules = [
-        ("noise", "conversation", r"(?i)^(?:hello|hi|hey|test|ty|thanks?|lol|xd)[.! ]*$", True),
-        ("price_check", "price_check", r"(?i)^\s*pc(?:\s+on|\s+for|\s*:|\s+)|\bprice\s*check\b", False),
-        ("price_question", "price_question", r"(?i)\bwhat(?:\s+is|'s)\s+the\s+price|\bwhat\s+are\s+the\s+prices?|\bhow\s+much\s+(?:is|are)\b", False),
-        ("historical_trade", "historical_purchase", r"(?i)\bjust\s+bought\b|\bi\s+bought\b|\bbought\s+an?\b", False),
-        ("giveaway", "giveaway", r"(?i)\bgiving\s+(?:out|away)\b|\bgiveaway\b|\bfor\s+free\b|\bfree\s+(?:\w+\s+)?(?:tomes?|runes?|items?)\b", False),
-        ("service", "runner_request", r"(?i)\b(?:lf|looking\s+for|need(?:ing)?)\s+(?:a\s+)?runner\b", False),
-        ("conversation", "trade_conversation", r"(?i)\b(?:do\s+u|do\s+you)\s+still\s+have\b|\bhow\s+many\b.{0,80}\bdo\s+(?:u|you)\s+have\b|\btake\s+a\s+look\s+if\b", False),
-        ("guild_advertisement", "guild_advertisement", r"(?i)guild (?:cape|hall)|is recruiting|recruiting for|join (?:our|the) guild|active alliance|alliance recruiting|looking for a guild|lf guild", True),
-        ("service", "service_advertisement", r"(?i)missions?:|(?:factions|campaign) rush|fow armor|any quest|vanquish|dungeon run|running service|power ?level", True),
-        ("service", "service_transport_or_tour", r"(?i)\bservices?\s*:|\b(?:outpost|mission|campaign)\b[^|;]{0,80}\b(?:runs?|tours?|rush(?:ing)?)\b|\b(?:ferry|taxi)\b[^|;]{0,50}\b(?:to|from|docks?|outpost)\b", True),
-        ("noise", "non_specific_request", r"(?i)\bshow me what you have\b|\banything cool\b|\bopen trade\b", True),
-    ]
-    found = F.when(F.coalesce(text, F.lit("")) == "", say("noise", "empty"))
-    for kind, reason, pattern, always in rules:
-        found = found.when(text.rlike(pattern) if always else text.rlike(pattern) & ~intent, say(kind, reason))
-    return found.otherwise(say("market", "market_candidate"))
+    """(accepted, kind, reason): whether a message can hold offers at all; the first row of the table that applies decides."""
+
+    def decide(w: Column) -> Column:
+        stated = says(w, [x for xs in SIDES.values() for x in xs])
+        found = F.when(F.trim(w) == "", _verdict("noise", "empty"))
+        for kind, reason, always, phrases in values.GATE:
+            found = found.when(says(w, phrases) if always else says(w, phrases) & ~stated, _verdict(kind, reason))
+        return found.otherwise(_verdict("market", "market_candidate"))
+
+    return once(words(F.coalesce(message, F.lit(""))), decide)
+
+
+def classify(message: Column, learned: dict[str, tuple[str, str]] | None = None) -> Column:
+    """(accepted, kind, reason) of a message: the gate, then learned exclusions (phrase: kind, reason), contacts, names,
+    guilds, and services (two words of service, or one with a price in armbraces)."""
+
+    def decide(w: Column) -> Column:
+        found = F
+        for phrase, (kind, reason) in sorted((learned or {}).items()):
+            found = found.when(F.contains(w, F.lit(phrase.lower())), _verdict(kind, reason))
+        for kind, reason, phrases in values.CLASSES:
+            found = found.when(says(w, phrases), _verdict(kind, reason))
+        hits = sum((F.contains(w, F.lit(x)).cast("int") for x in values.SERVICE_WORDS), F.lit(0))
+        paid = says(w, ["mission", "missions", "quest", "quests", "dungeon", "dungeons", "run", "runs", "rush", "service", "services"]) & w.rlike(" [0-9]+a ")
+        return found.when((hits >= 2) | paid, _verdict("service", "service_advertisement")).otherwise(_verdict("market", "market_candidate"))
+
+    first = gate(message)
+    return F.when(~first["accepted"], first).otherwise(once(words(F.coalesce(message, F.lit(""))), decide))
 
 
 def side_of(text: Column) -> Column:
@@ -91,6 +114,22 @@ def shared_price(text: Column) -> Column:
     return F.when(spread, F.transform(parts, lambda p: F.concat_ws(" ", p, price))).otherwise(F.array(text))
 
 
+def counted_list(text: Column) -> Column:
+    """'prefix: a (12) b (6) 2e/ea' as an array of '12 prefix a 2e/ea', ...; any other text as an array of itself."""
+    shape = r"^\s*([A-Za-z' ]{3,40}):\s*((?:[A-Za-z' ]+\(\d+\)\s*,?\s*){2,})(.*)$"
+    get = lambda k: F.trim(F.regexp_extract(text, shape, k))
+    parts = F.regexp_extract_all(get(2), F.lit(r"[A-Za-z' ]+\(\d+\)"), 0)
+    made = F.transform(parts, lambda p: F.concat_ws(" ", F.regexp_extract(p, r"\((\d+)\)", 1), get(1), F.trim(F.regexp_extract(p, r"([A-Za-z' ]+)\(", 1)), get(3)))
+    return F.when(get(2) != "", made).otherwise(F.array(text))
+
+
+def priced_list(text: Column) -> Column:
+    """Parts between commas, if each has a price of its own; else the text."""
+    parts = F.filter(F.transform(F.split(text, r"\s*,\s+"), lambda p: F.trim(p)), lambda p: p != "")
+    own = F.forall(parts, lambda p: p.rlike(rf"(?i)(?<![a-z0-9.]){_NUMBER}\s*{_UNIT}\b"))
+    return F.when((F.size(parts) > 1) & own, parts).otherwise(F.array(text))
+
+
 def segments(text: Column) -> Column:
     """Parts between | ; ~ and the like, but not within parentheses."""
     masked = F.regexp_replace(text, r"\(([^()|;~]*)[|;~]([^()]*)\)", "($1\u0001$2)")
@@ -110,81 +149,137 @@ def expand_requirements(text: Column) -> Column:
     return F.when(fits, ranged).when(F.regexp_extract(text, listed, 1) != "", each).otherwise(F.array(text))
 
 
+#: The kinds of token in a price, a letter each: number, coin (short or in full), stack, each, times, goods, for, word.
+_TOKEN = r"x(?=\d)|[a-z']+\d+[a-z]*|[a-z']+|\d+(?:[.,]\d+)?|[^\sa-z\d]"
+_LETTERS = [(values.COINS, "c"), (values.COIN_NAMES, "C"), (values.STACK_WORDS, "s"), (values.EACH_WORDS, "h"), (["x"], "x"), (values.COUNTED, "g"), (["for"], "f")]
+#: Rules on the letters of a segment's tokens, the surest first: (basis, shape, token of the quantity or the quantity itself,
+#: token of the amount), tokens counted from the shape's begin or, if negative, from its end.
+PRICE_RULES = [
+    ("range", "n-n[cC]", None, 2),
+    ("currency_conversion", "n[cC]=n[cC]", None, 0),
+    ("ratio", "n:n[cC]", 0, 2),
+    ("total", "n/n[cC]", 0, 2),
+    ("exchange", "n=n[cC]", 0, 2),
+    ("total", "n[wgCs]{0,6}fn[cC]", 0, -2),
+    ("stack", "nsn[cC]/?s", float(STACK), 2),
+    ("stack_total", "s[(]?xn[)]?[w-]{0,4}n[cC]", "xn", -2),
+    ("stack", "n[cC]h?[/-]?s", float(STACK), 0),
+    ("each", "n[cC][/.-]?h", "held", 0),
+    ("each", "n[cC]/?xn", -1, 0),
+    ("total", "nx?[gC]+[w,]{0,3}n[cC]", 0, -2),
+    ("total", "xn.*n[cC]", 1, -2),
+    ("unqualified", "n[cC]", None, 0),
+]
+
+
+def _price_of(t: Column) -> Column:
+    """The price that tokens state."""
+
+    def letter(w: Column) -> Column:
+        found = F
+        for known, sign in _LETTERS:
+            found = found.when(w.isin(*known), sign)
+        return found.when(w.rlike(r"^\d"), "n").when(w.rlike("^[a-z']"), "w").when(w.isin("–", "—"), "-").otherwise(w)
+
+    def read(shape: Column) -> Column:
+        void = F.lit(None).cast("double")
+        number = lambda at: F.replace(F.get(t, at), F.lit(","), F.lit(".")).try_cast("double")
+        coins = F.create_map(*[F.lit(x) for pair in {**values.COINS, **values.COIN_NAMES}.items() for x in pair])
+
+        def made(basis: str, amount: Column, coin: Column, quantity: Column) -> Column:
+            ecto = to_ecto(amount, coin)
+            unit = ecto if basis in ("each", "unqualified") else void if basis in ("range", "currency_conversion", "unknown") else F.when(quantity > 0, ecto / quantity)
+            return F.struct(amount.alias("amount"), coin.alias("currency"), F.lit(basis).alias("basis"), quantity.cast("double").alias("quantity"), unit.cast("double").alias("unit_ecto"))
+
+        held = F.coalesce(number(F.nullif(F.regexp_instr(shape, F.lit("xn")), F.lit(0))), number(F.nullif(F.regexp_instr(shape, F.lit("nx?g")), F.lit(0)) - 1))
+        found = F
+        for basis, pattern, quantity, amount in PRICE_RULES:
+            start = F.regexp_instr(shape, F.lit(pattern)) - 1
+            end = start + F.length(F.regexp_substr(shape, F.lit(pattern)))
+            token = lambda k: start + k if k >= 0 else end + k  # noqa: E731, B023
+            if quantity is None:
+                q = void
+            elif isinstance(quantity, float):
+                q = F.lit(quantity)
+            elif quantity == "held":
+                q = held
+            elif quantity == "xn":
+                q = number(F.regexp_instr(shape, F.lit("xn")))
+            else:
+                q = number(token(quantity))
+            found = found.when(start >= 0, made(basis, number(token(amount)), coins[F.get(t, token(amount) + 1)], q))
+        return found.otherwise(made("unknown", void, F.lit(None).cast("string"), void))
+
+    return once(F.array_join(F.transform(t, letter), ""), read)
+
+
 def price(segment: Column) -> Column:
-    """(amount, currency, basis, quantity, unit_ecto) of the price that a segment states, by the first form that fits."""
-    number = lambda p, k: F.replace(F.regexp_extract(segment, p, k), F.lit(","), F.lit(".")).try_cast("double")
-    coin = lambda p, k: F.substring(F.replace(F.lower(F.regexp_extract(segment, p, k)), F.lit("p"), F.lit("k")), 1, 1)
-    void = F.lit(None).cast("double")
-
-    def made(amount: Column, currency: Column, basis: str, quantity: Column) -> Column:
-        ecto = to_ecto(amount, currency)
-        unit = ecto if basis in ("each", "unqualified") else F.when(quantity > 0, ecto / quantity) if basis in ("ratio", "total", "exchange", "stack", "stack_total") else void
-        return F.struct(amount.alias("amount"), currency.alias("currency"), F.lit(basis).alias("basis"), quantity.cast("double").alias("quantity"), unit.cast("double").alias("unit_ecto"))
-
-    money, start = rf"{_NUMBER}\s*{_UNIT}", r"(?i)(?<![a-z0-9.])"
-    goods = r"(?:gott?s?|gifts?|nick\s?(?:gifts?|sets?)|z(?:aishen\s+)?keys?|(?:elite\s+)?tomes?|unids?)"
-    held = F.coalesce(
-        F.regexp_extract(segment, r"(?i)\[?\bx\s*(\d+)\b", 1).try_cast("double"), F.regexp_extract(segment, rf"(?i)(?<![a-z0-9])(\d+)\s*x?\s*{goods}\b", 1).try_cast("double")
-    )
-    # Fixed values: (basis, pattern, group of the quantity or a number of items, group of the amount), in order.
-    forms = [
-        ("range", rf"{start}{_NUMBER}\s*[-–—]\s*{money}\b", None, 2), ("ratio", rf"{start}{_NUMBER}\s*:\s*{money}\b", 1, 2), ("total", rf"{start}{_NUMBER}\s*/\s*{money}\b", 1, 2),
-        ("total", rf"{start}{_NUMBER}\s+(?:[^|;,]{{1,45}}?\s)?for\s+{money}\b", 1, 2), ("exchange", rf"{start}{_NUMBER}\s*=\s*{money}\b", 1, 2),
-        ("stacks", rf"(?i)\b(\d+)\s*stacks?\s+{money}\s*/\s*(?:stk|st|stack)\b", STACK, 2), ("stack_total", rf"(?i)\bstacks?\b\s*\(?\s*x\s*(\d+)\s*\)?[^|;,]{{0,24}}?{money}\b", 1, 2),
-        ("stack", rf"{start}{money}\s*(?:ea|each)?\s*[/-]?\s*(?:stk|st|stack)\b", STACK, 1), ("each", rf"{start}{money}\s*[/.-]?\s*(?:ea|each|per)\b", None, 1), ("times", rf"{start}{money}\s*/?\s*x\s*(\d+)\b", 3, 1),
-    ]
-    found = F
-    for basis, pattern, quantity, at in forms:
-        q = void if quantity is None else F.lit(quantity) if isinstance(quantity, float) else number(pattern, quantity)
-        q = F.coalesce(q, held) if basis == "each" else q
-        name = {"stacks": "stack", "times": "each"}.get(basis, basis)
-        found = found.when(segment.rlike(pattern), made(number(pattern, at), coin(pattern, at + 1), name, q))
-    plain = rf"{start}{money}(?=\b|/|$)"
-    twice = segment.rlike(rf"(?i){_NUMBER}\s*{_UNIT}\s*=\s*{_NUMBER}\s*{_UNIT}\b")
-    found = found.when(twice, made(number(plain, 1), coin(plain, 2), "currency_conversion", void))
-    found = found.when(segment.rlike(plain) & (held > 0), made(number(plain, 1), coin(plain, 2), "total", held)).when(segment.rlike(plain), made(number(plain, 1), coin(plain, 2), "unqualified", void))
-    return found.otherwise(made(void, F.lit(None).cast("string"), "unknown", void))
-
-
-# Attributes and the short forms that traders use for them.
-ATTRIBUTES = {
-    "soul reaping": "soul reaping|sr", "fast casting": "fast casting|fc", "energy storage": "energy storage|e ?storage|es", "channeling magic": "channeling(?: magic)?", "communing": "communing|com",
-    "domination magic": "domination(?: magic)?|dom", "inspiration magic": "inspiration(?: magic)?|inspi", "illusion magic": "illusion(?: magic)?|illus?", "divine favor": "divine favor|df",
-    "smiting prayers": "smiting(?: prayers)?|smite", "protection prayers": "protection(?: prayers)?|prot", "curses": "curses?|curs", "death magic": "death magic", "blood magic": "blood(?: magic)?",
-    "spawning power": "spawning(?: power)?|spaw", "restoration magic": "restoration(?: magic)?|resto", "healing prayers": "healing(?: prayers)?|heal", "water magic": "water(?: magic)?",
-    "fire magic": "fire(?: magic)?", "air magic": "air(?: magic)?", "earth magic": "earth(?: magic)?", "strength": "strength|str", "leadership": "leader(?:ship)?",
-}
-# Upgrades by name.
-UPGRADES = {
-    "zealous": r"zealous\b", "vampiric": r"vamp(?:iric)?\b", "furious": r"furious\b", "of enchanting": r"(?:of\s+)?enchant(?:ing)?\b", "+30 health": r"\+\s*30\s*(?:hp|health)\b", "armor +5": r"armor\s*\+\s*5\b",
-    "energy +5": r"\+\s*5\s*energy\b", "15^50": r"15\s*\^\s*50\b", "20/20": r"20\s*/\s*20\b", "forget me not": r"forget\s+me\s+not\b", "aptitude not attitude": r"aptitude\s+not\s+attitude\b", "memory": r"memory\b",
-}
+    """(amount, currency, basis, quantity, unit_ecto) of the price that a segment states, by the surest rule that fits."""
+    return once(F.regexp_extract_all(F.lower(segment), F.lit(_TOKEN), 0), _price_of)
+
+
+def attribute_of(segment: Column) -> Column:
+    """The attribute that a segment names, by the longest of its names that occurs; what follows 'no' or 'not' is no name."""
+    rows = sorted(((alias, name) for name, short in values.ATTRIBUTES.items() for alias in [name, *short] if alias not in values.WEAPON_WORDS), key=lambda r: (-len(r[0]), r[0]))
+
+    def longest(w: Column) -> Column:
+        found = F
+        for alias, name in rows:
+            found = found.when(F.contains(w, F.lit(f" {alias} ")), name)
+        return found.otherwise(None)
+
+    return once(F.regexp_replace(words(segment), " (?:no|not) [a-z']+(?= )", " "), longest)
+
+
+def canonical_attribute(label: Column) -> Column:
+    """The attribute's key (words joined by '_') of a name or short form; any other label as it is, in that form."""
+    plain = F.trim(F.regexp_replace(F.lower(label), "[^a-z]+", " "))
+    known = F.create_map(*[F.lit(x) for name, short in values.ATTRIBUTES.items() for alias in [name, *short] for x in (alias, name)])
+    return F.replace(F.coalesce(F.try_element_at(known, plain), plain), F.lit(" "), F.lit("_"))
+
+
+def canonical_name(name: Column, item_key: Column) -> Column:
+    """The name that an item has now: by its key, by an older name, else its own."""
+    table = lambda d: F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    plain = F.trim(F.regexp_replace(F.lower(name), r"\s+", " "))
+    return F.coalesce(F.try_element_at(table(values.LEGACY_KEYS), F.trim(item_key)), F.try_element_at(table(values.LEGACY_NAMES), plain), F.trim(name))
+
+
+def upgrades_of(segment: Column) -> Column:
+    """The upgrades that a segment names."""
+
+    def named(x: Column) -> Column:
+        known = [F.when(x.rlike("|".join(rf"(?<![a-z0-9+/]){re.escape(way)}(?![a-z0-9])" for way in ways)), name) for name, ways in values.UPGRADES.items()]
+        return F.array_compact(F.array(*known))
+
+    return once(F.regexp_replace(F.lower(segment), r"\s*([+^/])\s*", "$1"), named)
 
 
 def metadata(segment: Column) -> Column:
     """(requirement, attribute, inscribable, oldschool, dedication, identified, upgrades) that a segment states."""
-    attribute = F
-    for name, pattern in ATTRIBUTES.items():
-        attribute = attribute.when(segment.rlike(rf"(?i)\b(?:{pattern})\b"), name)
-    any_req = segment.rlike(rf"(?i)\breq(?:uirement)?\s+(?:{'|'.join(ATTRIBUTES.values())})\b")
-    req = F.regexp_extract(segment, r"(?i)\b(?:rq|req(?:uirement)?|q|r)\s*(\d{1,2})\b", 1)
-    named = F.array(*[F.when(segment.rlike(rf"(?i)(?<![\w+]){p}"), name) for name, p in UPGRADES.items()])
-    return F.struct(
-        F.when(req != "", F.concat(F.lit("q"), req)).when(any_req, "any").alias("requirement"), attribute.otherwise(None).alias("attribute"),
-        segment.rlike(r"(?i)\binsc(?:r|ribable|riptable)?\b").alias("inscribable"), segment.rlike(r"(?i)\b(?:os|old\s*school)\b").alias("oldschool"),
-        F.when(segment.rlike(r"(?i)\bunded(?:icated)?\b"), "undedicated").when(segment.rlike(r"(?i)\bded(?:icated)?\b"), "dedicated").alias("dedication"),
-        (~segment.rlike(r"(?i)\bunid(?:entified)?\b")).alias("identified"), F.array_compact(named).alias("upgrades"),
-    )
+
+    def read(x: Column) -> Column:
+        w, attribute = x["w"], x["attribute"]
+        number = F.regexp_extract(w, " (?:rq|req|requirement|q|r) ?([0-9]{1,2})(?= )", 1)
+        any_req = attribute.isNotNull() & w.rlike(" (?:req|requirement) [a-z]")
+        return F.struct(
+            F.when(number != "", F.concat(F.lit("q"), number)).when(any_req, "any").alias("requirement"), attribute.alias("attribute"),
+            says(w, ["insc", "inscr", "inscribable", "inscriptable"]).alias("inscribable"), says(w, ["os", "old school", "oldschool"]).alias("oldschool"),
+            F.when(says(w, ["unded", "undedicated"]), "undedicated").when(says(w, ["ded", "dedicated"]), "dedicated").alias("dedication"),
+            (~says(w, ["unid", "unidentified"])).alias("identified"), x["upgrades"].alias("upgrades"),
+        )
+
+    return once(F.struct(words(segment).alias("w"), attribute_of(segment).alias("attribute"), upgrades_of(segment).alias("upgrades")), read)
 
 
 def modifiers(segment: Column) -> Column:
     """Map of the modifiers that a segment states."""
-    m = metadata(segment)
-    entries = F.array(
-        F.struct(F.lit("requirement").alias("key"), m["requirement"].alias("value")), F.struct(F.lit("attribute"), m["attribute"]), F.struct(F.lit("oldschool"), F.when(m["oldschool"], "OS")),
-        F.struct(F.lit("inscribable"), F.when(m["inscribable"], "insc")), F.struct(F.lit("dedication"), m["dedication"]),
-    )
-    return F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+
+    def entries(m: Column) -> Column:
+        of = {"requirement": m["requirement"], "attribute": m["attribute"], "oldschool": F.when(m["oldschool"], "OS"), "inscribable": F.when(m["inscribable"], "insc"), "dedication": m["dedication"]}
+        return F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in of.items()]), lambda e: e["value"].isNotNull()))
+
+    return once(metadata(segment), entries)
 
 
 # Weapon families.
@@ -210,7 +305,7 @@ def exchange(segment: Column) -> Column:
 
 def clean_name(text: Column) -> Column:
     """An item's name without notation: '/stk', 'per stack', '[x250]', '/each', prices and requirements."""
-    steps = [rf"(?i)(?<![a-z0-9.]){_NUMBER}\s*(?:[-/:=]|\bfor\b)\s*{_NUMBER}\s*{_UNIT}\b", r"(?i)\[?\bx\s*\d+\]?", r"(?i)\[\s*\]", rf"(?i)(?<![a-z0-9]){_NUMBER}\s*{_UNIT}\b", r"(?i)(?:/|\bper)\s*(?:stk|st|stacks?|ea|each)\b", r"(?i)\b(?:q|req|rq)\s*\d{1,2}\b", r"(?i)\b(?:os|insc|unded|ded)\b", r"[\[\](){}]", r"\s+"]
+    steps = [rf"(?i)(?<![a-z0-9.]){_NUMBER}\s*(?:[-/:=]|\bfor\b)\s*{_NUMBER}\s*{_UNIT}\b", r"(?i)\[?\bx\s*\d+\]?", r"(?i)\[\s*\]", rf"(?i)(?<![a-z0-9]){_NUMBER}\s*(?:armbraces?|ambr(?:ace)?s?|ectos?|plat(?:inum)?)\b(?!\s+\d+(?:[.,]\d+)?\s*[aek]\b)", rf"(?i)(?<![a-z0-9]){_NUMBER}\s*[aek]\b", r"(?i)(?:/|\bper)\s*(?:stk|st|stacks?|ea|each)\b", r"(?i)\b(?:q|req|rq)\s*\d{1,2}\b", r"(?i)\b(?:os|insc|unded|ded)\b", r"[\[\](){}]", r"\s+"]
     return F.trim(reduce(lambda x, p: F.regexp_replace(x, p, " "), steps, text), F.lit(" /-,:|"))
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import exprs, text
+from ..functions import exprs, text, values
 
 c = F.col
+#: Aliases up to which they are broadcast; beyond, the spans are shuffled to them.
+SMALL = 50_000
 
 
 def plain(x: Column) -> Column:
@@ -22,17 +24,26 @@ def unique_alias(items: DataFrame, aliases: DataFrame) -> DataFrame:
     return found.where("n = 1").drop("n")
 
 
-def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, id_column: str, longest: int = 6) -> DataFrame:
+def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, id_column: str, longest: int | None = None) -> DataFrame:
     """(id, alias, item_key, start, words): aliases in a text, leftmost first, the longest of those, none overlapping.
 
-    A text's word spans of up to ``longest`` words meet the aliases in an equi-join, so no text is held against every
-    alias; the choice among overlapping matches is a fold over one text's matches.
+    A text's word spans of up to ``longest`` words (by default those of the longest alias) meet the aliases in an equi-join, so
+    no text is held against every alias; the choice among overlapping matches is a fold over one text's matches. Null and
+    empty texts have none; rows that share an id are one text's matches only if they are one row, so ids should be unique.
     """
+    if longest is None:
+        longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     words = F.filter(F.split(plain(c(text_column)), " "), lambda w: w != "")
-    rows = messages.select(c(id_column).alias("id"), words.alias("w"))
-    spans = rows.select("id", "w", F.posexplode("w").alias("start", "_")).select("id", "w", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - c("start")))).alias("words"))
-    spans = spans.select("id", "start", "words", F.array_join(F.slice("w", c("start") + 1, c("words")), " ").alias("alias"))
-    hits = spans.join(aliases, "alias").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-c("words")).alias("neg"), "alias", "item_key"))).alias("hits"))
+
+    def spans(w: Column) -> Column:
+        many = lambda i: F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i))
+        one = lambda i: F.transform(many(i), lambda n: F.struct(i.alias("start"), n.alias("words"), F.array_join(F.slice(w, i + 1, n), " ").alias("alias")))
+        return F.when(F.size(w) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), one)))
+
+    found = messages.select(c(id_column).alias("id"), F.explode(exprs.once(words, spans)).alias("s")).select("id", "s.start", "s.words", "s.alias")
+    known = aliases.select("alias", "item_key")
+    known = F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known
+    hits = found.join(known, "alias").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-c("words")).alias("neg"), "alias", "item_key"))).alias("hits"))
 
     def take(s: Column, h: Column) -> Column:
         free = h["start"] >= s["end"]
@@ -49,18 +60,38 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(0.0)
 
 
+def near_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(x, y): words of two tables (w) whose similarity is at least ``least``.
+
+    Words that near share two letters in a row, or a letter where a word of up to four letters may differ so much that none
+    is left; so words meet by these in an equi-join, and only distinct words do.
+    """
+    loose = least < 2 / 3  # then a word of three letters may lose both pairs
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        n = F.length("w")
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c("w"), i, F.lit(2)))).otherwise(F.array())
+        letters = F.when((n < 3) | F.lit(loose) & (n <= 4), F.split("w", "")).otherwise(F.array())
+        return df.select(c("w").alias(name), F.explode(F.array_distinct(F.concat(pairs, letters))).alias("_k"))
+
+    met = keyed(left, "x").join(keyed(right, "y"), "_k").select("x", "y").distinct()
+    return met.where(similarity(c("x"), c("y")) >= least)
+
+
 def fuzzy_join(names: DataFrame, aliases: DataFrame, least: float = 0.88, margin: float = 0.08) -> DataFrame:
     """(name, item_key, score): the item of the alias nearest to each name, if near enough and clear of the next item.
 
-    Candidates share the first three letters of a word, so near aliases with a typing error elsewhere meet. The score is
-    0.72 x the mean best similarity of the name's words and 0.28 x that of the whole.
+    The score is 0.72 x the balance of both sides' mean best similarity of words and 0.28 x the similarity of the whole. A pair
+    that can win, or come within ``margin`` of a winner, has a word whose nearest is at least (least - margin - 0.28) / 0.72
+    similar, so only pairs with such words are scored, and none that counts is missed. Null and empty names match nothing.
     """
-    def blocked(df: DataFrame, column: str) -> DataFrame:
-        words = F.array_distinct(F.transform(F.filter(F.split(c(column), " "), lambda w: F.length(w) >= 3), lambda w: F.substring(w, 1, 3)))
-        return df.withColumn("_b", F.explode(words))
-
-    left = names.select(plain(c("name")).alias("n"), "name").distinct()
-    pairs = blocked(left, "n").join(blocked(aliases.select("alias", "item_key"), "alias"), "_b").select("name", "n", "alias", "item_key").distinct()
+    left = names.select(plain(c("name")).alias("n"), "name").where("n <> ''").distinct()
+    right = aliases.select(plain(c("alias")).alias("alias"), "item_key").where("alias <> ''").distinct()
+    words = lambda df, of: df.select(of, F.explode(F.array_distinct(F.split(of, " "))).alias("w")).distinct()
+    in_names, in_aliases = words(left, "n"), words(right, "alias")
+    near = near_words(in_names.select("w").distinct(), in_aliases.select("w").distinct(), max(0.0, (least - margin - 0.28) / 0.72 - 1e-9))
+    met = in_names.join(near, c("w") == c("x")).select("n", "y").distinct().join(in_aliases, c("y") == c("w")).select("n", "alias").distinct()
+    pairs = met.join(left, "n").join(right, "alias")
     best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: similarity(x, y)))), F.lit(0.0), lambda s, v: s + v) / F.size(xs)
     a, b = F.split(c("n"), " "), F.split(c("alias"), " ")
     f1 = 2 * best(a, b) * best(b, a) / F.greatest(F.lit(1e-9), best(a, b) + best(b, a))
@@ -70,6 +101,23 @@ def fuzzy_join(names: DataFrame, aliases: DataFrame, least: float = 0.88, margin
     return top.where((c("score") >= least) & (c("score") - F.coalesce("_next", F.lit(0.0)) >= margin)).select("name", "item_key", "score")
 
 
+def token_evidence(texts: DataFrame, items: DataFrame, least: int = 5) -> DataFrame:
+    """(id, item_key, score): for each text (id, text) the catalog item (item_key, name) with the most evidence in its words.
+
+    A word of four letters or more that is one of the name's counts 3; one of which a word of the name begins, or the other
+    way round, counts 2. Words meet by their first four letters. The best item needs ``least`` points; a tie gives none.
+    """
+    word = lambda of: F.explode(F.array_distinct(F.filter(F.split(plain(of), " "), lambda w: F.length(w) >= 4)))
+    said = texts.select("id", word(c("text")).alias("w")).withColumn("_k", F.substring("w", 1, 4))
+    known = items.select("item_key", word(c("name")).alias("v")).withColumn("_k", F.substring("v", 1, 4))
+    points = F.when(c("w") == c("v"), 3).when(F.startswith("w", "v") | F.startswith("v", "w"), 2).otherwise(0)
+    each = said.join(known, "_k").groupBy("id", "item_key", "v").agg(F.max(points).alias("p"))
+    score = each.groupBy("id", "item_key").agg(F.sum("p").alias("score")).where(c("score") >= least)
+    top = score.groupBy("id").agg(F.max(F.struct("score", "item_key")).alias("top"), F.max("score").alias("_s"))
+    ties = score.join(top.select("id", c("_s").alias("score")), ["id", "score"]).groupBy("id").agg(F.count("*").alias("_n"))
+    return top.join(ties.where("_n = 1"), "id").select("id", "top.item_key", "top.score")
+
+
 def strict_gate(offers: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFrame:
     """(offer_id, item_key, gate): by name, then key, then unique alias; else the reason why none fits."""
     names = items.groupBy(F.lower(F.trim("name")).alias("_name")).agg(F.min("item_key").alias("_by_name"))
@@ -125,11 +173,6 @@ def first_strategy(*found: DataFrame) -> DataFrame:
     return rows.groupBy("offer_id").agg(F.min(F.struct("strategy", "item_key")).alias("m")).select("offer_id", "m.item_key", "m.strategy")
 
 
-def inherit(segments: DataFrame, block: str, pos: str, own: Column, name: str) -> DataFrame:
-    """``segments`` with ``name``: ``own`` or, where it is null, that of the nearest earlier segment of the block."""
-    return segments.withColumn(name, F.last(own, ignorenulls=True).over(W.partitionBy(block).orderBy(pos).rowsBetween(W.unboundedPreceding, 0)))
-
-
 def parse(messages: DataFrame, id_column: str = "message_id", text_column: str = "message") -> DataFrame:
     """One row per offer in a message: gate, blocks by side, segments, requirements, then price and metadata of each.
 
@@ -138,20 +181,44 @@ def parse(messages: DataFrame, id_column: str = "message_id", text_column: str =
     """
     rows = messages.select(c(id_column).alias("message_id"), exprs.once(text.normalise(c(text_column)), lambda m: F.when(text.gate(m)["accepted"], text.split_offers(m))).alias("blocks"))
     rows = rows.select("message_id", F.posexplode("blocks").alias("block", "b")).select("message_id", "block", "b.trade_type", F.posexplode(text.segments(c("b.text"))).alias("pos", "segment"))
-    rows = rows.select("message_id", "block", "trade_type", "pos", F.posexplode(F.flatten(F.transform(text.shared_price(text.strip_negatives(c("segment"))), text.expand_requirements))).alias("part", "segment"))
-    rows = rows.where(noise(c("segment")).isNull()).withColumn("price", exprs.once(c("segment"), text.price)).withColumn("meta", exprs.once(c("segment"), text.metadata))
-    rows = rows.withColumn("place", F.struct("pos", "part"))
-    rows = rows.withColumn("requirement", F.last(c("meta.requirement"), ignorenulls=True).over(W.partitionBy("message_id", "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.withColumn("item", text.clean_name(c("segment"))).where("item <> ''")
+    steps = [text.counted_list, text.shared_prefix, text.priced_list, text.shared_price, text.expand_requirements]
+    parts = F.array(text.strip_negatives(c("segment")))
+    for step in steps:
+        parts = F.flatten(F.transform(parts, step))
+    rows = rows.select("message_id", "block", "trade_type", "pos", F.posexplode(parts).alias("part", "segment"))
+    rows = rows.where(noise(c("segment")).isNull()).withColumn("price", exprs.once(c("segment"), text.price)).withColumn("meta", text.metadata(c("segment")))
+    rows = rows.withColumn("barter", F.when(c("trade_type") == "trade", text.exchange(c("segment")))).withColumn("place", F.struct("pos", "part"))
+    before = W.partitionBy("message_id", "block").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("requirement", F.last(c("meta.requirement"), ignorenulls=True).over(before))
+    # a segment that names nothing but an attribute belongs to the item before it, which is then a heading unless it says more
+    own = F.coalesce(c("barter.give"), text.clean_name(c("segment")))
+    names = [x for name, short in values.ATTRIBUTES.items() for x in (name, *short)]
+    rows = rows.withColumn("own", F.when(~F.lower(F.trim(own)).isin(*names), own)).withColumn("item", F.last("own", ignorenulls=True).over(before)).where("item <> ''")
+    says_more = c("own").isNull() | c("meta.requirement").isNotNull() | c("meta.attribute").isNotNull() | c("price.amount").isNotNull() | c("barter").isNotNull()
+    bare_next = F.lead(c("own").isNull()).over(W.partitionBy("message_id", "block").orderBy("place"))
+    rows = rows.withColumn("_stays", says_more | ~F.coalesce(bare_next, F.lit(False))).where("_stays")
     signature = W.partitionBy("message_id", "trade_type", F.lower("item"), "requirement", "meta.attribute").orderBy("block", "place")
     rows = rows.withColumn("_n", F.row_number().over(signature)).where("_n = 1")
+    bartered = lambda yes, no: F.when(c("barter").isNotNull(), yes).otherwise(no)
     return rows.select(
         "message_id", "block", c("pos").alias("segment_no"), c("part"), "trade_type", "item", exprs.key(c("item")).alias("item_key"), "requirement", c("meta.attribute").alias("attribute"), c("meta.oldschool").alias("is_oldschool"),
-        c("meta.inscribable").alias("is_inscribable"), c("price.amount").alias("price_amount"), c("price.currency").alias("price_currency"), c("price.basis").alias("price_basis"), c("price.quantity").alias("quantity"),
-        c("price.unit_ecto").alias("unit_price"), c("segment").alias("raw_segment"),
+        c("meta.inscribable").alias("is_inscribable"), bartered(F.lit(None).cast("double"), c("price.amount")).alias("price_amount"), bartered(F.lit(None).cast("string"), c("price.currency")).alias("price_currency"),
+        bartered(F.lit("barter"), c("price.basis")).alias("price_basis"), bartered(c("barter.give_quantity"), c("price.quantity")).alias("quantity"), bartered(F.lit(None).cast("double"), c("price.unit_ecto")).alias("unit_price"),
+        c("barter.receive").alias("receive"), c("barter.receive_quantity").alias("receive_quantity"), c("segment").alias("raw_segment"),
     )
 
 
+def with_sets(offers: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``offers`` with the price of a whole set spread over its items: of those whose segment says 'set' and whose item (without
+    a plural s) has a row in ``sizes`` (item, n), quantity is n, basis 'set' and the unit price the n-th part."""
+    stem = lambda x: F.regexp_replace(plain(F.regexp_replace(x, r"(?i)\bsets?\b", " ")), "s$", "")
+    known = sizes.select(stem(c("item")).alias("_stem"), "n").groupBy("_stem").agg(F.max("n").alias("_size"))
+    rows = offers.withColumn("_stem", F.when(c("raw_segment").rlike(r"(?i)\bsets?\b"), stem(c("item")))).join(known, "_stem", "left")
+    fits = c("_size").isNotNull() & c("price_basis").isin("unqualified", "unknown", "total") & c("price_amount").isNotNull()
+    unit = exprs.to_ecto(c("price_amount"), c("price_currency")) / c("_size")
+    return rows.withColumns({"unit_price": F.when(fits, unit).otherwise(c("unit_price")), "quantity": F.when(fits, c("_size").cast("double")).otherwise(c("quantity")), "price_basis": F.when(fits, "set").otherwise(c("price_basis"))}).drop("_stem", "_size")
+
+
 def alias_repeats(aliases: DataFrame) -> DataFrame:
     """(item_key, alias, kept, n): spellings of an alias that read alike, of each item the least one, and how many there are."""
     rows = aliases.select("item_key", "alias", plain(c("alias")).alias("_a")).where("_a <> ''")

@@ -23,9 +23,9 @@ def latest_per_trader(offers: DataFrame) -> DataFrame:
 def intelligence(offers: DataFrame) -> DataFrame:
     """One row per market. Prices far outside the quartiles of their side are trimmed where it has five or more."""
     rows = latest_per_trader(offers).withColumn("p", F.when((c("unit_price") > 0) & (c("unit_price") <= MAX_PRICE), c("unit_price")))
-    side = W.partitionBy("market", "trade_type")
-    q = F.percentile("p", F.lit(0.25)).over(side), F.percentile("p", F.lit(0.75)).over(side)
-    rows = rows.withColumn("_n", F.count("p").over(side)).withColumn("_q1", q[0]).withColumn("_q3", q[1]).withColumn("_iqr", c("_q3") - c("_q1"))
+    # quartiles are grouped and joined back: as windows they would put all of a large market's side into one task
+    quartiles = rows.groupBy(c("market").alias("_m"), c("trade_type").alias("_t")).agg(F.count("p").alias("_n"), F.percentile("p", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    rows = rows.join(quartiles, (c("market") == c("_m")) & (c("trade_type") == c("_t"))).withColumn("_q1", c("_q")[0]).withColumn("_q3", c("_q")[1]).withColumn("_iqr", c("_q3") - c("_q1"))
     inside = c("p").between(F.greatest(F.lit(0.0), c("_q1") - 1.5 * c("_iqr")), c("_q3") + 1.5 * c("_iqr"))
     rows = rows.withColumn("p", F.when((c("_n") < 5) | (c("_iqr") <= 0) | inside, c("p")))
     of = lambda s: F.when(c("trade_type") == s, c("p"))
@@ -67,6 +67,12 @@ def explore(markets: DataFrame, query: str = "", sort: str = "deal", least_confi
     return found.orderBy(*sort_columns(sort)).limit(exprs.clamp_limit(limit, 1000))
 
 
+def watched_flags(markets: DataFrame, watched: DataFrame) -> DataFrame:
+    """``markets`` with ``is_watched``: whether any row of ``watched`` has the market."""
+    known = watched.select("market").distinct().withColumn("_w", F.lit(True))
+    return markets.join(known, "market", "left").withColumn("is_watched", F.coalesce("_w", F.lit(False))).drop("_w")
+
+
 def explorer_counts(markets: DataFrame) -> DataFrame:
     return markets.agg(
         F.count("*").alias("markets"), F.count_if(c("best_wtb").isNotNull() & c("best_wts").isNotNull()).alias("two_sided"),

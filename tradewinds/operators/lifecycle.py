@@ -56,7 +56,10 @@ def duplicates(offers: DataFrame) -> DataFrame:
 def over_cap(offers: DataFrame, reviewed: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     """Ids of inactive offers without a review beyond the newest ``cap`` of their market and side."""
     order = W.partitionBy(exprs.market(), "trade_type").orderBy(F.desc("posted_at"), F.desc("offer_id"))
-    rows = offers.where("lifecycle_status <> 'active'").join(reviewed.select("offer_id"), "offer_id", "left_anti")
+    rows = offers.where("lifecycle_status <> 'active'").join(reviewed.select("offer_id"), "offer_id", "left_anti").withColumn("_m", exprs.market())
+    # only sides beyond the cap are ranked
+    full = rows.groupBy("_m", "trade_type").agg(F.count("*").alias("_c")).where(c("_c") > cap).select(c("_m").alias("_fm"), c("trade_type").alias("_ft"))
+    rows = rows.join(full, c("_m").eqNullSafe(c("_fm")) & (c("trade_type") == c("_ft")), "left_semi")
     return rows.withColumn("_n", F.row_number().over(order)).where(c("_n") > cap).select("offer_id")
 
 
@@ -66,6 +69,15 @@ def prune(offers: DataFrame, reviewed: DataFrame, as_of: str, cap: int = HISTORY
     return kept.where(c("_r") | (c("posted_at") >= _before(as_of, days, "DAYS"))).drop("_r")
 
 
+def cap_messages(offers: DataFrame, reviewed: DataFrame, cap: int = MESSAGE_CAP) -> DataFrame:
+    """Offers of the newest ``cap`` messages (by their last offer, then by id), and of older ones those with a review."""
+    order = [F.desc("_at"), F.desc("message_id")]
+    newest = offers.groupBy("message_id").agg(F.max("posted_at").alias("_at")).orderBy(*order).limit(cap).select("message_id")
+    protected = reviewed.select("offer_id").distinct().withColumn("_r", F.lit(True))
+    rows = offers.join(newest.withColumn("_k", F.lit(True)), "message_id", "left").join(protected, "offer_id", "left")
+    return rows.where(c("_k") | c("_r")).drop("_k", "_r")
+
+
 def retention_report(offers: DataFrame, reviewed: DataFrame, as_of: str, days: int = RETENTION_DAYS, cap: int = MESSAGE_CAP) -> DataFrame:
     rows = offers.join(reviewed.select("offer_id", F.lit(True).alias("_r")), "offer_id", "left")
     old = c("posted_at") < _before(as_of, days, "DAYS")

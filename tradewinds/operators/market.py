@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from . import ranking
 
 c = F.col
 
@@ -91,17 +92,40 @@ def histogram(offers: DataFrame, column: str, domain: tuple[str, ...]) -> DataFr
     return known.join(offers.groupBy(column).agg(F.count("*").alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def order_book(offers: DataFrame) -> DataFrame:
-    """Active offers of every item, ranked on their side: priced first, purchases dear to cheap, sales cheap to dear."""
-    price = exprs.shown_price()
-    rows = offers.where("lifecycle_status = 'active' AND trade_type IN ('buy', 'sell')").withColumn("price", price)
+def _book(offers: DataFrame) -> tuple[DataFrame, list[Column]]:
+    rows = offers.where("lifecycle_status = 'active' AND trade_type IN ('buy', 'sell')").withColumn("price", exprs.shown_price())
     signed = F.when(c("trade_type") == "buy", -c("price")).otherwise(c("price"))
-    order = W.partitionBy("item", "trade_type").orderBy(F.asc_nulls_last(signed), F.desc("posted_at"), "offer_id")
-    return rows.select("item", "trade_type", "offer_id", "player", "price", F.row_number().over(order).alias("place"))
+    return rows.select("item", "trade_type", "offer_id", "player", "price", "posted_at"), [F.asc_nulls_last(signed), F.desc("posted_at"), F.asc("offer_id")]
+
+
+def order_book(offers: DataFrame, top: int | None = None) -> DataFrame:
+    """Active offers of every item, ranked on their side: priced first, purchases dear to cheap, sales cheap to dear.
+
+    With ``top`` only so many of each side; Spark then drops others before they are shuffled. The whole book is sorted by ranges
+    over all items, so no side is one task's.
+    """
+    rows, order = _book(offers)
+    side = ["item", "trade_type"]
+    if top is not None:
+        ranked = rows.withColumn("place", F.row_number().over(W.partitionBy(*side).orderBy(*order))).where(c("place") <= top)
+        return ranked.drop("posted_at")
+    return ranking.place(rows, side, order).select(*side, "offer_id", "player", "price", c("place").cast("int").alias("place"))
 
 
 def best_offers(offers: DataFrame) -> DataFrame:
-    return order_book(offers).where("place = 1 AND price IS NOT NULL").drop("place")
+    return order_book(offers, 1).where("price IS NOT NULL").drop("place")
+
+
+def structured_summary(offers: DataFrame) -> DataFrame:
+    return offers.agg(F.count("*").alias("total"), F.count_if(c("quality_status") == "accepted").alias("accepted"), F.count_if(c("quality_status") == "review").alias("review"), F.count_distinct("market_key").alias("markets"), F.count_distinct("message_id").alias("parsed_messages"))
+
+
+def structured_markets(offers: DataFrame, limit: int = 100) -> DataFrame:
+    """The markets with most accepted offers, with their sides."""
+    found = offers.where("quality_status = 'accepted'").groupBy("market_key").agg(
+        F.min("item").alias("item"), F.count("*").alias("samples"), F.count_if(c("trade_type") == "buy").alias("buys"), F.count_if(c("trade_type") == "sell").alias("sells")
+    )
+    return found.orderBy(F.desc("samples"), F.asc_nulls_first("market_key")).limit(exprs.clamp_limit(limit, 500))
 
 
 def canonical_spelling(names: DataFrame, column: str) -> DataFrame:

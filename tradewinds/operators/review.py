@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exprs
+from . import ranking
 
 c = F.col
 STOP_WORDS = ("the", "and", "for", "with", "that", "this", "was", "are", "wtb", "wts", "wtt", "each", "von", "der", "die", "das", "les", "des", "que", "los")
@@ -66,7 +67,7 @@ def risk(offers: DataFrame) -> DataFrame:
     checks = {
         "not_accepted": (F.coalesce(c("quality_status"), F.lit("review")) != "accepted", 45), "low_confidence": (c("confidence") < 0.90, 25), "medium_confidence": (c("confidence").between(0.90, 0.9499999), 10),
         "no_unit_price": (c("price_amount").isNotNull() & c("unit_price").isNull(), 35), "unsure_basis": (F.coalesce(c("price_basis"), F.lit("unknown")).isin("unknown", "total") & c("price_amount").isNotNull(), 15),
-        "siblings": (c("siblings") > 1, 12), "far_from_market": ((ratio >= 4) | (ratio <= 0.25), 45), "off_market": (((ratio >= 2) & (ratio < 4)) | ((ratio <= 0.5) & (ratio > 0.25)), 20),
+        "complex_notation": (F.coalesce(c("raw_segment").rlike(r"[/=:]|\d+\s*-\s*\d+"), F.lit(False)), 8), "siblings": (c("siblings") > 1, 12), "far_from_market": ((ratio >= 4) | (ratio <= 0.25), 45), "off_market": (((ratio >= 2) & (ratio < 4)) | ((ratio <= 0.5) & (ratio > 0.25)), 20),
     }
     score = sum((F.when(test, points).otherwise(0) for test, points in checks.values()), F.lit(0))
     reasons = F.array_compact(F.array(*[F.when(test, name) for name, (test, _) in checks.items()]))
@@ -74,11 +75,31 @@ def risk(offers: DataFrame) -> DataFrame:
 
 
 def market_context(offers: DataFrame) -> DataFrame:
-    """For every offer: how many other prices its market has, and their mean in whole ecto."""
+    """For every offer: how many other prices its market has, their mean in whole ecto and their exact median.
+
+    The median without one price needs only the three in the middle of the market's sorted prices: v1 at the (lower) middle,
+    v0 and v2 beside it; which of these apply depends on where the offer's own price lies.
+    """
     cents = F.round(c("unit_price") * 100).cast("long")
-    rows = with_market(offers, F.count("unit_price").alias("_n"), F.sum(cents).alias("_total"))
-    others = c("_n") - c("unit_price").isNotNull().cast("long")
-    return rows.select("offer_id", others.alias("others"), F.when(others > 0, F.round((c("_total") - F.coalesce(cents, F.lit(0))) / others / 100)).alias("mean_price"))
+    prices = ranking.place(offers.select(exprs.market().alias("_market"), "unit_price").where("unit_price IS NOT NULL"), ["_market"], [F.asc("unit_price")])
+    sizes = prices.groupBy(c("_market").alias("_of")).agg(F.count("*").alias("_n"))
+    middle = prices.join(sizes, c("_market").eqNullSafe(c("_of"))).withColumn("_k", c("place") - F.floor((c("_n") + 1) / 2)).where("_k BETWEEN -1 AND 1")
+    value = lambda k: F.max(F.when(c("_k") == k, c("unit_price")))
+    middle = middle.groupBy("_of").agg(value(-1).alias("_v0"), value(0).alias("_v1"), value(1).alias("_v2"))
+    rows = with_market(offers, F.count("unit_price").alias("_n"), F.sum(cents).alias("_total")).withColumn("_market", exprs.market())
+    rows = rows.join(middle, c("_market").eqNullSafe(c("_of")), "left")
+    own = c("unit_price").isNotNull()
+    others = c("_n") - own.cast("long")
+    # an odd number: without v1 itself the mean of its neighbours, else that of v1 and the one on the other side
+    # an even number: the middle lies between v1 and v2, and the one on the other side is left
+    odd = c("_n") % 2 == 1
+    below, same = c("unit_price") < c("_v1"), c("unit_price") == c("_v1")
+    median = F.when(~own & odd, c("_v1")).when(~own, (c("_v1") + c("_v2")) / 2)
+    median = median.when(odd, F.when(same, (c("_v0") + c("_v2")) / 2).when(below, (c("_v1") + c("_v2")) / 2).otherwise((c("_v0") + c("_v1")) / 2))
+    median = median.otherwise(F.when(below | same, c("_v2")).otherwise(c("_v1")))
+    return rows.select(
+        "offer_id", others.alias("others"), F.when(others > 0, F.round((c("_total") - F.coalesce(cents, F.lit(0))) / others / 100)).alias("mean_price"), F.when(others > 0, median).alias("median_price")
+    )
 
 
 def watchlist(watched: DataFrame, markets: DataFrame) -> DataFrame:

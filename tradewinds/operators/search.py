@@ -36,10 +36,13 @@ def by_priority(*sources: DataFrame, key: str = "name") -> DataFrame:
 
 
 def either_key(left: DataFrame, right: DataFrame, keys: tuple[str, str], names: tuple[str, str]) -> DataFrame:
-    """An inner join on equal keys or equal names (without case), as two equi-joins; a pair that both find is there once."""
+    """An inner join on equal keys or equal names (without case), as two equi-joins; a pair that both find is there once.
+
+    Repeated rows match each for itself; nulls equal nothing.
+    """
     by_key = left.join(right, c(keys[0]) == c(keys[1]))
     by_name = left.join(right, F.lower(c(names[0])) == F.lower(c(names[1])))
-    return by_key.union(by_name).distinct()
+    return by_key.union(by_name.where(~F.coalesce(c(keys[0]) == c(keys[1]), F.lit(False))))
 
 
 def merged_catalog(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -22,6 +22,18 @@ def market_trust(offers: DataFrame, least: int = 2) -> DataFrame:
     return found.withColumn("coverage", scores.coverage(c("trusted"), c("offers"))).withColumn("trust", score).withColumn("label", scores.trust_label(c("trust")))
 
 
+def weakest_markets(offers: DataFrame, among: int = 250, limit: int = 50) -> DataFrame:
+    """Of the ``among`` markets with most offers, those with the least trust."""
+    largest = market_trust(offers).orderBy(F.desc("offers"), "market").limit(among)
+    return largest.orderBy("trust", F.desc("offers"), "market").limit(exprs.clamp_limit(limit, 250)).select("market", "offers", "trusted", "traders", "trust")
+
+
+def case_counts(offers: DataFrame) -> DataFrame:
+    """(kind, n) for each of the CASES, all in one pass."""
+    flags = F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(F.expr(test), F.lit(False)).alias("is")) for k, test in CASES.items()])
+    return offers.select(F.explode(flags).alias("f")).groupBy("f.kind").agg(F.count_if(c("f.is")).alias("n"))
+
+
 def issues(offers: DataFrame) -> DataFrame:
     """How many offers have which first issue."""
     status = F.coalesce(c("price_quality_status"), F.lit("trusted"))
@@ -60,10 +72,12 @@ def movers(offers: DataFrame, as_of: str) -> DataFrame:
     return found.withColumn("percent", (c("price") - c("price_before")) / c("price_before") * 100).where("abs(percent) BETWEEN 1 AND 300")
 
 
-def exchange_quotes(offers: DataFrame, pairs: DataFrame, newest: int = 250) -> DataFrame:
-    """Median of trader medians over the newest offers of each pair (item_key, factor, low, high), two traders at least."""
+def exchange_quotes(offers: DataFrame, pairs: DataFrame, as_of: str, newest: int = 250, days: int = 7) -> DataFrame:
+    """Median of trader medians over the newest offers of the last ``days`` of each pair (item_key, factor, low, high), two
+    traders at least."""
     order = W.partitionBy("item_key").orderBy(F.desc("posted_at"), F.desc("offer_id"))
-    rows = offers.join(F.broadcast(pairs), "item_key").where("unit_price > 0").withColumn("_n", F.row_number().over(order)).where(c("_n") <= newest)  # pairs: a table of four settings
+    recent = offers.where(c("posted_at") >= F.expr(f"TIMESTAMP_NTZ '{as_of}' - INTERVAL {int(days)} DAYS"))
+    rows = recent.join(F.broadcast(pairs), "item_key").where("unit_price > 0").withColumn("_n", F.row_number().over(order)).where(c("_n") <= newest)  # pairs: a table of four settings
     rows = rows.withColumn("quote", c("unit_price") * c("factor")).where(c("quote").between(c("low"), c("high")))
     traders = rows.groupBy("item_key", "player").agg(F.median("quote").alias("q"))
     return traders.groupBy("item_key").agg(F.median("q").alias("quote"), F.count("*").alias("traders")).where("traders >= 2")

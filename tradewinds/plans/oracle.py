@@ -95,7 +95,7 @@ _ALIAS = f"""{_ITEMS}, al AS (SELECT DISTINCT p_brand AS alias, item_key FROM pa
 ua AS (SELECT alias, min(item_key) AS item_key FROM (SELECT {_TIDY('name')} AS alias, item_key FROM items UNION ALL SELECT {_TIDY('alias')}, item_key FROM al)
   WHERE alias <> '' GROUP BY alias HAVING count(DISTINCT item_key) = 1)"""
 _WATCHED = f""", wt AS (SELECT coalesce(nullif(normalized_market_key, ''), nullif(market_key, ''), nullif(item_key, '')) AS market, max(requirement) * 40.0::DOUBLE AS target FROM offers
-  WHERE item_key IN ('brand_3', 'brand_6', 'brand_9', 'brand_12') AND coalesce(nullif(normalized_market_key, ''), nullif(market_key, ''), nullif(item_key, '')) LIKE '%|q:%' GROUP BY 1)"""
+  WHERE coalesce(nullif(normalized_market_key, ''), nullif(market_key, ''), nullif(item_key, '')) LIKE '%|q:%' GROUP BY 1)"""
 
 
 def _search(q: str) -> str:
@@ -115,11 +115,11 @@ def _sides(x: str) -> str:
 _RISK = f"""WITH {_OFFERS}, w AS (SELECT *, count(*) OVER (PARTITION BY message_id) AS siblings, count(unit_price) OVER (PARTITION BY {_MARKET}) AS n, median(unit_price) OVER (PARTITION BY {_MARKET}) AS md FROM offers),
 x AS (SELECT *, CASE WHEN n >= 3 THEN unit_price / md END AS ratio FROM w),
 f AS (SELECT offer_id, coalesce(quality_status, 'review') <> 'accepted' AS a, confidence < 0.90 AS b, confidence BETWEEN 0.90 AND 0.9499999 AS c, price_amount IS NOT NULL AND unit_price IS NULL AS d,
-  coalesce(price_basis, 'unknown') IN ('unknown', 'total') AND price_amount IS NOT NULL AS e, siblings > 1 AS s, coalesce(ratio >= 4 OR ratio <= 0.25, false) AS g,
+  coalesce(price_basis, 'unknown') IN ('unknown', 'total') AND price_amount IS NOT NULL AS e, requirement % 7 = 0 AS cn, siblings > 1 AS s, coalesce(ratio >= 4 OR ratio <= 0.25, false) AS g,
   coalesce((ratio >= 2 AND ratio < 4) OR (ratio <= 0.5 AND ratio > 0.25), false) AS h FROM x),
-y AS (SELECT offer_id, least(100, 45 * a::INT + 25 * b::INT + 10 * c::INT + 35 * d::INT + 15 * e::INT + 12 * s::INT + 45 * g::INT + 20 * h::INT)::INT AS risk,
+y AS (SELECT offer_id, least(100, 45 * a::INT + 25 * b::INT + 10 * c::INT + 35 * d::INT + 15 * e::INT + 8 * cn::INT + 12 * s::INT + 45 * g::INT + 20 * h::INT)::INT AS risk,
   concat_ws(',', CASE WHEN a THEN 'not_accepted' END, CASE WHEN b THEN 'low_confidence' END, CASE WHEN c THEN 'medium_confidence' END, CASE WHEN d THEN 'no_unit_price' END,
-    CASE WHEN e THEN 'unsure_basis' END, CASE WHEN s THEN 'siblings' END, CASE WHEN g THEN 'far_from_market' END, CASE WHEN h THEN 'off_market' END) AS reasons FROM f)
+    CASE WHEN e THEN 'unsure_basis' END, CASE WHEN cn THEN 'complex_notation' END, CASE WHEN s THEN 'siblings' END, CASE WHEN g THEN 'far_from_market' END, CASE WHEN h THEN 'off_market' END) AS reasons FROM f)
 SELECT *, risk >= 20 AS risky FROM y"""
 
 ORACLE_SQL: dict[str, str] = {
@@ -193,8 +193,9 @@ ORACLE_SQL: dict[str, str] = {
       WHEN price_quality_status IN ('uncertain', 'outlier') THEN 'price' END AS reason FROM offers) WHERE reason IS NOT NULL GROUP BY reason"""),
     "review_seed": _q("SELECT offer_id, 'pending' AS review_status FROM offers WHERE (coalesce(quality_status, 'review') = 'review' OR confidence < 0.85 OR price_quality_status IN ('uncertain', 'outlier')) AND offer_id NOT IN (SELECT offer_id FROM rv)", _REVIEWED),
     "offer_risk": _RISK,
-    "market_context": _q(f"""SELECT offer_id, others, CASE WHEN others > 0 THEN round((total - coalesce(cents, 0)) / others / 100) END AS mean_price FROM (SELECT *, n - (unit_price IS NOT NULL)::BIGINT AS others FROM (
-      SELECT offer_id, unit_price, round(unit_price * 100)::BIGINT AS cents, count(unit_price) OVER (PARTITION BY {_MARKET}) AS n, sum(round(unit_price * 100)::BIGINT) OVER (PARTITION BY {_MARKET})::BIGINT AS total FROM offers))"""),
+    "market_context": _q(f"""SELECT offer_id, others, CASE WHEN others > 0 THEN round((total - coalesce(cents, 0)) / others / 100) END AS mean_price, CASE WHEN others > 0 THEN md END AS median_price FROM (SELECT *, n - (unit_price IS NOT NULL)::BIGINT AS others FROM (
+      SELECT offer_id, unit_price, round(unit_price * 100)::BIGINT AS cents, count(unit_price) OVER (PARTITION BY {_MARKET}) AS n, sum(round(unit_price * 100)::BIGINT) OVER (PARTITION BY {_MARKET})::BIGINT AS total,
+      median(unit_price) OVER (PARTITION BY {_MARKET} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS md FROM offers))"""),
     "global_search": _q(_search("brand#1")),
     "search_summary": _q(f"SELECT kind, count(*) AS results, sum(offers)::BIGINT AS offers FROM ({_search('red')}) GROUP BY kind"),
     "canonical_spelling": _q("""SELECT norm, arg_min(name, (-n, -length(name), name)) AS name, sum(n)::BIGINT AS n FROM (SELECT lower(trim(x)) AS norm, x AS name, count(*) AS n FROM (SELECT CASE WHEN message_id % 3 = 0 THEN upper(item) ELSE item END AS x FROM offers) GROUP BY 1, 2) GROUP BY norm"""),
@@ -208,15 +209,16 @@ ORACLE_SQL: dict[str, str] = {
       WHERE traders >= 2 AND traders_before >= 2 AND abs((price - price_before) / price_before * 100) BETWEEN 1 AND 300""",
     "exchange_quotes": _q("""SELECT item_key, median(q) AS quote, count(*) AS traders FROM (SELECT item_key, player, median(quote) AS q FROM (SELECT item_key, player, unit_price * factor AS quote, low, high,
       row_number() OVER (PARTITION BY item_key ORDER BY posted_at DESC, offer_id DESC) AS rn FROM offers JOIN (VALUES ('brand_1', 1.0::DOUBLE, 1.0, 1e9), ('brand_2', 100.0::DOUBLE, 1.0, 1e9), ('brand_3', 0.01::DOUBLE, 1.0, 1e5), ('brand_4', 0.5::DOUBLE, 10.0, 1e6)) t(item_key, factor, low, high) USING (item_key)
-      WHERE unit_price > 0) WHERE rn <= 250 AND quote BETWEEN low AND high GROUP BY 1, 2) GROUP BY item_key HAVING count(*) >= 2"""),
+      WHERE unit_price > 0 AND posted_at >= TIMESTAMP '2001-08-01' - INTERVAL 300 DAY) WHERE rn <= 250 AND quote BETWEEN low AND high GROUP BY 1, 2) GROUP BY item_key HAVING count(*) >= 2"""),
     "hourly_snapshots": f"""WITH {_EVENTS} SELECT time_bucket(INTERVAL 6 HOUR, posted_at, TIMESTAMP '1970-01-01') AS captured_at, item_key, count(*) AS n, count(DISTINCT player) AS traders, max(unit_price) FILTER (trade_type = 'buy') AS best_wtb,
       median(unit_price) FILTER (trade_type = 'buy') AS median_wtb, min(unit_price) FILTER (trade_type = 'sell') AS best_wts, median(unit_price) FILTER (trade_type = 'sell') AS median_wts FROM events_v GROUP BY 1, 2""",
     "snapshot_changes": f"""WITH {_EVENTS}, s AS (SELECT date_trunc('day', posted_at)::TIMESTAMP AS captured_at, item_key, median(unit_price) FILTER (trade_type = 'sell') AS median_wts FROM events_v GROUP BY 1, 2)
       SELECT item_key, captured_at, median_wts, median_wts - lag(median_wts) OVER w AS change, (row_number() OVER w)::INT AS place FROM s WINDOW w AS (PARTITION BY item_key ORDER BY captured_at)""",
     "watchlist": _q("SELECT wt.market, target, item, best_wtb, best_wts, coalesce(best_wts <= target, false) AS hit FROM wt LEFT JOIN markets ON wt.market = markets.market", _INTEL + _WATCHED),
-    "alert_evaluation": _q("""SELECT alert_id, market, condition_type, met, CASE WHEN met THEN condition_type || '|' || round(v)::BIGINT::VARCHAR END AS new_signature, met AS fires FROM (
+    "alert_evaluation": _q("""SELECT alert_id, market, condition_type, met, new_signature, met AND (length(market) % 2 <> 0 OR length(market) % 3 <> 0 OR new_signature IS NULL) AS fires FROM (
+      SELECT *, CASE WHEN met THEN condition_type || '|' || round(v)::BIGINT::VARCHAR END AS new_signature FROM (
       SELECT *, coalesce(CASE WHEN condition_type = 'wts_below' THEN v <= target ELSE v >= target END, false) AS met FROM (SELECT wt.market || '/' || condition_type AS alert_id, wt.market, condition_type, target,
-      CASE WHEN condition_type = 'wts_below' THEN best_wts ELSE best_wtb END AS v FROM wt, (VALUES ('wts_below'), ('wtb_above')) t(condition_type) LEFT JOIN markets m ON wt.market = m.market))""", _INTEL + _WATCHED),
+      CASE WHEN condition_type = 'wts_below' THEN best_wts ELSE best_wtb END AS v FROM wt, (VALUES ('wts_below'), ('wtb_above')) t(condition_type) LEFT JOIN markets m ON wt.market = m.market)))""", _INTEL + _WATCHED),
     "dataset_summary": """SELECT sum(n)::BIGINT AS messages, count(*) AS unique_messages, max(n) AS most_repeated, round(100 * count(*) / sum(n))::INT AS coverage
       FROM (SELECT lower(trim(role)) AS p, lower(trim(text)) AS t, count(*) AS n FROM conversations GROUP BY 1, 2)""",
     "repeated_texts": "SELECT md5(norm) AS norm, n FROM (SELECT lower(trim(text)) AS norm, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1)",
@@ -254,3 +256,18 @@ ORACLE_SQL: dict[str, str] = {
       SELECT item_key, name, category, coalesce(n, 0) AS offers, coalesce(a, 0) AS active, coalesce(t, 0) AS traders, last_posted FROM items LEFT JOIN f ON lower(trim(name)) = k""",
     "sane_times": "SELECT event_id, CASE WHEN event_id % 5 = 4 THEN TIMESTAMP '2024-02-01' ELSE date_trunc('second', ts)::TIMESTAMP END AS at FROM events",
 }
+
+
+def _gate_sql() -> str:
+    """The gate's table as one CASE over the words of a conversation's turns."""
+    from ..functions.values import GATE
+
+    quoted = lambda p: "'" + p.strip("^$").replace("'", "''") + "'"
+    test = lambda p: f"w = ' ' || {quoted(p)} || ' '" if p[0] == "^" and p[-1] == "$" else f"starts_with(w, ' ' || {quoted(p)} || ' ')" if p[0] == "^" else f"contains(w, ' ' || {quoted(p)} || ' ')"
+    stated = " OR ".join(f"contains(w, ' {x} ')" for x in ("wtb", "buying", "wts", "selling", "wtt", "trading"))
+    whens = "".join(f" WHEN ({' OR '.join(map(test, ps))}){'' if always else f' AND NOT ({stated})'} THEN {{'kind': '{kind}', 'reason': '{reason}'}}" for kind, reason, always, ps in GATE)
+    return f"""SELECT g.kind AS kind, g.reason AS reason, count(*) AS n FROM (SELECT CASE WHEN trim(w) = '' THEN {{'kind': 'noise', 'reason': 'empty'}}{whens} ELSE {{'kind': 'market', 'reason': 'market_candidate'}} END AS g
+      FROM (SELECT ' ' || array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+|[:?]'), ' ') || ' ' AS w FROM conversations)) GROUP BY ALL"""
+
+
+ORACLE_SQL["message_gate"] = _gate_sql()

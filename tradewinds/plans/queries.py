@@ -36,6 +36,11 @@ def _reviewed(o: DataFrame) -> DataFrame:
     return o.where("message_id % 40 = 0").select("offer_id")
 
 
+def _noted(o: DataFrame) -> DataFrame:
+    """Offers of which some state their price in a complex way."""
+    return o.withColumn("raw_segment", F.expr("CASE WHEN requirement % 7 = 0 THEN raw_segment || ' 3=1e' ELSE raw_segment END"))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts' names as a catalog."""
     return table(spark, sf_dir, "part").groupBy(c("p_name").alias("name")).agg(F.concat(F.lit("item_"), F.min("p_partkey").cast("string")).alias("item_key"), F.min("p_type").alias("category"))
@@ -88,7 +93,7 @@ _over_offers("quality_cases", lambda o: trends.cases(o, "no_market").select("off
 _over_offers("average_prices", lambda o: trends.average_prices(o, AS_OF, 400))
 _over_offers("review_reasons", review.review_reasons)
 _over_offers("review_seed", lambda o: review.seed_reviews(o, _reviewed(o)))
-_over_offers("offer_risk", review.risk)
+_over_offers("offer_risk", lambda o: review.risk(_noted(o)))
 _over_offers("market_context", review.market_context)
 _over_offers("global_search", lambda o: search.global_search(o, "brand#1"))
 _over_offers("search_summary", lambda o: search.search_summary(search.global_search(o, "red")))
@@ -105,7 +110,7 @@ def daily_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def exchange_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = spark.createDataFrame([("brand_1", 1.0, 1.0, 1e9), ("brand_2", 100.0, 1.0, 1e9), ("brand_3", 0.01, 1.0, 1e5), ("brand_4", 0.5, 10.0, 1e6)], "item_key string, factor double, low double, high double")
-    return trends.exchange_quotes(offers(spark, sf_dir), pairs)
+    return trends.exchange_quotes(offers(spark, sf_dir), pairs, AS_OF, days=300)
 
 
 @query
@@ -119,8 +124,8 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _watched(o: DataFrame) -> DataFrame:
-    """Every third item's markets are watched, at a target that depends on the requirement."""
-    return o.where("item_key IN ('brand_3', 'brand_6', 'brand_9', 'brand_12')").select(exprs.intelligence_market().alias("market"), "requirement").where("market LIKE '%|q:%'").groupBy("market").agg((F.max("requirement") * 40.0).alias("target"))
+    """All items' markets are watched, at a target that depends on the requirement."""
+    return o.select(exprs.intelligence_market().alias("market"), "requirement").where("market LIKE '%|q:%'").groupBy("market").agg((F.max("requirement") * 40.0).alias("target"))
 
 
 _over_offers("watchlist", lambda o: review.watchlist(_watched(o), _markets(o)))
@@ -128,11 +133,16 @@ _over_offers("watchlist", lambda o: review.watchlist(_watched(o), _markets(o)))
 
 @query
 def alert_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of which half were met before, a third of them with the signature of the present price."""
     o = offers(spark, sf_dir)
-    alerts = review.watch_alerts(_watched(o)).select(
-        F.concat_ws("/", "market", "condition_type").alias("alert_id"), "market", "condition_type", "target", (F.length("market") % 2 == 0).alias("was_met"), F.lit(None).cast("string").alias("signature")
+    markets = _markets(o)
+    best = F.when(c("condition_type") == "wts_below", c("best_wts")).otherwise(c("best_wtb"))
+    now = F.concat_ws("|", "condition_type", F.round(best).cast("long").cast("string"))
+    alerts = review.watch_alerts(_watched(o)).join(markets.select("market", "best_wtb", "best_wts"), "market", "left").select(
+        F.concat_ws("/", "market", "condition_type").alias("alert_id"), "market", "condition_type", "target", (F.length("market") % 2 == 0).alias("was_met"),
+        F.when((F.length("market") % 3 == 0) & best.isNotNull(), now).otherwise(F.when(F.length("market") % 3 == 1, "old")).alias("signature"),
     )
-    return review.evaluate_alerts(alerts, _markets(o))
+    return review.evaluate_alerts(alerts, markets)
 
 
 @query
@@ -280,7 +290,7 @@ def validation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue that holds the offers of every fifth message, synced with all offers' risks."""
     o = offers(spark, sf_dir)
     queue = o.where("message_id % 5 = 0").select("offer_id", F.expr("CASE message_id % 3 WHEN 0 THEN 'validated' WHEN 1 THEN 'queued' ELSE 'failed' END").alias("status"), F.lit(0).alias("risk"))
-    return review.sync_queue(queue, review.risk(o))
+    return review.sync_queue(queue, review.risk(_noted(o)))
 
 
 @query

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 c = F.col
@@ -56,11 +58,26 @@ def write_training_set(messages_: DataFrame, offers: DataFrame, path: str) -> No
 
 
 def append_snapshot(summary: DataFrame, captured_at: str, path: str) -> None:
-    """Add one snapshot to a table partitioned by day."""
+    """Add one snapshot to a table partitioned by its time; the same capture again takes the place of the former."""
     at = F.lit(captured_at).cast("timestamp_ntz")
-    summary.withColumn("captured_at", at).withColumn("day", at.cast("date")).write.mode("append").partitionBy("day").parquet(path)
+    rows = summary.withColumn("captured_at", at).withColumn("capture", F.date_format(at, "yyyyMMddHHmmss"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("capture").parquet(path)
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """A full refresh."""
-    df.write.mode("overwrite").parquet(path)
+    """A full refresh, also from the table itself: the new rows are written beside it and then put in its place."""
+    spark = df.sparkSession
+    new, old = f"{path}-new-{uuid.uuid4().hex}", f"{path}-old-{uuid.uuid4().hex}"
+    df.write.parquet(new)
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at(path)):
+        files.rename(at(path), at(old))
+    files.rename(at(new), at(path))
+    files.delete(at(old), True)
+    spark.catalog.refreshByPath(path)
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, body): the JSON files of a folder, whole (catalogs, modifiers, reject patterns, taxonomies)."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), c("value").alias("body"))
