@@ -23,3 +23,19 @@ def test_stages(spark):
     assert mixed.columns == columns and mixing.sized(mixed).groupBy().sum("size").first()[0] == words
     assert sorted(packing.pack(mixed).columns) == sorted(stages["packing"](spark, mixed, SF).columns)
     assert pipeline.run(spark, SF).count() == stages["packing"](spark, mixed, SF).count()
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, tmp_path):
+    rows = [(1, "a b c d e f", "en", "s1", 11), (1, "a b c d e f", "en", "s1", 11), (None, "null id", None, None, None), (2, None, None, "s1", None), (3, "", "de", None, 0), (4, "word " * 30_000, "en", "s2", 150_000), (5, "é 漢字 a@b.example.com", "xx", "", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, some in (("odd", rows), ("none", [])):
+        at = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, f in pipeline.STAGES[:-1]:
+            docs = f(spark, docs, at)
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        out = pipeline.run(spark, at)
+        ids = {r.doc_id for r in out.collect()}
+        assert out.count() == 0 if name == "none" else ids >= {1, 4, 5}
