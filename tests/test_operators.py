@@ -133,3 +133,13 @@ def test_lists_all_or_nothing_and_first_strategies(spark):
     first = spark.createDataFrame([(1, "x")], "offer_id long, item_key string")
     second = spark.createDataFrame([(1, "y"), (2, "z")], "offer_id long, item_key string")
     assert sorted(map(tuple, catalog.first_strategy(first, second).collect())) == [(1, "x", 0), (2, "z", 1)]
+
+
+def test_field_rates_count_unpaired_offers_as_wrong(spark):
+    kind = "message_id long, k int, trade_type string, item string, requirement string, attribute string"
+    expected = spark.createDataFrame([(1, 0, "sell", "Bow", "q9", None), (1, 1, "buy", "Axe", None, "strength"), (2, 0, "sell", "Orb", None, None)], kind)
+    actual = spark.createDataFrame([(1, 0, "buy", "axe", None, None), (1, 1, "sell", "bow", "q9", None)], kind)
+    got = {r.field: (r.correct, r.total) for r in review.field_rates(expected, actual).collect()}
+    assert got == {"trade_type": (2, 3), "item": (2, 3), "requirement": (2, 3), "attribute": (1, 3)}
+    assert {r.correct for r in review.field_rates(expected, actual.limit(0)).collect()} == {0}
+    assert {r.total for r in review.field_rates(expected.limit(0), actual).collect()} == {0}

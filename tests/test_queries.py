@@ -3,9 +3,9 @@
 import pytest
 
 from tests.oracle import differences
-from tradewinds.plans import oracle, queries, upkeep
+from tradewinds.plans import oracle, queries, resolving, upkeep
 
-ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | upkeep.ORACLE_SQL, queries.QUERIES | upkeep.QUERIES
+ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | upkeep.ORACLE_SQL | resolving.ORACLE_SQL, queries.QUERIES | upkeep.QUERIES | resolving.QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -147,3 +147,16 @@ def best_matching(expected: DataFrame, actual: DataFrame) -> DataFrame:
     none = F.struct(F.array().cast("array<struct<neg:int,k:int,j:int>>").alias("out"), F.array().cast("array<int>").alias("ks"), F.array().cast("array<int>").alias("js"))
     found = pairs.groupBy("message_id").agg(best.alias("pairs")).select("message_id", F.explode(F.aggregate("pairs", none, take, lambda s: s["out"])).alias("p"))
     return found.select("message_id", "p.k", "p.j", (-c("p.neg")).alias("score"))
+
+
+def field_rates(expected: DataFrame, actual: DataFrame, fields: tuple[str, ...] = ("trade_type", "item", "requirement", "attribute")) -> DataFrame:
+    """(field, correct, total): how many expected offers have a field right in the offer that :func:`best_matching` gives them.
+
+    An expected offer without a partner has every field wrong; letters' case counts nothing; two nulls are equal.
+    """
+    pairs = best_matching(expected, actual).select("message_id", "k", "j")
+    theirs = actual.select("message_id", c("k").alias("j"), *[c(f).alias(f"_{f}") for f in fields])
+    rows = expected.join(pairs, ["message_id", "k"], "left").join(theirs, ["message_id", "j"], "left")
+    right = [F.count_if(c("j").isNotNull() & F.lower(f).eqNullSafe(F.lower(f"_{f}"))).alias(f) for f in fields]
+    counts = rows.agg(F.count("*").alias("total"), *right)
+    return counts.select("total", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), c(f).alias("correct")) for f in fields])).alias("r")).select("r.field", "r.correct", "total")

@@ -194,21 +194,6 @@ def unique_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.unique_alias(_items(spark, sf_dir), _aliases(spark, sf_dir))
 
 
-@query
-def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items named in the chat messages."""
-    known = catalog.unique_alias(_items(spark, sf_dir), _aliases(spark, sf_dir))
-    return catalog.dictionary_join(chat(spark, sf_dir), known, "message", "offer_id")
-
-
-@query
-def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names with a letter dropped, matched to the catalog."""
-    items = _items(spark, sf_dir)
-    wrong = items.select(F.concat(F.substring("name", F.lit(1), F.length("name") - 2), F.substring(c("name"), F.length("name"), F.lit(1))).alias("name"))
-    return catalog.fuzzy_join(wrong, items.select(catalog.plain(c("name")).alias("alias"), "item_key"))
-
-
 @query
 def strict_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = offers(spark, sf_dir).select("offer_id", c("raw_segment").alias("item"), "item_key")
@@ -276,15 +261,6 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract(h, "<title>([^<]*)</title>", 1)).alias("title"), F.size(F.regexp_extract_all(h, F.lit("<a href="), 0)).alias("links"))
 
 
-@query
-def parser_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed chat messages paired with the offers that they were written from."""
-    o = offers(spark, sf_dir)
-    expected = o.select(c("offer_id").alias("message_id"), F.lit(0).alias("k"), "trade_type", c("raw_segment").alias("item"), F.concat(F.lit("q"), c("requirement").cast("string")).alias("requirement"), F.lit(None).cast("string").alias("attribute"))
-    actual = catalog.parse(chat(spark, sf_dir), "offer_id").select("message_id", c("segment_no").alias("k"), "trade_type", "item", "requirement", "attribute")
-    return review.best_matching(expected, actual).groupBy("score").agg(F.count("*").alias("n"))
-
-
 @query
 def validation_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue that holds the offers of every fifth message, synced with all offers' risks."""
