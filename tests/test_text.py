@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tradewinds.functions import text
-from tradewinds.operators import catalog
+from tradewinds.operators import catalog, upkeep
 
 
 def value(spark, column, s):
@@ -192,3 +192,9 @@ def test_token_evidence_needs_a_single_best(spark):
     texts = spark.createDataFrame([(1, "wts storm daggers of the old"), (2, "storm"), (3, "stormy axes"), (4, None), (5, "silver silverwing")], "id long, text string")
     items = spark.createDataFrame([("sd", "Storm Daggers"), ("sb", "Storm Bow"), ("sw", "Silverwing Bow"), ("ax", "Storm Axe")], "item_key string, name string")
     assert {r.id: (r.item_key, r.score) for r in catalog.token_evidence(texts, items).collect()} == {1: ("sd", 6)}
+
+
+def test_review_kinds_of_odd_leftovers(spark):
+    df = spark.createDataFrame([(None, None), ("", "x"), ("x" * 50_000, None), ("Axe of Ünder", "ferry to town")], "a string, b string")
+    got = [tuple(r.g) for r in df.select(upkeep.review_kind(F.col("a"), F.col("b")).alias("g")).collect()]
+    assert got == [("noise", "empty"), ("noise", "empty"), ("item", "concrete_candidate"), ("service", "service_transport_or_tour")]

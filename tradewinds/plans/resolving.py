@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import catalog, review
+from ..operators import catalog, review, upkeep
 from ..sources import payload
 from ..sources.market import chat, offers, table
 from ..streaming import jobs
@@ -183,3 +183,25 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of users, which end after six hours of silence; the stream operator on a table."""
     found = jobs.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "6 hours")
     return found.select("user_id", "start", c("end").alias("until"), "n")
+
+
+# What is left of segments, and what it must be judged as.
+LEFT = [
+    (None, "noise", "empty"), (" Unknown ", "noise", "empty"), ("...", "noise", "empty"), ("Monk, Necro, Rit", "generic", "profession_list_context"), ("ranger/war", "generic", "profession_list_context"), ("all professions", "generic", "broad_market_category"),
+    ("all q9 inscribable", "generic", "broad_market_category"), ("24 hours", "noise", "service_duration_fragment"), ("12 monk and", "generic", "profession_count_context"), ("q9 insc weaps mods", "generic", "generic_weapons_mods_listing"),
+    ("alcohol stacks", "generic", "alcohol_stack_category"), ("50 point alcohol stack", "generic", "alcohol_point_category"), ("gold unid", "generic", "unidentified_gold_category"), ("3 stacks", "noise", "orphan_trade_quantity_context"),
+    ("or 12e", "noise", "orphan_trade_quantity_context"), ("zkeys", "noise", "price_fragment"), ("x", "noise", "single_token_fragment"), ("unded", "noise", "dedication_only"), ("purple/green minis", "generic", "rarity_or_collection_category"),
+    ("green monk weapons", "generic", "rarity_or_collection_category"), ("OS shields", "generic", "generic_weapon_category"), ("weapons & shields", "generic", "generic_weapon_category"), ("Tonics", "generic", "generic_category"), ("15 ench", "noise", "orphan_modifier_fragment"),
+    ("sweet points", "generic", "title_points_category"), ("zealous scythe", "generic", "weapon_upgrade_advertisement"), ("icy, fiery", "generic", "upgrade_modifier_list"), ("normal tomes", "generic", "tome_category"), ("q9 tac", "noise", "orphan_weapon_stats"),
+    ("elite w/a/d", "generic", "elite_tome_shorthand_family"), ("party", "generic", "market_category_or_variant"), ("insightful staff head", "generic", "weapon_upgrade_component"), ("all minis", "generic", "miniature_category"), ("fast casting", "generic", "attribute_upgrade_search"),
+    ("20% mods", "generic", "upgrade_family"), ("5e 3 times", "noise", "price_context_fragment"), ("tormented weapons", "generic", "weapon_family_search"), ("unids", "generic", "unidentified_item_category"), ("dom set", "generic", "attribute_set_category"),
+    ("warrior rune for sword", "generic", "profession_weapon_modifier_search"), ("drunk points", "generic", "points_category"), ("q9 insc OS", "noise", "modifier_only"), ("outpost runs", "service", "service_transport_or_tour"), ("storage sale", "service", "service_or_listing"),
+    ("Crystalline Sword", "item", "concrete_candidate"), ("Voltaic Spear q9", "item", "concrete_candidate"), ("Party Beacon", "item", "concrete_candidate"),
+]
+
+
+@_add("review_candidates", f"WITH s(k, said, kind, reason) AS (VALUES {_values(LEFT)}) SELECT said, kind, reason, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN s ON o_orderkey % {len(LEFT)} = k GROUP BY ALL")
+def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what is left of segments may be an item."""
+    rows = _sampled(spark, sf_dir, [s for s, _, _ in LEFT]).select("said", upkeep.review_kind(c("said"), c("said")).alias("r"))
+    return rows.groupBy("said", "r.kind", "r.reason").agg(F.count("*").alias("n"))
