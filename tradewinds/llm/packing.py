@@ -58,33 +58,36 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, new: set[str]) -> None:
-        if len(self.chunks) + len(self.cores) + len(new) > CACHE:
+    def learn(self, new: set[str]) -> bool:
+        """Remember the ids of chunks; whether all others had to be forgotten for them."""
+        emptied = len(self.chunks) + len(self.cores) + len(new) > CACHE
+        if emptied:
             self.chunks, self.cores = {"": b""}, {}
-        parts, missing = {}, set()
+        chunks, cores, parts, missing = self.chunks, self.cores, [], set()
         for chunk in new:
             core = chunk.rstrip(".,;:!?*#%&$|\"()-")
-            if core.isalpha() and max(core) < "ɐ" and "İ" not in core:
-                parts[chunk] = key = core.lower()
-                if key not in self.cores:
+            if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
+                key = core.lower()
+                parts.append((chunk, key, chunk[len(core) :]))
+                if key not in cores:
                     missing.add(key)
             else:
-                self.chunks[chunk] = self.encode(chunk)
+                chunks[chunk] = self.encode(chunk)
         if missing:
             words = list(missing)
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()  # in bytes
             if len(stops) != len(words):
                 raise ValueError("a word's ids don't end with one end of word")
-            start = 0
-            for word, stop in zip(words, stops.tolist()):
-                self.cores[word] = ids[start:stop].tobytes()
-                start = stop
-        for chunk, key in parts.items():
-            rest = chunk[len(chunk.rstrip(".,;:!?*#%&$|\"()-")) :]
-            if rest and rest not in self.chunks:
-                self.chunks[rest] = self.encode(rest)
-            self.chunks[chunk] = self.cores[key] + self.chunks[rest]
+            cores.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))))
+        for chunk, key, rest in parts:
+            if not rest:
+                chunks[chunk] = cores[key]
+                continue
+            if rest not in chunks:
+                chunks[rest] = self.encode(rest)
+            chunks[chunk] = cores[key] + chunks[rest]
+        return emptied
 
     def batch(self, texts: list[str | None]):
         """The ids of each text, as an array."""
@@ -98,11 +101,8 @@ class WordEncoder:
     def some(self, words: list[str]) -> np.ndarray:
         """The ids of so few chunks that they can be remembered together."""
         new = set(words).difference(self.chunks)
-        if new:
-            self.learn(new)
-            forgotten = set(words).difference(self.chunks)  # if all had to be forgotten for the new ones
-            if forgotten:
-                self.learn(forgotten)
+        if new and self.learn(new):
+            self.learn(set(words).difference(self.chunks))
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, words)), "<u2")
 
 
