@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hashing, html_text, mixing, neardup, packing, pii, quality, simhash, spans, toxicity
+from . import divergence, hashing, html_text, mixing, neardup, packing, part_codes, pii, quality, simhash, spans, token_counts, toxicity
 
 
 #: The key of this query alone, which has no secrets to keep.
@@ -57,6 +57,18 @@ def op10_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hashing.neighbours(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_pii": op2_pii,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_spans": op9_spans,
     "op10_hashing": op10_hashing,
+    "op11_tokens": op11_tokens,
+    "op12_codes": op12_codes,
+    "op13_divergence": op13_divergence,
 }
 
 _OP1 = """
@@ -118,7 +133,67 @@ SELECT d.doc_id, d.size, t.source_size, t.target,
 FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 """
 
+
+
+def _op12(rounds: int = part_codes.ROUNDS) -> str:
+    """The rounds one after the other, each comparing every part with every entry."""
+    steps = [
+        """WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+n AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS id FROM k),
+s AS MATERIALIZED (
+  SELECT id, part, list_slice(v, part * (len(v) // 8) + 1, (part + 1) * (len(v) // 8)) AS x FROM n CROSS JOIN (SELECT unnest(range(8)) AS part)),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x AS e FROM s WHERE id <= 16)"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""d{r} AS MATERIALIZED (
+  SELECT id, part, x, entry, e, list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM s JOIN b{r} USING (part) QUALIFY row_number() OVER (PARTITION BY id, part ORDER BY d, entry) = 1)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS MATERIALIZED (
+  SELECT part, entry, list(mean ORDER BY place) AS e
+  FROM (SELECT part, entry, place, sum(c)::BIGINT AS t, count(*) AS many,
+               t // many - CASE WHEN t % many < 0 THEN 1 ELSE 0 END AS mean
+        FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS place FROM d{r}) GROUP BY part, entry, place) GROUP BY part, entry),
+b{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m{r}.e, b{r}.e) AS e FROM b{r} LEFT JOIN m{r} USING (part, entry))""")
+    steps.append(f"""c AS (SELECT id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM d{rounds} GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM n JOIN c USING (id) CROSS JOIN h""")
+    return ",\n".join(steps)
+
+
+#: Every term of a language for each of its sources, and every pair compared over all of them.
+_OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 10),
+v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+tf AS MATERIALIZED (SELECT lang, source, term, count(*)::HUGEINT AS c FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM tf GROUP BY lang, source),
+ln AS (SELECT lang, sum(c)::HUGEINT AS n FROM tf GROUP BY lang),
+lc AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM tf GROUP BY lang, term),
+p AS MATERIALIZED (
+  SELECT g.lang, g.source, kept.term, coalesce(tf.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(tf.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) AS p
+  FROM g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source
+  LEFT JOIN tf ON tf.lang = g.lang AND tf.source = g.source AND tf.term = kept.term),
+q AS (SELECT lc.lang, lc.term, 1 + (1000000000::HUGEINT * (lc.c + 2)) // (ln.n + 2 * v.v) AS q FROM lc JOIN ln USING (lang) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, coalesce(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)), 0)::BIGINT AS value
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+t AS (SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM t) QUALIFY part = 'pair' OR rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_codes": _op12(),
+    "op13_divergence": _OP13,
     "op1_neardup": _OP1,
     "op5_mixing": _OP5,
 }
