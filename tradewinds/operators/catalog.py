@@ -179,7 +179,8 @@ def parse(messages: DataFrame, id_column: str = "message_id", text_column: str =
     A segment without a requirement of its own takes that of the segments before it in its block. Offers that repeat a
     signature (side, name, requirement, attribute) within a message are dropped but for the first, whatever their price.
     """
-    rows = messages.select(c(id_column).alias("message_id"), exprs.once(text.normalise(c(text_column)), lambda m: F.when(text.gate(m)["accepted"], text.split_offers(m))).alias("blocks"))
+    dealt = messages.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # reading is most of the work
+    rows = dealt.select(c(id_column).alias("message_id"), exprs.once(text.normalise(c(text_column)), lambda m: F.when(text.gate(m)["accepted"], text.split_offers(m))).alias("blocks"))
     rows = rows.select("message_id", F.posexplode("blocks").alias("block", "b")).select("message_id", "block", "b.trade_type", F.posexplode(text.segments(c("b.text"))).alias("pos", "segment"))
     steps = [text.counted_list, text.shared_prefix, text.priced_list, text.shared_price, text.expand_requirements]
     parts = F.array(text.strip_negatives(c("segment")))
