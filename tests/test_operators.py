@@ -61,24 +61,6 @@ def test_stream_windows_agree_with_batch(spark):
     assert got.exceptAll(want).count() == 0 and want.count() == got.count()
 
 
-def test_stream_winners_agree_with_batch(spark):
-    e = events(spark, SF).withColumn("posted_at", F.col("posted_at").cast("timestamp")).withColumn("identity", F.concat_ws("|", "player", "trade_type", "item_key"))
-    stream, at = _stream(spark, e, 1)
-    _drain(jobs.winners(stream, "identity", "posted_at", "event_id", 10_000).writeStream.outputMode("update").format("memory").queryName("win2").option("checkpointLocation", at).start())
-    got = spark.sql("SELECT identity, max_by(winner, struct(posted_at, winner)) AS winner FROM win2 WHERE status = 'active' GROUP BY 1")
-    want = e.groupBy("identity").agg(F.max_by("event_id", F.struct("posted_at", "event_id")).alias("winner"))
-    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
-
-
-def test_stream_alerts_fire_on_edges(spark):
-    df = table(spark, SF, "events").select(F.lit("k").alias("k"), "value")
-    stream, at = _stream(spark, df.coalesce(1), 1)
-    _drain(jobs.alert_edges(stream, "k", "value", 5.0).writeStream.outputMode("append").format("memory").queryName("edges").option("checkpointLocation", at).start())
-    values = [r.value for r in df.collect()]
-    edges = sum(v <= 5 and (k == 0 or values[k - 1] > 5) for k, v in enumerate(values))
-    assert 0 < spark.table("edges").count() and (spark.table("edges").count() == edges)
-
-
 def test_queue_keeps_final_statuses_and_orphans(spark):
     queue = spark.createDataFrame([("a", "validated", 1), ("b", "queued", 1), ("gone", "queued", 7)], "offer_id string, status string, risk int")
     risks = spark.createDataFrame([("a", 50, True), ("b", 5, False), ("c", 90, True)], "offer_id string, risk int, risky boolean")

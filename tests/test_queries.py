@@ -3,9 +3,9 @@
 import pytest
 
 from tests.oracle import differences
-from tradewinds.plans import listings, oracle, queries, resolving, upkeep
+from tradewinds.plans import listings, oracle, queries, resolving, streams, upkeep
 
-ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | upkeep.ORACLE_SQL | resolving.ORACLE_SQL | listings.ORACLE_SQL, queries.QUERIES | upkeep.QUERIES | resolving.QUERIES | listings.QUERIES
+ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | upkeep.ORACLE_SQL | resolving.ORACLE_SQL | listings.ORACLE_SQL | streams.ORACLE_SQL, queries.QUERIES | upkeep.QUERIES | resolving.QUERIES | listings.QUERIES | streams.QUERIES
 
 SF = "/root/testdata/sf0.001"
 

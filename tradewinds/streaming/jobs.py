@@ -1,13 +1,9 @@
-"""Streaming counterparts: idempotent ingest, windowed statistics, lifecycle and alerts as keyed state."""
+"""Streaming counterparts: idempotent ingest and windowed statistics."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 c = F.col
 
@@ -31,48 +27,3 @@ def windowed(stream: DataFrame, time: str, key: str, value: str, size: str = "1
 def sessions(stream: DataFrame, time: str, key: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     found = stream.withWatermark(time, delay).groupBy(F.session_window(time, gap).alias("w"), key).agg(F.count("*").alias("n"))
     return found.select(c("w.start").alias("start"), c("w.end").alias("end"), key, "n")
-
-
-def winners(stream: DataFrame, identity: str, time: str, order: str, hours: int = 200, delay: str = "1 hour") -> DataFrame:
-    """(identity, winner, posted_at, status) in update mode: the newest listing of each identity; a late older one never wins.
-
-    ``order`` (a long) breaks ties. An identity without news for ``hours`` of event time is reported expired and forgotten.
-    """
-    def step(key, batches, state):
-        if state.hasTimedOut:
-            winner, at = state.get
-            state.remove()
-            yield pd.DataFrame({"identity": [key[0]], "winner": [winner], "posted_at": [pd.Timestamp(at, unit="us")], "status": ["expired"]})
-            return
-        best = state.get if state.exists else (-1, -(1 << 62))
-        for pdf in batches:
-            for at, k in zip(pdf["at"].astype("int64"), pdf["k"].astype("int64")):
-                best = max(best, (int(k), int(at)), key=lambda x: (x[1], x[0]))
-        state.update(best)
-        state.setTimeoutTimestamp(max(best[1] // 1000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"identity": [key[0]], "winner": [best[0]], "posted_at": [pd.Timestamp(best[1], unit="us")], "status": ["active"]})
-
-    rows = stream.withWatermark(time, delay).select(c(identity).alias("identity"), c(order).cast("long").alias("k"), F.unix_micros(c(time).cast("timestamp")).alias("at"), time)
-    return rows.groupBy("identity").applyInPandasWithState(step, "identity string, winner long, posted_at timestamp, status string", "winner long, at long", "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def alert_edges(stream: DataFrame, key: str, value: str, target: float) -> DataFrame:
-    """(key, value) whenever a key's latest value falls to ``target`` after being above it (or at first)."""
-    def step(k, batches, state):
-        met = state.get[0] if state.exists else False
-        fired = []
-        for pdf in batches:
-            for v in pdf["v"]:
-                if v <= target and not met:
-                    fired.append(float(v))
-                met = bool(v <= target)
-        state.update((met,))
-        yield pd.DataFrame({"key": [k[0]] * len(fired), "value": fired})
-
-    rows = stream.select(c(key).alias("key"), c(value).cast("double").alias("v"))
-    return rows.groupBy("key").applyInPandasWithState(step, "key string, value double", "met boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def upsert_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run ``write`` on every micro-batch; the checkpoint makes a repeated batch recognisable by its number."""
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
