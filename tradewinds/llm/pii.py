@@ -40,39 +40,40 @@ EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.){1,64}\
 #: A named secret: in quotes, or a run of eight characters with a digit or of sixteen; web tokens and cloud keys by their form.
 SECRET = (
     r"(?<![\p{L}\p{N}])(?i:token|secret|password|passwd|passphrase|bearer|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key)\s{0,3}[=:]\s{0,3}"
-    r"(?:\"[^\"\s]{8,}+\"|'[^'\s]{8,}+'|(?=[A-Za-z0-9_./+=~-]{16}|[A-Za-z_./+=~-]{0,15}[0-9])[A-Za-z0-9_./+=~-]{7,}[A-Za-z0-9_/+=~-])"
-    r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)(?![\p{L}\p{N}])"
+    r"(?:\"[^\"\r\n]{8,}+\"|'[^'\r\n]{8,}+'|(?=[A-Za-z0-9_./+=~-]{16}|[A-Za-z_./+=~-]{0,15}[0-9])[A-Za-z0-9_./+=~-]{7,}[A-Za-z0-9_/+=~-])"
+    r"|(?<![\p{L}\p{N}])(?i:bearer)\s{1,3}(?=[A-Za-z0-9_./+=~-]{16}|[A-Za-z_./+=~-]{0,15}[0-9])[A-Za-z0-9_./+=~-]{7,}[A-Za-z0-9_/+=~-]"
+    r"|(?<![\p{L}\p{N}])(?:AKIA[0-9A-Z]{16}|sk-[A-Za-z0-9_-]{20,}+|gh[pousr]_[A-Za-z0-9]{20,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++)(?![\p{L}\p{N}])"
 )
+#: A name and a password before a host; the password is hidden.
+LOGIN = r"(?<![\p{L}\p{N}])[A-Za-z][A-Za-z0-9+.-]{1,20}+://[^\s:/@]{1,}+:[^\s/@]{1,}+@"
 IBAN = _iban_form()
-PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<=[ .-])\d{3}[ .-]|(?<![\p{L}\p{N}.-])\d{3}[.-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
-WORLD_PHONE = r"(?<![\p{L}\p{N}+])\+[1-9](?:\d{7,14}|\d{0,2}(?:[ .-]\(?\d{1,10}\)?){1,5})(?![\p{L}\p{N}])"
-SSN = r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])"
+PHONE = r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\p{L}\p{N}])"
+WORLD_PHONE = r"(?<![\p{L}\p{N}+])\+[1-9](?:\d{7,14}|\d{0,2}(?:[ .-]\(?\d{1,10}\)?){1,5})(?![\p{L}\p{N}])|(?<![\p{L}\p{N}+])00[1-9]\d{0,2}(?:[ .-]\(?\d{1,10}\)?){2,5}(?![\p{L}\p{N}])"
+SSN = r"(?<![\p{L}\p{N}-])\d{3}(?:-\d{2}-| \d{2} )\d{4}(?![\p{L}\p{N}-])"
 IP = r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}])(?!\.\d)"
 #: Either all eight groups or a double colon, at least two groups, one of them with a digit.
 IP6 = r"(?<![\p{L}\p{N}:.])(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5})[0-9A-Fa-f]{1,4}(?![\p{L}\p{N}:])(?!\.\d)"
 _MONTH = "(?i:" + "|".join(f"{m}|{m[:3]}" if len(m) > 3 else m for m in MONTHS) + r")\b"
 _NAMED_DATE = rf"(?<![\p{{L}}\p{{N}}]){_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}}(?![\p{{L}}\p{{N}}])"
 DATE = (
-    r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}(?:st|nd|rd|th)?\.? " + _MONTH
-    + r"\.?,? \d{4})(?![\p{L}\p{N}])(?![./-]\d)"
+    r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}(?:st|nd|rd|th)?\.? (?:of )?" + _MONTH
+    + r"\.?,? \d{4})(?!(?!T\d\d)[\p{L}\p{N}])(?![./-]\d)"
 )
 #: Groups of digits in which cards are looked for, up to where another kind of number begins; a card has 13 to 19 digits. A
 #: run is ended after 200 digits, as Java's matcher recurs for each.
 CARD = (
     r"(?<![\p{L}\p{N}])(?<!\d[.-])\d(?:\d|[ -](?!(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4}|\d{3}-\d{2}-\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{1,3}(?:\.\d{1,3}){3})(?![\p{L}\p{N}]))\d){12,200}"
-    r"(?![\p{L}\p{N}])(?![.-]\d)"
+    r"(?![\p{L}\p{N}])(?![.-]\d)|(?<![\p{L}\p{N}.])\d{4}\.\d{4}\.\d{4}\.\d{4}(?![\p{L}\p{N}])(?!\.\d)"
 )
 #: In this order: at one place the first that fits is taken.
 KINDS = {
-    "email": EMAIL, "secret": SECRET, "ip6": IP6, "ip": IP, "date": f"{DATE}|{_NAMED_DATE}", "ssn": SSN, "phone": PHONE, "card": CARD, "iban": IBAN, "world_phone": WORLD_PHONE
+    "email": EMAIL, "login": LOGIN, "secret": SECRET, "ip6": IP6, "ip": IP, "date": f"{DATE}|{_NAMED_DATE}", "ssn": SSN, "phone": PHONE, "card": CARD, "iban": IBAN, "world_phone": WORLD_PHONE
 }
 _NUMBERS = [IP, DATE, SSN, PHONE, CARD, WORLD_PHONE]
 ANY = (
-    f"{EMAIL}|(?=[TtSsPpAaBbe])(?:{SECRET})|(?=[0-9A-Fa-f]{{1,4}}:)(?:{IP6})|(?=[0-9+(])(?:{'|'.join(_NUMBERS)})"
+    f"{EMAIL}|{LOGIN}|(?=[TtSsPpAaBbeg])(?:{SECRET})|(?=[0-9A-Fa-f]{{1,4}}:)(?:{IP6})|(?=[0-9+(])(?:{'|'.join(_NUMBERS)})"
     f"|(?=[A-Za-z]{{2}}[0-9])(?:{IBAN})|(?=[JFMASONDjfmasond])(?:{_NAMED_DATE})"
 )
-#: A text without any of these has nothing to look for.
-HINT = "[0-9@=:]"
 
 
 def digest(key: str, *parts: Column) -> Column:
@@ -211,7 +212,8 @@ def _ssn(m: Column, key: str) -> Column:
     def written(p: Column) -> Column:
         a = F.floor(p["l"] / 99).cast("int")
         a = a + F.when(a >= 665, 2).otherwise(1)
-        return F.concat_ws("-", *(F.lpad(x.cast("string"), n, "0") for x, n in ((a, 3), (p["l"] % 99 + 1, 2), (p["r"] + 1, 4))))
+        parts = [F.lpad(x.cast("string"), n, "0") for x, n in ((a, 3), (p["l"] % 99 + 1, 2), (p["r"] + 1, 4))]
+        return F.concat(parts[0], F.substring(m, 4, 1), parts[1], F.substring(m, 4, 1), parts[2])
 
     return F.when(fits, _let(feistel(left, serial - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("ssn")), written))
 
@@ -228,8 +230,9 @@ def _world_phone(m: Column, key: str) -> Column:
         return F.concat(F.substring(d, F.lit(1), code), permute_digits(F.substring(d, code + 1, F.length(d)), key, "phone"))
 
     # without separators the code's length isn't known; one digit for 1 and 7, else two
-    code = F.length(F.regexp_extract(m, r"^\+(\d{1,3}(?!\d)|[17]|\d{2})", 1))
-    return _let(_digits(m), lambda d: F.when(F.length(d).between(8, 15), refill(m, new(d, code))))
+    plus = F.regexp_replace(m, "^00", "+")  # 00 is the plus sign of a dial
+    code = F.length(F.regexp_extract(plus, r"^\+(\d{1,3}(?!\d)|[17]|\d{2})", 1))
+    return _let(_digits(plus), lambda d: F.when(F.length(d).between(8, 15), refill(m, F.concat(F.when(m.startswith("00"), "00").otherwise(""), new(d, code)))))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -261,7 +264,7 @@ def _ip6(m: Column, key: str) -> Column:
 def _date(m: Column, key: str) -> Column:
     """A date in any of the forms, in the same form; one without leading zeros gets none. 31/12 is day first, 12/31 month
     first; where both fit, day first."""
-    iso = m.rlike("^[0-9]{4}-")
+    iso = m.rlike("^[0-9]{4}[-/]")
     numbers = F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), 0), lambda x: x.cast("int"))
     name = F.regexp_extract(m, "([A-Za-z]{3,})", 1)
     named = name != ""
@@ -296,7 +299,7 @@ def _date(m: Column, key: str) -> Column:
         in_words = F.regexp_replace(F.regexp_replace(F.regexp_replace(m, "[0-9]{4}$", F.lit("\u0001")), r"[0-9]{1,2}(?:st|nd|rd|th)?", F.lit("\u0002")), "[A-Za-z]{3,}", F.lit("\u0003"))
         in_words = F.replace(F.replace(F.replace(in_words, F.lit("\u0001"), yyyy), F.lit("\u0002"), dd), F.lit("\u0003"), spelt)
         plain = F.when(flip, F.concat(mm, sep, dd, sep, yyyy)).otherwise(F.concat(dd, sep, mm, sep, yyyy))
-        return F.when(named, in_words).when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(plain)
+        return F.when(named, in_words).when(iso, F.concat(yyyy, sep, mm, sep, dd)).otherwise(plain)
 
     return _let(_let(numbers, parts), lambda x: F.when(x["n"].between(0, DAYS - 1), _let(new(x["n"]), lambda day: written(day, x["flip"]))))
 
@@ -305,21 +308,29 @@ def _email(m: Column, key: str) -> Column:
     return F.concat(F.lit("user-"), F.substring(digest(key, F.lit("email"), F.lower(m)), 1, 16), F.lit("@example.invalid"))
 
 
+def _hidden(v: Column, key: str) -> Column:
+    long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(v) / 64).cast("int")), lambda k: digest(key, F.lit("secret"), k, v)), "")
+    return F.substring(long, F.lit(1), F.length(v))
+
+
+def _login(m: Column, key: str) -> Column:
+    """The password before the last character as a hash of the same length."""
+    form = r"(?s)^([^:]*://[^:]*:)(.*)@$"
+    return F.concat(F.regexp_extract(m, form, 1), _let(F.regexp_extract(m, form, 2), lambda v: _hidden(v, key)), F.lit("@"))
+
+
 def _secret(m: Column, key: str) -> Column:
     """What follows the name and its quotation mark as a hash of the same length; a token without a name is hashed whole."""
-    form = r"(?s)^([^=:]*[=:]\s*[\"']?)(.*?)([\"']?)$"
-    bare = m.rlike(r"^(?:AKIA[0-9A-Z]{16}|eyJ)")
+    form = r"(?s)^((?i:bearer)\s+(?![=:])|[^=:]*[=:]\s*[\"']?)(.*?)([\"']?)$"
+    bare = m.rlike(r"^(?:AKIA[0-9A-Z]{16}$|eyJ|sk-|gh[pousr]_)")
     value = F.when(bare, m).otherwise(F.regexp_extract(m, form, 2))
-
-    def hashed(v: Column) -> Column:
-        long = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(v) / 64).cast("int")), lambda k: digest(key, F.lit("secret"), k, v)), "")
-        return F.substring(long, F.lit(1), F.length(v))
+    hashed = lambda v: _hidden(v, key)
 
     around = lambda k: F.when(bare, F.lit("")).otherwise(F.regexp_extract(m, form, k))
     return F.concat(around(1), _let(value, hashed), around(3))
 
 
-_MAKE = {"email": _email, "secret": _secret, "ip6": _ip6, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban, "world_phone": _world_phone}
+_MAKE = {"email": _email, "login": _login, "secret": _secret, "ip6": _ip6, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban, "world_phone": _world_phone}
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -369,7 +380,7 @@ def pseudonymise(text: Column, key: str) -> Column:
 
     same = F.struct(text.alias("text"), F.lit(0).cast("long").alias("found"))
     changed = _let(F.regexp_extract_all(text, F.lit(ANY), 0), lambda values: F.when(F.size(values) > 0, _let(made(values), join)).otherwise(same))
-    return F.when(text.rlike(HINT), changed).otherwise(same)
+    return F.when(text.isNotNull(), changed).otherwise(same)
 
 
 def mask(docs: DataFrame, key: str) -> DataFrame:
