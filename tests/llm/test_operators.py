@@ -424,6 +424,36 @@ def test_mixing_of_rows_without_ids_comes_near_the_targets(spark):
     assert len(taken) == 3 and all(abs(t - n) <= 50 for t, n in taken.items())
 
 
+def test_mixing_takes_repeated_rows_by_number(spark):
+    rows = [(1, "w " * 100, "a")] * 50 + [(2, "v " * 40, "b")] * 10 + [(100 + k, f"x{k} y", None) for k in range(30)] + [(3, "", "b")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df).collect()
+    taken, target, sizes = defaultdict(int), {}, {}
+    for r in got:
+        taken[r.source_size] += r.taken
+        target[r.source_size], sizes[r.source_size] = r.target, max(sizes.get(r.source_size, 0), r["size"])
+        assert r.taken <= 2 * r["size"]
+    assert len(got) == len(rows) and len(target) == 3 and all(abs(taken[s] - target[s]) <= sizes[s] / 2 for s in target)
+    n = defaultdict(int)
+    for r in mixing.resample(df).collect():
+        n[r.doc_id] += 1
+    assert n[1] == taken[5000] / 100 and n[2] == taken[400] / 40
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix(df.repartition(3)).collect()), key=repr)
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    rows = [(1, "a b c d e f g", "s"), (2, "a b c d e f g", "s"), (3, "mail x@y.example.com now", None)]
+    own = {"_text": F.lit("mine"), "_row": F.lit(7), "row": F.lit(8), "of_text": F.lit("t"), "_h": F.lit(1.5), "upto": F.lit("u"), "part": F.lit(2), "some": F.lit("s"), "_more": F.lit("m"), "a.b": F.lit("dot"), "x`y": F.lit("tick"), "m": F.create_map(F.lit("k"), F.lit(1))}
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").select("*", *(v.alias(k) for k, v in own.items()))
+    want = ("mine", 7, 8, "t", 1.5, "u", 2, "s", "m", "dot", "tick", {"k": 1})
+    for stage in (lambda d: toxicity.reject(d, labels(spark)), simhash.keep_one, lambda d: pii.mask(d, KEY), mixing.resample):
+        out = stage(df)
+        assert out.columns == df.columns and {k: v for k, v in out.dtypes} == {k: v for k, v in df.dtypes}
+        got = out.collect()
+        assert len(got) >= 2 and all(tuple(r)[3:] == want for r in got)
+    assert {r.doc_id for r in simhash.keep_one(df).collect()} == {1, 3}
+
+
 @pytest.mark.parametrize("n", [1, 7, 200])
 def test_targets_fill_up_by_weight(spark, n):
     rng = np.random.default_rng(n)
@@ -678,13 +708,13 @@ def _mix64(x):
 
 
 def _pieces(text):
-    """Segments as (first character, end, words, number of what is removed whole), by the rule and not by the operator's code."""
+    """Segments as (first character, end, words, number of what is removed whole, of its sentence), by the rule and not by the operator's code."""
     found = [(m.start(), m[0].lower()) for m in re.finditer(r"\S+", text)]
     hashes = [_mix64(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(w)) & _M) for _, w in found]
     pairs = [_mix64(h + 3 * (hashes[k - 1] if k else 0) & _M) for k, h in enumerate(hashes)]
     ends = [k for k, (_, w) in enumerate(found) if re.search(r"[.!?…。！？][\"'”’»)\]]{0,3}$", w) or k == len(found) - 1]
     out, begin, number = [], 0, -1
-    for end in ends:
+    for sentence, end in enumerate(ends):
         cuts = {end}
         for k in range(begin, end - 6):
             cuts.add(max(range(k, k + 8), key=lambda j: (-pairs[j], j)))
@@ -692,7 +722,7 @@ def _pieces(text):
         for c in sorted(cuts):
             number += long or first == begin
             after = found[c + 1][0] if c + 1 < len(found) else len(text)
-            out.append((found[first][0] if out else 0, after, tuple(w for _, w in found[first : c + 1]), number))
+            out.append((found[first][0] if out else 0, after, tuple(w for _, w in found[first : c + 1]), number, sentence))
             first = c + 1
         begin = end + 1
     return out
@@ -720,9 +750,8 @@ def test_spans_against_brute_force(spark):
     assert sum(r.n_removed > 0 for r in got.values()) > 20
     for i, text in texts.items():
         stays = {p[3] for k, p in enumerate(cuts[i]) if k not in covered[i]}
-        assert (got[i].text or "") == "".join(text[a:b] for a, b, _, n in cuts[i] if n in stays) or not cuts[i]
-        total = len({p[3] for p in cuts[i]})
-        assert (got[i].n_sentences, got[i].n_removed) == (total, total - len(stays))
+        assert (got[i].text or "") == "".join(text[a:b] for a, b, _, n, _ in cuts[i] if n in stays) or not cuts[i]
+        assert (got[i].n_sentences, got[i].n_removed) == (len({p[4] for p in cuts[i]}), len({p[4] for p in cuts[i] if p[3] not in stays}))
 
 
 def test_spans_remove_short_sentences_whole_or_not_at_all(spark):

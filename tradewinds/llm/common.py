@@ -62,6 +62,11 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         discard(spark, *_SCOPES.pop())
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it is counted to hold at most ``rows`` rows; else left for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, running, small
+from .common import columns, materialize, running, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
@@ -49,9 +49,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, most: fl
 
 
 def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
-    """(source, source_size, target, passes, upto): whole passes over the source, and the largest hash of one more.
+    """(source, source_size, target, passes, upto, part, some): whole passes over the source, and the largest hash of one more.
 
-    ``rows`` has source, h, size. The hash at the crossing is taken if that brings the sum nearer to the budget.
+    ``rows`` has source, h, size. Of the rows at the hash where the sum crosses the budget (one, or repeated ones), as many are
+    taken as bring the sum nearest to it: ``some`` of those at the hash ``part``, if neither none nor all.
     """
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goals = goals.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
@@ -64,16 +65,18 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
         hist = (
             rows.join(edge, inside)
             .groupBy("source", F.shiftright("h", shift).alias("prefix"))
-            .agg(F.sum("size").alias("mass"), F.first("rest").alias("rest"), F.first("below").alias("base"))
+            .agg(F.sum("size").alias("mass"), F.count("*").alias("n"), F.first("rest").alias("rest"), F.first("below").alias("base"))
             .withColumn("upper", F.col("base") + F.sum("mass").over(running))
         )
-        crossed = hist.where(F.col("upper") > F.col("rest")).groupBy("source", "rest").agg(F.min(F.struct("prefix", "upper", "mass")).alias("c"))
+        crossed = hist.where(F.col("upper") > F.col("rest")).groupBy("source", "rest").agg(F.min(F.struct("prefix", "upper", "mass", "n")).alias("c"))
         below = (F.col("c.upper") - F.col("c.mass")).alias("below")
-        edge = small(materialize(crossed.select(F.col("source").alias("s"), "rest", "c.prefix", below, "c.mass"), "mix-edge"))
-    taken = F.when(F.col("below") + F.col("mass") / 2 <= F.col("rest"), F.col("prefix")).otherwise(F.col("prefix") - 1)
-    edge = edge.select("s", taken.alias("upto"))
+        edge = small(materialize(crossed.select(F.col("source").alias("s"), "rest", "c.prefix", below, "c.mass", "c.n"), "mix-edge"))
+    near = F.least(F.col("n"), F.floor((F.col("rest") - F.col("below")) / (F.col("mass") / F.col("n")) + 0.5))
+    taken = F.when(near == F.col("n"), F.col("prefix")).otherwise(F.col("prefix") - 1)
+    some = (near > 0) & (near < F.col("n"))
+    edge = edge.select("s", taken.alias("upto"), F.when(some, F.col("prefix")).alias("part"), F.when(some, near).cast("long").alias("some"))
     return goals.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "source_size", "target", "passes", F.coalesce("upto", F.lit(-1).cast("long")).alias("upto")
+        "source", "source_size", "target", "passes", F.coalesce("upto", F.lit(-1).cast("long")).alias("upto"), "part", "some"
     )
 
 
@@ -88,34 +91,43 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return materialize(thresholds(rows, goals), "mix-thresholds")
 
 
-def copies() -> Column:
-    return F.col("passes") + (F.col("h") <= F.col("upto")).cast("long")
+def chosen(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (row, _source, _h and others) with the ``cuts`` of their source and ``_more``: whether they are in the last pass.
+
+    Repeated rows at a source's last hash are alike, so it doesn't matter which of them are taken; they are numbered by ranges
+    of a number that they have from where they lie, so that no task gathers them.
+    """
+    met = rows.join(small(cuts.withColumnRenamed("source", "_s")), F.col("_source").eqNullSafe(F.col("_s")))
+    plain = met.withColumn("_more", F.col("_h") <= F.col("upto"))
+    if not cuts.where("part IS NOT NULL").limit(1).count():
+        return plain
+    at_part = F.coalesce(F.col("_h") == F.col("part"), F.lit(False))
+    alike = materialize(met.where(at_part).withColumn("_place", F.monotonically_increasing_id()), "mix-alike")
+    nth = running(alike, [F.asc_nulls_first("_source"), F.col("_place")], {"_nth": F.lit(1).cast("long")})
+    base = alike.groupBy("_source").agg(F.count("*").alias("_n")).select(F.col("_source").alias("_b"), F.coalesce(F.sum("_n").over(W.orderBy(F.asc_nulls_first("_source")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    nth = nth.join(small(base), F.col("_source").eqNullSafe(F.col("_b"))).withColumn("_more", F.col("_nth") - F.col("_base") <= F.col("some"))
+    return plain.where(~at_part).unionByName(nth.select(*plain.columns))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Return doc_id, size, source_size, target, taken: the words that the mix takes from each document.
 
-    Size: words of the text (null or empty: 0). Rows with equal ids and texts are taken together, so repeated rows and
-    reruns agree; rows that only share an id, or have none, are told apart by their texts. Other columns of ``docs`` are
-    ignored; an empty table gives none.
+    Size: words of the text (null or empty: 0). Rows that share an id, or have none, are told apart by their texts; of rows
+    equal in both, the last pass takes as many as come nearest to the target, so reruns give the same rows. Other columns of
+    ``docs`` are ignored; an empty table gives none.
     """
     rows = materialize(sized(docs), "mix-sizes")
-    cuts = small(plan(rows, weights, share, most).withColumnRenamed("source", "s"))
-    return rows.join(cuts, F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "size", "source_size", "target", (copies() * F.col("size")).alias("taken")
-    )
+    cuts = plan(rows, weights, share, most)
+    found = chosen(rows.select("doc_id", "size", F.col("source").alias("_source"), F.col("h").alias("_h")), cuts)
+    taken = (F.col("passes") + F.col("_more").cast("long")) * F.col("size")
+    return found.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
 def resample(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """``docs`` as the mix takes them: a document taken twice is there twice, one not taken is gone. One without words is
     taken like any other, but never more than ``most`` times."""
     rows = materialize(sized(docs).select("source", "h", "size"), "mix-sizes")
-    cuts = small(plan(rows, weights, share, most).select(F.col("source").alias("_s"), F.col("passes").alias("_passes"), F.col("upto").alias("_upto")))
-    again = F.least(F.lit(int(most)).cast("long"), F.col("_passes") + (row_hash(F.col("_row.doc_id"), F.col("_row.text")) <= F.col("_upto")).cast("long"))
-    return (
-        docs.select(F.struct(*docs.columns).alias("_row"))  # so that no column of docs clashes with the cuts
-        .join(cuts, F.col("_row.source").eqNullSafe(F.col("_s")))
-        .where(again > 0)
-        .withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), again)))
-        .select("_row.*")
-    )
+    whole = docs.select(F.struct(*columns(docs)).alias("row"))  # so that no column of docs clashes with the cuts
+    found = chosen(whole.select("row", F.col("row.source").alias("_source"), row_hash(F.col("row.doc_id"), F.col("row.text")).alias("_h")), plan(rows, weights, share, most))
+    again = F.least(F.lit(int(most)).cast("long"), F.col("passes") + F.col("_more").cast("long"))
+    return found.where(again > 0).withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), again))).select("row.*")

@@ -14,6 +14,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
+
 ROUNDS = 8
 #: The dates that are permuted among themselves: 1900 to 2099.
 FIRST_DAY, DAYS = "1900-01-01", 73049
@@ -388,10 +390,11 @@ def mask(docs: DataFrame, key: str) -> DataFrame:
 
     A null or empty text stays so; repeated rows give repeated results; an empty table gives none.
     """
-    out = docs.withColumn("text", pseudonymise(F.col("text"), key)["text"])
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    new = pseudonymise(F.col("text"), key)["text"]
+    spare = "_" * (1 + max(map(len, docs.columns)))  # longer than any other name
+    out = docs.select(*columns(docs), new.alias(spare))
+    made = {"text": F.col(spare)} | ({"n_chars": F.length(spare).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(made[c].alias(c) if c in made else x for c, x in zip(docs.columns, columns(docs))))
 
 
 def find(docs: DataFrame, key: str) -> DataFrame:

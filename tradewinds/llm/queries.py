@@ -103,7 +103,7 @@ FROM v JOIN c ON c.a = v.vec_id LEFT JOIN d ON d.a = v.vec_id
 """
 
 #: The hash is the first 15 hex digits of the MD5 of id and text; a document is taken once more while the running sum of sizes in
-#: hash order stays within what whole passes leave over (the hash that crosses it only if that is nearer).
+#: hash order stays within what whole passes leave over (the one that crosses it only if that is nearer; equal rows in any order).
 _OP5 = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -121,16 +121,11 @@ g AS (SELECT source, source_size,
                   ELSE (budget - coalesce((SELECT sum(lim) FROM v WHERE ratio <= level), 0)) * w
                        / (SELECT sum(w) FROM v WHERE ratio > level) END AS target FROM v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM g),
-hs AS (SELECT source, h, sum(size)::DOUBLE AS mass FROM d GROUP BY source, h),
-c AS (SELECT *, sum(mass) OVER (PARTITION BY source ORDER BY h) AS upper FROM hs),
-t AS (SELECT p.source, p.source_size, p.target, p.passes,
-             max(CASE WHEN c.upper <= p.target - p.passes * p.source_size
-                        OR (c.upper - c.mass <= p.target - p.passes * p.source_size
-                            AND c.upper - c.mass / 2 <= p.target - p.passes * p.source_size) THEN c.h ELSE -1 END) AS upto
-      FROM p JOIN c ON c.source IS NOT DISTINCT FROM p.source GROUP BY ALL)
-SELECT d.doc_id, d.size, t.source_size, t.target,
-       ((t.passes + CASE WHEN d.h <= t.upto THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
-FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+hs AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS nth FROM d),
+c AS (SELECT *, sum(size::DOUBLE) OVER (PARTITION BY source ORDER BY h, nth) AS upper FROM hs)
+SELECT c.doc_id, c.size, p.source_size, p.target,
+       ((p.passes + CASE WHEN c.upper - c.size::DOUBLE / 2 <= p.target - p.passes * p.source_size THEN 1 ELSE 0 END) * c.size)::BIGINT AS taken
+FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source
 """
 
 

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_uneven, materialize, partitions
+from .common import columns, join_uneven, materialize, partitions
 from .components import components, merge
 
 #: Fingerprints in a block of a tile, about.
@@ -134,13 +134,17 @@ def keep_one(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
     Rows are grouped by their own fingerprints, whatever their ids: rows without ids stay like any other, and of rows with
     equal ids all whose texts are no near copies. Where the other columns of equal ids and texts differ, a hash of all decides.
+    Columns may have any name and type; they stay as they are.
     """
-    # a null adds nothing to a hash, so which values are null is hashed too
-    values = [f(F.col(f"`{c}`")) for c in docs.columns for f in (lambda x: x, F.isnull)]
-    hashed = docs.withColumns({"_text": F.xxhash64("text", F.isnull("text")), "_row": F.xxhash64(*values)})
-    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_text", "_row")
-    classes = materialize(fingerprints(hashed, width, ("_text", "_row")).groupBy("fp").agg(F.min(order).alias("least")), "simhash-least")
+    named = dict(zip(docs.columns, columns(docs)))
+    # a null adds nothing to a hash, so which values are null is hashed too; maps are hashed as what they read like
+    plain = [F.to_json(F.struct(x)) if "map<" in kind else x for x, (_, kind) in zip(named.values(), docs.dtypes)]
+    hashed = docs.select(
+        named["doc_id"], named["text"], F.xxhash64(named["text"], F.isnull(named["text"])).alias("of_text"), F.xxhash64(*plain, *map(F.isnull, named.values())).alias("of_row"), F.struct(*named.values()).alias("row")
+    )
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "of_text", "of_row")
+    classes = materialize(fingerprints(hashed, width, ("of_text", "of_row")).groupBy("fp").agg(F.min(order).alias("least")), "simhash-least")
     roots = components(links(classes.select("fp", F.col("fp").alias("id")), radius))
     groups = classes.join(roots, F.col("fp") == F.col("id"), "left").groupBy(F.coalesce("component_id", "fp")).agg(F.min("least").alias("least"))
-    kept = groups.select("least._text", "least._row")
-    return hashed.join(kept, ["_text", "_row"], "left_semi").dropDuplicates(["_text", "_row"]).select(*docs.columns)
+    kept = groups.select("least.of_text", "least.of_row")
+    return hashed.join(kept, ["of_text", "of_row"], "left_semi").dropDuplicates(["of_text", "of_row"]).select("row.*")

@@ -64,10 +64,10 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x.lower()) > 1 else x.lower() for x in text)
 
 
-def _segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts one after the other: (hash of each word, first word of each segment and the number of words,
     where in its text each segment's first word begins, first segment of each text and the number of segments,
-    for each segment the number of what is removed whole with it: its sentence or, in a long one, itself).
+    for each segment the number of what is removed whole with it: its sentence or, in a long one, itself; and that of its sentence).
     """
     sizes = np.array([len(t) for t in texts], np.int64) + 1
     begin = np.cumsum(sizes) - sizes
@@ -100,7 +100,7 @@ def _segments(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     sentence = (np.cumsum(ends) - ends)[firsts]
     long = np.diff(np.flatnonzero(ends), prepend=-1) > LONG
     whole = np.cumsum(long[sentence] | (np.diff(sentence, prepend=-1) != 0)) - 1
-    return words, np.append(firsts, n), start[firsts] - begin[of], np.searchsorted(of, np.arange(len(texts) + 1)), whole
+    return words, np.append(firsts, n), start[firsts] - begin[of], np.searchsorted(of, np.arange(len(texts) + 1)), whole, sentence
 
 
 def _spans(texts: list[str], least: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,8 +108,8 @@ def _spans(texts: list[str], least: int, words: int) -> tuple[np.ndarray, np.nda
 
     A text with fewer segments but enough words is one span.
     """
-    hashes, firsts, _, of, whole = _segments(texts)
-    begun = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(whole, prepend=-1))])
+    hashes, firsts, _, of, _, sentence = _segments(texts)
+    begun = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.diff(sentence, prepend=-1))])
     k = np.arange(len(firsts) - 1)
     text = np.searchsorted(of, k, "right") - 1
     last = of[text + 1]
@@ -141,8 +141,8 @@ def _chunks(texts: list[str]):
 
 
 def cut(text: str, marks: list[tuple[int, int]]) -> tuple[str, int]:
-    """(text without the sentences that the marks (first segment, segments) cover, how many of them are removed)."""
-    _, _, starts, _, whole = _segments([text])
+    """(text without the sentences that the marks (first segment, segments) cover, how many lose something)."""
+    _, _, starts, _, whole, sentence = _segments([text])
     if not len(starts):
         return text, 0
     covered = np.zeros(len(whole), bool)
@@ -150,7 +150,7 @@ def cut(text: str, marks: list[tuple[int, int]]) -> tuple[str, int]:
         covered[first : first + n] = True
     left = np.bincount(whole[~covered], minlength=whole[-1] + 1)
     edges = np.concatenate([[0], starts[np.flatnonzero(np.diff(whole)) + 1], [len(text)]]).tolist()
-    return "".join(text[a:b] for a, b, n in zip(edges, edges[1:], left.tolist()) if n), int((left == 0).sum())
+    return "".join(text[a:b] for a, b, n in zip(edges, edges[1:], left.tolist()) if n), len(np.unique(sentence[left[whole] == 0]))
 
 
 _FOUND = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("at", pa.int64()), ("h", pa.int64()), ("g", pa.int32())])
@@ -181,8 +181,8 @@ def dedup(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
 
     The first occurrence is that with the least id (null: before all), then the earliest in its text. A null text stays null,
     an empty one empty. Repeated rows (equal id and text) are one document and have the same result; texts of equal ids are
-    told apart. Texts shorter than a span lose nothing. A sentence of more than LONG words counts as its segments. Other
-    columns are ignored; an empty table gives none.
+    told apart. Texts shorter than a span lose nothing. ``n_sentences`` counts sentences, ``n_removed`` those that are gone or,
+    having more than LONG words, lose segments. Other columns are ignored; an empty table gives none.
 
     Spans are equal if both their hashes are (96 bits). Joins on hashes are those for uneven keys: no task gathers the places
     of a passage that many documents share.

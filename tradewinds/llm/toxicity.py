@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import columns, materialize
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each label that a model is fitted on, about; they are chosen by a hash of the id.
@@ -229,6 +229,7 @@ def reject(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
     def run(batches):
         of = scorer(model)
         for batch in batches:
-            yield batch.filter(pa.array(of(batch["text"].to_pylist())[1] < 0.5))
+            yield batch.filter(pa.array(of(batch["row"].field("text").to_pylist())[1] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    whole = docs.select(F.struct(*columns(docs)).alias("row"))  # whatever the columns' names
+    return whole.mapInArrow(run, whole.schema).select("row.*")
