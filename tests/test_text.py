@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tradewinds.functions import text
-from tradewinds.operators import catalog, upkeep
+from tradewinds.functions import leftovers, text
+from tradewinds.operators import catalog
 
 
 def value(spark, column, s):
@@ -194,7 +194,16 @@ def test_token_evidence_needs_a_single_best(spark):
     assert {r.id: (r.item_key, r.score) for r in catalog.token_evidence(texts, items).collect()} == {1: ("sd", 6)}
 
 
-def test_review_kinds_of_odd_leftovers(spark):
-    df = spark.createDataFrame([(None, None), ("", "x"), ("x" * 50_000, None), ("Axe of Ünder", "ferry to town")], "a string, b string")
-    got = [tuple(r.g) for r in df.select(upkeep.review_kind(F.col("a"), F.col("b")).alias("g")).collect()]
-    assert got == [("noise", "empty"), ("noise", "empty"), ("item", "concrete_candidate"), ("service", "service_transport_or_tour")]
+def test_leftovers(spark):
+    cases = [
+        (None, "noise", "empty"), ("", "noise", "empty"), (" Unknown ", "noise", "empty"), ("...", "noise", "punctuation"), ("x" * 50_000, "item", "concrete_candidate"), ("Axe of Ünder", "item", "concrete_candidate"),
+        ("Rit, Necro", "generic", "profession_list_context"), ("and 3 monk", "generic", "profession_count_context"), ("professions all", "generic", "broad_market_category"), ("2 stacks", "noise", "orphan_trade_quantity_context"),
+        ("pommel for swords", "generic", "weapon_upgrade_component"), ("cruel, icy & barbed", "generic", "upgrade_modifier_list"), ("zodiac weapons", "generic", "weapon_family_search"), ("q7 tactics os", "noise", "orphan_weapon_stats"),
+        ("os gold", "noise", "modifier_only"), ("dedicated", "noise", "dedication_only"), ("minis", "generic", "miniature_category"), ("6 hours", "noise", "service_duration_fragment"), ("party points 2e", "generic", "points_category"), ("q", "noise", "modifier_only"),
+        ("Eternal Blade", "item", "concrete_candidate"), ("Party Beacon", "item", "concrete_candidate"), ("gold", "generic", "market_category_or_variant"), ("5e or", "noise", "orphan_trade_quantity_context"),
+    ]
+    df = spark.createDataFrame([(k, s) for k, (s, _, _) in enumerate(cases)], "k int, s string")
+    got = [tuple(r.g) for r in df.select("k", leftovers.judge(F.col("s"), F.col("s")).alias("g")).orderBy("k").collect()]
+    assert got == [(kind, reason) for _, kind, reason in cases]
+    services = spark.createDataFrame([("Xyz", "ferry to town"), ("Xyz", None), (None, "ferry to town")], "a string, b string")
+    assert [tuple(r.g) for r in services.select(leftovers.judge(F.col("a"), F.col("b")).alias("g")).collect()] == [("service", "service_transport_or_tour"), ("item", "concrete_candidate"), ("noise", "empty")]

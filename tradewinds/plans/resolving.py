@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import catalog, review, upkeep
+from ..functions import leftovers, text
+from ..operators import catalog, review
 from ..sources import payload
 from ..sources.market import chat, offers, table
 from ..streaming import jobs
@@ -185,23 +185,26 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", "start", c("end").alias("until"), "n")
 
 
-# What is left of segments, and what it must be judged as.
-LEFT = [
-    (None, "noise", "empty"), (" Unknown ", "noise", "empty"), ("...", "noise", "empty"), ("Monk, Necro, Rit", "generic", "profession_list_context"), ("ranger/war", "generic", "profession_list_context"), ("all professions", "generic", "broad_market_category"),
-    ("all q9 inscribable", "generic", "broad_market_category"), ("24 hours", "noise", "service_duration_fragment"), ("12 monk and", "generic", "profession_count_context"), ("q9 insc weaps mods", "generic", "generic_weapons_mods_listing"),
-    ("alcohol stacks", "generic", "alcohol_stack_category"), ("50 point alcohol stack", "generic", "alcohol_point_category"), ("gold unid", "generic", "unidentified_gold_category"), ("3 stacks", "noise", "orphan_trade_quantity_context"),
-    ("or 12e", "noise", "orphan_trade_quantity_context"), ("zkeys", "noise", "price_fragment"), ("x", "noise", "single_token_fragment"), ("unded", "noise", "dedication_only"), ("purple/green minis", "generic", "rarity_or_collection_category"),
-    ("green monk weapons", "generic", "rarity_or_collection_category"), ("OS shields", "generic", "generic_weapon_category"), ("weapons & shields", "generic", "generic_weapon_category"), ("Tonics", "generic", "generic_category"), ("15 ench", "noise", "orphan_modifier_fragment"),
-    ("sweet points", "generic", "title_points_category"), ("zealous scythe", "generic", "weapon_upgrade_advertisement"), ("icy, fiery", "generic", "upgrade_modifier_list"), ("normal tomes", "generic", "tome_category"), ("q9 tac", "noise", "orphan_weapon_stats"),
-    ("elite w/a/d", "generic", "elite_tome_shorthand_family"), ("party", "generic", "market_category_or_variant"), ("insightful staff head", "generic", "weapon_upgrade_component"), ("all minis", "generic", "miniature_category"), ("fast casting", "generic", "attribute_upgrade_search"),
-    ("20% mods", "generic", "upgrade_family"), ("5e 3 times", "noise", "price_context_fragment"), ("tormented weapons", "generic", "weapon_family_search"), ("unids", "generic", "unidentified_item_category"), ("dom set", "generic", "attribute_set_category"),
-    ("warrior rune for sword", "generic", "profession_weapon_modifier_search"), ("drunk points", "generic", "points_category"), ("q9 insc OS", "noise", "modifier_only"), ("outpost runs", "service", "service_transport_or_tour"), ("storage sale", "service", "service_or_listing"),
-    ("Crystalline Sword", "item", "concrete_candidate"), ("Voltaic Spear q9", "item", "concrete_candidate"), ("Party Beacon", "item", "concrete_candidate"),
-]
+#: What is left of segments: two to four words of the table, by the numbers of an order line, some with a part's name; and what people say.
+_WORDS = sorted(leftovers.known_words()) + ["12", "250", "5e", "q9", "w", "xyz"]
+_LEFT = f"""element_at(w, CAST(l_partkey % {len(_WORDS)} AS INT) + 1) || CASE WHEN l_linenumber > 1 THEN ' ' || element_at(w, CAST((l_suppkey * 7 + l_partkey) % {len(_WORDS)} AS INT) + 1) ELSE '' END
+  || CASE WHEN l_linenumber > 3 THEN ', ' || element_at(w, CAST(l_orderkey % {len(_WORDS)} AS INT) + 1) ELSE '' END || CASE WHEN l_quantity % 10 = 0 THEN ' ' || p_name ELSE '' END"""
+_LISTED = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 
 
-@_add("review_candidates", f"WITH s(k, said, kind, reason) AS (VALUES {_values(LEFT)}) SELECT said, kind, reason, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN s ON o_orderkey % {len(LEFT)} = k GROUP BY ALL")
+@_add("review_candidates", f"""WITH kinds(word, kind) AS (VALUES {', '.join(f"('{w}', '{k}')" for w, k in sorted(leftovers.known_words().items()))}),
+  rules(n, kind, reason, must, may, least, most) AS (VALUES {', '.join(f"({n}, '{k}', '{r}', {_LISTED(must)}::VARCHAR[], {_LISTED(may)}::VARCHAR[], {a}, {b})" for n, (k, r, must, may, a, b) in enumerate(leftovers.RULES))}),
+  said AS (SELECT DISTINCT {_LEFT.replace("element_at(w, ", "list_extract(w, ")} AS said FROM lineitem JOIN part ON l_partkey = p_partkey, (SELECT {_LISTED(_WORDS)} AS w) UNION SELECT DISTINCT text FROM conversations),
+  each AS (SELECT said, unnest(regexp_extract_all(lower(said), '[a-z0-9'']+')) AS word FROM said),
+  found AS (SELECT said, count(*) AS n, list(DISTINCT coalesce(kind, CASE {' '.join(f"WHEN regexp_matches(word, '{form}') THEN '{k}'" for k, form in leftovers.FORMS)} ELSE 'name' END)) AS kinds FROM each LEFT JOIN kinds USING (word) GROUP BY said),
+  fits AS (SELECT said, min(rules.n) AS n FROM found JOIN rules ON list_has_all(kinds, must) AND (list_contains(may, '*') OR list_has_all(list_concat(must, may), kinds)) AND found.n BETWEEN least AND most GROUP BY said),
+  spoken AS (SELECT said, ' ' || array_to_string(regexp_extract_all(lower(said), '[a-z0-9'']+|[:?]'), ' ') || ' ' AS w FROM said)
+  SELECT said, CASE WHEN said IS NULL OR trim(said) = '' OR lower(trim(said)) = 'unknown' THEN 'noise' WHEN found.n IS NULL THEN 'noise' WHEN rules.kind IS NOT NULL THEN rules.kind WHEN {' OR '.join(f"contains(w, ' {p} ')" for _, ps in leftovers.SERVICES for p in ps)} THEN 'service' ELSE 'item' END AS kind,
+    CASE WHEN said IS NULL OR trim(said) = '' OR lower(trim(said)) = 'unknown' THEN 'empty' WHEN found.n IS NULL THEN 'punctuation' WHEN rules.reason IS NOT NULL THEN rules.reason {' '.join(f"WHEN contains(w, ' {p} ') THEN '{r}'" for r, ps in leftovers.SERVICES for p in ps)} ELSE 'concrete_candidate' END AS reason
+  FROM said LEFT JOIN found USING (said) LEFT JOIN fits USING (said) LEFT JOIN rules ON fits.n = rules.n JOIN spoken USING (said)""")
 def review_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether what is left of segments may be an item."""
-    rows = _sampled(spark, sf_dir, [s for s, _, _ in LEFT]).select("said", upkeep.review_kind(c("said"), c("said")).alias("r"))
-    return rows.groupBy("said", "r.kind", "r.reason").agg(F.count("*").alias("n"))
+    """Whether what is left of segments may be an item: combinations of the trade's words, and turns of conversations."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    made = lines.select(F.expr(_LEFT.replace("element_at(w, ", f"element_at(array({', '.join(repr(w) for w in _WORDS)}), ")).alias("said"))
+    rows = made.union(table(spark, sf_dir, "conversations").select("text")).where("said IS NOT NULL").distinct()
+    return rows.select("said", leftovers.judge(c("said"), c("said")).alias("r")).select("said", "r.kind", "r.reason")
