@@ -1,11 +1,15 @@
-"""Queries over messages that hold lists, each with its SQL."""
+"""Queries over messages: lists in them, rewriting, parsing again; each with its SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lists
+from ..functions import rewriting
+from ..operators import lists, reparse
+from ..operators.ranking import shared_dir
 from ..sources.market import table
 from .oracle import _ITEMS
 from .queries import Query, _items
@@ -62,3 +66,60 @@ _LIST_OFFERS = f"""WITH {_ITEMS}, o AS ({_ORDERED}), k AS (SELECT o.*, item_key,
 
 QUERIES: dict[str, Query] = {"list_offers": list_offers}
 ORACLE_SQL: dict[str, str] = {"list_offers": _LIST_OFFERS}
+
+
+#: Messages with a part's name turned round, a requirement, and goods in the trade's own words.
+_SHORT = "CASE l_linenumber % 3 WHEN 0 THEN 'zkeys' WHEN 1 THEN 'stack of obi shards' ELSE 'elite ele tomes' END"
+_LONG = "CASE l_linenumber % 3 WHEN 0 THEN 'Zaishen Key' WHEN 1 THEN 'Obsidian Shard' ELSE 'Elite Elementalist Tome' END"
+_TURNED = "split_part(p_name, ' ', 2) || ' ' || split_part(p_name, ' ', 1)"
+_LINES = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
+
+
+def rewritten_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages rewritten by the standard table, by learned aliases (pass 0) and by the parts' names (pass 2)."""
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    names = parts.select("p_name").distinct()
+    rules = spark.createDataFrame(rewriting.standard(), "pass int, phrase string, replacement string")
+    rules = rules.unionByName(rewriting.learned(names.select(F.expr(_TURNED).alias("alias"), c("p_name").alias("name"))))
+    rules = rules.unionByName(names.select(F.lit(2).alias("pass"), c("p_name").alias("phrase"), F.upper("p_name").alias("replacement")))
+    lines = table(spark, sf_dir, "lineitem").join(parts, c("l_partkey") == c("p_partkey"))
+    said = lines.select(*_LINES.split(", "), F.expr(f"'WTS ' || {_TURNED} || ' req ' || p_size || ' insc, ' || {_SHORT} || ' ' || cast(l_quantity AS int) || 'e'").alias("message"))
+    return said.withColumn("message", rewriting.rewritten(c("message"), rules))
+
+
+_MARKET_SCHEMA = "market string, n long, low double, high double"
+_OFFER_SCHEMA = "message_id long, market string, price double"
+
+
+def _prices(rate: float):
+    """A parser of the messages of ``reparsed_markets``: what stands before the price is the market, armbraces cost ``rate``."""
+
+    def parse(messages: DataFrame) -> DataFrame:
+        market, amount, coin = (F.regexp_extract("message", r"^WT[SB] (.*) (\d+)([aek])$", k) for k in (1, 2, 3))
+        price = amount.try_cast("double") * F.when(coin == "a", rate).when(coin == "k", 1 / 16).otherwise(1.0)
+        return messages.where("message LIKE 'WT%'").select("message_id", market.alias("market"), price.alias("price"))
+
+    return parse
+
+
+def _summary(offers: DataFrame) -> DataFrame:
+    return offers.groupBy("market").agg(F.count("*").alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
+
+
+def reparsed_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets after a full parse at one rate and a targeted one at another, of the messages that name armbraces."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), c("o_custkey") == c("c_custkey"))
+    text = "concat('WTS ', c_mktsegment, ' ', o_orderkey % 97, ' ', cast(floor(o_totalprice) AS bigint), element_at(array('a', 'e', 'k', 'e', 'e'), cast(o_orderkey % 5 AS int) + 1))"
+    messages = o.select(c("o_orderkey").alias("message_id"), F.expr(text).alias("message"))
+    at = f"{shared_dir(spark)}/reparse-{uuid.uuid4().hex}"
+    reparse.full(messages, _prices(26.0), _summary, at)
+    reparse.targeted(messages, messages.where("message LIKE '%a' AND message_id % 2 = 0"), _prices(27.0), _summary, at, _OFFER_SCHEMA, _MARKET_SCHEMA)
+    return reparse.read(spark, f"{at}/markets", _MARKET_SCHEMA).drop("part")
+
+
+QUERIES |= {"rewritten_messages": rewritten_messages, "reparsed_markets": reparsed_markets}
+ORACLE_SQL |= {
+    "rewritten_messages": f"SELECT {_LINES}, 'WTS ' || upper(p_name) || ' q' || p_size::VARCHAR || ' inscribable, ' || {_LONG} || ' ' || l_quantity::INT::VARCHAR || 'e' AS message FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "reparsed_markets": """SELECT c_mktsegment || ' ' || (o_orderkey % 97)::VARCHAR AS market, count(*) AS n, min(price) AS low, max(price) AS high FROM (SELECT *, floor(o_totalprice)::DOUBLE *
+      CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 27.0 ELSE 26.0 END WHEN 2 THEN 1 / 16.0 ELSE 1.0 END::DOUBLE AS price FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1""",
+}
