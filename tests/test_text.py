@@ -1,5 +1,7 @@
 """Goldens of the text operators."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,9 +131,9 @@ def test_dictionary_takes_the_longest_leftmost(spark):
 
 
 def test_fuzzy_needs_a_clear_winner(spark):
-    names = spark.createDataFrame([("voltaic spaer",), ("zzz",)], "name string")
+    names = spark.createDataFrame([("voltaic speer",), ("zzz",)], "name string")
     aliases = spark.createDataFrame([("voltaic spear", "v"), ("silver bow", "s")], "alias string, item_key string")
-    assert [(r.name, r.item_key) for r in catalog.fuzzy_join(names, aliases, 0.8).collect()] == [("voltaic spaer", "v")]
+    assert [(r.name, r.item_key) for r in catalog.fuzzy_join(names, aliases, 0.8).collect()] == [("voltaic speer", "v")]
 
 
 def test_dictionary_against_brute_force(spark):
@@ -170,12 +172,20 @@ def test_fuzzy_against_brute_force(spark, least):
     names = []
     for n in items:
         at = int(rng.integers(0, len(n)))
-        names += [n[:at] + n[at + 1 :], n[:at] + "z" + n[at + 1 :], n]
-    best = lambda xs, ys: sum(max(_similar(x, y) for y in ys) for x in xs) / len(xs)
+        names += [n[:at] + n[at + 1 :], n[:at] + "z" + n[at + 1 :], n, n + "s", " ".join(reversed(n.split(" "))), n + " common"]
+    items += [f"common {i}" for i in items[::3]]
+    def like(x, y):
+        stem = lambda w: re.sub("(?:es|s)$", "", w)
+        return 1.0 if x == y else 0.98 if len(stem(x)) >= 4 and stem(x) == stem(y) else _similar(x, y)
 
     def score(a, b):
-        p, q = best(a.split(" "), b.split(" ")), best(b.split(" "), a.split(" "))
-        return 0.72 * 2 * p * q / max(1e-9, p + q) + 0.28 * _similar(a, b)
+        xs, ys, used, total = a.split(" "), b.split(" "), set(), 0.0
+        for x in xs:
+            near = [(like(x, y), -j) for j, y in enumerate(ys) if j not in used]
+            if near and max(near)[0] >= 0.72:
+                total += max(near)[0]
+                used.add(-max(near)[1])
+        return 0.72 * 2 * total / (len(xs) + len(ys)) + 0.28 * _similar(a.replace(" ", ""), b.replace(" ", ""))
 
     want = {}
     for n in set(names):
@@ -188,6 +198,20 @@ def test_fuzzy_against_brute_force(spark, least):
     assert got.keys() == want.keys() and all(got[n][0] == i and got[n][1] == pytest.approx(s) for n, (i, s) in want.items()) and len(got) > 30
 
 
+def test_near_words_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("abc"), n))
+    left, right = ({word(int(n)) for n in rng.integers(1, 14, 150)} for _ in range(2))
+    for w in sorted(right)[::2]:
+        at = int(rng.integers(0, len(w)))
+        left |= {w[:at] + w[at + 1 :] or "a", w[:at] + "q" + w[at:], w + "es", w[:at] + "q" + w[at + 1 :]}
+    frame = lambda ws: spark.createDataFrame([(w,) for w in sorted(ws)] + [(None,), ("",)], "w string")
+    stem = lambda w: re.sub("(?:es|s)$", "", w)
+    want = {(x, y) for x in left for y in right if x == y or (len(stem(x)) >= 4 and stem(x) == stem(y)) or _similar(x, y) >= 0.72}
+    got = [tuple(r) for r in catalog.near_words(frame(left), frame(right)).collect()]
+    assert set(got) == want and len(got) == len(want) > 400
+
+
 def test_token_evidence_needs_a_single_best(spark):
     texts = spark.createDataFrame([(1, "wts storm daggers of the old"), (2, "storm"), (3, "stormy axes"), (4, None), (5, "silver silverwing")], "id long, text string")
     items = spark.createDataFrame([("sd", "Storm Daggers"), ("sb", "Storm Bow"), ("sw", "Silverwing Bow"), ("ax", "Storm Axe")], "item_key string, name string")

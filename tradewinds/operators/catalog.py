@@ -54,48 +54,120 @@ def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, i
     return hits.select("id", F.explode(chosen).alias("h")).select("id", "h.alias", "h.item_key", "h.start", (-c("h.neg")).alias("words"))
 
 
-def similarity(a: Column, b: Column) -> Column:
+#: Similarity from which two words match, and what a name needs: the score of the winner, and its lead.
+NEAR, LEAST, MARGIN = 0.72, 0.88, 0.08
+_TOKENS, _WHOLE = 0.72, 0.28  # parts of the score
+
+
+def edits(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length."""
     longer = F.greatest(F.length(a), F.length(b))
     return F.when(longer > 0, 1 - F.levenshtein(a, b) / longer).otherwise(0.0)
 
 
-def near_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(x, y): words of two tables (w) whose similarity is at least ``least``.
+def _stem(w: Column) -> Column:
+    return F.regexp_replace(w, "(?:es|s)$", "")
+
+
+def similarity(a: Column, b: Column) -> Column:
+    """Of two words: 1 if equal, 0.98 if they differ by a plural's ending, else :func:`edits`."""
+    return F.when(a == b, 1.0).when((F.length(_stem(a)) >= 4) & (_stem(a) == _stem(b)), 0.98).otherwise(edits(a, b))
+
+
+def aligned(name: Column, alias: Column) -> Column:
+    """The sum of similarities of matched words: each word of ``name`` in turn takes the nearest free word of ``alias``, if near."""
+
+    def take(s: Column, x: Column) -> Column:
+        near = F.transform(alias, lambda y, j: F.when(F.array_contains(s["used"], j), -1.0).otherwise(similarity(x, y)))
+
+        def best(n: Column) -> Column:
+            top = F.array_max(n)
+            used = F.array_append(s["used"], (F.array_position(n, top) - 1).cast("int"))
+            return F.when(top >= NEAR, F.struct(used.alias("used"), (s["w"] + top).alias("w"))).otherwise(s)
+
+        return exprs.once(near, best)
+
+    return F.aggregate(name, F.struct(F.array().cast("array<int>").alias("used"), F.lit(0.0).alias("w")), take, lambda s: s["w"])
+
 
-    Words that near share two letters in a row, or a letter where a word of up to four letters may differ so much that none
-    is left; so words meet by these in an equi-join, and only distinct words do.
+def _allowed(longer: Column) -> Column:
+    """Edits that two near words may differ by, from the longer one's length."""
+    return F.floor(longer * (1 - NEAR) + 1e-9).cast("int")
+
+
+def _segment(n: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """(start from 0, length) of the i-th of ``parts`` even segments of a word of ``n`` letters."""
+    start = F.floor(i * n / parts).cast("int")
+    return start, F.floor((i + 1) * n / parts).cast("int") - start
+
+
+def near_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(x, y): words of two tables (w) whose similarity is at least ``NEAR``.
+
+    A word that differs by at most d edits leaves one of d + 1 segments of the other whole, moved by no more than d places. So the
+    words of ``right`` are found by their segments, under their length and d; a plural also by its stem. Only distinct words meet,
+    by an equi-join, and longer words have longer segments.
     """
-    loose = least < 2 / 3  # then a word of three letters may lose both pairs
+    n = F.length("w")
+    key = lambda size, d, i, part: F.struct(size.cast("int").alias("n"), d.alias("d"), i.cast("int").alias("i"), part.alias("s"))
+    stem = F.when(F.length(_stem(c("w"))) >= 4, F.array(key(F.lit(0), F.lit(0), F.lit(0), _stem(c("w"))))).otherwise(F.array().cast("array<struct<n:int,d:int,i:int,s:string>>"))
+
+    def kept(longer: Column) -> Column:  # segments of a word whose partner, or itself, has ``longer`` letters
+        d = _allowed(longer)
 
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        n = F.length("w")
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c("w"), i, F.lit(2)))).otherwise(F.array())
-        letters = F.when((n < 3) | F.lit(loose) & (n <= 4), F.split("w", "")).otherwise(F.array())
-        return df.select(c("w").alias(name), F.explode(F.array_distinct(F.concat(pairs, letters))).alias("_k"))
+        def one(i: Column) -> Column:
+            start, size = _segment(n, d + 1, i)
+            return key(n, d, i, F.substring(c("w"), start + 1, size))
 
-    met = keyed(left, "x").join(keyed(right, "y"), "_k").select("x", "y").distinct()
-    return met.where(similarity(c("x"), c("y")) >= least)
+        return F.transform(F.sequence(F.lit(0), d), one)
 
+    def sought(m: Column) -> Column:  # places in a word where a segment of a partner of m letters may stand
+        d = _allowed(F.greatest(n, m))
 
-def fuzzy_join(names: DataFrame, aliases: DataFrame, least: float = 0.88, margin: float = 0.08) -> DataFrame:
+        def one(i: Column) -> Column:
+            start, size = _segment(m, d + 1, i)
+            first, last = F.greatest(F.lit(0), start - d), F.least(n - size, start + d)
+            places = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda at: key(m, d, i, F.substring(c("w"), at + 1, size)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), d), one))
+
+    longest, shortest = F.floor(n / NEAR + 1e-9).cast("int"), F.ceil(n * NEAR - 1e-9).cast("int")
+    index = right.where(n > 0).select(c("w").alias("y"), F.explode(F.array_distinct(F.concat(F.flatten(F.transform(F.sequence(n, longest), kept)), stem))).alias("_k"))
+    probe = left.where(n > 0).select(c("w").alias("x"), F.explode(F.array_distinct(F.concat(F.flatten(F.transform(F.sequence(shortest, longest), sought)), stem))).alias("_k"))
+    return probe.join(index, "_k").select("x", "y").distinct().where(similarity(c("x"), c("y")) >= NEAR)
+
+
+def fuzzy_join(names: DataFrame, aliases: DataFrame, least: float = LEAST, margin: float = MARGIN) -> DataFrame:
     """(name, item_key, score): the item of the alias nearest to each name, if near enough and clear of the next item.
 
-    The score is 0.72 x the balance of both sides' mean best similarity of words and 0.28 x the similarity of the whole. A pair
-    that can win, or come within ``margin`` of a winner, has a word whose nearest is at least (least - margin - 0.28) / 0.72
-    similar, so only pairs with such words are scored, and none that counts is missed. Null and empty names match nothing.
+    The score is 0.72 x the balance of matched words in both (:func:`aligned`) and 0.28 x the similarity of the whole without
+    blanks. A pair that can win, or come within ``margin`` of a winner, needs matches of at least a third of all its words, so of
+    a name's n words all but so many must match; it is looked up only by that many, plus one, of its words, those whose near
+    words are in the fewest aliases. So a word that many names share brings no pairs, and no pair that counts is missed. Null and
+    empty names match nothing. ``least`` - ``margin`` must be over 0.28.
     """
+    share = (least - margin - _WHOLE) / _TOKENS - 1e-9  # what twice the matches must be of all words
+    if share <= 0:
+        raise ValueError("least - margin must be over 0.28")
     left = names.select(plain(c("name")).alias("n"), "name").where("n <> ''").distinct()
     right = aliases.select(plain(c("alias")).alias("alias"), "item_key").where("alias <> ''").distinct()
-    words = lambda df, of: df.select(of, F.explode(F.array_distinct(F.split(of, " "))).alias("w")).distinct()
-    in_names, in_aliases = words(left, "n"), words(right, "alias")
-    near = near_words(in_names.select("w").distinct(), in_aliases.select("w").distinct(), max(0.0, (least - margin - 0.28) / 0.72 - 1e-9))
-    met = in_names.join(near, c("w") == c("x")).select("n", "y").distinct().join(in_aliases, c("y") == c("w")).select("n", "alias").distinct()
-    pairs = met.join(left, "n").join(right, "alias")
-    best = lambda xs, ys: F.aggregate(F.transform(xs, lambda x: F.array_max(F.transform(ys, lambda y: similarity(x, y)))), F.lit(0.0), lambda s, v: s + v) / F.size(xs)
     a, b = F.split(c("n"), " "), F.split(c("alias"), " ")
-    f1 = 2 * best(a, b) * best(b, a) / F.greatest(F.lit(1e-9), best(a, b) + best(b, a))
-    scored = pairs.withColumn("score", 0.72 * f1 + 0.28 * similarity(c("n"), c("alias"))).groupBy("name", "item_key").agg(F.max("score").alias("score"))
+    in_names = left.select("n", F.explode(a).alias("w"), F.size(a).alias("_size"))
+    in_aliases = right.select("alias", F.explode(F.array_distinct(b)).alias("y")).distinct()
+    near = near_words(in_names.select("w").distinct(), in_aliases.select(c("y").alias("w")).distinct())
+    held = near.join(in_aliases.groupBy("y").agg(F.count("*").alias("_in")), "y")
+    weighed = in_names.join(held.groupBy("x").agg(F.sum("_in").alias("_in")), c("w") == c("x"), "left").withColumn("_in", F.coalesce("_in", F.lit(0)))
+    # m matches among n words and m or more: 2 m >= share (n + m), so at least share n / (2 - share) words match
+    must = F.ceil(share * c("_size") / (2 - share) - 1e-9)
+    ranked = weighed.groupBy("n", "_size").agg(F.array_sort(F.collect_list(F.struct("_in", "w"))).alias("_ws"))  # the words of one name
+    rare = ranked.select("n", "_size", F.explode(F.array_distinct(F.slice(F.transform("_ws", lambda w: w["w"]), F.lit(1), (c("_size") - must + 1).cast("int")))).alias("x"))
+    met = rare.join(near, "x").join(in_aliases, "y").where(2 * F.least(c("_size"), F.size(b)) >= share * (c("_size") + F.size(b))).select("n", "alias").distinct()
+    pairs = met.join(left, "n").join(right, "alias")
+    matched = aligned(a, b)
+    whole = edits(F.replace(c("n"), F.lit(" "), F.lit("")), F.replace(c("alias"), F.lit(" "), F.lit("")))
+    score = _TOKENS * 2 * matched / (F.size(a) + F.size(b)) + _WHOLE * whole
+    scored = pairs.withColumn("score", score).groupBy("name", "item_key").agg(F.max("score").alias("score"))
     order = W.partitionBy("name").orderBy(F.desc("score"), "item_key")
     top = scored.withColumn("_n", F.row_number().over(order)).withColumn("_next", F.lead("score").over(order)).where("_n = 1")
     return top.where((c("score") >= least) & (c("score") - F.coalesce("_next", F.lit(0.0)) >= margin)).select("name", "item_key", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rewriting
-from ..operators import lists, reparse
+from ..operators import knowledge, lists, reparse
 from ..operators.ranking import shared_dir
 from ..sources.market import table
 from .oracle import _ITEMS
@@ -123,3 +123,26 @@ ORACLE_SQL |= {
     "reparsed_markets": """SELECT c_mktsegment || ' ' || (o_orderkey % 97)::VARCHAR AS market, count(*) AS n, min(price) AS low, max(price) AS high FROM (SELECT *, floor(o_totalprice)::DOUBLE *
       CASE o_orderkey % 5 WHEN 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 27.0 ELSE 26.0 END WHEN 2 THEN 1 / 16.0 ELSE 1.0 END::DOUBLE AS price FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1""",
 }
+
+
+def knowledge_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages: numbers redirect to their half until one that is a page of its own; some run in circles. Published, then read."""
+    p = table(spark, sf_dir, "part")
+    page = c("p_size") % 7 == 0
+    number = lambda k: F.concat(F.lit("part "), k.cast("string"))
+    to = F.when(c("p_size") % 11 == 0, c("p_partkey")).otherwise(F.floor(c("p_partkey") / 2))
+    pages = p.where(page).select(number(c("p_partkey")).alias("title"), c("p_partkey").alias("pageid"), c("p_size").alias("fetched_at"), "p_name")
+    root = f"{shared_dir(spark)}/pack-{uuid.uuid4().hex}"
+    packed = knowledge.pack(pages, p.where(~page).select(number(c("p_partkey")).alias("source"), number(to).alias("target")))
+    knowledge.publish(spark, root, knowledge.write_version(packed, root))
+    return knowledge.read(spark, root).select("title", "p_name", F.size("aliases").cast("long").alias("n"), F.array_join("aliases", ",").alias("aliases"))
+
+
+QUERIES |= {"knowledge_pack": knowledge_pack}
+ORACLE_SQL |= {
+    "knowledge_pack": """WITH RECURSIVE r AS (SELECT p_partkey AS source, CASE WHEN p_size % 11 = 0 THEN p_partkey ELSE p_partkey // 2 END AS target FROM part WHERE p_size % 7 <> 0),
+      walk AS (SELECT source, target, 1 AS n FROM r WHERE source <> target UNION ALL SELECT walk.source, r.target, n + 1 FROM walk JOIN r ON walk.target = r.source WHERE r.source <> r.target),
+      ends AS (SELECT source, target FROM walk WHERE target NOT IN (SELECT source FROM r))
+      SELECT 'part ' || p_partkey::VARCHAR AS title, p_name, count(source) AS n, coalesce(string_agg('part ' || source::VARCHAR, ',' ORDER BY 'part ' || source::VARCHAR), '') AS aliases
+      FROM part LEFT JOIN ends ON target = p_partkey WHERE p_size % 7 = 0 GROUP BY p_partkey, p_name""",
+}

@@ -50,14 +50,18 @@ def dictionary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.dictionary_join(chat(spark, sf_dir), known.distinct(), "message", "offer_id")
 
 
-_SIM = "(CASE WHEN greatest(length({0}), length({1})) > 0 THEN 1 - levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1})) ELSE 0.0 END)"
-_BEST = "(list_sum(list_transform({0}, lambda x: list_max(list_transform({1}, lambda y: " + _SIM.format("x", "y") + "))))::DOUBLE / len({0}))"
+_EDITS = "(CASE WHEN greatest(length({0}), length({1})) > 0 THEN 1 - levenshtein({0}, {1})::DOUBLE / greatest(length({0}), length({1})) ELSE 0.0 END)"
+_STEM = "regexp_replace({0}, '(es|s)$', '')"
+_SIM = f"CASE WHEN {{0}} = {{1}} THEN 1.0::DOUBLE WHEN length({_STEM.format('{0}')}) >= 4 AND {_STEM.format('{0}')} = {_STEM.format('{1}')} THEN 0.98::DOUBLE ELSE {_EDITS} END"
 
 
+# names have one word or two here, items two: the first word takes the nearer of both, the second what is left
 @_add("fuzzy_matches", f"""WITH {_ITEMS}, n AS (SELECT DISTINCT substr(name, 1, k - 1) || substr(name, k + 1) AS name FROM (SELECT name, unnest(range(1, length(name) + 1)) AS k FROM items)),
   p AS (SELECT n.name, item_key, {_TIDY("n.name")} AS n, {_TIDY("items.name")} AS a, string_split({_TIDY("n.name")}, ' ') AS xs, string_split({_TIDY("items.name")}, ' ') AS ys FROM n, items),
-  b AS (SELECT name, item_key, n, a, {_BEST.format("xs", "ys")} AS l, {_BEST.format("ys", "xs")} AS r FROM p),
-  s AS (SELECT name, item_key, max(0.72::DOUBLE * 2 * l * r / greatest(1e-9, l + r) + 0.28::DOUBLE * {_SIM.format("n", "a")}) AS score FROM b GROUP BY ALL),
+  w AS (SELECT *, xs[1] AS x1, coalesce(xs[2], '') AS x2, ys[1] AS y1, ys[2] AS y2 FROM p),
+  m AS (SELECT *, {_SIM.format("x1", "y1")} AS s11, {_SIM.format("x1", "y2")} AS s12, CASE WHEN x2 = '' THEN 0.0 ELSE {_SIM.format("x2", "y1")} END::DOUBLE AS s21, CASE WHEN x2 = '' THEN 0.0 ELSE {_SIM.format("x2", "y2")} END::DOUBLE AS s22 FROM w),
+  f AS (SELECT *, greatest(s11, s12) AS first, CASE WHEN greatest(s11, s12) < 0.72 THEN greatest(s21, s22) WHEN s11 >= s12 THEN s22 ELSE s21 END AS second FROM m),
+  s AS (SELECT name, item_key, max(0.72::DOUBLE * 2 * (CASE WHEN first >= 0.72 THEN first ELSE 0 END + CASE WHEN second >= 0.72 THEN second ELSE 0 END) / (len(xs) + len(ys)) + 0.28::DOUBLE * {_EDITS.format("replace(n, ' ', '')", "replace(a, ' ', '')")}) AS score FROM f GROUP BY ALL),
   o AS (SELECT *, lead(score) OVER w AS next, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY name ORDER BY score DESC, item_key))
   SELECT name, item_key, round(score, 6) AS score FROM o WHERE k = 1 AND score >= 0.88 AND score - coalesce(next, 0) >= 0.08""")
 def fuzzy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
