@@ -11,6 +11,13 @@ from ..functions import exprs, text, values
 c = F.col
 #: Aliases up to which they are broadcast; beyond, the spans are shuffled to them.
 SMALL = 50_000
+#: First words of aliases up to which spans are made only where one stands; beyond, they are made everywhere.
+FIRSTS = 5_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast if it is counted small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def plain(x: Column) -> Column:
@@ -34,15 +41,19 @@ def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, i
     if longest is None:
         longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     words = F.filter(F.split(plain(c(text_column)), " "), lambda w: w != "")
+    first = aliases.select(F.split_part("alias", F.lit(" "), F.lit(1)).alias("w")).where("w <> ''").distinct()
+    firsts = [r.w for r in first.limit(FIRSTS + 1).collect()]
 
     def spans(w: Column) -> Column:
         many = lambda i: F.sequence(F.lit(1), F.least(F.lit(longest), F.size(w) - i))
         one = lambda i: F.transform(many(i), lambda n: F.struct(i.alias("start"), n.alias("words"), F.array_join(F.slice(w, i + 1, n), " ").alias("alias")))
-        return F.when(F.size(w) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(w) - 1), one)))
+        starts = F.sequence(F.lit(0), F.size(w) - 1)
+        if len(firsts) <= FIRSTS:  # only where an alias can begin
+            starts = F.filter(starts, lambda i: F.get(w, i).isin(*firsts) if firsts else F.lit(False))
+        return F.when(F.size(w) > 0, F.flatten(F.transform(starts, one)))
 
     found = messages.select(c(id_column).alias("id"), F.explode(exprs.once(words, spans)).alias("s")).select("id", "s.start", "s.words", "s.alias")
-    known = aliases.select("alias", "item_key")
-    known = F.broadcast(known) if known.limit(SMALL + 1).count() <= SMALL else known
+    known = _small(aliases.select("alias", "item_key"))
     hits = found.join(known, "alias").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-c("words")).alias("neg"), "alias", "item_key"))).alias("hits"))
 
     def take(s: Column, h: Column) -> Column:
@@ -176,14 +187,16 @@ def fuzzy_join(names: DataFrame, aliases: DataFrame, least: float = LEAST, margi
 def token_evidence(texts: DataFrame, items: DataFrame, least: int = 5) -> DataFrame:
     """(id, item_key, score): for each text (id, text) the catalog item (item_key, name) with the most evidence in its words.
 
-    A word of four letters or more that is one of the name's counts 3; one of which a word of the name begins, or the other
-    way round, counts 2. Words meet by their first four letters. The best item needs ``least`` points; a tie gives none.
+    Distinct words meet distinct words of names, by their first four letters; only then do the texts and items of a word come, by
+    broadcast where the words are counted few, so that no task gathers the texts of a frequent one. A word of four letters or more that is one of the name's counts 3; one of which a word of the name begins, or the other
+    way round, counts 2. The best item needs ``least`` points; a tie gives none.
     """
     word = lambda of: F.explode(F.array_distinct(F.filter(F.split(plain(of), " "), lambda w: F.length(w) >= 4)))
-    said = texts.select("id", word(c("text")).alias("w")).withColumn("_k", F.substring("w", 1, 4))
-    known = items.select("item_key", word(c("name")).alias("v")).withColumn("_k", F.substring("v", 1, 4))
-    points = F.when(c("w") == c("v"), 3).when(F.startswith("w", "v") | F.startswith("v", "w"), 2).otherwise(0)
-    each = said.join(known, "_k").groupBy("id", "item_key", "v").agg(F.max(points).alias("p"))
+    said, known = texts.select("id", word(c("text")).alias("w")), items.select("item_key", word(c("name")).alias("v"))
+    points = F.when(c("w") == c("v"), 3).when(F.startswith("w", "v") | F.startswith("v", "w"), 2)
+    of = lambda df, w: df.select(w).distinct().withColumn("_k", F.substring(w, 1, 4))
+    near = of(said, "w").join(_small(of(known, "v")), "_k").select("w", "v", points.alias("p")).where("p IS NOT NULL")
+    each = said.join(_small(near), "w").join(_small(known), "v").groupBy("id", "item_key", "v").agg(F.max(points).alias("p"))
     score = each.groupBy("id", "item_key").agg(F.sum("p").alias("score")).where(c("score") >= least)
     top = score.groupBy("id").agg(F.max(F.struct("score", "item_key")).alias("top"), F.max("score").alias("_s"))
     ties = score.join(top.select("id", c("_s").alias("score")), ["id", "score"]).groupBy("id").agg(F.count("*").alias("_n"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import HISTORY_CAP, MESSAGE_CAP, RETENTION_DAYS, TTL_HOURS
 from ..functions import exprs
+from .ranking import place
 
 c = F.col
 
@@ -55,12 +56,12 @@ def duplicates(offers: DataFrame) -> DataFrame:
 
 def over_cap(offers: DataFrame, reviewed: DataFrame, cap: int = HISTORY_CAP) -> DataFrame:
     """Ids of inactive offers without a review beyond the newest ``cap`` of their market and side."""
-    order = W.partitionBy(exprs.market(), "trade_type").orderBy(F.desc("posted_at"), F.desc("offer_id"))
     rows = offers.where("lifecycle_status <> 'active'").join(reviewed.select("offer_id"), "offer_id", "left_anti").withColumn("_m", exprs.market())
-    # only sides beyond the cap are ranked
+    # only sides beyond the cap are ranked, dealt out by ranges
     full = rows.groupBy("_m", "trade_type").agg(F.count("*").alias("_c")).where(c("_c") > cap).select(c("_m").alias("_fm"), c("trade_type").alias("_ft"))
     rows = rows.join(full, c("_m").eqNullSafe(c("_fm")) & (c("trade_type") == c("_ft")), "left_semi")
-    return rows.withColumn("_n", F.row_number().over(order)).where(c("_n") > cap).select("offer_id")
+    placed = place(rows.select("offer_id", "_m", "trade_type", "posted_at"), ["_m", "trade_type"], [F.desc("posted_at"), F.desc("offer_id")], "_n")
+    return placed.where(c("_n") > cap).select("offer_id")
 
 
 def prune(offers: DataFrame, reviewed: DataFrame, as_of: str, cap: int = HISTORY_CAP, days: int = RETENTION_DAYS) -> DataFrame:

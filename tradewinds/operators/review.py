@@ -21,7 +21,13 @@ def dataset_summary(rows: DataFrame, player: str, text: str) -> DataFrame:
 
 
 def repeated_texts(rows: DataFrame, text: str) -> DataFrame:
-    return rows.groupBy(F.lower(F.trim(c(text))).alias("norm")).agg(F.count("*").alias("n"), F.min(text).alias("example")).where("n > 1")
+    """(norm, n, example): texts that more than one row has, without case and outer blanks. Rows are counted by a hash of 128 bits, so
+    that only the texts that repeat are looked at, one of each group and task."""
+    norm = lambda x: F.lower(F.trim(x))
+    hashed = rows.select(F.unhex(F.md5(norm(c(text)))).alias("_h"), c(text).alias("_text"))
+    counts = hashed.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select(c("_h").alias("_of"), "n")
+    found = hashed.join(counts, c("_h").eqNullSafe(c("_of"))).groupBy("_h", "n").agg(F.min("_text").alias("example"))
+    return found.select(norm(c("example")).alias("norm"), "n", "example")
 
 
 def common_terms(rows: DataFrame, text: str, order: list, newest: int = 500, most: int = 20) -> DataFrame:
