@@ -3,6 +3,7 @@
 import pytest
 
 from tradewinds.operators import knowledge
+from tradewinds.sources import payload
 
 
 def test_redirects_are_followed_to_the_end(spark):
@@ -35,3 +36,18 @@ def test_a_crash_before_publishing_leaves_the_old_version(spark, tmp_path):
     assert [r.n for r in before.collect()] == [1]
     knowledge.publish(spark, root, knowledge.write_version(frame(3), root))
     assert [r.n for r in knowledge.read(spark, root).collect()] == [3] and [r.n for r in before.collect()] == [1]
+
+
+def test_catalogs_of_any_depth(spark):
+    deep = '{"name": "x"}'
+    for k in range(12):
+        deep = f'{{"items": [{deep}, "text{k}"]}}'
+    bodies = [
+        '[{"type": "bow", "items": [{"name": "a", "aliases": ["p", "q"]}, {"type": "long", "groups": [{"name": "b"}]}, "c"]}]', '{"catalog": {"no": "list"}}', '{"name": "alone"}', "no json", None, "[]", '"text alone"', "5",
+        '{"items": [{"name": " "}, null, 7, {"aliases": ["none"]}]}', deep,
+    ]
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    got = sorted(((r.type, r.name, tuple(r.aliases)) for r in payload.nested_catalog(df, "body").collect()), key=repr)
+    want = [("bow", "a", ("p", "q")), ("long", "b", ()), ("bow", "c", ()), (None, "alone", ()), (None, "x", ())] + [(None, f"text{k}", ()) for k in range(12)]
+    assert got == sorted(want, key=repr)
+    assert payload.nested_catalog(df.limit(0), "body").count() == 0

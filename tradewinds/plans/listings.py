@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import rewriting
 from ..operators import knowledge, lists, reparse
 from ..operators.ranking import shared_dir
+from ..sources import payload
 from ..sources.market import table
 from .oracle import _ITEMS
 from .queries import Query, _items
@@ -146,3 +147,19 @@ ORACLE_SQL |= {
       SELECT 'part ' || p_partkey::VARCHAR AS title, p_name, count(source) AS n, coalesce(string_agg('part ' || source::VARCHAR, ',' ORDER BY 'part ' || source::VARCHAR), '') AS aliases
       FROM part LEFT JOIN ends ON target = p_partkey WHERE p_size % 7 = 0 GROUP BY p_partkey, p_name""",
 }
+
+
+def nested_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts written as catalogs of one to three levels, whose inner groups say their type or leave it, and read back."""
+    names = table(spark, sf_dir, "part").groupBy("p_type", "p_name").agg(F.array_sort(F.collect_set("p_brand")).alias("aliases"))
+    groups = names.groupBy("p_type").agg(F.collect_list(F.struct(c("p_name").alias("name"), "aliases")).alias("items"), F.length("p_type").alias("n"))
+    one, inner = F.struct(c("p_type").alias("type"), "items"), F.struct("items")
+    two = F.struct(F.lit("outer").alias("type"), F.array(one).alias("groups"))
+    three = F.struct(c("p_type").alias("type"), F.array(F.struct(F.array(inner).alias("children"))).alias("items"))
+    body = F.when(c("n") % 3 == 0, F.to_json(one)).when(c("n") % 3 == 1, F.to_json(F.array(two))).otherwise(F.to_json(three))
+    found = payload.nested_catalog(groups.select(body.alias("body")), "body")
+    return found.select("type", "name", F.array_join("aliases", ",").alias("aliases"))
+
+
+QUERIES |= {"nested_import": nested_import}
+ORACLE_SQL |= {"nested_import": "SELECT p_type AS type, p_name AS name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS aliases FROM part GROUP BY p_type, p_name"}

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import written
+
 c = F.col
 _ENTRY = "array<struct<m:string,message:string,s:string,player:string,t:string,h:string>>"
 
@@ -51,6 +54,33 @@ def flat_catalog(bodies: DataFrame, column: str) -> DataFrame:
     return rows.select("type", "i.name", F.coalesce("i.aliases", F.array().cast("array<string>")).alias("aliases"))
 
 
+#: Where a group of a catalog keeps its members.
+MEMBERS = ("items", "groups", "children", "data", "results", "catalog")
+
+
+def nested_catalog(bodies: DataFrame, column: str) -> DataFrame:
+    """(type, name, aliases) of catalogs whose groups hold groups, however deep.
+
+    A list's elements are its members; an object with a list under one of ``MEMBERS`` is a group, whose ``type`` its members have
+    unless they say another; an object with a name is an item, and so is a text within a list. Anything else, and what is no
+    JSON, is passed over. Groups are opened level by level until none is left; each level is written, so that a document is
+    parsed once, whatever its depth.
+    """
+    level = bodies.select(F.lit(None).cast("string").alias("type"), F.try_parse_json(c(column)).alias("v")).where("v IS NOT NULL")
+    level, items, depth = written(level), [], 0
+    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    while level.limit(1).count():
+        own = F.coalesce(get("$.type"), c("type"))
+        lists = F.coalesce(*(F.try_variant_get("v", f"$.{m}", "array<variant>") for m in MEMBERS), F.try_variant_get("v", "$", "array<variant>"))
+        opened = level.select(own.alias("type"), "v", lists.alias("_members"))
+        name = F.coalesce(get("$.name"), F.when(F.schema_of_variant("v") == "STRING", get("$")) if depth else F.lit(None).cast("string"))
+        found = opened.where(c("_members").isNull()).select("type", F.trim(name).alias("name"), F.coalesce(get("$.aliases", "array<string>"), F.array().cast("array<string>")).alias("aliases"))
+        items.append(found.where("name <> ''"))
+        level, depth = written(opened.select("type", F.explode("_members").alias("v")).where("v IS NOT NULL")), depth + 1
+    none = bodies.sparkSession.createDataFrame([], "type string, name string, aliases array<string>")
+    return reduce(DataFrame.unionByName, items, none)
+
+
 def write_training_set(messages_: DataFrame, offers: DataFrame, path: str) -> None:
     """NDJSON of every message with its offers."""
     own = offers.groupBy("message_id").agg(F.collect_list(F.struct("trade_type", "item", "requirement", "price_amount", "price_currency")).alias("offers"))
