@@ -154,6 +154,16 @@ def test_dictionary_against_brute_force(spark):
     assert {(r.id, r.alias, r.start, r.words) for r in got} == want and len(got) == len(want) and max(r.words for r in got) >= 6
 
 
+def test_compact_names_and_vetoes(spark):
+    texts = ["WTS voltaicspear, VOLTAIC-SPEAR and volta icspear", "avoltaicspear voltaicspears", "not voltaic spear", "voltaic spear set", "zod iac staff and", None, "", "x " * 3000 + "bow"]
+    aliases = spark.createDataFrame([("Voltaic Spear", "v"), ("zodiac staff", "z"), ("zodi acstaff", "y"), ("bow", "b"), ("", "e")], "alias string, item_key string")
+    vetoes = spark.createDataFrame([("voltaic spear", "before", "not"), ("voltaic spear", "after", "SET"), ("bow", "after", "tie")], "alias string, side string, word string")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, m string")
+    of = lambda v: sorted((r.id, r.item_key, r.start, r.words) for r in catalog.compact_join(df, aliases, "m", "id", v).collect())
+    always = [(0, "v", 1, 1), (0, "v", 2, 2), (0, "v", 5, 2), (4, "y", 0, 3), (7, "b", 3000, 1)]
+    assert of(vetoes) == always and of(None) == sorted([*always, (2, "v", 1, 2), (3, "v", 0, 2)])
+
+
 def _similar(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -54,7 +54,12 @@ def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, i
 
     found = messages.select(c(id_column).alias("id"), F.explode(exprs.once(words, spans)).alias("s")).select("id", "s.start", "s.words", "s.alias")
     known = _small(aliases.select("alias", "item_key"))
-    hits = found.join(known, "alias").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-c("words")).alias("neg"), "alias", "item_key"))).alias("hits"))
+    return _chosen(found.join(known, "alias"))
+
+
+def _chosen(found: DataFrame) -> DataFrame:
+    """Of the matches of each text those from the left that don't overlap, the longest first, by a fold over one text's."""
+    hits = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-c("words")).alias("neg"), "alias", "item_key"))).alias("hits"))
 
     def take(s: Column, h: Column) -> Column:
         free = h["start"] >= s["end"]
@@ -65,6 +70,44 @@ def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, i
     return hits.select("id", F.explode(chosen).alias("h")).select("id", "h.alias", "h.item_key", "h.start", (-c("h.neg")).alias("words"))
 
 
+def compact_join(messages: DataFrame, aliases: DataFrame, text_column: str, id_column: str, vetoes: DataFrame | None = None) -> DataFrame:
+    """(id, alias, item_key, start, words): as :func:`dictionary_join`, but blanks and marks don't count: 'volta icspear' or
+    'VoltaicSpear' is 'voltaic spear', as long as it begins and ends with a word.
+
+    A text is written without blanks, with the places where its words begin and end; every stretch from a begin to an end that
+    is no longer than the longest alias meets the aliases, so written, in an equi-join. ``vetoes`` (alias, side, word) takes
+    matches of an alias away whose neighbour before or after is that word, before any are chosen. Of aliases that read alike
+    without blanks the least counts.
+    """
+    tight = lambda x: F.replace(plain(x), F.lit(" "), F.lit(""))
+    known = aliases.select(tight(c("alias")).alias("_k"), "alias", "item_key").where("_k <> ''").groupBy("_k").agg(F.min(F.struct("alias", "item_key")).alias("_a"))
+    longest = known.agg(F.max(F.length("_k"))).first()[0] or 0
+    words = F.filter(F.split(plain(c(text_column)), " "), lambda w: w != "")
+
+    def stretches(w: Column) -> Column:
+        ends = F.aggregate(w, F.array().cast("array<int>"), lambda s, x: F.array_append(s, F.coalesce(F.element_at(s, F.when(F.size(s) > 0, -1)), F.lit(0)) + F.length(x)))
+
+        def within(x: Column) -> Column:
+            whole, end = F.array_join(x["w"], ""), x["ends"]
+
+            def at(i: Column) -> Column:
+                begin = F.when(i > 0, F.get(end, i - 1)).otherwise(0)
+                fits = F.filter(F.sequence(i, F.least(F.size(end) - 1, i + longest)), lambda j: F.get(end, j) - begin <= longest)
+                return F.transform(fits, lambda j: F.struct(i.alias("start"), (j - i + 1).alias("words"), F.substring(whole, begin + 1, F.get(end, j) - begin).alias("_k"), F.get(x["w"], i - 1).alias("before"), F.get(x["w"], j + 1).alias("after")))
+
+            return F.when(F.size(end) > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.size(end) - 1), at)))
+
+        return exprs.once(F.struct(w.alias("w"), ends.alias("ends")), within)
+
+    found = messages.select(c(id_column).alias("id"), F.explode(exprs.once(words, stretches)).alias("s")).select("id", "s.*").join(_small(known), "_k")
+    found = found.select("id", "start", "words", "before", "after", "_a.alias", "_a.item_key")
+    if vetoes is not None:
+        against = _small(vetoes.select(plain(c("alias")).alias("_va"), "side", plain(c("word")).alias("_vw")).distinct())
+        neighbour = F.when(c("side") == "before", c("before")).when(c("side") == "after", c("after"))
+        found = found.join(against, (plain(c("alias")) == c("_va")) & (neighbour == c("_vw")), "left_anti")
+    return _chosen(found.select("id", "start", "words", "alias", "item_key"))
+
+
 #: Similarity from which two words match, and what a name needs: the score of the winner, and its lead.
 NEAR, LEAST, MARGIN = 0.72, 0.88, 0.08
 _TOKENS, _WHOLE = 0.72, 0.28  # parts of the score

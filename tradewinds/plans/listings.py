@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rewriting
-from ..operators import knowledge, lists, reparse
+from ..operators import catalog, knowledge, lists, reparse
 from ..operators.ranking import shared_dir
 from ..sources import payload
 from ..sources.market import table
@@ -163,3 +163,22 @@ def nested_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"nested_import": nested_import}
 ORACLE_SQL |= {"nested_import": "SELECT p_type AS type, p_name AS name, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS aliases FROM part GROUP BY p_type, p_name"}
+
+
+_SAID_TIGHT = "'WTS ' || CASE l_linenumber % 4 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, ' ', '') WHEN 2 THEN 'fake ' || p_name ELSE p_name || ' set' END || ' now'"
+
+
+def compact_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names in messages, with and without a blank; not after 'fake' nor before 'set'."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey"))
+    said = lines.select(F.concat_ws("|", *_LINES.split(", "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"), F.col("l_quantity").cast("int").cast("string")).alias("id"), F.expr(_SAID_TIGHT).alias("message"))
+    names = _items(spark, sf_dir).select(c("name").alias("alias"), "item_key")
+    vetoes = names.select("alias", F.lit("before").alias("side"), F.lit("fake").alias("word")).unionByName(names.select("alias", F.lit("after").alias("side"), F.lit("set").alias("word")))
+    return catalog.compact_join(said, names, "message", "id", vetoes)
+
+
+QUERIES |= {"compact_matches": compact_matches}
+ORACLE_SQL |= {
+    "compact_matches": f"""WITH {_ITEMS} SELECT concat_ws('|', {_LINES}, l_extendedprice::DECIMAL(18,2), l_quantity::INT) AS id, p_name AS alias, item_key, 1::INT AS start, CASE l_linenumber % 4 WHEN 0 THEN 2 ELSE 1 END::INT AS words
+      FROM lineitem JOIN part ON l_partkey = p_partkey JOIN items ON name = p_name WHERE l_linenumber % 4 IN (0, 1)""",
+}
