@@ -38,6 +38,11 @@ def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, i
     no text is held against every alias; the choice among overlapping matches is a fold over one text's matches. Null and
     empty texts have none; rows that share an id are one text's matches only if they are one row, so ids should be unique.
     """
+    return _chosen(embedded(messages, aliases, text_column, id_column, longest))
+
+
+def embedded(messages: DataFrame, aliases: DataFrame, text_column: str, id_column: str, longest: int | None = None) -> DataFrame:
+    """(id, alias, item_key, start, words): every alias in a text, overlapping ones too."""
     if longest is None:
         longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     words = F.filter(F.split(plain(c(text_column)), " "), lambda w: w != "")
@@ -53,8 +58,7 @@ def dictionary_join(messages: DataFrame, aliases: DataFrame, text_column: str, i
         return F.when(F.size(w) > 0, F.flatten(F.transform(starts, one)))
 
     found = messages.select(c(id_column).alias("id"), F.explode(exprs.once(words, spans)).alias("s")).select("id", "s.start", "s.words", "s.alias")
-    known = _small(aliases.select("alias", "item_key"))
-    return _chosen(found.join(known, "alias"))
+    return found.join(_small(aliases.select("alias", "item_key")), "alias")
 
 
 def _chosen(found: DataFrame) -> DataFrame:
