@@ -3,9 +3,9 @@
 import pytest
 
 from tests.oracle import differences
-from tradewinds.plans import listings, oracle, queries, resolving, strategies, streams, upkeep
+from tradewinds.plans import listings, oracle, queries, resolving, strategies, streams, upkeep, wording
 
-ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | upkeep.ORACLE_SQL | resolving.ORACLE_SQL | listings.ORACLE_SQL | strategies.ORACLE_SQL | streams.ORACLE_SQL, queries.QUERIES | upkeep.QUERIES | resolving.QUERIES | listings.QUERIES | strategies.QUERIES | streams.QUERIES
+ORACLE_SQL, QUERIES = oracle.ORACLE_SQL | upkeep.ORACLE_SQL | resolving.ORACLE_SQL | listings.ORACLE_SQL | strategies.ORACLE_SQL | streams.ORACLE_SQL | wording.ORACLE_SQL, queries.QUERIES | upkeep.QUERIES | resolving.QUERIES | listings.QUERIES | strategies.QUERIES | streams.QUERIES | wording.QUERIES
 
 SF = "/root/testdata/sf0.001"
 

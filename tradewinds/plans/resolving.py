@@ -135,21 +135,6 @@ def set_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.with_sets(o, sizes).select("offer_id", "unit_price", "quantity", "price_basis")
 
 
-# Segments, with the family that they name and their modifiers.
-LABELS = [
-    ("Zodiac Longbow q9 insc OS", None, "inscribable=insc,oldschool=OS,requirement=q9"), ("Bows req 8 marksmanship", "bow", "attribute=marksmanship,requirement=q8"), ("two staves", "staff", ""), ("unded miniature", "miniature", "dedication=undedicated"),
-    ("Shield q7 not tactics", "shield", "requirement=q7"), ("FOCI req fire", "focus", "attribute=fire magic,requirement=any"), ("ded mini", "miniature", "dedication=dedicated"), ("bowstring", None, ""), ("daggers, old school", "daggers", "oldschool=OS"),
-]
-
-
-@_add("segment_labels", f"WITH s(k, said, family, modifiers) AS (VALUES {_values(LABELS)}) SELECT family, modifiers, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN s ON o_orderkey % {len(LABELS)} = k GROUP BY ALL")
-def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weapon families and modifiers of segments."""
-    rows = _sampled(spark, sf_dir, [s for s, _, _ in LABELS]).select(text.family(c("said")).alias("family"), text.modifiers(c("said")).alias("m"))
-    shown = F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
-    return rows.groupBy("family", shown.alias("modifiers")).agg(F.count("*").alias("n"))
-
-
 @_add("parse_confidence", _q("""SELECT offer_id, round(r.confidence, 6) AS confidence, r.status AS status, r.reason AS reason FROM (SELECT offer_id, CASE WHEN quality_status = 'rejected' THEN {'confidence': 0.05::DOUBLE, 'status': 'rejected', 'reason': 'reject_pattern'}
   WHEN m IS NULL THEN {'confidence': CASE WHEN amount IS NOT NULL THEN 0.35 ELSE 0.2 END::DOUBLE, 'status': 'review', 'reason': 'no_catalog_item'}
   WHEN lifecycle_status <> 'expired' AND m >= 0.86 AND is_oldschool THEN {'confidence': greatest(0.86, m)::DOUBLE, 'status': 'accepted', 'reason': 'catalog_match'}

@@ -35,22 +35,6 @@ def _sampled(spark: SparkSession, sf_dir: str, samples: list) -> DataFrame:
     return offers(spark, sf_dir).withColumn("said", F.element_at(F.array(*map(F.lit, samples)), (c("message_id") % len(samples) + 1).cast("int")))
 
 
-# Messages, and what they must be classified as.
-MESSAGES = [
-    ("WTS q9 bow 5e | WTB unded mini", "market", "market_candidate"), ("hello", "noise", "conversation"), ("PC on q9 bow", "price_check", "price_check"), ("WTS bow, pc on it", "market", "market_candidate"),
-    ("how much is a staff?", "price_question", "price_question"), ("I just bought a tome", "historical_trade", "historical_purchase"), ("giving away runes", "giveaway", "giveaway"), ("need a runner", "service", "runner_request"),
-    ("do you still have the axe", "conversation", "trade_conversation"), ("WTS your guild cape trim", "guild_advertisement", "guild_advertisement"), ("fast dungeon run, WTB clients", "service", "service_advertisement"),
-    ("Services: titles", "service", "service_transport_or_tour"), ("WTB anything cool", "noise", "non_specific_request"), ("", "noise", "empty"), ("pm me", "noise", "contact_instruction"), ("WTS names: Sir Bob", "character_name_sale", "character_name_sale"),
-    ("WTS duncan furnace", "service", "service_advertisement"), ("WTS quest 12a", "service", "service_advertisement"), ("WTS cape trim", "guild_advertisement", "guild_advertisement"), ("Zodiac Staff 12e", "market", "market_candidate"),
-]
-
-
-@_add("message_classes", f"WITH s(k, said, kind, reason) AS (VALUES {_values(MESSAGES)}) SELECT kind, reason, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey JOIN s ON o_orderkey % {len(MESSAGES)} = k GROUP BY ALL")
-def message_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sampled(spark, sf_dir, [m for m, _, _ in MESSAGES]).select(text.classify(text.normalise(c("said"))).alias("g"))
-    return rows.groupBy("g.kind", "g.reason").agg(F.count("*").alias("n"))
-
-
 # Segments with {a} amount, {c} coin and {q} quantity, and what they mean: unit price and basis in SQL.
 SEGMENTS = [
     ("{q} gott {a}{c}", "ecto / q", "'total'"), ("stacks {a}{c}/ea", "ecto / 250", "'stack'"), ("Flower {a}{c}/stk", "ecto / 250", "'stack'"),
@@ -86,29 +70,6 @@ def stale_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.stale_units(rows.withColumn("price_quality_reason", F.when(c("requirement") % 5 == 0, "approved_by_hand")))
 
 
-# Items that were not found with their segments, and why they stay open.
-RESIDUALS = [
-    ("axe", "q9 axe", "insufficient_item_identity"), ("Elite Tomes", "elite tomes 2e", "insufficient_item_identity"), ("stuff", "WTB white minis", "collection_or_market_request"), ("things", "all tomes", "collection_or_market_request"),
-    ("go", "pm me for it", "service_or_noise"), ("fast taxi", "taxi to docks", "service_or_noise"), ("hale staffhead", "staffhead", "modifier_fragment_unresolved"), ("Zodiac Thing", "zodiac thing 5e", "catalog_first_unresolved"),
-]
-
-
-@_add("residual_reasons", f"SELECT reason, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (VALUES {_values(RESIDUALS)}) s(k, item, segment, reason) ON o_orderkey % {len(RESIDUALS)} = k GROUP BY reason")
-def residual_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sampled(spark, sf_dir, [f"{i}|{s}" for i, s, _ in RESIDUALS])
-    return rows.groupBy(upkeep.residual_reason(F.split_part("said", F.lit("|"), F.lit(1)), F.split_part("said", F.lit("|"), F.lit(2))).alias("reason")).agg(F.count("*").alias("n"))
-
-
-# Names, and the kind of goods that they speak of and whether they name no more than that.
-KINDS = [("Zodiac Staff", "caster", False), ("staves", "caster", True), ("Elite Monk Tome", "tome", False), ("minis", "miniature", True), ("Miniature Mallyx", "miniature", False), ("black dye", "dye", False), ("recurve bow", "weapon", True), ("Armbrace", None, False)]
-
-
-@_add("item_taxonomy", f"SELECT kind, generic = 1 AS generic, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (VALUES {_values([(a, b, int(g)) for a, b, g in KINDS])}) s(k, item, kind, generic) ON o_orderkey % {len(KINDS)} = k GROUP BY ALL")
-def item_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sampled(spark, sf_dir, [i for i, _, _ in KINDS])
-    return rows.groupBy(upkeep.kind_of(c("said")).alias("kind"), upkeep.is_generic(c("said")).alias("generic")).agg(F.count("*").alias("n"))
-
-
 # Messages of offers without a side, whether they have a price, and the reason that the last check gives.
 BARE = [("Zodiac Staff", "bare_market_intent_unresolved"), ("W.T.S Zodiac Staff", "trade_direction_unresolved"), ("Zodiac Staff 12e", "trade_direction_unresolved"), ("a long message that says nothing of sides", "trade_direction_unresolved"), ("selling staff", "trade_direction_unresolved")]
 
@@ -120,20 +81,6 @@ def final_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upkeep.final_check(rows.withColumn("trade_type", F.when(c("trade_type") == "trade", "unknown").otherwise(c("trade_type"))))
 
 
-# Attributes as traders write them, and their keys; names of old, and those of now.
-LABELS = [("Dom", "domination_magic"), ("energy storage", "energy_storage"), ("SR", "soul_reaping"), ("Fast-Casting", "fast_casting"), ("prot", "protection_prayers"), ("something else", "something_else")]
-NAMES = [("Kuunavang", "", "Miniature Kuunavang"), ("x", "silverwing-bow", "Silverwing Recurve Bow"), ("Mad King's  Guard", "", "Miniature Mad King's Guard"), (" Other ", "z", "Other")]
-
-
-@_add("canonical_labels", f"""SELECT a.attribute, b.name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN (VALUES {_values(LABELS)}) a(k, said, attribute) ON o_orderkey % {len(LABELS)} = a.k
-  JOIN (VALUES {_values(NAMES)}) b(k, said, item_key, name) ON o_orderkey % {len(NAMES)} = b.k GROUP BY ALL""")
-def canonical_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _sampled(spark, sf_dir, [s for s, _ in LABELS]).select("message_id", c("said").alias("label"))
-    name = F.element_at(F.array(*[F.struct(F.lit(a).alias("name"), F.lit(b).alias("key")) for a, b, _ in NAMES]), (c("message_id") % len(NAMES) + 1).cast("int"))
-    rows = rows.withColumn("old", name)
-    return rows.groupBy(text.canonical_attribute(c("label")).alias("attribute"), text.canonical_name(c("old.name"), c("old.key")).alias("name")).agg(F.count("*").alias("n"))
-
-
 _REVIEWS = """, rs AS (SELECT offer_id, CASE message_id % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' WHEN 2 THEN 'corrected' ELSE 'pending' END AS review_status, CASE WHEN message_id % 3 = 0 THEN upper(item) || ' X' ELSE item END AS expected_item
   FROM offers WHERE requirement % 4 = 0)"""
 
