@@ -12,7 +12,6 @@ from ..sources.market import chat, offers, table
 from ..streaming import jobs
 from .oracle import _ALIAS, _ITEMS, _OFFERS, _TIDY, _q
 from .queries import Query, _aliases, _items
-from .upkeep import _sampled, _values
 
 c = F.col
 QUERIES: dict[str, Query] = {}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exprs, text
+from ..functions import exprs
 from ..operators import intelligence, lifecycle, market, review, trends, upkeep
 from ..sources.market import offers, table
 from .oracle import ORACLE_SQL as _TRUST_SQL
 from .oracle import _INTEL, _REVIEWED, _WATCHED, _q
-from .queries import Query, _markets, _over_offers, _reviewed, _watched
+from .queries import Query, _markets, _reviewed, _watched
 
 c = F.col
 QUERIES: dict[str, Query] = {}
