@@ -25,8 +25,8 @@ from .common import columns, materialize
 _WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows of each label that a model is fitted on, about; they are chosen by a hash of the id.
 SAMPLE = 6000
-#: Features a model has at most (the best rated of all), and the labelled toxic documents that a feature must be in.
-FEATURES, SEEN = 4096, 3
+#: The labelled toxic documents that a feature must be in. All such features are fitted; the labelled sample bounds their number.
+SEEN = 3
 #: Words in a stretch.
 HALF = 32
 PREFIXES = (3, 4, 5, 6)
@@ -130,10 +130,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         names = list(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([seen[y][f] for f in names], pa.int64()) for y in (0, 1))], names=["f", "n0", "n1"])
 
-    # every feature is rated, and only then the best are kept
     rated = known.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(F.col("n1") >= SEEN)
     odds = F.log((F.col("n1") + 0.5) / (n[1] + 1)) - F.log((F.col("n0") + 0.5) / (n[0] + 1))
-    best = rated.withColumn("odds", odds).orderBy(F.desc(F.abs("odds") * F.sqrt(F.col("n0") + F.col("n1"))), "f").limit(FEATURES).collect()
+    best = rated.withColumn("odds", odds).orderBy("f").collect()
     if not best:
         return None
     index = {r.f: i for i, r in enumerate(best)}
