@@ -78,7 +78,9 @@ _OPEN_SEGMENT = "CASE requirement % 4 WHEN 0 THEN raw_segment || ' 5e' WHEN 1 TH
 def residual_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why clauses of names, kinds and telling phrases, up to two of them, stay without an item."""
     rows = _worded(spark, sf_dir, _OPEN_WORDS, _KIND_WORDS, _OPEN_WORDS).select(F.expr(_OPEN_ITEM).alias("item"), F.expr(_OPEN_SEGMENT).alias("segment"))
-    return rows.groupBy(upkeep.residual_reason(c("item"), c("segment")).alias("reason")).agg(F.count("*").alias("n"))
+    clauses = rows.groupBy("item", "segment").agg(F.count("*").alias("n"))  # each distinct one is judged once, in as many tasks as there are
+    clauses = clauses.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "item", "segment")
+    return clauses.groupBy(upkeep.residual_reason(c("item"), c("segment")).alias("reason")).agg(F.sum("n").alias("n"))
 
 
 _ATTRIBUTES = sorted({(alias, name) for name, short in values.ATTRIBUTES.items() for alias in (name, *short)})
