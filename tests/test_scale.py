@@ -25,3 +25,30 @@ def test_field_rates_read_both_sides_once_for_the_pairs(spark):
     rates = review.field_rates(expected, actual.selectExpr("message_id", "k", "trade_type", "concat(item, substr('MARK', 1, k * 0)) AS item", "requirement", "attribute"))
     assert {r.field: (r.correct, r.total) for r in rates.collect()} == {"trade_type": (2, 3), "item": (2, 3), "requirement": (1, 3), "attribute": (2, 3)}
     assert _plan(rates).count("MARK") == 1
+
+
+def test_evidence_of_each_distinct_text_is_gathered_once(spark):
+    items = spark.createDataFrame([(f"i{k}", f"storm axe{k} word{k}") for k in range(5)] + [("sd", "Storm Daggers")], "item_key string, name string")
+    texts = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 'storm daggers', 'storm') AS text")
+    found = catalog.token_evidence(texts, items)
+    rows = found.collect()
+    assert sorted(r.id for r in rows) == list(range(0, 4000, 2)) and {(r.item_key, r.score) for r in rows} == {("sd", 6)}
+    aggregated = [line for line in _plan(found).splitlines() if line.strip(" :+-").startswith("Aggregate [")]
+    assert not [line for line in aggregated if "id#" in line.split("]")[0]]  # nothing is grouped by the rows' ids
+
+
+def test_names_in_messages_that_share_an_id_or_a_text(spark):
+    said = spark.createDataFrame([(1, "wts red ring"), (1, "wtb bow"), (2, "wts red ring"), (3, None), (4, "")], "id int, m string")
+    known = spark.createDataFrame([("red ring", "r"), ("bow", "b"), ("ring", "x")], "alias string, item_key string")
+    want = [(1, "b", 1, 1), (1, "r", 1, 2), (2, "r", 1, 2)]
+    for found in (catalog.dictionary_join(said, known, "m", "id"), catalog.compact_join(said, known, "m", "id")):
+        assert sorted((r.id, r.item_key, r.start, r.words) for r in found.collect()) == want
+        assert not [line for line in _plan(found).splitlines() if "Filter" in line and "size(" in line]
+
+
+def test_residual_reasons_judge_distinct_clauses(spark):
+    from tradewinds.plans import wording
+
+    plan = _plan(wording.residual_reasons(spark, "/root/testdata/sf0.001"))
+    judged = next(line for line in plan.splitlines() if "insufficient_item_identity" in line)
+    assert "[n#" in judged  # counts of distinct clauses, not the rows
