@@ -280,20 +280,20 @@ def list_offers(messages: DataFrame, known: DataFrame | None = None, id_column:
 
     ``known`` (alias, item_key, name) is the catalog; aliases that mean several items must be left out. Without it, names are
     taken as they are. Null and empty messages, and those that the gate keeps out, have no offers; messages that share an id are
-    read each for itself. The names of a message meet the catalog in an equi-join, broadcast only if counted small.
+    read each for itself, but each distinct text once. The names of a message meet the catalog in an equi-join, broadcast only if counted small.
     """
-    dealt = messages.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # reading is most of the work
-    gated = exprs.once(text.normalise(c(text_column)), lambda m: F.when(text.gate(m)["accepted"], text.split_offers(m)))
-    rows = dealt.select(c(id_column).alias("message_id"), gated.alias("blocks")).select("message_id", F.posexplode("blocks").alias("block", "b"))
-    rows = rows.select("message_id", "block", "b.trade_type", described(c("b.text")).alias("clauses"))
+    gated = exprs.once(text.normalise(c("_text")), lambda m: F.when(text.gate(m)["accepted"], text.split_offers(m)))
+    rows = catalog.opened(catalog.distinct_texts(messages, text_column), ["_text"], gated, "block", "b")
+    rows = rows.select("_text", "block", "b.trade_type", described(c("b.text")).alias("clauses"))
     if known is None:
         told = rows.withColumn("hits", F.lit(None).cast("map<string,struct<item_key:string,name:string>>"))
     else:
         names = known.select(c("alias").alias("_alias"), F.struct("item_key", "name").alias("_hit"))
         names = F.broadcast(names) if names.limit(catalog.SMALL + 1).count() <= catalog.SMALL else names
-        met = rows.withColumn("_row", F.monotonically_increasing_id()).select("*", F.explode_outer(candidates(c("clauses"))).alias("_c")).join(names, c("_c") == c("_alias"), "left")
+        met = rows.select("*", F.explode_outer(candidates(c("clauses"))).alias("_c")).join(names, c("_c") == c("_alias"), "left")
         pairs = F.collect_list(F.when(c("_hit").isNotNull(), F.struct(c("_c").alias("key"), c("_hit").alias("value"))))
-        told = met.groupBy("_row").agg(*(F.first(k).alias(k) for k in ("message_id", "block", "trade_type", "clauses")), F.map_from_entries(pairs).alias("hits"))
+        told = met.groupBy("_text", "block").agg(*(F.first(k).alias(k) for k in ("trade_type", "clauses")), F.map_from_entries(pairs).alias("hits"))
         told = told.withColumn("clauses", cut_at_items(c("clauses"), c("hits")))
-    out = told.select("message_id", "block", "trade_type", F.posexplode(fold(c("clauses"), c("hits"), known is not None)).alias("pos", "o"))
-    return out.where("o.item <> ''").select("message_id", "block", "pos", "trade_type", "o.*")
+    out = catalog.opened(told, ["_text", "block", "trade_type"], fold(c("clauses"), c("hits"), known is not None), "pos", "o").where("o.item <> ''")
+    said = messages.select(c(id_column).alias("message_id"), c(text_column).alias("_said"))
+    return said.join(out, c("_said") == c("_text")).select("message_id", "block", "pos", "trade_type", "o.*")
