@@ -34,7 +34,7 @@ def followed(redirects: DataFrame) -> DataFrame:
     longest = now.count()  # a chain that is longer runs in a circle
     while True:
         ahead = now.select(c("source").alias("_s"), c("target").alias("_t"), c("steps").alias("_n"))
-        met = now.join(ahead, c("target") == c("_s"), "left")
+        met = now.join(ahead.hint("merge"), c("target") == c("_s"), "left")  # written files look small enough to be broadcast by way of the driver
         now = written(met.select("source", F.coalesce("_t", "target").alias("target"), (c("steps") + F.coalesce("_n", F.lit(0))).alias("steps"), c("_s").isNotNull().alias("_moved")))
         moving = now.where("_moved AND steps <= %d" % longest).limit(1).count()
         circle = c("steps") > longest
@@ -89,5 +89,5 @@ def pack(pages: DataFrame, redirects: DataFrame) -> DataFrame:
     """Staged pages with ``aliases``: the titles that redirect to them, near or far, in order."""
     ends = followed(redirects.select(plain(c("source")).alias("source"), plain(c("target")).alias("target"))).where("target IS NOT NULL")
     found = ends.groupBy(c("target").alias("_t")).agg(F.array_sort(F.collect_set("source")).alias("aliases"))
-    rows = staged(pages).withColumn("_title", plain(c("title"))).join(found, c("_title") == c("_t"), "left")
+    rows = staged(pages).withColumn("_title", plain(c("title"))).join(found.hint("merge"), c("_title") == c("_t"), "left")
     return rows.withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))).drop("_title", "_t")
