@@ -1,7 +1,7 @@
 """Lifecycle and alerts as streams with typed state and event-time timers (RocksDB state store).
 
-State is kept per listing and per market, so no key holds more than one listing or what of one market the watermark has not
-passed; both forget. Rows of a batch are handled as tables, not one by one.
+State is kept per listing, listings by buckets, and per market, so no entry holds more than one listing or what of one market
+and hour the watermark has not passed; both forget. Rows of a batch are handled as tables, not one by one.
 """
 
 from __future__ import annotations
@@ -29,52 +29,77 @@ def use_rocksdb(spark: SparkSession) -> SparkSession:
 
 
 class Winner(StatefulProcessor):
-    """The newest listing of one identity. Every other listing is reported superseded, an old winner too; without a newer one for
-    ``hours`` of event time the winner is reported expired and forgotten."""
+    """The newest listing of each identity of a bucket. Every other listing is reported superseded, an old winner too; without a
+    newer one for ``hours`` of event time the winner is reported expired and forgotten.
+
+    A call costs far more than a row, so a bucket's identities are handled together. The bucket has one timer, for whichever
+    winner ends first.
+    """
+
+    COLUMNS = ["identity", "offer_id", "posted_at"]
 
     def __init__(self, hours: int, sane: tuple[int, int]):
         self.age, self.sane = hours * HOUR, sane
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.best = handle.getValueState("best", "offer_id string, posted_at long")
+        self.best = handle.getMapState("best", "identity string", "offer_id string, posted_at long")
+        self.next = handle.getValueState("next", "at long")
+
+    def _ends(self, posted: Iterator[int]) -> list[int]:
+        return [int(at) + self.age for at in posted if self.sane[0] <= at < self.sane[1]]  # a mistaken time never expires a listing
 
-    def _timer(self, at: int) -> None:
-        if self.sane[0] <= at < self.sane[1]:  # a mistaken time never expires a listing
-            self.handle.registerTimer(at + self.age)
+    def _wake(self, ends: list[int]) -> None:
+        if not ends:
+            return
+        known = self.next.get()[0] if self.next.exists() else None
+        if known is not None and known <= min(ends):
+            return
+        if known is not None:
+            self.handle.deleteTimer(known)
+        self.next.update((min(ends),))
+        self.handle.registerTimer(min(ends))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(rows, ignore_index=True)[["offer_id", "posted_at"]]
+        new = pd.concat(rows, ignore_index=True)[self.COLUMNS]
         if self.best.exists():
-            new = pd.concat([pd.DataFrame([self.best.get()], columns=["offer_id", "posted_at"]), new], ignore_index=True)
-        new = new.drop_duplicates().sort_values(["posted_at", "offer_id"], ignore_index=True)
-        winner, at = str(new["offer_id"].iloc[-1]), int(new["posted_at"].iloc[-1])
-        last = new.index[-1]
-        self.best.update((winner, at))
-        self._timer(at)
-        yield new.assign(identity=key[0], status=["superseded"] * last + ["active"], superseded_by=[winner] * last + [None])[["identity", "offer_id", "posted_at", "status", "superseded_by"]]
+            known = [(i, *won) for i in new["identity"].unique() if (won := self.best.getValue((i,))) is not None]
+            new = pd.concat([pd.DataFrame(known, columns=self.COLUMNS), new], ignore_index=True) if known else new
+        new = new.drop_duplicates().sort_values(self.COLUMNS[:1] + ["posted_at", "offer_id"], ignore_index=True)
+        won = ~new["identity"].duplicated(keep="last")
+        for identity, offer, at in new[won].itertuples(index=False):
+            self.best.updateValue((identity,), (str(offer), int(at)))
+        self._wake(self._ends(new.loc[won, "posted_at"]))
+        winner = new["offer_id"].where(won).bfill()  # an identity's winner is its last row
+        yield new.assign(status=won.map({True: "active", False: "superseded"}), superseded_by=winner.mask(won, None))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.best.exists():
-            winner, at = self.best.get()
-            if at + self.age <= expiredTimerInfo.getExpiryTimeInMs():  # not of a winner that was superseded since
-                self.best.clear()
-                yield pd.DataFrame({"identity": [key[0]], "offer_id": [winner], "posted_at": [at], "status": ["expired"], "superseded_by": [None]})
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = [(k[0], *won) for k, won in self.best.iterator()]
+        over = [row for row in rows if any(end < now for end in self._ends(row[2:]))]  # a timer goes off once the watermark is behind it
+        for row in over:
+            self.best.removeKey(row[:1])
+        self.next.clear()
+        self._wake([end for end in self._ends(at for _, _, at in rows) if end >= now])
+        if over:
+            yield pd.DataFrame(over, columns=self.COLUMNS).assign(status="expired", superseded_by=None)
 
     def close(self) -> None:
         pass
 
 
-def lifecycle(stream: DataFrame, identity: str, offer_id: str, time: str, hours: int = TTL_HOURS, delay: str = "1 hour", years: tuple[int, int] = (2005, 2100)) -> DataFrame:
+def lifecycle(stream: DataFrame, identity: str, offer_id: str, time: str, hours: int = TTL_HOURS, delay: str = "1 hour", years: tuple[int, int] = (2005, 2100), buckets: int = 512) -> DataFrame:
     """Changes (identity, offer_id, posted_at in ms, status, superseded_by) of listings, in update mode.
 
     A repeated row changes nothing; rows behind the watermark are dropped by Spark. Which batch a row comes in decides when a
-    change is told, not what :func:`current` makes of all changes.
+    change is told, not what :func:`current` makes of all changes. Identities lie in ``buckets`` by hash; a checkpoint keeps to
+    the number that it began with.
     """
     sane = tuple(int(pd.Timestamp(f"{y}-01-01").timestamp() * 1000) for y in (years[0], years[1] + 1))
     at = c(time).cast("timestamp")
     rows = stream.select(at.alias("_time"), c(identity).alias("identity"), c(offer_id).cast("string").alias("offer_id"), F.unix_millis(at).alias("posted_at"))
-    return rows.withWatermark("_time", delay).groupBy("identity").transformWithStateInPandas(Winner(hours, sane), CHANGES, "Update", "EventTime")
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("identity"), F.lit(buckets)))
+    return rows.withWatermark("_time", delay).groupBy("_bucket").transformWithStateInPandas(Winner(hours, sane), CHANGES, "Update", "EventTime")
 
 
 def current(changes: DataFrame) -> DataFrame:
