@@ -102,3 +102,13 @@ def test_lines_come_to_their_orders_last(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
     assert plan.count("Exchange hashpartitioning") == 6  # two for each join, none for the messages
+
+
+def test_outliers_read_the_offers_once(spark):
+    from tradewinds.operators import price_quality
+
+    shape = "offer_id string, player string, trade_type string, normalized_market_key string, item_key string, price_amount double, price_currency string, price_basis string, unit_price double"
+    rows = [(f"o{k}", f"P{k % 4}", "sell", None, "x", 1.0, "e", "each", p) for k, p in enumerate((1.0, 2.0, 2.0, 3.0, 2.0, 40.0))] + [("n", "p", "sell", None, None, 1.0, "e", "each", 9.0)]
+    found = price_quality.outliers(spark.createDataFrame(rows, shape).selectExpr("*", "concat('MARK', offer_id) AS _m").selectExpr("substr(_m, 5) AS offer_id", *[x.split()[0] for x in shape.split(", ")[1:]]))
+    assert sorted((r.offer_id, r.baseline, r.is_outlier) for r in found.collect()) == [(f"o{k}", 2.0, k == 5) for k in range(6)]
+    assert "MARK" not in _plan(found)  # what was written is read, not the offers once for each figure
