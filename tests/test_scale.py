@@ -112,3 +112,14 @@ def test_outliers_read_the_offers_once(spark):
     found = price_quality.outliers(spark.createDataFrame(rows, shape).selectExpr("*", "concat('MARK', offer_id) AS _m").selectExpr("substr(_m, 5) AS offer_id", *[x.split()[0] for x in shape.split(", ")[1:]]))
     assert sorted((r.offer_id, r.baseline, r.is_outlier) for r in found.collect()) == [(f"o{k}", 2.0, k == 5) for k in range(6)]
     assert "MARK" not in _plan(found)  # what was written is read, not the offers once for each figure
+
+
+def test_the_resolver_makes_the_offers_once(spark):
+    from tradewinds.operators import strategies
+
+    items = spark.createDataFrame([("Chaos Axe", "ca"), ("Storm Bow", "sb")], "name string, item_key string")
+    said = [("a", "Chaos Axe, Storm Bow", ""), ("b", "Axe", "q9 chaos axe"), ("b", "Axe", "q9 chaos axe"), ("c", None, None)]
+    offers = spark.createDataFrame(said, "offer_id string, item string, segment string").selectExpr("substr(concat('MARK', offer_id), 5) AS offer_id", "item", "segment")
+    found = strategies.resolve(offers, items, items.selectExpr("item_key AS alias", "item_key"))
+    assert sorted((r.offer_id, r.pos, r.item_key or "", r.in_list) for r in found.collect()) == [("a", 0, "ca", True), ("a", 1, "sb", True), ("b", 0, "ca", False), ("b", 0, "ca", False), ("c", 0, "", False)]
+    assert "MARK" not in _plan(found)  # what was written is read

@@ -189,9 +189,10 @@ def resolve(offers: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFram
     stands. ``items`` has (item_key, name), ``aliases`` (alias, item_key). Every offer has a row: without an item ``reason`` says
     why. Null items and segments are read as empty; offers that share an id are each read, under that id.
     """
-    rows = offers.select("offer_id", F.coalesce("item", F.lit("")).alias("item"), F.coalesce("segment", F.lit("")).alias("segment"))
+    # written, as Spark would make the offers again for each reading of the clauses, and split lists in every offer to filter by their size
+    rows = written(offers.select("offer_id", F.coalesce("item", F.lit("")).alias("item"), F.coalesce("segment", F.lit("")).alias("segment")))
     t = lambda item, segment: F.md5(F.concat(F.length(item).cast("string"), F.lit(":"), item, segment))
-    whole = rows.select("item", "segment").distinct().withColumn("t", t(c("item"), c("segment")))
+    whole = written(rows.select("item", "segment").distinct()).withColumn("t", t(c("item"), c("segment")))
     lists = part_readings(whole.select("t", split_list(c("item"), c("segment")).alias("parts")).where("size(parts) > 0"))
     lists = written(lists.select(c("t").alias("list"), "pos", "form", c("said").alias("item"), c("said").alias("segment"), t(c("said"), c("said")).alias("t")))
     texts = whole.unionByName(lists.select("item", "segment", "t")).distinct()
@@ -203,4 +204,5 @@ def resolve(offers: DataFrame, items: DataFrame, aliases: DataFrame) -> DataFram
     single = found.join(full.withColumnRenamed("list", "t"), "t", "left_anti").select("t", F.lit(0).alias("pos"), "item_key", "strategy", F.lit(False).alias("in_list"), "variant", "quantity", "reason")
     means = whole.join(parts.unionByName(single), "t", "left").withColumn("reason", F.when(c("item_key").isNull(), F.coalesce("reason", upkeep.residual_reason(c("item"), c("segment")))))
     means = means.withColumn("pos", F.coalesce("pos", F.lit(0))).withColumn("in_list", F.coalesce("in_list", F.lit(False)))
-    return rows.join(means, ["item", "segment"]).select("offer_id", "pos", "item_key", "strategy", "in_list", "variant", "quantity", "reason")
+    means = written(means.select("item", "segment", "pos", "item_key", "strategy", "in_list", "variant", "quantity", "reason"))
+    return rows.join(catalog._small(means), ["item", "segment"]).select("offer_id", "pos", "item_key", "strategy", "in_list", "variant", "quantity", "reason")
