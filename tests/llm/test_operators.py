@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import differences
 from tradewinds.llm import common, hashing, html_text, mixing, neardup, packing, pii, quality, queries, simhash, spans, toxicity
+from tradewinds.llm.token_counts import shown
 
 SF, SF2, SF1 = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 KEY = "a key"
@@ -636,6 +637,17 @@ def test_packing_of_more_chunks_than_are_remembered(monkeypatch):
         assert [x.tolist() for x in encoder.batch(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_splits_a_common_word_once_however_many_rare_ones_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 400)
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    split, asked = encoder.tokenizer.model.tokenize, []
+    monkeypatch.setattr(encoder, "split", lambda word: asked.append(word) or split(word), raising=False)
+    rare = [f"{a}{b}{c}" for a in "abcdefghijklmnop" for b in "klmnopqrst" for c in "uvwxyz"]
+    texts = [" ".join(f"thé {w} Thé." for w in rare[k : k + 40]) for k in range(0, len(rare), 40)]
+    assert [x.tolist() for x in encoder.batch(texts)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(asked) == sorted(map(shown, ["thé", *rare]))
+
+
 def test_packing_plan_places_every_rank_once():
     rng = np.random.default_rng(4)
     counts = {int(s): int(n) for s, n in zip(rng.permutation(np.arange(1, 2049))[:300], rng.integers(1, 40, 300))}

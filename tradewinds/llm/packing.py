@@ -16,6 +16,7 @@ its place by its length and its rank among pieces of that length.
 from __future__ import annotations
 
 import bisect
+import struct
 import zlib
 from collections import defaultdict
 
@@ -27,18 +28,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize, small
+from .token_counts import shown
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks of text whose ids a task keeps at most; beyond, it forgets all and starts anew.
-CACHE = 600_000
+#: Chunks of text whose ids a Python process keeps at most.
+CACHE = 800_000
 
 
-class WordEncoder:
-    """Ids of whole texts by a tokenizer whose tokens never cross white space, remembering those of each chunk.
+class WordEncoder(dict):
+    """Ids of whole texts by a tokenizer whose tokens never cross white space, remembering those of each chunk, as bytes.
 
     A chunk is a run without space, tab or line feed. If it is letters below U+0250 and then ASCII punctuation, its ids are
-    those of the letters and those of the punctuation, so the letters are looked up in lower case; many new ones are encoded
-    in one call and told apart by the ids that end a word. Any other chunk is encoded as it is.
+    those of the letters and those of the punctuation, and those of the letters are what the tokenizer's model makes of them
+    in lower case, which is tried beforehand for each letter. Any other chunk is encoded as it is.
+
+    When half of ``CACHE`` is full, it becomes the older half and what was the older half is forgotten; a chunk of the older
+    half that is met again comes back. So chunks that are met again and again are never encoded anew.
     """
 
     END = "</w>"
@@ -46,64 +51,49 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        vocab = self.tokenizer.get_vocab()
-        if max(vocab.values()) >= 1 << 16:
+        self.split, self.older = self.tokenizer.model.tokenize, {}
+        if max(self.tokenizer.get_vocab().values()) >= 1 << 16:
             raise ValueError("ids must fit 16 bits")
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for token, i in vocab.items() if token.endswith(self.END)]] = True
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.cores: dict[str, bytes] = {}
+        if getattr(self.tokenizer.model, "end_of_word_suffix", None) != self.END:
+            raise ValueError("only tokenizers whose words end with " + self.END + " are supported")
+        for letter in filter(str.isalpha, map(chr, range(0x250))):
+            if letter != "İ" and any(self.encode(w) != self.merge(w.lower()) for w in (letter, f"a{letter}{letter}e")):
+                raise ValueError("only tokenizers that lower-case and keep words of letters whole are supported")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, new: set[str]) -> bool:
-        """Remember the ids of chunks; whether all others had to be forgotten for them."""
-        emptied = len(self.chunks) + len(self.cores) + len(new) > CACHE
-        if emptied:
-            self.chunks, self.cores = {"": b""}, {}
-        chunks, cores, parts, missing = self.chunks, self.cores, [], set()
-        for chunk in new:
+    def merge(self, word: str) -> bytes:
+        """The ids of a word of lower-case letters."""
+        ids = [t.id for t in self.split(shown(word))]
+        return struct.pack(f"<{len(ids)}H", *ids)
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
             core = chunk.rstrip(".,;:!?*#%&$|\"()-")
-            if core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core):
-                key = core.lower()
-                parts.append((chunk, key, chunk[len(core) :]))
-                if key not in cores:
-                    missing.add(key)
+            if not core.isalpha() or not core.isascii() and (max(core) >= "ɐ" or "İ" in core):
+                ids = self.encode(chunk)
+            elif (word := core.lower()) == chunk:
+                ids = self.merge(word)
+            elif len(core) == len(chunk):
+                ids = self[word]
             else:
-                chunks[chunk] = self.encode(chunk)
-        if missing:
-            words = list(missing)
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u2")
-            stops = (2 * np.flatnonzero(self.ends[ids]) + 2).tolist()  # in bytes
-            if len(stops) != len(words):
-                raise ValueError("a word's ids don't end with one end of word")
-            cores.update(zip(words, map(ids.tobytes().__getitem__, map(slice, [0, *stops], stops))))
-        for chunk, key, rest in parts:
-            if not rest:
-                chunks[chunk] = cores[key]
-                continue
-            if rest not in chunks:
-                chunks[rest] = self.encode(rest)
-            chunks[chunk] = cores[key] + chunks[rest]
-        return emptied
+                rest = chunk[len(core) :]
+                ids = self[word] + self[rest]
+        if len(self) >= CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def batch(self, texts: list[str | None]):
         """The ids of each text, as an array."""
         for text in texts:
             words = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-            if len(words) > CACHE // 4:  # a quarter of what is remembered at a time
-                yield np.concatenate([self.some(words[k : k + CACHE // 4]) for k in range(0, len(words), CACHE // 4)])
-            else:
-                yield self.some(words)
-
-    def some(self, words: list[str]) -> np.ndarray:
-        """The ids of so few chunks that they can be remembered together."""
-        new = set(words).difference(self.chunks)
-        if new and self.learn(new):
-            self.learn(set(words).difference(self.chunks))
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, words)), "<u2")
+            yield np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2")
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
