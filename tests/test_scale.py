@@ -1,5 +1,7 @@
 """Work that must grow with the distinct texts, or happen once however its result is used."""
 
+import re
+
 from tradewinds.operators import catalog, review
 
 
@@ -123,3 +125,35 @@ def test_the_resolver_makes_the_offers_once(spark):
     found = strategies.resolve(offers, items, items.selectExpr("item_key AS alias", "item_key"))
     assert sorted((r.offer_id, r.pos, r.item_key or "", r.in_list) for r in found.collect()) == [("a", 0, "ca", True), ("a", 1, "sb", True), ("b", 0, "ca", False), ("b", 0, "ca", False), ("c", 0, "", False)]
     assert "MARK" not in _plan(found)  # what was written is read
+
+
+def test_lines_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from __spark_entry__ import oracle_sql, queries
+    from tests.oracle import differences
+    from tradewinds.sources import market
+
+    at, kept = "/root/testdata/sf0.001", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    lines = market.table(spark, at, "lineitem").count()
+    assert market.tasks(spark, at) is None
+    monkeypatch.setattr(market, "TASK_ROWS", 300)
+    monkeypatch.setattr(market, "FEW_TASKS", -1)  # every table counts as large
+    assert market.tasks(spark, at) == lines // 300
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for name, keys in (("item_encyclopedia", ("_name", "player")),):
+            found = queries()[name](spark, at)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            for key in (("l_partkey",), ("l_orderkey",), keys):
+                assert f"hashpartitioning({', '.join(f'{k}#' for k in key)}, {lines // 300})" in re.sub(r"#\d+L?", "#", plan)
+            assert not differences(spark, at, name, queries()[name], oracle_sql()[name])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_traders_of_an_item_are_counted_once_and_null_is_none(spark):
+    rows = [(" Ring", "a", "active", 1), ("ring ", "a", "expired", 3), ("RING", None, "active", 2), ("ring", "b", "x", 1), ("bow", None, None, 5), (None, "a", "active", 9)]
+    items = spark.createDataFrame([("r", "Ring", "t"), ("b", "bow", "t"), ("z", "Axe", "t"), ("n", None, "t")], "item_key string, name string, category string")
+    offers = spark.createDataFrame(rows, "raw_segment string, player string, lifecycle_status string, posted_at int")
+    for tasks in (None, 7):
+        found = {r.item_key: tuple(r)[3:] for r in catalog.encyclopedia(items, offers, tasks=tasks).collect()}
+        assert found == {"r": (4, 2, 2, 3), "b": (1, 0, 0, 5), "z": (0, 0, 0, None), "n": (0, 0, 0, None)}
