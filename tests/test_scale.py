@@ -140,7 +140,7 @@ def test_lines_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     assert market.tasks(spark, at) == lines // 300
     try:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        for name, keys in (("item_encyclopedia", ("_name", "player")),):
+        for name, keys in (("item_encyclopedia", ("_name", "player")), ("trader_top_markets", ("player", "market"))):
             found = queries()[name](spark, at)
             plan = found._jdf.queryExecution().executedPlan().toString()
             for key in (("l_partkey",), ("l_orderkey",), keys):
