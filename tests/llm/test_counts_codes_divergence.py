@@ -195,7 +195,34 @@ def test_divergence_hands_on_what_a_task_cannot_hold(spark, monkeypatch):
     assert got == brute_audit([tuple(r) for r in df.collect()])
 
 
+def test_divergence_in_small_slices(spark, monkeypatch):
+    for name, value in (("SLICE_BYTES", 40), ("SLICE_TEXTS", 3), ("HANDED", 7), ("HELD", 60)):
+        monkeypatch.setattr(divergence, name, value)
+    words = ["Alpha", "été", "漢字", "zz", "a", "b-c", "d1e", "\x00", "-", ""]
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices(words, k=k % 13)) * (k % 3), rng.choice(["en", "de", None]), rng.choice(["s1", "S2", "é"]), 0) for k in range(160)] + [(1, None, "en", "void", 0)]
+    got = sorted(map(tuple, divergence.audit(spark.createDataFrame(rows, DOCS)).select("lang", "source", "part", "item", "value", "rank").collect()))
+    assert got == brute_audit(rows)
+
+
+def test_texts_are_cut_into_slices():
+    assert divergence.slices(np.array([3, 0, 4, 20, 1, 1, 0, 0]), 8, 3) == [(0, 3), (3, 4), (4, 7), (7, 8)] and divergence.slices(np.array([], np.int32), 8, 3) == []
+
+
+def test_divergence_shuffles_counts_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = divergence.kept_terms(divergence.count_terms(docs))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_large_counts_are_exact(spark):
     rows = [(10**14 + k, 10**16, 10**6 + k) for k in range(20)] + [(0, 0, 0), (0, 0, 3)]
     got = [r[0] for r in spark.createDataFrame(rows, "c long, n long, v long").select(divergence.per_unit("c", "n", "v")).collect()]
     assert got == [1 + 10**9 * (c + 2) // (n + 2 * v) if v else 1 for c, n, v in rows]
+
+
+def test_small_and_large_counts_are_exact(spark):
+    edge = divergence.LONG_COUNT
+    rows = [(c, n, v) for c in (0, 7, edge - 1, edge, edge + 1, 10**15) for n, v in ((10**16, 10**6), (c, 1), (3, 0))]
+    got = [r[0] for r in spark.createDataFrame(rows, "c long, n long, v long").select(divergence.per_unit("c", "n", "v")).collect()]
+    assert got == [1 + 10**9 * (c + 2) // (n + 2 * v) if v else 1 for c, n, v in rows]
