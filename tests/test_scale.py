@@ -157,3 +157,25 @@ def test_traders_of_an_item_are_counted_once_and_null_is_none(spark):
     for tasks in (None, 7):
         found = {r.item_key: tuple(r)[3:] for r in catalog.encyclopedia(items, offers, tasks=tasks).collect()}
         assert found == {"r": (4, 2, 2, 3), "b": (1, 0, 0, 5), "z": (0, 0, 0, None), "n": (0, 0, 0, None)}
+
+
+def test_messages_that_differ_in_numbers_are_read_once(spark):
+    from pyspark.sql import functions as F
+
+    from tradewinds.functions import text
+
+    said = spark.range(3000).selectExpr("id AS message_id", "concat('WTS red ring q', 10 + id % 40, ' ', 50 + id % 40, '/', 1000 + id, 'e') AS message")
+    forms = said.select(text.number_form(F.col("message"), text.numbers_of(F.col("message"))).alias("form")).distinct()
+    assert forms.count() == 1
+    rows = {r.message_id: (r.item, r.requirement, r.quantity, r.price_amount, r.unit_price, r.raw_segment) for r in catalog.parse(said).collect()}
+    assert rows == {k: ("red ring", f"q{10 + k % 40}", 50.0 + k % 40, 1000.0 + k, (1000.0 + k) / (50 + k % 40), f"red ring q{10 + k % 40} {50 + k % 40}/{1000 + k}e") for k in range(3000)}
+
+
+def test_numbers_that_decide_by_value_or_by_being_equal_keep_doing_so(spark):
+    said = ["WTS item 5 | item 6 | Item 5", "WTS item 7 | item 7 | Item 7", "WTS bow q5-7 3e", "WTS bow q5-4 3e", "WTS ring 12(no x)34e", "WTS axe 20/20 5e", "WTS axe 30/20 5e", "WTS a1b 2.500e, c 1 2 3 4 5 6 7 8 9 10 11e", "WTS gift of 12 11e/ea"]
+    found = {}
+    for r in catalog.parse(spark.createDataFrame(list(enumerate(said)), "message_id int, message string")).collect():
+        found.setdefault(r.message_id, []).append((r.item, r.requirement, r.price_amount))
+    assert sorted(found[0]) == [("item 5", None, None), ("item 6", None, None)] and found[1] == [("item 7", None, None)]
+    assert sorted(x[1] for x in found[2]) == ["q5", "q6", "q7"] and len(found[3]) == 1
+    assert [x[2] for x in found[4]] == [1234.0] and found[8] == [("gift of 12", None, 11.0)]

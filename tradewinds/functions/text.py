@@ -173,7 +173,7 @@ PRICE_RULES = [
 
 
 def _price_of(t: Column) -> Column:
-    """The price that tokens state."""
+    """The price that tokens state, in the words of :func:`stated_price`."""
 
     def letter(w: Column) -> Column:
         found = F
@@ -182,40 +182,99 @@ def _price_of(t: Column) -> Column:
         return found.when(w.rlike(r"^\d"), "n").when(w.rlike("^[a-z']"), "w").when(w.isin("–", "—"), "-").otherwise(w)
 
     def read(shape: Column) -> Column:
-        void = F.lit(None).cast("double")
-        number = lambda at: F.replace(F.get(t, at), F.lit(","), F.lit(".")).try_cast("double")
+        void = F.lit(None).cast("string")
         coins = F.create_map(*[F.lit(x) for pair in {**values.COINS, **values.COIN_NAMES}.items() for x in pair])
+        token = lambda at: F.get(t, at)
+        held = F.coalesce(token(F.nullif(F.regexp_instr(shape, F.lit("xn")), F.lit(0))), token(F.nullif(F.regexp_instr(shape, F.lit("nx?g")), F.lit(0)) - 1))
 
-        def made(basis: str, amount: Column, coin: Column, quantity: Column) -> Column:
-            ecto = to_ecto(amount, coin)
-            unit = ecto if basis in ("each", "unqualified") else void if basis in ("range", "currency_conversion", "unknown") else F.when(quantity > 0, ecto / quantity)
-            return F.struct(amount.alias("amount"), coin.alias("currency"), F.lit(basis).alias("basis"), quantity.cast("double").alias("quantity"), unit.cast("double").alias("unit_ecto"))
+        def made(basis: str, amount: Column, coin: Column, quantity: Column, fixed: float | None) -> Column:
+            return F.struct(amount.alias("amount"), coin.alias("currency"), F.lit(basis).alias("basis"), quantity.alias("quantity"), F.lit(fixed).cast("double").alias("fixed"))
 
-        held = F.coalesce(number(F.nullif(F.regexp_instr(shape, F.lit("xn")), F.lit(0))), number(F.nullif(F.regexp_instr(shape, F.lit("nx?g")), F.lit(0)) - 1))
         found = F
         for basis, pattern, quantity, amount in PRICE_RULES:
             start = F.regexp_instr(shape, F.lit(pattern)) - 1
             end = start + F.length(F.regexp_substr(shape, F.lit(pattern)))
-            token = lambda k: start + k if k >= 0 else end + k  # noqa: E731, B023
+            place = lambda k: start + k if k >= 0 else end + k  # noqa: E731, B023
+            fixed = None
             if quantity is None:
                 q = void
             elif isinstance(quantity, float):
-                q = F.lit(quantity)
+                q, fixed = void, quantity
             elif quantity == "held":
                 q = held
             elif quantity == "xn":
-                q = number(F.regexp_instr(shape, F.lit("xn")))
+                q = token(F.regexp_instr(shape, F.lit("xn")))
             else:
-                q = number(token(quantity))
-            found = found.when(start >= 0, made(basis, number(token(amount)), coins[F.get(t, token(amount) + 1)], q))
-        return found.otherwise(made("unknown", void, F.lit(None).cast("string"), void))
+                q = token(place(quantity))
+            found = found.when(start >= 0, made(basis, token(place(amount)), coins[token(place(amount) + 1)], q, fixed))
+        return found.otherwise(made("unknown", void, void, void, None))
 
     return once(F.array_join(F.transform(t, letter), ""), read)
 
 
+def stated_price(segment: Column) -> Column:
+    """(amount, currency, basis, quantity, fixed) of the price that a segment states, by the surest rule that fits: amount and
+    quantity as they are written, and the quantity that the rule itself says."""
+    return once(F.regexp_extract_all(F.lower(segment), F.lit(_TOKEN), 0), _price_of)
+
+
+def counted_price(stated: Column) -> Column:
+    """(amount, currency, basis, quantity, unit_ecto) of a price as :func:`stated_price` has it."""
+    number = lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
+    basis, quantity = stated["basis"], F.coalesce(stated["fixed"], number(stated["quantity"]))
+
+    def made(x: Column) -> Column:
+        ecto = to_ecto(x["amount"], stated["currency"])
+        unit = F.when(basis.isin("each", "unqualified"), ecto).when(~basis.isin("range", "currency_conversion", "unknown") & (x["quantity"] > 0), ecto / x["quantity"])
+        return F.struct(x["amount"].alias("amount"), stated["currency"].alias("currency"), basis.alias("basis"), x["quantity"].alias("quantity"), unit.cast("double").alias("unit_ecto"))
+
+    return once(F.struct(number(stated["amount"]).alias("amount"), quantity.alias("quantity")), made)
+
+
 def price(segment: Column) -> Column:
     """(amount, currency, basis, quantity, unit_ecto) of the price that a segment states, by the surest rule that fits."""
-    return once(F.regexp_extract_all(F.lower(segment), F.lit(_TOKEN), 0), _price_of)
+    return once(stated_price(segment), counted_price)
+
+
+_TWENTY = r"(?<![a-z0-9])20(?![a-z0-9])"
+#: Marks and words by which the value of a number can decide, not only its length: ranges, upgrades, character references; and
+#: what is cut out between two numbers, so that they read as one.
+_BY_VALUE = rf"(?is)[-–—#&+^]|{_TWENTY}.*/.*{_TWENTY}|\((?:no|not|except)\b"
+#: Numbers up to which a text has a form; the place of each is one digit.
+_PLACES = 10
+
+
+def numbers_of(text: Column) -> Column:
+    """The numbers of a text in order, if all that :func:`number_form` needs to know of them is where they stand; else none."""
+    found = F.regexp_extract_all(text, F.lit("[0-9]+"), 0)
+    return F.when(text.rlike(_BY_VALUE) | (F.size(found) > _PLACES), F.array().cast("array<string>")).otherwise(found)
+
+
+def number_form(text: Column, numbers: Column) -> Column:
+    """What texts share that differ in nothing but their numbers: '~', which of the numbers are equal (if any are), '~', and the
+    text with zeros for digits. A text without such numbers is its own form, behind '='."""
+    places = F.array_join(F.transform(numbers, lambda n: (F.array_position(numbers, n) - 1).cast("string")), "")
+    equal = F.when(F.size(F.array_distinct(numbers)) < F.size(numbers), places).otherwise("")
+    return F.when(F.size(numbers) > 0, F.concat(F.lit("~"), equal, F.lit("~"), F.translate(text, "123456789", "000000000"))).otherwise(F.concat(F.lit("="), text))
+
+
+def text_of_form(form: Column) -> Column:
+    """A text of the form: each number is the place of the first one equal to it, in as many digits."""
+
+    def told(x: Column) -> Column:
+        between, runs = F.split(x["text"], "[0-9]+", -1), F.regexp_extract_all(x["text"], F.lit("[0-9]+"), 0)
+        place = lambda i: F.when(x["equal"] == "", i.cast("string")).otherwise(F.substring(x["equal"], i + 1, F.lit(1)))
+        return once(F.struct(between.alias("between"), runs.alias("runs")), lambda p: F.array_join(F.transform(p["between"], lambda t, i: F.when(i == 0, t).otherwise(F.concat(F.lpad(place(i - 1), F.length(F.get(p["runs"], i - 1)), F.lit("0")), t))), ""))
+
+    equal = F.split_part(form, F.lit("~"), F.lit(2))
+    whole = F.struct(equal.alias("equal"), F.substring(form, F.length(equal) + 3, F.length(form)).alias("text"))
+    return F.when(F.startswith(form, F.lit("=")), F.substring(form, F.lit(2), F.length(form))).otherwise(once(whole, told))
+
+
+def with_numbers(read: Column, numbers: Column) -> Column:
+    """What was read from a :func:`text_of_form`, with a text's own numbers."""
+    own = F.transform(F.regexp_extract_all(read, F.lit("[0-9]+|[^0-9]+"), 0), lambda t: F.coalesce(F.get(numbers, t.try_cast("int")), t))
+    return F.when((F.size(numbers) > 0) & read.rlike("[0-9]"), F.array_join(own, "")).otherwise(read)
 
 
 def attribute_of(segment: Column) -> Column:
@@ -294,15 +353,21 @@ def family(segment: Column) -> Column:
     return found.otherwise(None)
 
 
-def exchange(segment: Column) -> Column:
-    """(give, give_quantity, receive_quantity, receive) of 'give n:m receive' or 'n give for m receive'."""
+def stated_exchange(segment: Column) -> Column:
+    """(give, give_quantity, receive_quantity, receive) of 'give n:m receive' or 'n give for m receive', as they are written."""
     ratio = r"(?i)^\s*([a-z' ]+?)\s+(\d+)\s*[:=]\s*(\d+)\s+([a-z' ]+?)\s*$"
     named = r"(?i)^\s*(\d+)\s+([a-z' ]+?)\s+for\s+(\d+)\s+([a-z' ]+?)\s*$"
     get = lambda p, *ks: [F.regexp_extract(segment, p, k) for k in ks]
-    shape = lambda g, n, m, r: F.struct(g.alias("give"), n.try_cast("double").alias("give_quantity"), m.try_cast("double").alias("receive_quantity"), r.alias("receive"))
+    shape = lambda g, n, m, r: F.struct(g.alias("give"), n.alias("give_quantity"), m.alias("receive_quantity"), r.alias("receive"))
     return F.when(segment.rlike(ratio), shape(*get(ratio, 1, 2, 3, 4))).when(segment.rlike(named), shape(*get(named, 2, 1, 3, 4)))
 
 
+def exchange(segment: Column) -> Column:
+    """:func:`stated_exchange` with numbers as quantities."""
+    made = lambda x: F.struct(x["give"].alias("give"), x["give_quantity"].try_cast("double").alias("give_quantity"), x["receive_quantity"].try_cast("double").alias("receive_quantity"), x["receive"].alias("receive"))
+    return once(stated_exchange(segment), lambda x: F.when(x.isNotNull(), made(x)))
+
+
 def clean_name(text: Column) -> Column:
     """An item's name without notation: '/stk', 'per stack', '[x250]', '/each', prices and requirements."""
     steps = [rf"(?i)(?<![a-z0-9.]){_NUMBER}\s*(?:[-/:=]|\bfor\b)\s*{_NUMBER}\s*{_UNIT}\b", r"(?i)\[?\bx\s*\d+\]?", r"(?i)\[\s*\]", rf"(?i)(?<![a-z0-9]){_NUMBER}\s*(?:armbraces?|ambr(?:ace)?s?|ectos?|plat(?:inum)?)\b(?!\s+\d+(?:[.,]\d+)?\s*[aek]\b)", rf"(?i)(?<![a-z0-9]){_NUMBER}\s*[aek]\b", r"(?i)(?:/|\bper)\s*(?:stk|st|stacks?|ea|each)\b", r"(?i)\b(?:q|req|rq)\s*\d{1,2}\b", r"(?i)\b(?:os|insc|unded|ded)\b", r"[\[\](){}]", r"\s+"]
