@@ -179,3 +179,32 @@ def test_numbers_that_decide_by_value_or_by_being_equal_keep_doing_so(spark):
     assert sorted(found[0]) == [("item 5", None, None), ("item 6", None, None)] and found[1] == [("item 7", None, None)]
     assert sorted(x[1] for x in found[2]) == ["q5", "q6", "q7"] and len(found[3]) == 1
     assert [x[2] for x in found[4]] == [1234.0] and found[8] == [("gift of 12", None, 11.0)]
+
+
+def test_market_context_joins_its_offers_once(spark):
+    made = [(k, "m1" if k < 5 else None, [5.0, 1.0, None, 3.0, 9.0, 2.0, 2.0][k]) for k in range(7)]
+    o = spark.createDataFrame(made, "offer_id int, market_key string, unit_price double").selectExpr("offer_id", "concat(market_key, substr('MARK', 1, offer_id * 0)) AS market_key", "'' AS normalized_market_key", "unit_price")
+    found = review.market_context(o)
+    assert "MARK" not in _plan(found)  # the offers were written, and nothing behind that computes them again
+    assert {r.offer_id: (r.others, r.mean_price, r.median_price) for r in found.collect()} == {
+        0: (3, 4.0, 3.0), 1: (3, 6.0, 5.0), 2: (4, 5.0, 4.0), 3: (3, 5.0, 5.0), 4: (3, 3.0, 3.0), 5: (1, 2.0, 2.0), 6: (1, 2.0, 2.0),
+    }
+
+
+def test_places_come_from_the_numbers_of_sorted_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tradewinds.operators import ranking
+
+    rows = spark.range(4000).selectExpr("id", "if(id % 4 = 0, null, 'k' || if(id % 50 = 1, 1, 2)) AS k", "(id * 7919) % 1000 AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = ranking.place(rows, ["k"], [F.desc("v"), F.asc("id")])
+        found = sorted((r.k or "", r.place, r.id) for r in placed.collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, groups = [], {}
+    for r in sorted(rows.collect(), key=lambda r: (r.k or "", -r.v, r.id)):
+        groups[r.k] = groups.get(r.k, 0) + 1
+        want.append((r.k or "", groups[r.k], r.id))
+    assert found == want and "Window" not in _plan(placed)
