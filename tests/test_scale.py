@@ -208,3 +208,24 @@ def test_places_come_from_the_numbers_of_sorted_ranges(spark):
         groups[r.k] = groups.get(r.k, 0) + 1
         want.append((r.k or "", groups[r.k], r.id))
     assert found == want and "Window" not in _plan(placed)
+
+
+def test_clauses_of_a_block_go_with_one_of_its_candidates(spark):
+    from tradewinds.operators import lists
+
+    said = spark.createDataFrame([(1, "WTS red ring q9, blue rod q10 4e"), (2, "WTS nothing known"), (3, None), (4, "WTB Q8 Staves | red ring")], "message_id int, message string")
+    known = spark.createDataFrame([("red ring", "r", "Red Ring"), ("blue rod", "b", "Blue Rod"), ("red ring staff", "s", "Red Ring Staff")], "alias string, item_key string, name string")
+    found = lists.list_offers(said, known)
+    assert sorted((r.message_id, r.item_key or "", r.requirement or "", r.price.amount or 0) for r in found.collect()) == [(1, "b", "q10", 4.0), (1, "r", "q9", 0), (2, "", "", 0), (4, "s", "q8", 0)]
+    plan = _plan(found)
+    assert [line for line in plan.splitlines() if "Filter" in line and "_first" in line and "_hit" in line]  # candidates that nothing means are gone before the blocks are gathered
+
+
+def test_requirements_are_read_from_what_is_stated(spark):
+    from pyspark.sql import functions as F
+
+    from tradewinds.operators import lists
+
+    said = {"bow q9": ["q9"], "bow q5-7": ["q5", "q6", "q7"], "bow q9/11": ["q9", "q11"], "q7-5 x": ["q7"], "req channeling": ["any"], "bow": [], "q9%": [], "q12 - 30 axe": ["q12"], "rq 8 / 9 / q10 axe": ["q8", "q9", "q10"]}
+    df = spark.createDataFrame([(k,) for k in said], "s string").select("s", lists.requirements(F.col("s")).alias("r"))
+    assert {r.s: r.r for r in df.collect()} == said

@@ -140,7 +140,7 @@ def segments(text: Column) -> Column:
 def expand_requirements(text: Column) -> Column:
     """'bow q5-7' or 'bow q9/11' as one text for each requirement; ranges of ten at most."""
     span = r"(?i)\b(q|r|req)(\d{1,2})\s*-\s*q?(\d{1,2})\b"
-    low, high = (F.regexp_extract(text, span, k).try_cast("int") for k in (2, 3))
+    low, high = (F.nullif(F.regexp_extract(text, span, k), F.lit("")).try_cast("int") for k in (2, 3))
     ranged = F.transform(F.sequence(low, F.greatest(low, high)), lambda n: F.regexp_replace(text, F.lit(span), F.concat(F.lit("q"), n.cast("string"))))
     listed = r"(?i)\b(?:q|r|req)(\d{1,2}(?:/q?\d{1,2})+)\b(?!\s*%)"
     items = F.split(F.regexp_replace(F.regexp_extract(text, listed, 1), "(?i)q", ""), "/")
@@ -207,15 +207,21 @@ def _price_of(t: Column) -> Column:
             else:
                 q = token(place(quantity))
             found = found.when(start >= 0, made(basis, token(place(amount)), coins[token(place(amount) + 1)], q, fixed))
-        return found.otherwise(made("unknown", void, void, void, None))
+        return found.otherwise(_no_price())
 
     return once(F.array_join(F.transform(t, letter), ""), read)
 
 
+def _no_price() -> Column:
+    void = F.lit(None).cast("string")
+    return F.struct(void.alias("amount"), void.alias("currency"), F.lit("unknown").alias("basis"), void.alias("quantity"), F.lit(None).cast("double").alias("fixed"))
+
+
 def stated_price(segment: Column) -> Column:
     """(amount, currency, basis, quantity, fixed) of the price that a segment states, by the surest rule that fits: amount and
     quantity as they are written, and the quantity that the rule itself says."""
-    return once(F.regexp_extract_all(F.lower(segment), F.lit(_TOKEN), 0), _price_of)
+    # every rule wants a coin right behind a number
+    return F.when(F.lower(segment).rlike(r"\d\s*[a-z]"), once(F.regexp_extract_all(F.lower(segment), F.lit(_TOKEN), 0), _price_of)).otherwise(_no_price())
 
 
 def counted_price(stated: Column) -> Column:
@@ -273,7 +279,7 @@ def text_of_form(form: Column) -> Column:
 
 def with_numbers(read: Column, numbers: Column) -> Column:
     """What was read from a :func:`text_of_form`, with a text's own numbers."""
-    own = F.transform(F.regexp_extract_all(read, F.lit("[0-9]+|[^0-9]+"), 0), lambda t: F.coalesce(F.get(numbers, t.try_cast("int")), t))
+    own = F.transform(F.regexp_extract_all(read, F.lit("[0-9]+|[^0-9]+"), 0), lambda t: F.coalesce(F.get(numbers, F.when(t.rlike("^[0-9]"), t).try_cast("int")), t))
     return F.when((F.size(numbers) > 0) & read.rlike("[0-9]"), F.array_join(own, "")).otherwise(read)
 
 

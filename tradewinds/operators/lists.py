@@ -46,11 +46,16 @@ def cut(x: Column, separators: str) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
 
+def _number(found: Column, kind: str) -> Column:
+    """What a pattern found, as a number; casting the empty text of one that didn't fit would raise an error and catch it."""
+    return F.nullif(found, F.lit("")).try_cast(kind)
+
+
 def clauses_of(segment: Column) -> Column:
     """The clauses of a segment; counted lists ('Monk (12) Ele (6)') and points ('5 party 3 sweet') are cut between their parts."""
     counted = F.when(F.regexp_count(segment, F.lit(r"[A-Za-z']\s*\(\d+\)")) > 1, F.regexp_replace(segment, r"([A-Za-z']\s*\(\d+\))\s*(?=[A-Za-z])", "$1, ")).otherwise(segment)
     points = F.when(F.regexp_count(counted, F.lit(_POINTS)) > 1, F.regexp_replace(counted, _POINTS, ", $1 $2 points ")).otherwise(counted)
-    years = F.regexp_extract(points, r"(?i)\bpresents?\s+(\d)\s?-\s?(\d)$", 1).try_cast("int"), F.regexp_extract(points, r"(?i)\bpresents?\s+(\d)\s?-\s?(\d)$", 2).try_cast("int")
+    years = tuple(_number(F.regexp_extract(points, r"(?i)\bpresents?\s+(\d)\s?-\s?(\d)$", k), "int") for k in (1, 2))
     each = F.transform(F.sequence(years[0], F.greatest(years[0], years[1])), lambda n: F.regexp_replace(points, F.lit(r"\d\s?-\s?\d$"), n.cast("string")))
     return F.when(years[0].isNotNull(), each).otherwise(cut(points, _CLAUSE))
 
@@ -58,12 +63,20 @@ def clauses_of(segment: Column) -> Column:
 def requirements(clause: Column) -> Column:
     """'q9' as [q9], 'q5-7' as [q5, q6, q7] (ten at most, else its first), 'q9/11' as [q9, q11],
     'req channeling' as [any]; none as an empty array."""
-    low, high = (F.regexp_extract(clause, _REQUIREMENT, k).try_cast("int") for k in (1, 2))
-    more = F.transform(F.regexp_extract_all(F.regexp_extract(clause, _REQUIREMENT, 3), F.lit(r"\d+"), 0), lambda n: n.cast("int"))
-    span = F.when((high > low) & (high - low <= 10), F.sequence(low, high)).otherwise(F.concat(F.array(low), more))
     unnamed = clause.rlike(rf"(?i)\b(?:req|requirement)\s+(?:{'|'.join(_ALIASES)})(?![a-z0-9'])")  # 'req channeling'
     none = F.when(unnamed, F.array(F.lit("any"))).otherwise(F.array().cast("array<string>"))
-    return F.when(low.isNull(), none).otherwise(F.transform(span, lambda n: F.concat(F.lit("q"), n.cast("string"))))
+
+    def read(x: Column) -> Column:
+        low, high = x["low"], x["high"]
+        span = F.when((high > low) & (high - low <= 10), F.sequence(low, high)).otherwise(F.concat(F.array(low), x["more"]))
+        return F.when(low.isNull(), none).otherwise(F.transform(span, lambda n: F.concat(F.lit("q"), n.cast("string"))))
+
+    def parts(stated: Column) -> Column:  # what is stated, by itself, is read like that in its clause
+        low, high = (_number(F.regexp_extract(stated, _REQUIREMENT, k), "int") for k in (1, 2))
+        more = F.transform(F.regexp_extract_all(F.regexp_extract(stated, _REQUIREMENT, 3), F.lit(r"\d+"), 0), lambda n: n.cast("int"))
+        return F.when(stated == "", none).otherwise(exprs.once(F.struct(low.alias("low"), high.alias("high"), more.alias("more")), read))
+
+    return exprs.once(F.regexp_extract(clause, _REQUIREMENT, 0), parts)
 
 
 def attributes(clause: Column) -> Column:
@@ -78,18 +91,24 @@ def describe(clause: Column, hard: Column) -> Column:
     said = F.regexp_replace(clause, "[()\"]", " ")
     outside = F.trim(F.regexp_replace(clause, r"\([^()]*\)", " "))  # what stands in parentheses explains a name
     named_by = F.regexp_replace(F.when(outside != "", outside).otherwise(said), '"', " ")
-    count = F.coalesce(F.regexp_extract(clause, r"\((\d+)\)", 1).try_cast("double"), F.replace(F.regexp_extract(clause, r"^\s*(\d[\d,]*)\s?x?\s+(?=[A-Za-z])", 1), F.lit(","), F.lit("")).try_cast("double"))
+    count = F.coalesce(_number(F.regexp_extract(clause, r"\((\d+)\)", 1), "double"), _number(F.replace(F.regexp_extract(clause, r"^\s*(\d[\d,]*)\s?x?\s+(?=[A-Za-z])", 1), F.lit(","), F.lit("")), "double"))
     bare = F.regexp_replace(F.regexp_replace(named_by, _REQUIREMENT, " "), rf"{_STATE}|{_INSCRIBABLE}|{_OLD}|^\s*\d[\d,]*\s?x?\s+(?=[A-Za-z])", " ")
     full = F.regexp_replace(text.clean_name(F.regexp_replace(bare, r"(?i)\b(?:req|requirement|each|ea)\b", " ")), r"(?i)(?<!\bpresents?)\s+\d+$|\b(?:skins?|list|all)\s*$", "")
 
-    def made(x: Column) -> Column:
+    def named(x: Column) -> Column:
         name = F.trim(F.regexp_replace(F.regexp_replace(x["full"], f"(?i){_ATTRIBUTE}", " "), r"(?<!\d)[/+-]+(?!\d)|\s+", " "))
-        heading = F
-        for family, pattern in HEADINGS.items():
-            heading = heading.when(F.lower(F.trim(x["full"])).rlike(f"^(?:{pattern})$"), family)
-        heading = heading.otherwise(None)
-        plain_heading = F.when((F.size(x["attrs"]) == 0) & x["price"]["amount"].isNull(), heading)
+
+        def headed(low: Column) -> Column:
+            heading = F
+            for family, pattern in HEADINGS.items():
+                heading = heading.when(low.rlike(f"^(?:{pattern})$"), family)
+            return F.when((F.size(x["attrs"]) == 0) & x["price"]["amount"].isNull() & low.rlike(f"^(?:{_ANY_HEADING})$"), heading.otherwise(None))
+
         prefix = F.when(clause.rlike(r":\s*$"), F.trim(F.regexp_replace(x["full"], r"[\s:]+$", "")))
+        return exprs.once(F.struct(name.alias("name"), exprs.once(F.lower(F.trim(x["full"])), headed).alias("heading"), prefix.alias("prefix")), lambda y: made(x, y))
+
+    def made(x: Column, y: Column) -> Column:
+        name, plain_heading, prefix = y["name"], y["heading"], y["prefix"]
         family_of_prefix = F.when(prefix.rlike(rf"(?i)^(?:{_ANY_HEADING})$"), F.lit(True)).otherwise(False)
         kind = (
             F.when(plain_heading.isNotNull(), "heading").when(prefix.isNotNull() & (prefix != "") & ~family_of_prefix, "prefix").when(name != "", "name")
@@ -104,7 +123,7 @@ def describe(clause: Column, hard: Column) -> Column:
     read = F.struct(
         full.alias("full"), requirements(clause).alias("reqs"), attributes(said).alias("attrs"), text.price(F.regexp_replace(clause, _REQUIREMENT, " ")).alias("price"), (clause.rlike(_STATE) | clause.rlike(_INSCRIBABLE) | clause.rlike(_OLD)).alias("mods"),
     )
-    return exprs.once(read, made)
+    return exprs.once(read, named)
 
 
 def described(block: Column) -> Column:
@@ -212,7 +231,9 @@ def fold(clauses: Column, hits: Column, strict: bool) -> Column:
 
         part = F.get(F.filter(F.transform(F.concat(spans(x), runs(x)), found), lambda hit: hit.isNotNull()), F.lit(0))
         attached = _attach(x["name"], s["family"], s["prefix"])
-        by_name = exprs.once(F.struct(found(attached).alias("attached"), F.coalesce(found(x["full"]), found(x["name"])).alias("own"), part.alias("part"), attached.alias("text")), resolve)
+        own = F.coalesce(found(x["full"]), found(x["name"]))
+        # a part counts only where the whole name is unknown
+        by_name = exprs.once(F.struct(found(attached).alias("attached"), own.alias("own"), F.when(own.isNull(), part).alias("part"), attached.alias("text")), resolve)
         with_mods = F.transform(s["pending"], lambda o: o.withField("oldschool", o["oldschool"] | x["oldschool"]).withField("inscribable", o["inscribable"] | x["inscribable"]).withField("dedication", F.coalesce(x["dedication"], o["dedication"])))
         heading = F.coalesce(x["heading"], x["prefix"])
         variant = offers(x, s["item"], s["item_key"], F.coalesce(s["local"], s["requirement"]), dedication)
@@ -290,9 +311,11 @@ def list_offers(messages: DataFrame, known: DataFrame | None = None, id_column:
     else:
         names = known.select(c("alias").alias("_alias"), F.struct("item_key", "name").alias("_hit"))
         names = F.broadcast(names) if names.limit(catalog.SMALL + 1).count() <= catalog.SMALL else names
-        met = rows.select("*", F.explode_outer(candidates(c("clauses"))).alias("_c")).join(names, c("_c") == c("_alias"), "left")
+        # the clauses go with the first of a block's many candidates; of the others only those stay that the catalog has
+        met = rows.select("*", F.posexplode_outer(candidates(c("clauses"))).alias("_at", "_c")).withColumn("_first", F.coalesce("_at", F.lit(0)) == 0)
+        met = met.select("_text", "block", "trade_type", F.when(c("_first"), c("clauses")).alias("clauses"), "_first", "_c").join(names, c("_c") == c("_alias"), "left").where(c("_first") | c("_hit").isNotNull())
         pairs = F.collect_list(F.when(c("_hit").isNotNull(), F.struct(c("_c").alias("key"), c("_hit").alias("value"))))
-        told = met.groupBy("_text", "block").agg(*(F.first(k).alias(k) for k in ("trade_type", "clauses")), F.map_from_entries(pairs).alias("hits"))
+        told = met.groupBy("_text", "block").agg(F.first("trade_type").alias("trade_type"), F.first("clauses", ignorenulls=True).alias("clauses"), F.map_from_entries(pairs).alias("hits"))
         told = told.withColumn("clauses", cut_at_items(c("clauses"), c("hits")))
     out = catalog.opened(told, ["_text", "block", "trade_type"], fold(c("clauses"), c("hits"), known is not None), "pos", "o").where("o.item <> ''")
     said = messages.select(c(id_column).alias("message_id"), c(text_column).alias("_said"))
