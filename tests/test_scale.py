@@ -229,3 +229,10 @@ def test_requirements_are_read_from_what_is_stated(spark):
     said = {"bow q9": ["q9"], "bow q5-7": ["q5", "q6", "q7"], "bow q9/11": ["q9", "q11"], "q7-5 x": ["q7"], "req channeling": ["any"], "bow": [], "q9%": [], "q12 - 30 axe": ["q12"], "rq 8 / 9 / q10 axe": ["q8", "q9", "q10"]}
     df = spark.createDataFrame([(k,) for k in said], "s string").select("s", lists.requirements(F.col("s")).alias("r"))
     assert {r.s: r.r for r in df.collect()} == said
+
+
+def test_parser_reports_read_messages_by_their_forms(spark):
+    from tradewinds.plans import resolving
+
+    for query in (resolving.parser_evaluation, resolving.parser_field_rates):
+        assert "translate(" in _plan(query(spark, "/root/testdata/sf0.001"))
